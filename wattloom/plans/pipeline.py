@@ -1,0 +1,45 @@
+"""The preprocessing run: raw hourly rows to the labelled feature table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from wattloom.config import DEFAULT, Settings
+from wattloom.operators import features, impute, leaks, reshape, split, validate
+
+
+def clean_hourly(raw: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
+    """Dates read, days with corrupt hours removed, hour and hour timestamp built."""
+    dated = validate.drop_bad_dates(validate.with_date(raw))
+    good = validate.drop_bad_hour_days(dated, validate.hour_quality(dated, cfg), cfg)
+    return validate.build_hour_ts(validate.normalize_hour(good))
+
+
+def preprocess(raw: DataFrame, holidays: DataFrame | None = None, cfg: Settings = DEFAULT,
+               fraction: float | None = None, boundary: int | None = None,
+               drop: list[str] | None = None, strict: bool = True) -> DataFrame:
+    """Full run. ``drop`` names leaking columns found before; None detects them here.
+
+    ``strict`` also runs the checks that stop the job (each is one extra pass over the raw rows).
+    The split is made before unlabelled rows go.
+    """
+    if strict:
+        raw = validate.ingest(raw, cfg)
+    hourly = clean_hourly(raw, cfg)
+    if strict:
+        validate.require_nonempty(hourly, "hourly table")
+        validate.reject_duplicate_ts(hourly, cfg)
+        if holidays is not None:
+            validate.require_calendar_years(hourly, holidays, cfg)
+    if drop is None:
+        drop = leaks.drop_list(hourly, cfg)
+    context = [c for c in cfg.context if c in hourly.columns and c not in drop]
+    filled = impute.impute_past_median(hourly, context, cfg)
+    long = reshape.to_15min(filled, context, cfg)
+    table = features.all_features(long, holidays, cfg)
+    if boundary is not None:
+        table = split.split_by_date(table, boundary, cfg)
+    else:
+        table = split.split_by_fraction(table, fraction, cfg)
+    return split.drop_unlabelled(table)
+
