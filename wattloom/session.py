@@ -15,7 +15,7 @@ def build_session(app: str = "wattloom", cpus: int | str | None = None,
     cpus = cpus or os.environ.get("BENCH_CPUS", "8")
     b = (SparkSession.builder.master(f"local[{cpus}]").appName(app)
          .config("spark.driver.memory", os.environ.get("WATTLOOM_DRIVER_MEMORY", "12g"))
-         .config("spark.ui.enabled", "false")
+         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
