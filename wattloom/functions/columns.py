@@ -12,9 +12,9 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def half_even(c: Column | str, digits: int, scale: int = 8) -> Column:
+def half_even(c: Column | str, digits: int) -> Column:
     """Round half to even on the decimal form of a double (money and display values)."""
-    return F.bround(col(c).cast(f"decimal(30,{scale})"), digits).cast("double")
+    return F.bround(col(c).cast("decimal(28,10)"), digits).cast("double")
 
 
 def finite(c: Column | str) -> Column:

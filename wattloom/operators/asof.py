@@ -38,8 +38,8 @@ def day_index(frame: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
 
 def replay_metrics(frame: DataFrame, keys) -> DataFrame:
     e = F.col("prediction") - F.col("y")
-    return frame.groupBy(*keys).agg(F.round(F.avg(e * e), 3).alias("mse"),
-                                    F.round(F.avg(F.abs(e)), 3).alias("mae"),
+    return frame.groupBy(*keys).agg(half_even(F.avg(e * e), 3).alias("mse"),
+                                    half_even(F.avg(F.abs(e)), 3).alias("mae"),
                                     F.count(F.lit(1)).alias("rows"))
 
 

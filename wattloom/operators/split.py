@@ -87,13 +87,20 @@ def window_ok(df: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     return blocks.drop_halo(out.withColumn("window_ok", good))
 
 
-def usable_rows(df: DataFrame, columns=REQUIRED, cfg: Settings = DEFAULT) -> DataFrame:
-    """Rows that every model can use: all inputs finite and the window unbroken."""
+def usable_rows(df: DataFrame, columns=REQUIRED, cfg: Settings = DEFAULT,
+                window: str | None = None) -> DataFrame:
+    """Rows that every model can use: all inputs finite and the window unbroken.
+
+    ``window`` names a column to hold the window itself. It is taken from the table as given:
+    after the filter, removed rows would be missing from the windows of their successors.
+    """
     require_columns(df, columns)
-    ok = F.col("window_ok")
+    ok = F.lit(True)
     for c in columns:
         ok = ok & finite(c)
-    return window_ok(df, cfg).filter(ok).drop("window_ok")
+    if window:
+        return window_vectors(df, cfg, window).filter(ok)
+    return window_ok(df, cfg).filter(ok & F.col("window_ok")).drop("window_ok")
 
 
 def window_vectors(df: DataFrame, cfg: Settings = DEFAULT, out: str = "window") -> DataFrame:

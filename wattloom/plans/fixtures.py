@@ -306,7 +306,7 @@ margins AS (SELECT p.*, m.n AS error_samples,
 
 def half_even_sql(expr: str, digits: int) -> str:
     """Half-to-even rounding on the decimal form of a double, as in ``functions.half_even``."""
-    d = f"CAST({expr} AS DECIMAL(30,8))"
+    d = f"CAST(CAST({expr} AS DOUBLE) AS DECIMAL(28,10))"
     up = f"round({d}, {digits})"
     return (f"CAST(CASE WHEN abs({d} * {10 ** digits}) % 2 = 0.5 THEN trunc({d} * {10 ** digits})"
             f" / {10 ** digits} ELSE {up} END AS DOUBLE)")

@@ -1 +1,198 @@
-"""Placeholder."""
+"""Queries over predictions: scaling, scores, blend, models and stored results."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from wattloom.functions import fixed_values as fv
+from wattloom.operators import evaluate, features, models, split
+from wattloom.plans import fixtures as x
+from wattloom.plans.queries_features import FOLDS, LABELLED, eval_rows, labelled
+from wattloom.plans.registry import REGISTRY
+from wattloom.session import shared_folder, stage
+from wattloom.sources import results
+
+add = REGISTRY.add
+
+
+# -- G12: scaling --------------------------------------------------------------------------
+
+@add("g12_train_stats", "series_id rows:i x_mean:r x_std:r y_mean:r y_std:r", LABELLED + """,
+ends_ AS (SELECT *, sum(kw) OVER f AS s, sum(kw * kw) OVER f AS q FROM windows
+  WINDOW f AS (PARTITION BY series_id, segment ORDER BY ts ROWS BETWEEN 95 PRECEDING AND CURRENT ROW)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS rn, count(*) OVER (PARTITION BY
+  series_id) AS n FROM ends_ WHERE window_ok)""",
+     """SELECT series_id, count(*) AS rows, sum(s) / (96 * count(*)) AS x_mean,
+  sqrt(sum(q) / (96 * count(*)) - pow(sum(s) / (96 * count(*)), 2)) + 1e-8 AS x_std,
+  avg(y) AS y_mean, stddev_pop(y) + 1e-8 AS y_std FROM ranked WHERE rn <= floor(0.85::DOUBLE * n) GROUP BY 1""")
+def g12(t):
+    rows = split.tail_validation(split.window_vectors(labelled(t)))
+    return split.train_stats(rows)
+
+
+# -- G13 - G20: scores and blend -----------------------------------------------------------
+
+H = x.half_even_sql
+LONGP = FOLDS + f""",
+longp AS (SELECT series_id, ts, fold, y, 'a' AS model, a AS p FROM evals UNION ALL
+  SELECT series_id, ts, fold, y, 'b', b FROM evals UNION ALL
+  SELECT series_id, ts, fold, y, 'blend', a * 0.25::DOUBLE + b * 0.75::DOUBLE FROM evals),
+moments AS (SELECT series_id, model, fold, count(*) AS rows, avg((y - p) * (y - p)) AS m, avg(abs(y - p)) AS ae,
+  avg(y - p) AS e, var_pop(y) AS v FROM longp GROUP BY 1, 2, 3),
+scores AS (SELECT series_id, model, fold, rows, {H('m', 4)} AS mse, {H('sqrt(m)', 4)} AS rmse, {H('ae', 4)} AS mae,
+  {H('CASE WHEN v <> 0 THEN 1 - m / v END', 6)} AS r2, {H('e', 4)} AS bias FROM moments),
+folded AS (SELECT series_id, model, avg(mse) FILTER (WHERE fold <> 'test') AS fm, stddev_pop(mse) FILTER (WHERE
+  fold <> 'test') AS fs, max(mse) FILTER (WHERE fold = 'test') AS test_mse FROM scores GROUP BY 1, 2),
+summary AS (SELECT series_id, model, {H('fm', 3)} AS forward_mean, {H('fs', 3)} AS forward_std, test_mse FROM folded)"""
+
+
+def long_predictions(t):
+    """One row per model, fold, series and time."""
+    rows = evaluate.blend(eval_rows(t), 0.25, out="c")
+    return rows.select("series_id", "ts", "fold", "y", F.inline(F.array(*[
+        F.struct(F.lit(m).alias("model"), F.col(c).alias("prediction"))
+        for m, c in (("a", "a"), ("b", "b"), ("blend", "c"))])))
+
+
+def scores(t):
+    return evaluate.score(long_predictions(t), ["series_id", "model", "fold"])
+
+
+@add("g13_score", "series_id model fold rows:i mse:r4 rmse:r4 mae:r4 r2:r6 bias:r4", LONGP, "SELECT * FROM scores")
+def g13(t):
+    return scores(t)
+
+
+@add("g14_fold_summary", "series_id model forward_mean:r3 forward_std:r3 test_mse:r4", LONGP, "SELECT * FROM summary")
+def g14(t):
+    return evaluate.fold_summary(scores(t), ["series_id", "model"])
+
+
+GRID = FOLDS + f""",
+per_fold AS (SELECT series_id, fold, i / 1e2 AS w, avg(pow(y - (i / 1e2 * a + (1 - i / 1e2) * b), 2)) AS mse
+  FROM evals, (SELECT unnest(generate_series(1, 99)) AS i) GROUP BY 1, 2, 3),
+raw_grid AS (SELECT series_id, w, avg(mse) FILTER (WHERE fold <> 'test') AS f, max(mse) FILTER (WHERE fold = 'test')
+  AS t FROM per_fold GROUP BY 1, 2),
+grid AS (SELECT series_id, w, {H('f', 4)} AS forward, {H('t', 4)} AS test FROM raw_grid)"""
+
+
+@add("g15_blend_search", "series_id w:r2 forward:r4 test:r4", GRID, "SELECT * FROM grid")
+def g15(t):
+    return evaluate.blend_search(eval_rows(t), ["series_id"])
+
+
+PICK = GRID + """,
+by_test AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY test, abs(w - 0.5::DOUBLE), w)
+  AS rn FROM grid) WHERE rn = 1),
+by_fwd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY forward, abs(w - 0.5::DOUBLE), w)
+  AS rn FROM grid) WHERE rn = 1),
+picks AS (SELECT t.series_id, t.w AS weight, 1 - t.w AS other_weight, t.forward, t.test, h.forward AS half_forward,
+  h.test AS half_test, f.w AS alt_weight, f.forward AS alt_forward, f.test AS alt_test
+  FROM by_test t JOIN by_fwd f USING (series_id) JOIN grid h ON h.series_id = t.series_id AND h.w = 0.5)"""
+
+
+@add("g16_blend_pick", "series_id weight:r2 other_weight:r2 forward:r4 test:r4 half_forward:r4 half_test:r4 "
+     "alt_weight:r2 alt_forward:r4 alt_test:r4", PICK, "SELECT * FROM picks")
+def g16(t):
+    return evaluate.blend_pick(evaluate.blend_search(eval_rows(t), ["series_id"]), ["series_id"])
+
+
+@add("g17_blend", "series_id ts:t prediction:r9", x.DAILY_PRED,
+     "SELECT *, a * 0.25::DOUBLE + b * 0.75::DOUBLE AS prediction FROM dpred")
+def g17(t):
+    return evaluate.blend(t.daily_predictions, 0.25)
+
+
+@add("g18_align_check", "matched:i only_a:i only_b:i ok", x.DAILY_PRED,
+     "SELECT count(*) FILTER (WHERE kw > 0 AND b > 50) AS matched, count(*) FILTER (WHERE kw > 0 AND NOT b > 50) AS "
+     "only_a, count(*) FILTER (WHERE NOT kw > 0 AND b > 50) AS only_b, false AS ok FROM dpred")
+def g18(t):
+    rows = t.daily_predictions
+    return evaluate.align_check(rows.filter("kw > 0"), rows.filter("b > 50"), ["series_id", "ts"])
+
+
+@add("g19_seed_average", "series_id ts:t prediction:r9 seeds:i", x.DAILY_PRED,
+     "SELECT series_id, ts, (a + b + kw / 2) / 3 AS prediction, 3 AS seeds FROM dpred")
+def g19(t):
+    rows = t.daily_predictions.select("series_id", "ts", F.inline(F.array(*[
+        F.struct(F.lit(s).alias("seed"), c.alias("prediction"))
+        for s, c in zip(fv.SEEDS, (F.col("a"), F.col("b"), F.col("kw") / 2))])))
+    return evaluate.seed_average(rows, ["series_id", "ts"])
+
+
+@add("g20_rank_models", "series_id model rank:i forward_mean:r3", LONGP,
+     "SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY forward_mean NULLS LAST, model) AS rank FROM summary")
+def g20(t):
+    return evaluate.rank_models(evaluate.fold_summary(scores(t), ["series_id", "model"]), ["series_id"])
+
+
+@add("h20_model_candidates", "series_id model rank:i forward_mean:r3 test_mse:r4 blend_weight:r2 blend_forward:r4 "
+     "blend_test:r4", LONGP + PICK[len(FOLDS):],
+     "SELECT s.*, row_number() OVER (PARTITION BY s.series_id ORDER BY forward_mean NULLS LAST, model) AS rank, "
+     "p.weight AS blend_weight, p.forward AS blend_forward, p.test AS blend_test FROM summary s "
+     "JOIN picks p USING (series_id)")
+def h20(t):
+    picks = evaluate.blend_pick(evaluate.blend_search(eval_rows(t), ["series_id"]), ["series_id"])
+    return evaluate.model_candidates(evaluate.fold_summary(scores(t), ["series_id", "model"]), picks, ["series_id"])
+
+
+@add("a11_load_eval", "model fold metric value:r6", LONGP + f""",
+pm AS (SELECT model, fold, count(*) AS rows, avg((y - p) * (y - p)) AS m, avg(abs(y - p)) AS ae FROM longp GROUP BY 1, 2),
+pooled AS (SELECT model, fold, rows, {H('m', 4)} AS mse, {H('ae', 4)} AS mae FROM pm)""",
+     "SELECT model, fold, 'MSE' AS metric, mse AS value FROM pooled UNION ALL SELECT model, fold, 'MAE', mae FROM pooled "
+     "UNION ALL SELECT model, fold, 'rows', rows FROM pooled")
+def a11(t):
+    """Write the scores of all series as nested JSON and read them back as long rows."""
+    path = shared_folder(t.spark, "eval")
+    results.write_eval(evaluate.score(long_predictions(t), ["model", "fold"]), path)
+    return results.load_eval(t.spark, path).filter(F.col("metric").isin("MSE", "MAE", "rows"))
+
+
+# -- G21 - G23, A10: models ----------------------------------------------------------------
+
+def usable(t, window=None):
+    """Usable rows as a stored table: a fit reads them many times."""
+    table = split.split_by_fraction(features.all_features(t.dense, t.holidays))
+    return stage(split.usable_rows(split.drop_unlabelled(table), window=window), "usable")
+
+
+@add("g21_fit_tree_model", "series_id fold rows:i mse:r4 mae:r4 persistence_mse:r4")
+def g21(t):
+    """Tree ensemble fitted on the training part, scored on the test part, beside persistence."""
+    rows = usable(t)
+    jobs = split.eval_jobs(rows, split.forward_folds(rows).limit(0))
+    fit = lambda train: models.fit_tree_model(train, trees=20, depth=8)
+    out = models.evaluate_jobs(rows, jobs, fit, models.score_tree_model)
+    naive = evaluate.score(out.withColumn("p0", F.col("kw_lag1")), ["series_id", "fold"], p="p0")
+    return evaluate.score(out, ["series_id", "fold"]).join(
+        naive.select("series_id", "fold", F.col("mse").alias("persistence_mse")), ["series_id", "fold"])
+
+
+@add("g22_fit_sequence_model", "series_id split rows:i mse:r4 mae:r4")
+def g22(t):
+    """Boosted trees over the last 96 values, three seeds, early stop on the last 15 %."""
+    rows = usable(t, "window")
+    fitted, stats = models.fit_sequence_model(rows.filter("split = 'train'"), rounds=10, depth=4)
+    out = models.score_sequence_model(fitted, stats, rows.filter("split = 'test'"))
+    return evaluate.score(out, ["series_id", "split"])
+
+
+@add("g23_batch_score", "series_id ts:t split y:r prediction:r6")
+def g23(t):
+    """Fit, store with settings, pass the gate, load and score the test rows."""
+    rows = usable(t)
+    folder = shared_folder(t.spark, "model")
+    current = results.settings_row(t.spark)
+    models.save_model(models.fit_tree_model(rows.filter("split = 'train'"), trees=10, depth=6), current, folder)
+    return models.batch_score(t.spark, folder, current, rows)
+
+
+@add("a10_model_gate", "setting n_rows:i", x.OBSERVED,
+     "SELECT s AS setting, (SELECT count(*) FROM observed) AS n_rows FROM (SELECT unnest(['blend_select', 'window']) AS s)")
+def a10(t):
+    """Settings that differ from the stored ones, beside the rows that may not be scored."""
+    folder = shared_folder(t.spark, "config")
+    results.settings_row(t.spark).coalesce(1).write.json(folder)
+    now = results.settings_row(t.spark, select="forward").withColumn("window", F.lit(48).cast("long"))
+    rows = t.observed.agg(F.count(F.lit(1)).alias("n_rows"))
+    return results.settings_differences(t.spark.read.json(folder), now).join(F.broadcast(rows))

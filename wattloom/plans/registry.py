@@ -2,7 +2,8 @@
 
 A query declares its output once, as ``name[:form]`` words: ``t`` timestamp text, ``d`` date text,
 ``r``/``rN`` number rounded to 6/N places, ``i`` long, ``s`` text, no form = as it is. The same
-declaration shapes the Spark result and the SQL result.
+declaration shapes the Spark result and the SQL result. Numbers are rounded on their decimal form,
+so that exact ties fall the same way on both sides.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ def _spark(word: str) -> Column:
     elif form == "d":
         c = F.date_format(c, "yyyy-MM-dd")
     elif form[:1] == "r":
-        c = F.round(c.cast("double"), int(form[1:] or 6))
+        c = F.round(c.cast("double").cast("decimal(28,10)"), int(form[1:] or 6)).cast("double")
     elif form == "i":
         c = c.cast("long")
     elif form == "s":
@@ -39,7 +40,7 @@ def _sql(word: str) -> str:
     elif form == "d":
         c = f"strftime({c}, '%Y-%m-%d')"
     elif form[:1] == "r":
-        c = f"round(CAST({c} AS DOUBLE), {form[1:] or 6}) + 0.0::DOUBLE"
+        c = f"CAST(round(CAST(CAST({c} AS DOUBLE) AS DECIMAL(28,10)), {form[1:] or 6}) AS DOUBLE)"
     elif form == "i":
         c = f"CAST({c} AS BIGINT)"
     elif form == "s":

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "wattloom", cpus: int | str | None = None,
@@ -43,3 +43,14 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     if not base:
         base = tempfile.mkdtemp(prefix="wattloom-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
+
+
+def stage(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a table that several passes read, and read it back.
+
+    Unlike a cache it survives the loss of executors, cuts the lineage, and each pass reads only
+    the columns it needs.
+    """
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
