@@ -66,6 +66,14 @@ def _match_group(history: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([asked, found], axis=1)
 
 
+def _match_series(history: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    """Questions of one series, by hour and day type."""
+    known = dict(list(history.groupby(["h_hour", "h_type"])))
+    parts = [_match_group(known.get(key, history.iloc[:0]), part)
+             for key, part in asked.groupby(["_hour", "day_type"])]
+    return pd.concat(parts) if parts else _match_group(history, asked)
+
+
 def staff_match(asked: DataFrame, history: DataFrame, cfg: Settings = DEFAULT,
                 salts: int = 1) -> DataFrame:
     """Smallest staffing among earlier dates that produced at least the target.
@@ -73,24 +81,22 @@ def staff_match(asked: DataFrame, history: DataFrame, cfg: Settings = DEFAULT,
     Same series, hour and day type; valid staff; strictly earlier date; production >= target.
     Order: ceil(staff), production, newest. ``asked`` has (series, ts, day_type, target, …).
 
-    A history group has one row per day, so it is bounded by the calendar. Questions are not:
-    with ``salts`` > 1 they are spread over that many copies of the small history.
+    The history of a series has one row per hour, so a group is bounded by the calendar (8,784
+    rows a year). Questions are not: with ``salts`` > 1 they are spread over that many copies of
+    the history. Each question costs a binary search, not a scan of the history.
     """
-    keys = [cfg.series, "_hour", "day_type", "_salt"]
     hist = (history.filter(F.col("staff_valid") & finite("production"))
-            .select(cfg.series, F.hour(cfg.ts).alias("_hour"), "day_type",
-                    F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"),
+            .select(F.col(cfg.series).alias("h_series"), F.hour(cfg.ts).alias("h_hour"),
+                    F.col("day_type").alias("h_type"),
+                    F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("h_salt"),
                     F.col(cfg.ts).alias("ts"), F.col("production").cast("double"),
                     F.col("staff").cast("double")))
     ask = (asked.withColumn("_hour", F.hour(cfg.ts))
            .withColumn("_salt", (F.abs(F.xxhash64(cfg.ts, "target")) % salts).cast("int")))
     schema = T.StructType(list(ask.schema.fields) + MATCH_FIELDS)
 
-    def match(h: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
-        return _match_group(h, a)
-
-    return (hist.groupBy(*keys).cogroup(ask.groupBy(*keys))
-            .applyInPandas(match, schema).drop("_hour", "_salt"))
+    return (hist.groupBy("h_series", "h_salt").cogroup(ask.groupBy(cfg.series, "_salt"))
+            .applyInPandas(_match_series, schema).drop("_hour", "_salt"))
 
 
 def match_status(df: DataFrame) -> DataFrame:

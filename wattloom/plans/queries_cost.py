@@ -1 +1,244 @@
-"""Placeholder."""
+"""Tariff, wage, staffing and cost queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from wattloom.functions import fixed_values as fv
+from wattloom.operators import requests, staffing, tariff
+from wattloom.plans import fixtures as x
+from wattloom.plans.queries_raw import REQUESTS
+from wattloom.plans.registry import REGISTRY
+
+add = REGISTRY.add
+H = x.half_even_sql
+POINT = "o_orderkey:i ts:t"
+
+SEASON = ("CASE WHEN month(ts) IN (6, 7, 8) THEN 'summer' WHEN month(ts) IN (11, 12, 1, 2) THEN 'winter' "
+          "ELSE 'spring_autumn' END")
+BANDED = x.TARIFF + ",\n" + x.HOLIDAYS + ",\n" + x.BANDS + ",\n" + x.RATES + f""",
+seasoned AS (SELECT *, {SEASON} AS season, hour(ts) + minute(ts) / 60 + second(ts) / 3600 AS h,
+  CAST(ts AS DATE) IN (SELECT date FROM holidays) AS is_holiday FROM tariff),
+banded AS (SELECT s.*, b.band AS base_band, CASE WHEN isodow(ts) = 7 OR is_holiday THEN 'off'
+  WHEN isodow(ts) = 6 AND b.band = 'peak' THEN 'mid' ELSE b.band END AS band
+  FROM seasoned s JOIN bands b ON b.season = s.season AND s.h >= b.h_start AND s.h < b.h_end),
+priced AS (SELECT b.*, r.rate AS tariff_rate FROM banded b JOIN rates r ON r.season = b.season AND r.band = b.band)"""
+
+
+@add("i1_season", f"{POINT} season", BANDED, "SELECT * FROM seasoned")
+def i1(t):
+    return tariff.with_season(t.tariff)
+
+
+@add("i2_load_band", f"{POINT} season band", BANDED, "SELECT * REPLACE (base_band AS band) FROM banded")
+def i2(t):
+    return tariff.load_band(tariff.with_season(t.tariff), t.tariff_dims[1])
+
+
+@add("i3_band_override", f"{POINT} season band is_holiday", BANDED, "SELECT * FROM banded")
+def i3(t):
+    rows = tariff.load_band(tariff.with_season(t.tariff), t.tariff_dims[1])
+    return tariff.band_override(tariff.with_holiday(rows, t.holidays))
+
+
+def priced(t, override=None):
+    rates, bands = t.tariff_dims
+    return tariff.tariff_at(t.tariff, bands, rates, t.holidays, override)
+
+
+@add("i4_rate_lookup", f"{POINT} season band tariff_rate:r rate:r", BANDED, "SELECT *, tariff_rate AS rate FROM priced")
+def i4(t):
+    return priced(t)
+
+
+@add("i4_rate_override", "season band tariff_rate:r rate:r n:i", BANDED,
+     "SELECT season, band, tariff_rate, 120.5 AS rate, count(*) AS n FROM priced GROUP BY 1, 2, 3")
+def i4_override(t):
+    return priced(t, 120.5).groupBy("season", "band", "tariff_rate", "rate").agg(F.count(F.lit(1)).alias("n"))
+
+
+@add("i5_hour_wage", f"{POINT} night wage:r", x.TARIFF,
+     "SELECT *, hour(ts) >= 22 OR hour(ts) < 6 AS night, CASE WHEN hour(ts) >= 22 OR hour(ts) < 6 THEN 13080 ELSE 8720 "
+     "END AS wage FROM tariff")
+def i5(t):
+    return tariff.hour_wage(t.tariff)
+
+
+@add("i6_day_type", f"{POINT} day_type", BANDED,
+     "SELECT *, CASE WHEN isodow(ts) >= 6 OR is_holiday THEN 'off' ELSE 'work' END AS day_type FROM seasoned")
+def i6(t):
+    return tariff.day_type(tariff.with_holiday(t.tariff, t.holidays))
+
+
+# -- staffing ------------------------------------------------------------------------------
+
+HISTORY = x.CLEAN + ",\n" + x.HOLIDAYS + """,
+history AS (SELECT series_id, ts, production, staff, CASE WHEN isodow(ts) >= 6 OR CAST(ts AS DATE) IN
+    (SELECT date FROM holidays) THEN 'off' ELSE 'work' END AS day_type,
+  coalesce(isfinite(staff) AND staff >= 0 AND (production = 0 OR staff > 0), false) AS staff_valid FROM clean)"""
+MATCHED = HISTORY + """,
+pairs AS (SELECT a.series_id, a.ts, a.day_type, a.production AS target, h.ts AS ref_ts, h.production AS ref_production,
+    h.staff AS ref_staff, CAST(ceil(h.staff) AS BIGINT) AS staff_ref,
+    count(h.ts) OVER (PARTITION BY a.series_id, a.ts) AS matches,
+    row_number() OVER (PARTITION BY a.series_id, a.ts ORDER BY ceil(h.staff), h.production, h.ts DESC) AS rn
+  FROM history a LEFT JOIN history h ON h.series_id = a.series_id AND h.day_type = a.day_type AND hour(h.ts) = hour(a.ts)
+    AND h.ts < date_trunc('day', a.ts) AND h.staff_valid AND isfinite(h.production) AND h.production >= a.production),
+matched AS (SELECT *, CASE WHEN staff_ref IS NULL THEN 'insufficient_data' ELSE 'complete' END AS status
+  FROM pairs WHERE rn = 1)"""
+
+
+def history(t):
+    return staffing.staff_validity(tariff.day_type(tariff.with_holiday(t.clean, t.holidays)))
+
+
+def matched(t, salts: int = 1):
+    """Every hour asks for its own production: the replay of the whole history."""
+    rows = history(t)
+    asked = rows.select("series_id", "ts", "day_type", F.col("production").alias("target"))
+    return staffing.match_status(staffing.staff_match(asked, rows, salts=salts))
+
+
+@add("i7_staff_validity", "series_id ts:t staff:r staff_valid", HISTORY, "SELECT * FROM history")
+def i7(t):
+    return history(t)
+
+
+MATCH_WORDS = "series_id ts:t day_type target:r ref_ts:t ref_production:r ref_staff:r staff_ref:r"
+
+
+@add("i8_staff_match", MATCH_WORDS, MATCHED, "SELECT * FROM matched")
+def i8(t):
+    return matched(t)
+
+
+@add("i8_staff_match_salted", MATCH_WORDS, MATCHED, "SELECT * FROM matched")
+def i8_salted(t):
+    """The same with the questions of one hour spread over several tasks."""
+    return matched(t, salts=4)
+
+
+@add("i9_staff_match_status", "series_id ts:t matches:i status", MATCHED, "SELECT * FROM matched")
+def i9(t):
+    return matched(t)
+
+
+# -- cost ----------------------------------------------------------------------------------
+
+COSTED = BANDED + f""",
+staffed AS (SELECT *, kw AS prediction, 1 + o_orderkey % 40 AS staff_ref, (o_orderkey % 900) * 3 AS target,
+  CASE WHEN hour(ts) >= 22 OR hour(ts) < 6 THEN 13080.0::DOUBLE ELSE 8720.0::DOUBLE END AS wage FROM priced),
+parts AS (SELECT *, staff_ref * wage AS labor_, greatest(0, prediction) * tariff_rate AS energy_,
+  1444000.0::DOUBLE / (day(last_day(CAST(ts AS DATE))) * 24) AS base_ FROM staffed),
+costed AS (SELECT o_orderkey, ts, staff_ref, target, {H('labor_', 2)} AS labor, {H('energy_', 2)} AS energy,
+  {H('base_', 2)} AS base_allocated, {H('labor_ + energy_ + base_', 2)} AS total,
+  labor_ + energy_ + base_ AS raw_total FROM parts)"""
+
+
+def costed(t, raw: bool = False):
+    key = F.col("o_orderkey")
+    rows = tariff.hour_wage(priced(t)).withColumns({
+        "prediction": F.col("kw"), "staff_ref": 1 + key % 40, "target": (key % 900 * 3).cast("double")})
+    return staffing.interval_cost(rows, raw=raw)
+
+
+@add("i10_interval_cost", f"{POINT} labor:r2 energy:r2 base_allocated:r2 total:r2", COSTED, "SELECT * FROM costed")
+def i10(t):
+    return costed(t)
+
+
+@add("i10_interval_cost_raw", f"{POINT} total:r", COSTED, "SELECT * REPLACE (raw_total AS total) FROM costed")
+def i10_raw(t):
+    return costed(t, raw=True)
+
+
+@add("i11_economics", f"{POINT} profit:r2 remainder:r2", COSTED,
+     f"SELECT o_orderkey, ts, target * 150 AS profit, {H('target * 150.0::DOUBLE - total', 2)} AS remainder FROM costed")
+def i11(t):
+    return staffing.economics(costed(t))
+
+
+ISSUES = x.OBSERVED + """,
+asked AS (SELECT series_id, ts AS now, date_trunc('hour', ts + INTERVAL 15 MINUTES) AS hour FROM observed
+  WHERE split = 'test'),
+issued AS (SELECT a.*, count(f.ts) AS issues, max(f.prediction) AS prediction FROM asked a LEFT JOIN forecast f
+  ON f.series_id = a.series_id AND f.target_time = a.hour GROUP BY 1, 2, 3)"""
+
+
+def issued(t):
+    return staffing.issue_selection(t.observed.filter("split = 'test'"), t.forecast)
+
+
+@add("i12_issue_selection", "series_id now:t hour:t issues:i prediction:r ok", ISSUES,
+     "SELECT *, issues = 1 AS ok FROM issued")
+def i12(t):
+    return issued(t)
+
+
+@add("i13_replay_target", "series_id now:t hour:t rows:i target:r target_ok", ISSUES + x.CLEAN[len(x.DENSE):],
+     "SELECT i.series_id, i.now, i.hour, count(c.ts) AS rows, max(c.production) AS target, count(c.ts) = 1 AS target_ok "
+     "FROM issued i LEFT JOIN clean c ON c.series_id = i.series_id AND c.ts = i.hour GROUP BY 1, 2, 3")
+def i13(t):
+    return staffing.replay_target(issued(t), t.clean)
+
+
+SCENARIO = x.OBSERVED + ",\n" + REQUESTS + f""",
+dayno AS (SELECT series_id, day_key, row_number() OVER (PARTITION BY series_id ORDER BY day_key) - 1 AS dn FROM forecast
+  GROUP BY 1, 2),
+asked AS (SELECT r.*, 'M' || CAST(request_id // 2880 AS VARCHAR) AS series_id, request_id % 9 AS dn FROM requests r
+  WHERE production <= 100000 AND staff >= 0 AND hourly_wage <= 1000000 AND power_factor > 0),
+placed AS (SELECT series_id, day_key, prediction, row_number() OVER (PARTITION BY series_id, day_key ORDER BY ts) - 1
+  AS cursor FROM forecast),
+joined AS (SELECT a.*, p.prediction, greatest(0, p.prediction) * power_factor * 0.25::DOUBLE * energy_rate AS e
+  FROM asked a JOIN dayno d USING (series_id, dn) JOIN placed p ON p.series_id = a.series_id
+  AND p.day_key = d.day_key AND p.cursor = a.cursor)"""
+
+
+@add("i14_scenario_cost", "request_id:i prediction:r energy:r baseline_labor:r baseline_total:r scenario_labor:r "
+     "scenario_total:r", SCENARIO,
+     f"""SELECT request_id, prediction, {H('e', 0)} AS energy, {H('baseline_staff * hourly_wage * 0.25::DOUBLE', 0)}
+  AS baseline_labor, {H('e + baseline_staff * hourly_wage * 0.25::DOUBLE', 0)} AS baseline_total,
+  {H('staff * hourly_wage * 0.25::DOUBLE', 0)} AS scenario_labor,
+  {H('e + staff * hourly_wage * 0.25::DOUBLE', 0)} AS scenario_total FROM joined""")
+def i14(t):
+    from pyspark.sql import Window
+    rules = requests.SCENARIO
+    valid = requests.accepted(requests.validate_params(t.requests, rules))
+    key = F.col("request_id")
+    asked = valid.withColumn("series_id", F.concat(F.lit("M"), F.expr("request_id div 2880").cast("string"))
+                             ).withColumn("dn", key % 9)
+    days = (t.forecast.select("series_id", "day_key").distinct().withColumn(
+        "dn", F.row_number().over(Window.partitionBy("series_id").orderBy("day_key")) - 1))
+    return staffing.scenario_cost(asked.join(days, ["series_id", "dn"]), t.forecast)
+
+
+@add("i15_production_range", "series_id min_production:r max_production:r", x.OBSERVED,
+     "SELECT series_id, min(production) AS min_production, max(production) AS max_production FROM forecast GROUP BY 1")
+def i15(t):
+    return staffing.production_range(t.forecast, ["series_id"])
+
+
+# -- the whole staffing answer -------------------------------------------------------------
+
+@add("i_staffing_replay", "series_id hour:t band staff_ref:r matches:i status labor:r2 energy:r2 total:r2 remainder:r2",
+     MATCHED + x.OBSERVED[len(x.DENSE):] + ",\n" + x.BANDS + ",\n" + x.RATES + f""",
+made AS (SELECT series_id, target_time AS hour, prediction FROM forecast WHERE minute(target_time) = 0),
+base AS (SELECT m.*, g.prediction, m.ts AS hour_, {SEASON.replace('month(ts)', 'month(m.ts)')} AS season,
+  CAST(m.ts AS DATE) IN (SELECT date FROM holidays) AS hol FROM matched m JOIN made g ON g.series_id = m.series_id
+  AND g.hour = m.ts),
+wb AS (SELECT s.*, CASE WHEN isodow(ts) = 7 OR hol THEN 'off' WHEN isodow(ts) = 6 AND b.band = 'peak' THEN 'mid'
+  ELSE b.band END AS band FROM base s JOIN bands b ON b.season = s.season AND hour(ts) >= b.h_start
+  AND hour(ts) < b.h_end),
+wr AS (SELECT w.*, r.rate, CASE WHEN hour(ts) >= 22 OR hour(ts) < 6 THEN 13080.0::DOUBLE ELSE 8720.0::DOUBLE END AS wage,
+  1444000.0::DOUBLE / (day(last_day(CAST(ts AS DATE))) * 24) AS base_ FROM wb w JOIN rates r ON r.season = w.season
+  AND r.band = w.band),
+tot AS (SELECT *, {H('staff_ref * wage', 2)} AS labor, {H('greatest(0, prediction) * rate', 2)} AS energy,
+  {H('staff_ref * wage + greatest(0, prediction) * rate + base_', 2)} AS total FROM wr)""",
+     f"SELECT *, ts AS hour, {H('target * 150 - total', 2)} AS remainder FROM tot")
+def staffing_replay(t):
+    """Forecast of each full hour, its actual production as target, reference staff and cost."""
+    rates, bands = t.tariff_dims
+    made = t.forecast.filter(F.minute("target_time") == 0).select(
+        "series_id", F.col("target_time").alias("ts"), "prediction")
+    rows = matched(t).join(made, ["series_id", "ts"])
+    priced_rows = tariff.hour_wage(tariff.tariff_at(rows, bands, rates, t.holidays))
+    return staffing.economics(staffing.interval_cost(priced_rows)).withColumn("hour", F.col("ts"))
