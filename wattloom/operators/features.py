@@ -58,14 +58,17 @@ def catalogue(cfg: Settings = DEFAULT) -> dict[str, tuple[Expr, int, int]]:
     return cat
 
 
+def default_names(df: DataFrame, cfg: Settings = DEFAULT) -> list[str]:
+    """Catalogue features that the columns at hand allow."""
+    absent = {f"{c}_lag{cfg.per_hour}" for c in cfg.delayed if c not in df.columns}
+    return [n for n in catalogue(cfg) if n not in absent]
+
+
 def segment_features(df: DataFrame, names: Iterable[str] | None = None,
                      cfg: Settings = DEFAULT) -> DataFrame:
     """Add the named catalogue features (all that the columns allow by default)."""
     cat = catalogue(cfg)
-    delayed = {f"{c}_lag{cfg.per_hour}": c for c in cfg.delayed}
-    if names is None:
-        names = [n for n in cat if n not in delayed or delayed[n] in df.columns]
-    names = list(names)
+    names = default_names(df, cfg) if names is None else list(names)
     back = max(cat[n][1] for n in names)
     ahead = max(cat[n][2] for n in names)
     w = blocks.segment_window(cfg)
@@ -155,12 +158,15 @@ def attach_activity(df: DataFrame, days: DataFrame, cfg: Settings = DEFAULT) ->
 
     The day table is folded to one row per (series, block) holding a map of at most
     ``block_days`` entries. The rows are already partitioned by (series, block) after
-    ``segment_features``, so the join does not shuffle them again.
+    ``segment_features``, so the join does not shuffle them again. A ``boundary`` column of the
+    day table (one value per series) is carried along.
     """
+    carried = [c for c in ("boundary",) if c in days.columns]
     per_block = (days.withColumn("_ts", F.col("date").cast("timestamp"))
                  .groupBy(cfg.series, blocks.block_number("_ts", cfg.block_days).alias(blocks.BLOCK))
                  .agg(F.map_from_entries(F.collect_list(F.struct(
-                     "date", F.struct("days_since_active", "prev_day_active")))).alias("_days")))
+                     "date", F.struct("days_since_active", "prev_day_active")))).alias("_days"),
+                     *[F.max(c).alias(c) for c in carried]))
     own = blocks.block_number(cfg.ts, cfg.block_days)
     rows = df if blocks.BLOCK in df.columns else df.withColumn(blocks.BLOCK, own)
     found = F.try_element_at(F.col("_days"), F.to_date(cfg.ts))
@@ -177,13 +183,16 @@ def default_fill(df: DataFrame) -> DataFrame:
     })
 
 
-def all_features(df: DataFrame, holidays: DataFrame | None = None,
-                 cfg: Settings = DEFAULT) -> DataFrame:
-    """The whole feature table of one or many series."""
-    days = activity(day_active(daily_energy(df, cfg), cfg), cfg)
+def all_features(df: DataFrame, holidays: DataFrame | None = None, cfg: Settings = DEFAULT,
+                 days: DataFrame | None = None) -> DataFrame:
+    """The whole feature table of one or many series.
+
+    ``days`` is the day table of ``activity``; it is computed from the readings when not given.
+    """
+    if days is None:
+        days = activity(day_active(daily_energy(df, cfg), cfg), cfg)
     cat = catalogue(cfg)
-    names = [n for n in cat if not (n.endswith(f"_lag{cfg.per_hour}") and not n.startswith("kw")
-                                    and n[:-5] not in df.columns)]
+    names = default_names(df, cfg)
     back, ahead = max(cat[n][1] for n in names), max(cat[n][2] for n in names)
     w = blocks.segment_window(cfg)
     rows = (blocks.with_local_segments(df, cfg, back, ahead)

@@ -1,15 +1,15 @@
 """Detection of columns that are computed from the power columns or copied from the calendar.
 
 The verdict is about columns, so it is taken over the whole table of all series. The number of
-(column, candidate) pairs depends on the schema only. Each row yields one small array of
-differences (values x candidates); the rest is one partially aggregated group-by over pair numbers.
+(column, candidate) pairs depends on the schema only, so every result table here is small.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,57 +42,73 @@ def other_numeric(df: DataFrame, cfg: Settings = DEFAULT) -> list[str]:
 
 @dataclass(frozen=True)
 class Candidate:
+    """A value built from the power columns and at most one other column."""
     label: str
-    value: Column
-    partner: str | None
+    base: str
+    form: str = "plain"         # plain, ratio, inverse or product of partner and base
+    partner: str | None = None
 
-
-def _ratio(a: Column, b: Column) -> Column:
-    return a / F.nullif(b, F.lit(0.0))
+    def value(self, columns: dict[str, np.ndarray]) -> np.ndarray:
+        base = columns[self.base]
+        if self.form == "plain":
+            return base
+        other = columns[self.partner]
+        if self.form == "product":
+            return other * base
+        top, bottom = (other, base) if self.form == "ratio" else (base, other)
+        return top / np.where(bottom == 0, np.nan, bottom)
 
 
 def identity_candidates(others: list[str]) -> list[Candidate]:
     """The four aggregates, then ratio, inverse ratio and product with sum and mean per column."""
-    out = [Candidate("sum", F.col(SUM), None), Candidate("mean", F.col(MEAN), None),
-           Candidate("max", F.col(MAX), None), Candidate("min", F.col(MIN), None)]
+    out = [Candidate("sum", SUM), Candidate("mean", MEAN), Candidate("max", MAX),
+           Candidate("min", MIN)]
     for c in others:
-        v = F.col(c).cast("double")
-        for name, base in (("sum", F.col(SUM)), ("mean", F.col(MEAN))):
-            out += [Candidate(f"{c} / {name}", _ratio(v, base), c),
-                    Candidate(f"{name} / {c}", _ratio(base, v), c),
-                    Candidate(f"{c} * {name}", v * base, c)]
+        for name, base in (("sum", SUM), ("mean", MEAN)):
+            out += [Candidate(f"{c} / {name}", base, "ratio", c),
+                    Candidate(f"{name} / {c}", base, "inverse", c),
+                    Candidate(f"{c} * {name}", base, "product", c)]
     return out
 
 
 def match_rates(df: DataFrame, cfg: Settings = DEFAULT, others: list[str] | None = None) -> DataFrame:
     """For every pair: compared rows, share within tolerance, largest difference.
 
-    ``n`` rows of the pair are those where both values are present and finite.
+    ``n`` rows of the pair are those where both values are present and finite. Each Arrow batch is
+    reduced to one row per pair inside the task (hundreds of comparisons per row are much cheaper
+    on arrays than as expressions); only these partial counts are shuffled.
     """
     others = others or other_numeric(df, cfg)
     cands = identity_candidates(others)
-    width = len(cands)
-    own = [i * width + j for i, c in enumerate(others) for j, cand in enumerate(cands)
-           if cand.partner == c]
-    values = F.array(*[F.col(c).cast("double") for c in others])
-    diffs = F.flatten(F.transform("_values", lambda v: F.transform(
-        "_cands", lambda k: F.abs(v - k))))
-    rows = (power_aggregates(df, cfg)
-            .select(values.alias("_values"), F.array(*[c.value for c in cands]).alias("_cands"))
-            .select(F.posexplode(diffs).alias("pair", "diff"))
-            .filter(F.col("diff").isNotNull() & ~F.isnan("diff") & (F.col("diff") < math.inf)
-                    & ~F.col("pair").isin(*own)))
-    hit = F.when(F.col("diff") <= F.lit(cfg.derived_tol), 1).otherwise(0)
-    stats = rows.groupBy("pair").agg(F.count(F.lit(1)).alias("rows"),
-                                     (F.sum(hit) / F.count(F.lit(1))).alias("rate"),
-                                     F.max("diff").alias("max_diff"))
-    def name(words, at: Column) -> Column:
-        return F.element_at(F.array(*[F.lit(w).cast("string") for w in words]), at + 1)
-    order = F.col("pair") % width
-    return stats.select(name(others, F.expr(f"pair div {width}").cast("int")).alias("column"),
-                        order.alias("order"), name([c.label for c in cands], order).alias("candidate"),
-                        name([c.partner for c in cands], order).alias("partner"),
-                        "rows", "rate", "max_diff")
+    tol = cfg.derived_tol
+    columns = others + [SUM, MEAN, MAX, MIN]
+
+    def partial(batches):
+        for pdf in batches:
+            values = {c: pdf[c].to_numpy("float64", na_value=np.nan) for c in columns}
+            with np.errstate(all="ignore"):
+                table = np.stack([cand.value(values) for cand in cands])
+                for c in others:
+                    diff = np.abs(table - values[c])
+                    ok = np.isfinite(diff)
+                    yield pd.DataFrame({
+                        "column": c, "order": np.arange(len(cands)), "n": ok.sum(axis=1),
+                        "hits": (ok & (diff <= tol)).sum(axis=1),
+                        "worst": np.where(ok, diff, -1.0).max(axis=1, initial=-1.0)})
+
+    narrow = power_aggregates(df, cfg).select(*[F.col(c).cast("double") for c in columns])
+    parts = narrow.mapInPandas(partial, "column string, order long, n long, hits long, worst double")
+    names = [[c.label, c.partner or c.label, str(c.partner is not None)] for c in cands]
+    at = F.element_at(F.array(*[F.array(*[F.lit(w) for w in n]) for n in names]),
+                      (F.col("order") + 1).cast("int"))
+    stats = (parts.groupBy("column", "order").agg(
+        F.sum("n").alias("rows"), (F.sum("hits") / F.nullif(F.sum("n"), F.lit(0))).alias("rate"),
+        F.max("worst").alias("max_diff")).withColumn("_c", at))
+    partner = F.when(F.col("_c")[2] == "True", F.col("_c")[1])
+    return (stats.select("column", "order", F.col("_c")[0].alias("candidate"),
+                         partner.alias("partner"), "rows", "rate", "max_diff")
+            .filter((F.col("rows") > 0)
+                    & (F.col("partner").isNull() | (F.col("partner") != F.col("column")))))
 
 
 def first_hits(df: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:

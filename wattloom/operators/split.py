@@ -53,6 +53,23 @@ def fraction_boundary(df: DataFrame, fraction: float | None = None,
             .select(cfg.series, F.col("date_key").alias("boundary")))
 
 
+def boundary_on_days(days: DataFrame, fraction: float | None = None,
+                     cfg: Settings = DEFAULT) -> DataFrame:
+    """The same boundary as a column of a day table (one row per series and ``date``)."""
+    fraction = cfg.test_fraction if fraction is None else fraction
+    if not 0 < fraction < 1:
+        raise RuleViolation("the test fraction must lie between 0 and 1")
+    w = Window.partitionBy(cfg.series)
+    numbered = (days.withColumn("_i", F.row_number().over(w.orderBy("date")) - 1)
+                .withColumn("_n", F.count(F.lit(1)).over(w)))
+    at = F.when(F.col("_i") == F.floor(F.col("_n") * F.lit(1 - fraction)), date_key("date"))
+    return numbered.withColumn("boundary", F.max(at).over(w)).drop("_i", "_n")
+
+
+def label_by_boundary(df: DataFrame) -> DataFrame:
+    return df.withColumn("split", _label(F.col("boundary"))).drop("boundary")
+
+
 def split_by_fraction(df: DataFrame, fraction: float | None = None,
                       cfg: Settings = DEFAULT) -> DataFrame:
     """The boundary table has one row per series; Spark broadcasts it when it is small enough."""

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
+from collections import defaultdict
+from math import ceil
+from operator import itemgetter
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,52 +30,60 @@ MATCH_FIELDS = [
     T.StructField("ref_ts", T.TimestampType())]
 
 
-def _match_group(history: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-    """Answer all questions of one (series, hour, day type) in time order.
+class _Records:
+    """Earlier records of one (hour, day type).
 
     ``front`` keeps the records that can still win, sorted by production: a record is useless once
     another has at least its production and comes before it in the order (ceil of staff,
     production, newest first). The first one with enough production is the answer.
     """
+
+    def __init__(self) -> None:
+        self.seen: list[float] = []
+        self.front: list[tuple] = []     # (production, order key, staff, time)
+
+    def add(self, production: float, staff: float, ts: int) -> None:
+        insort(self.seen, production)
+        key = (ceil(staff), production, -ts)
+        front = self.front
+        i = bisect_left(front, production, key=itemgetter(0))
+        if i < len(front) and front[i][1] <= key:
+            return
+        j = bisect_right(front, production, key=itemgetter(0))
+        while i > 0 and front[i - 1][1] >= key:
+            i -= 1
+        front[i:j] = [(production, key, staff, ts)]
+
+    def best(self, target: float) -> tuple:
+        matches = len(self.seen) - bisect_left(self.seen, target) if target == target else 0
+        if not matches:
+            return 0, None, None, None, None
+        _, key, staff, ts = self.front[bisect_left(self.front, target, key=itemgetter(0))]
+        return matches, key[0], key[1], staff, ts
+
+
+def _match_series(history: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    """Answer the questions of one series in time order; a question sees earlier dates only."""
     history = history.sort_values("ts", kind="stable")
     asked = asked.sort_values("ts", kind="stable")
-    front: list[tuple] = []         # (production, (ceil staff, production, -time, staff))
-    seen: list[float] = []
-    days = history["ts"].dt.normalize().to_numpy()
-    records = list(zip(history["production"], np.ceil(history["staff"]),
-                       -history["ts"].astype("int64"), history["staff"], history["ts"]))
+    nanos = history["ts"].to_numpy("datetime64[us]").astype("int64")
+    known = list(zip(nanos.tolist(), zip(history["h_hour"], history["h_type"]),
+                     history["production"], history["staff"]))
+    days = asked["ts"].dt.normalize().to_numpy("datetime64[us]").astype("int64").tolist()
+    records: dict[tuple, _Records] = defaultdict(_Records)
     at, rows = 0, []
-    for day, want in zip(asked["ts"].dt.normalize().to_numpy(), asked["target"]):
-        while at < len(records) and days[at] < day:
-            p, ceil, neg, staff, ts = records[at]
-            insort(seen, p)
-            key = (ceil, p, neg, staff, ts)
-            i = bisect_left(front, p, key=lambda r: r[0])
-            if not any(r[1][:3] <= key[:3] for r in front[i:i + 1]):
-                j = bisect_right(front, p, key=lambda r: r[0])
-                k = i
-                while k > 0 and front[k - 1][1][:3] >= key[:3]:
-                    k -= 1
-                front[k:j] = [(p, key)]
+    for day, key, target in zip(days, zip(asked["_hour"], asked["day_type"]), asked["target"]):
+        while at < len(known) and known[at][0] < day:
+            ts, k, production, staff = known[at]
+            records[k].add(production, staff, ts)
             at += 1
-        n = len(seen) - bisect_left(seen, want) if want == want else 0
-        best = front[bisect_left(front, want, key=lambda r: r[0])][1] if n else None
-        rows.append((n, int(best[0]), best[1], best[3], best[4]) if best
-                    else (n, None, None, None, pd.NaT))
+        rows.append(records[key].best(target))
     found = pd.DataFrame(rows, columns=[f.name for f in MATCH_FIELDS], index=asked.index)
     found["staff_ref"] = found["staff_ref"].astype("Int64")
-    found["ref_ts"] = pd.to_datetime(found["ref_ts"])
+    found["ref_ts"] = pd.to_datetime(found["ref_ts"], unit="us")
     return pd.concat([asked, found], axis=1)
 
 
-def _match_series(history: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-    """Questions of one series, by hour and day type."""
-    known = dict(list(history.groupby(["h_hour", "h_type"])))
-    parts = [_match_group(known.get(key, history.iloc[:0]), part)
-             for key, part in asked.groupby(["_hour", "day_type"])]
-    return pd.concat(parts) if parts else _match_group(history, asked)
-
-
 def staff_match(asked: DataFrame, history: DataFrame, cfg: Settings = DEFAULT,
                 salts: int = 1) -> DataFrame:
     """Smallest staffing among earlier dates that produced at least the target.
@@ -160,7 +170,6 @@ def scenario_cost(requests: DataFrame, frame: DataFrame, cfg: Settings = DEFAULT
 
     ``requests`` name (series, day_key, cursor); positions are computed per day.
     """
-    from pyspark.sql import Window
     w = Window.partitionBy(cfg.series, "day_key").orderBy(cfg.ts)
     placed = frame.select(cfg.series, "day_key", cfg.ts, "prediction",
                           (F.row_number().over(w) - 1).cast("long").alias("cursor"))

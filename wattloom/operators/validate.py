@@ -261,12 +261,24 @@ def require_calendar_years(df: DataFrame, holidays: DataFrame, cfg: Settings = D
     return df
 
 
+def number_faults(df: DataFrame, columns, cfg: Settings = DEFAULT) -> DataFrame:
+    """One pass, one row: infinite values per column and rows with negative power."""
+    return df.agg(*[F.count_if(F.abs(F.col(c).cast("double")) == math.inf).alias(c)
+                    for c in columns],
+                  F.count_if(F.least(*cfg.power) < 0).alias("negative_power"))
+
+
 def ingest(raw: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
-    """Numeric check, NaN to null and the sign rule, in the order the rules demand."""
+    """Numeric check, rules that stop the run, and NaN to null.
+
+    The rules see all rows, also those whose date turns out to be unreadable.
+    """
     require_columns(raw, [cfg.series, "dt", "hr", *cfg.power])
     numeric = ["hr", *cfg.power, *[c for c in cfg.context if c in raw.columns]]
     df = strict_numeric(raw, [c for c in numeric
                               if isinstance(raw.schema[c].dataType, T.StringType)])
-    df = reject_negative_power(reject_infinite(df, numeric), cfg)
+    faults = {k: n for k, n in number_faults(df, numeric, cfg).first().asDict().items() if n}
+    if faults:
+        raise RuleViolation(f"infinite values or negative power: {faults}")
     doubles = [c for c in numeric if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))]
     return df.withColumns({c: nan_to_null(c) for c in doubles})

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from wattloom.config import DEFAULT, Settings
 from wattloom.operators import features, impute, leaks, reshape, split, validate
+from wattloom.session import stage
 
 
 def clean_hourly(raw: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
@@ -15,17 +16,26 @@ def clean_hourly(raw: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     return validate.build_hour_ts(validate.normalize_hour(good))
 
 
+def day_table(hourly: DataFrame, fraction: float | None, cfg: Settings = DEFAULT) -> DataFrame:
+    """Activity and split boundary per series and day; power is never imputed, so the cleaned
+    hours are enough for it."""
+    energy = features.daily_energy(reshape.to_15min(hourly, cfg=cfg), cfg)
+    days = features.activity(features.day_active(energy, cfg), cfg)
+    return split.boundary_on_days(days, fraction, cfg)
+
+
 def preprocess(raw: DataFrame, holidays: DataFrame | None = None, cfg: Settings = DEFAULT,
                fraction: float | None = None, boundary: int | None = None,
                drop: list[str] | None = None, strict: bool = True) -> DataFrame:
     """Full run. ``drop`` names leaking columns found before; None detects them here.
 
-    ``strict`` also runs the checks that stop the job (each is one extra pass over the raw rows).
-    The split is made before unlabelled rows go.
+    The cleaned hours are written once to the shared folder: the checks, the leak detection, the
+    imputation and the reshaping then each read only the columns they need. The feature table
+    itself stays lazy. The split is made before unlabelled rows go.
     """
     if strict:
         raw = validate.ingest(raw, cfg)
-    hourly = clean_hourly(raw, cfg)
+    hourly = stage(clean_hourly(raw, cfg), "clean-hours")
     if strict:
         validate.require_nonempty(hourly, "hourly table")
         validate.reject_duplicate_ts(hourly, cfg)
@@ -36,10 +46,9 @@ def preprocess(raw: DataFrame, holidays: DataFrame | None = None, cfg: Settings
     context = [c for c in cfg.context if c in hourly.columns and c not in drop]
     filled = impute.impute_past_median(hourly, context, cfg)
     long = reshape.to_15min(filled, context, cfg)
-    table = features.all_features(long, holidays, cfg)
+    table = features.all_features(long, holidays, cfg, day_table(hourly, fraction, cfg))
     if boundary is not None:
-        table = split.split_by_date(table, boundary, cfg)
+        table = split.split_by_date(table.drop("boundary"), boundary, cfg)
     else:
-        table = split.split_by_fraction(table, fraction, cfg)
+        table = split.label_by_boundary(table)
     return split.drop_unlabelled(table)
-
