@@ -157,19 +157,25 @@ def calendar_determined(df: DataFrame, columns=None, cfg: Settings = DEFAULT) ->
     distinct values. Missing values count as disagreement.
     """
     columns = columns or other_numeric(df, cfg)
+    n_keys = len(fv.CALENDAR_KEYS)
     cells = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.lit(o).alias("order"), F.lit(k).alias("key"),
-                 _calendar_key(k).alias("at"), F.col(c).cast("double").alias("value"))
-        for c in columns for o, k in enumerate(fv.CALENDAR_KEYS)])).alias("_c")).select("_c.*")
-    counted = cells.groupBy("column", "order", "key", "at", "value").agg(
-        F.count(F.lit(1)).alias("n"))
+        F.struct(F.lit(i * n_keys + o).alias("cell"), _calendar_key(k).alias("at"),
+                 F.col(c).cast("double").alias("value"))
+        for i, c in enumerate(columns) for o, k in enumerate(fv.CALENDAR_KEYS)])).alias("_c")).select("_c.*")
+    counted = cells.groupBy("cell", "at", "value").agg(F.count(F.lit(1)).alias("n"))
     present = F.col("value").isNotNull()
-    per_key = counted.groupBy("column", "order", "key", "at").agg(
+    per_key = counted.groupBy("cell", "at").agg(
         F.max(F.when(present, F.col("n"))).alias("mode_n"), F.sum("n").alias("n"),
         F.min("value").alias("lo"), F.max("value").alias("hi"))
-    return (per_key.groupBy("column", "order", "key")
-            .agg((F.coalesce(F.sum("mode_n"), F.lit(0)) / F.sum("n")).alias("agreement"),
-                 F.coalesce(F.min("lo") < F.max("hi"), F.lit(False)).alias("varies")))
+    shares = per_key.groupBy("cell").agg(
+        (F.coalesce(F.sum("mode_n"), F.lit(0)) / F.sum("n")).alias("agreement"),
+        F.coalesce(F.min("lo") < F.max("hi"), F.lit(False)).alias("varies"))
+    names = F.array(*[F.lit(c) for c in columns])
+    keys = F.array(*[F.lit(k) for k in fv.CALENDAR_KEYS])
+    order = F.col("cell") % n_keys
+    return shares.select(
+        F.element_at(names, F.expr(f"cast(cell div {n_keys} as int)") + 1).alias("column"),
+        order.alias("order"), F.element_at(keys, order + 1).alias("key"), "agreement", "varies")
 
 
 def calendar_hits(df: DataFrame, columns=None, cfg: Settings = DEFAULT) -> DataFrame:
