@@ -241,7 +241,7 @@ def test_asof_does_not_look_ahead(spark):
 def test_day_points_across_a_gap(spark):
     df = observed(spark, [1, 2, 3, 4, 5, 6]).filter(F.col("kw") != 3)
     got = [(r.time.minute, r.actual, r.predicted) for r in asof.day_points(df).orderBy("time").collect()]
-    assert got == [(0, 1, None), (15, 2, 1), (45, 4, None), (0, 5, 3), (15, None, 5)]
+    assert got == [(0, 1, None), (15, 2, 1), (45, 4, None), (0, 5, 4), (15, None, 5)]
 
 
 def test_newest_alerts_first_and_at_most_twenty(spark):

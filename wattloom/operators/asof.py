@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from wattloom.config import DEFAULT, Settings
 from wattloom.functions import fixed_values as fv
 from wattloom.functions.columns import half_even, plus_minutes
-from wattloom.operators.running import running_quantile
+from wattloom.operators.running import asof_quantile
 
 
 def forecast_frame(df: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
@@ -60,24 +60,27 @@ def error_margin(observed: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """p90 of the confirmed under-predictions of the year, or 5 % of the peak below 30 of them.
 
     Needs ``annual_peak``. An error belongs to the year of its target time and is known from that
-    time on, so each forecast row is laid out twice: once as a question at its own time, once as
-    an error at its target time. Group: one series-year.
+    time on. Group: one series-year; the last row of a year asks in one and tells in the next.
     """
-    rows = observed.filter(F.col("prediction").isNotNull())
-    target = plus_minutes(cfg.ts, cfg.step_min)
-    under = F.greatest(F.lit(0.0), F.col("y") - F.col("prediction"))
-    ask = F.struct(F.col(cfg.ts).alias("_at"), F.lit(1).alias("_kind"),
-                   F.lit(None).cast("double").alias("_under"))
-    tell = F.struct(target.alias("_at"), F.lit(0).alias("_kind"), under.alias("_under"))
-    laid = (rows.withColumn("_e", F.explode(F.array(ask, tell))).select("*", "_e.*").drop("_e")
-            .withColumn("_year", F.year("_at")).withColumn("_ask", F.col("_kind") == 1))
-    out = running_quantile(laid, [cfg.series, "_year"], ["_at", "_kind"], "_under",
-                           fv.ERROR_QUANTILE, "_p90", "error_samples", keep="_ask")
+    rows = (observed.filter(F.col("prediction").isNotNull())
+            .withColumn("_target", plus_minutes(cfg.ts, cfg.step_min))
+            .withColumn("_under", F.greatest(F.lit(0.0), F.col("y") - F.col("prediction"))))
+    asks, tells = F.col(cfg.ts), F.col("_target")
+    never = F.lit(None).cast("timestamp")
+
+    def role(year, ask, tell):
+        return F.struct(year.alias("_year"), ask.alias("_ask"), tell.alias("_tell"))
+
+    roles = F.when(F.year(asks) == F.year(tells), F.array(role(F.year(asks), asks, tells))).otherwise(
+        F.array(role(F.year(asks), asks, never), role(F.year(tells), never, tells)))
+    laid = rows.select("*", F.inline(roles)).drop("_target")
+    out = asof_quantile(laid, [cfg.series, "_year"], "_ask", "_tell", "_under",
+                        fv.ERROR_QUANTILE, "_p90", "error_samples")
     enough = F.col("error_samples") >= fv.MIN_ERROR_SAMPLES
     return (out.withColumn("error_margin", F.when(enough, F.col("_p90")).otherwise(
         F.col("annual_peak") * fv.FALLBACK_MARGIN_SHARE))
         .withColumn("basis", F.when(enough, "quantile").otherwise("peak_share"))
-        .drop("_at", "_kind", "_under", "_year", "_ask", "_p90"))
+        .drop("_ask", "_tell", "_under", "_year", "_p90"))
 
 
 def error_margin_sketch(observed: DataFrame, cfg: Settings = DEFAULT,

@@ -28,14 +28,19 @@ def block_number(ts: str, days: int, shift_sec: int = 0) -> Column:
 
 def with_halo(df: DataFrame, cfg: Settings = DEFAULT, before_steps: int = 0,
               after_steps: int = 0) -> DataFrame:
-    """Give every row its block and copy it into the blocks whose halo it belongs to."""
+    """Give every row its block and copy it into the blocks whose halo it belongs to.
+
+    The rows are then shuffled by (series, block) explicitly: a window would also accept rows that
+    are already together by series alone, and a long series would stay in one task.
+    """
     days = cfg.block_days
     own = block_number(cfg.ts, days)
     if not before_steps and not after_steps:
-        return df.withColumn(OWN, own).withColumn(BLOCK, own)
+        return df.withColumn(OWN, own).withColumn(BLOCK, own).repartition(cfg.series, BLOCK)
     first = block_number(cfg.ts, days, -after_steps * cfg.step_sec)
     last = block_number(cfg.ts, days, before_steps * cfg.step_sec)
-    return df.withColumn(OWN, own).withColumn(BLOCK, F.explode(F.sequence(first, last)))
+    return df.withColumn(OWN, own).withColumn(
+        BLOCK, F.explode(F.sequence(first, last))).repartition(cfg.series, BLOCK)
 
 
 def drop_halo(df: DataFrame) -> DataFrame:

@@ -31,38 +31,37 @@ def split_by_date(df: DataFrame, boundary: int | None = None, cfg: Settings = DE
     if boundary is not None:
         return df.withColumn("split", _label(F.lit(int(boundary))))
     by_year = F.create_map(*[F.lit(x) for kv in cfg.default_split.items() for x in kv])
-    years = df.groupBy(cfg.series).agg(F.min(F.year(cfg.ts)).alias("_y0"),
-                                       F.max(F.year(cfg.ts)).alias("_y1"))
-    bound = years.withColumn("_b", F.when(F.col("_y0") == F.col("_y1"),
-                                          F.try_element_at(by_year, F.col("_y0"))))
-    return (df.join(bound.select(cfg.series, "_b"), cfg.series)
-            .withColumn("split", F.when(F.col("_b").isNotNull(), _label(F.col("_b")))).drop("_b"))
+    w = Window.partitionBy(cfg.series)
+    year = F.floor(F.col("date_key") / 10000).cast("int")
+    one_year = F.min(year).over(w) == F.max(year).over(w)
+    days = (df.select(cfg.series, "date_key").distinct()
+            .withColumn("_b", F.when(one_year, F.try_element_at(by_year, F.min(year).over(w)))))
+    return _label_days(df, days.withColumn(
+        "split", F.when(F.col("_b").isNotNull(), _label(F.col("_b")))), cfg)
 
 
-def fraction_boundary(df: DataFrame, fraction: float | None = None,
-                      cfg: Settings = DEFAULT) -> DataFrame:
-    """Per series the day that starts the test part: distinct day number int(n * (1 - f))."""
-    fraction = cfg.test_fraction if fraction is None else fraction
-    if not 0 < fraction < 1:
-        raise RuleViolation("the test fraction must lie between 0 and 1")
-    w = Window.partitionBy(cfg.series)
-    return (df.select(cfg.series, "date_key").distinct()
-            .withColumn("_i", F.row_number().over(w.orderBy("date_key")) - 1)
-            .withColumn("_n", F.count(F.lit(1)).over(w))
-            .filter(F.col("_i") == F.floor(F.col("_n") * F.lit(1 - fraction)))
-            .select(cfg.series, F.col("date_key").alias("boundary")))
+def _label_days(df: DataFrame, days: DataFrame, cfg: Settings) -> DataFrame:
+    """Bring a label of the day table to the rows.
+
+    Joined by (series, day) and not by series: a series that holds a third of all rows is then
+    spread over as many tasks as it has days.
+    """
+    return df.join(days.select(cfg.series, "date_key", "split"), [cfg.series, "date_key"])
 
 
 def boundary_on_days(days: DataFrame, fraction: float | None = None,
                      cfg: Settings = DEFAULT) -> DataFrame:
-    """The same boundary as a column of a day table (one row per series and ``date``)."""
+    """Per series the day that starts the test part: distinct day number int(n * (1 - f)).
+
+    ``days`` has one row per series and ``date_key``; the boundary becomes a column of it.
+    """
     fraction = cfg.test_fraction if fraction is None else fraction
     if not 0 < fraction < 1:
         raise RuleViolation("the test fraction must lie between 0 and 1")
     w = Window.partitionBy(cfg.series)
-    numbered = (days.withColumn("_i", F.row_number().over(w.orderBy("date")) - 1)
+    numbered = (days.withColumn("_i", F.row_number().over(w.orderBy("date_key")) - 1)
                 .withColumn("_n", F.count(F.lit(1)).over(w)))
-    at = F.when(F.col("_i") == F.floor(F.col("_n") * F.lit(1 - fraction)), date_key("date"))
+    at = F.when(F.col("_i") == F.floor(F.col("_n") * F.lit(1 - fraction)), F.col("date_key"))
     return numbered.withColumn("boundary", F.max(at).over(w)).drop("_i", "_n")
 
 
@@ -72,9 +71,9 @@ def label_by_boundary(df: DataFrame) -> DataFrame:
 
 def split_by_fraction(df: DataFrame, fraction: float | None = None,
                       cfg: Settings = DEFAULT) -> DataFrame:
-    """The boundary table has one row per series; Spark broadcasts it when it is small enough."""
-    return (df.join(fraction_boundary(df, fraction, cfg), cfg.series)
-            .withColumn("split", _label(F.col("boundary"))).drop("boundary"))
+    """Split each series at its own boundary day."""
+    days = boundary_on_days(df.select(cfg.series, "date_key").distinct(), fraction, cfg)
+    return _label_days(df, label_by_boundary(days), cfg)
 
 
 def split_guard(df: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:

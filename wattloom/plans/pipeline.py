@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from wattloom.config import DEFAULT, Settings
+from wattloom.functions.columns import date_key
 from wattloom.operators import features, impute, leaks, reshape, split, validate
 from wattloom.session import stage
 
@@ -20,7 +21,8 @@ def day_table(hourly: DataFrame, fraction: float | None, cfg: Settings = DEFAULT
     """Activity and split boundary per series and day; power is never imputed, so the cleaned
     hours are enough for it."""
     energy = features.daily_energy(reshape.to_15min(hourly, cfg=cfg), cfg)
-    days = features.activity(features.day_active(energy, cfg), cfg)
+    days = features.activity(features.day_active(energy, cfg), cfg).withColumn(
+        "date_key", date_key("date"))
     return split.boundary_on_days(days, fraction, cfg)
 
 
