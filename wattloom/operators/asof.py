@@ -45,42 +45,61 @@ def replay_metrics(frame: DataFrame, keys) -> DataFrame:
 
 # -- threshold -----------------------------------------------------------------------------
 
-def annual_peak_to_date(observed: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
-    """Largest value of the calendar year so far, its first time, and the start of coverage."""
-    w = (Window.partitionBy(cfg.series, F.year(cfg.ts)).orderBy(cfg.ts)
+def _with_peak(df: DataFrame, counts: Column, cfg: Settings) -> DataFrame:
+    """Running peak over (series, _year); ``counts`` marks the rows that take part."""
+    w = (Window.partitionBy(cfg.series, "_year").orderBy(cfg.ts)
          .rowsBetween(Window.unboundedPreceding, 0))
-    top = F.max(F.when(F.col("kw").isNotNull(),
-                       F.struct(F.col("kw"), (-F.unix_micros(cfg.ts)).alias("t")))).over(w)
-    return (observed.withColumn("_top", top).withColumn("coverage_start", F.min(cfg.ts).over(w))
+    value = F.struct(F.col("kw"), (-F.unix_micros(cfg.ts)).alias("t"))
+    top = F.max(F.when(counts & F.col("kw").isNotNull(), value)).over(w)
+    start = F.min(F.when(counts, F.col(cfg.ts))).over(w)
+    return (df.withColumns({"_top": top, "coverage_start": start})
             .withColumn("annual_peak", F.col("_top.kw"))
             .withColumn("annual_peak_time", F.timestamp_micros(-F.col("_top.t"))).drop("_top"))
 
 
-def error_margin(observed: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
-    """p90 of the confirmed under-predictions of the year, or 5 % of the peak below 30 of them.
+def annual_peak_to_date(observed: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
+    """Largest value of the calendar year so far, its first time, and the start of coverage."""
+    return _with_peak(observed.withColumn("_year", F.year(cfg.ts)), F.lit(True), cfg).drop("_year")
+
 
-    Needs ``annual_peak``. An error belongs to the year of its target time and is known from that
-    time on. Group: one series-year; the last row of a year asks in one and tells in the next.
+def _by_year(observed: DataFrame, cfg: Settings) -> DataFrame:
+    """Lay every row out by calendar year, as question and as known error.
+
+    An error belongs to the year of its target time and is known from that time on. Only the last
+    row of a year appears twice: it asks in its own year and tells in the next.
     """
-    rows = (observed.filter(F.col("prediction").isNotNull())
-            .withColumn("_target", plus_minutes(cfg.ts, cfg.step_min))
-            .withColumn("_under", F.greatest(F.lit(0.0), F.col("y") - F.col("prediction"))))
-    asks, tells = F.col(cfg.ts), F.col("_target")
+    ts, target = F.col(cfg.ts), plus_minutes(cfg.ts, cfg.step_min)
+    made = F.col("prediction").isNotNull()
     never = F.lit(None).cast("timestamp")
 
-    def role(year, ask, tell):
-        return F.struct(year.alias("_year"), ask.alias("_ask"), tell.alias("_tell"))
+    def role(year: Column, ask: Column, tell: Column, own: bool) -> Column:
+        return F.struct(year.alias("_year"), F.when(made, ask).alias("_ask"),
+                        F.when(made, tell).alias("_tell"), F.lit(own).alias("_own"))
 
-    roles = F.when(F.year(asks) == F.year(tells), F.array(role(F.year(asks), asks, tells))).otherwise(
-        F.array(role(F.year(asks), asks, never), role(F.year(tells), never, tells)))
-    laid = rows.select("*", F.inline(roles)).drop("_target")
-    out = asof_quantile(laid, [cfg.series, "_year"], "_ask", "_tell", "_under",
-                        fv.ERROR_QUANTILE, "_p90", "error_samples")
+    here, there = F.year(ts), F.year(target)
+    roles = F.when(made & (here != there), F.array(
+        role(here, ts, never, True), role(there, never, target, False))).otherwise(
+        F.array(role(here, ts, target, True)))
+    under = F.greatest(F.lit(0.0), F.col("y") - F.col("prediction"))
+    return observed.select("*", under.alias("_under"), F.inline(roles))
+
+
+def _margin(laid: DataFrame, cfg: Settings) -> DataFrame:
+    out = asof_quantile(laid.filter(F.col("prediction").isNotNull()), [cfg.series, "_year"],
+                        "_ask", "_tell", "_under", fv.ERROR_QUANTILE, "_p90", "error_samples")
     enough = F.col("error_samples") >= fv.MIN_ERROR_SAMPLES
     return (out.withColumn("error_margin", F.when(enough, F.col("_p90")).otherwise(
         F.col("annual_peak") * fv.FALLBACK_MARGIN_SHARE))
         .withColumn("basis", F.when(enough, "quantile").otherwise("peak_share"))
-        .drop("_ask", "_tell", "_under", "_year", "_p90"))
+        .drop("_ask", "_tell", "_own", "_under", "_year", "_p90"))
+
+
+def error_margin(observed: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
+    """p90 of the confirmed under-predictions of the year, or 5 % of the peak below 30 of them.
+
+    Needs ``annual_peak``. Group: one series-year.
+    """
+    return _margin(_by_year(observed, cfg), cfg)
 
 
 def error_margin_sketch(observed: DataFrame, cfg: Settings = DEFAULT,
@@ -113,8 +132,9 @@ def alert_threshold(df: DataFrame, manual: float | None = None) -> DataFrame:
 
 def peak_recommendation(observed: DataFrame, manual: float | None = None,
                         cfg: Settings = DEFAULT) -> DataFrame:
-    """Peak, margin and threshold for every forecast row."""
-    return alert_threshold(error_margin(annual_peak_to_date(observed, cfg), cfg), manual)
+    """Peak, margin and threshold for every forecast row: one shuffle by (series, year)."""
+    laid = _with_peak(_by_year(observed, cfg), F.col("_own"), cfg)
+    return alert_threshold(_margin(laid, cfg), manual)
 
 
 # -- one day -------------------------------------------------------------------------------
