@@ -125,6 +125,13 @@ def test_missing_value_breaks_the_windows_of_the_labelled_axis(spark):
     assert index == list(range(95, 99)) + list(range(196, 299))
 
 
+def test_repeated_time_stops_the_window_check(spark):
+    from pyspark.errors import PySparkException
+    df = readings(spark, range(120))
+    with pytest.raises(PySparkException, match="repeated time"):
+        split.window_ok(df.unionByName(df.limit(1))).collect()
+
+
 def test_window_is_taken_before_rows_are_filtered(spark):
     table = split.drop_unlabelled(features.segment_features(readings(spark, range(400)), ["y"]))
     table = table.withColumn("extra", F.when(F.col("kw") % 10 != 0, 1.0))
@@ -287,6 +294,16 @@ def test_staff_match_equals_brute_force(spark, salts):
         assert got[(ts, kind, target)] == (len(found), math.ceil(best[3]) if best else None, best[0] if best else None)
 
 
+def test_scenario_keeps_requests_without_a_position(spark):
+    frame = observed(spark, [10, 20, 30])
+    ask = spark.createDataFrame([("A", "2021-03-01", c, 2, 1, 100.0, 3.0, 2.0) for c in (0, 1, 7)],
+                                "series_id string, day_key string, cursor long, staff int, baseline_staff int, "
+                                "hourly_wage double, energy_rate double, power_factor double")
+    got = staffing.scenario_cost(ask, frame).orderBy("cursor").collect()
+    assert [(r.found, r.energy, r.baseline_total, r.scenario_total) for r in got] == [
+        (True, 28.0, 54.0, 78.0), (True, 44.0, 68.0, 94.0), (False, None, None, None)]
+
+
 def test_money_is_rounded_half_to_even(spark):
     df = spark.createDataFrame([("A", datetime(2021, 2, 1), 1, 0.125, 0.0, 0.0)],
                                "series_id string, ts timestamp, staff_ref int, wage double, prediction double, rate double")

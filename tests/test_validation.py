@@ -11,7 +11,7 @@ from helpers import raw_hours
 from wattloom.config import Settings
 from wattloom.operators import impute, leaks, requests, reshape, validate
 from wattloom.operators.validate import RuleViolation
-from wattloom.plans import pipeline
+from wattloom.plans import preprocess
 from wattloom.sources import dimensions, raw, results
 
 
@@ -73,7 +73,7 @@ def test_hour_quality(spark):
 
 def test_bad_days_go_incomplete_days_stay(spark):
     rows = day("20210301") + day("20210302", range(23)) + day("20210303", range(70, 94))
-    clean = pipeline.clean_hourly(raw_hours(spark, rows))
+    clean = preprocess.clean_hourly(raw_hours(spark, rows))
     assert clean.count() == 47
     dated = validate.with_date(raw_hours(spark, rows))
     q = validate.hour_quality(dated)
@@ -83,24 +83,32 @@ def test_bad_days_go_incomplete_days_stay(spark):
 
 
 def test_duplicate_hours_are_an_error(spark):
-    hourly = pipeline.clean_hourly(raw_hours(spark, day("20210301")))
+    hourly = preprocess.clean_hourly(raw_hours(spark, day("20210301")))
     with pytest.raises(RuleViolation, match="2021-03-01"):
         validate.reject_duplicate_ts(hourly.unionByName(hourly))
 
 
 def test_gap_report_inside_and_between_days(spark):
     rows = day("20210301", [0, 1, 5]) + day("20210303", [2])
-    got = validate.gap_report(pipeline.clean_hourly(raw_hours(spark, rows))).orderBy("after").collect()
+    got = validate.gap_report(preprocess.clean_hourly(raw_hours(spark, rows))).orderBy("after").collect()
     assert [(r.before.hour, r.after.hour, r.missing) for r in got] == [(1, 5, 3), (5, 2, 44)]
 
 
+def test_reports_can_stop_the_run(spark):
+    hourly = preprocess.clean_hourly(raw_hours(spark, day("20210301")))
+    long = reshape.to_15min(hourly)
+    validate.require_ok(validate.expand_check(hourly, long), "reshape")
+    with pytest.raises(RuleViolation, match="reshape"):
+        validate.require_ok(validate.expand_check(hourly, long.unionByName(long.limit(1))), "reshape")
+
+
 def test_empty_table_is_an_error(spark):
     with pytest.raises(RuleViolation):
         validate.require_nonempty(raw_hours(spark, day("20210301")).limit(0))
 
 
 def test_unknown_year_is_an_error(spark):
-    hourly = pipeline.clean_hourly(raw_hours(spark, day("20300301")))
+    hourly = preprocess.clean_hourly(raw_hours(spark, day("20300301")))
     with pytest.raises(RuleViolation, match="2030"):
         validate.require_calendar_years(hourly, dimensions.load_holidays(spark))
 
@@ -144,6 +152,18 @@ def test_line_numbers_over_many_blocks(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_source_headers_and_columns_of_unknown_role(spark, tmp_path):
+    head = "날짜,시간,15분,30분,45분,60분,생산량,공장인원,note\n"
+    body = "".join(f"20210301,{h},{h},1,1,1,{h * 5},{h / 2},x{h}\n" for h in range(24))
+    (tmp_path / "k.csv").write_bytes(b"\xef\xbb\xbf" + (head + body).encode())
+    df = validate.ingest(raw.scan_raw(spark, str(tmp_path / "k.csv"), series="M"))
+    kinds = dict(df.dtypes)
+    assert kinds["staff"] == kinds["production"] == kinds["q1"] == "double" and kinds["note"] == "string"
+    hourly = preprocess.clean_hourly(df)
+    assert hourly.count() == 24 and hourly.filter("src_row <> hour + 2").count() == 0
+    assert "staff" in leaks.other_numeric(hourly) and "note" not in leaks.other_numeric(hourly)
+
+
 # -- leaks ---------------------------------------------------------------------------------
 
 def leak_table(spark, n=200, **columns):
@@ -219,7 +239,7 @@ def test_fill_uses_the_unfilled_past(spark):
 
 
 def test_first_column_starts_at_the_full_hour(spark):
-    hourly = pipeline.clean_hourly(raw_hours(spark, [("20210301", 5.0, 1.0, 2.0, 3.0, 4.0)]))
+    hourly = preprocess.clean_hourly(raw_hours(spark, [("20210301", 5.0, 1.0, 2.0, 3.0, 4.0)]))
     got = [(r.ts.hour, r.ts.minute, r.kw) for r in reshape.to_15min(hourly).orderBy("ts").collect()]
     assert got == [(5, 0, 1.0), (5, 15, 2.0), (5, 30, 3.0), (5, 45, 4.0)]
 

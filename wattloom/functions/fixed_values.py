@@ -39,6 +39,13 @@ FALLBACK_MARGIN_SHARE = 0.05
 ALERT_LIMIT = 20
 RECENT_VALUES = 8
 
+# --- fixed values: headers of the usual source file, and the names used here --------------
+SOURCE_COLUMNS = {
+    "날짜": "dt", "시간": "hr", "15분": "q1", "30분": "q2", "45분": "q3", "60분": "q4",
+    "평균": "mean4", "생산량": "production", "기온": "temp", "풍속": "wind", "습도": "humidity",
+    "강수량": "rain", "전기요금(계절)": "season_price", "공장인원": "staff", "인건비": "wage",
+}
+
 # --- fixed values: model inputs -----------------------------------------------------------
 TREE_FEATURES = (
     "kw_lag1", "kw_lag2", "kw_lag3", "kw_lag4", "kw_lag8", "kw_lag96", "lag16",

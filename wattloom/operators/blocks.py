@@ -51,18 +51,25 @@ def block_window(cfg: Settings = DEFAULT, *more: str) -> Window:
     return Window.partitionBy(cfg.series, BLOCK, *more).orderBy(cfg.ts)
 
 
-def starts_segment(cfg: Settings = DEFAULT) -> Column:
-    """1 where the step from the previous row is not exactly one interval."""
+def starts_segment(cfg: Settings = DEFAULT, strict: bool = False) -> Column:
+    """1 where the step from the previous row is not exactly one interval.
+
+    ``strict`` stops the job where a series has the same time twice.
+    """
     step = F.unix_micros(cfg.ts) - F.lag(F.unix_micros(cfg.ts)).over(block_window(cfg))
-    return F.when(step == F.lit(cfg.step_sec * 1_000_000), 0).otherwise(1)
+    new = F.when(step == F.lit(cfg.step_sec * 1_000_000), 0)
+    if strict:
+        where = F.concat_ws(" ", F.lit("repeated time:"), cfg.series, F.col(cfg.ts).cast("string"))
+        new = new.when(step == 0, F.raise_error(where).cast("int"))
+    return new.otherwise(1)
 
 
 def with_local_segments(df: DataFrame, cfg: Settings = DEFAULT, before_steps: int = 0,
-                        after_steps: int = 0) -> DataFrame:
+                        after_steps: int = 0, strict: bool = False) -> DataFrame:
     """Blocks with halo plus a segment number that is valid inside the block."""
     running = block_window(cfg).rowsBetween(Window.unboundedPreceding, 0)
     return (with_halo(df, cfg, before_steps, after_steps)
-            .withColumn("_new", starts_segment(cfg))
+            .withColumn("_new", starts_segment(cfg, strict))
             .withColumn(SEG, F.sum("_new").over(running)).drop("_new"))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,15 +48,13 @@ def impute_audit(before: DataFrame, after: DataFrame, columns,
     return both.withColumn("filled", F.col("missing") - F.col("left"))
 
 
-def train_medians(df: DataFrame, columns, cfg: Settings = DEFAULT) -> DataFrame:
+def train_medians(df: DataFrame, columns) -> dict[str, float]:
     """Per-column median of the training rows (approximate, one partially aggregated pass)."""
     train = df.filter(F.col("split") == "train")
-    return train.agg(*[F.percentile_approx(c, 0.5, 10000).alias(c) for c in columns])
+    row = train.agg(*[F.percentile_approx(c, 0.5, 10000).alias(c) for c in columns]).first()
+    return {c: v for c, v in row.asDict().items() if v is not None}
 
 
-def fill_with(df: DataFrame, one_row: DataFrame, columns) -> DataFrame:
-    """Fill from a one-row table (its size is fixed, so it is broadcast)."""
-    named = one_row.select(*[F.col(c).alias(f"_m_{c}") for c in columns])
-    joined = df.join(F.broadcast(named))
-    return reduce(lambda d, c: d.withColumn(c, F.coalesce(c, f"_m_{c}")).drop(f"_m_{c}"),
-                  columns, joined)
+def impute_train_median(df: DataFrame, columns) -> DataFrame:
+    """Fill all rows with what the training rows say."""
+    return df.fillna(train_medians(df, columns))

@@ -93,34 +93,32 @@ def match_rates(df: DataFrame, cfg: Settings = DEFAULT, others: list[str] | None
                     ok = np.isfinite(diff)
                     yield pd.DataFrame({
                         "column": c, "order": np.arange(len(cands)), "n": ok.sum(axis=1),
-                        "hits": (ok & (diff <= tol)).sum(axis=1),
+                        "hits": (ok & (diff <= tol)).sum(axis=1), "total": len(pdf),
                         "worst": np.where(ok, diff, -1.0).max(axis=1, initial=-1.0)})
 
     narrow = power_aggregates(df, cfg).select(*[F.col(c).cast("double") for c in columns])
-    parts = narrow.mapInPandas(partial, "column string, order long, n long, hits long, worst double")
+    parts = narrow.mapInPandas(partial, "column string, order long, n long, hits long, total long, worst double")
     names = [[c.label, c.partner or c.label, str(c.partner is not None)] for c in cands]
     at = F.element_at(F.array(*[F.array(*[F.lit(w) for w in n]) for n in names]),
                       (F.col("order") + 1).cast("int"))
     stats = (parts.groupBy("column", "order").agg(
         F.sum("n").alias("rows"), (F.sum("hits") / F.nullif(F.sum("n"), F.lit(0))).alias("rate"),
-        F.max("worst").alias("max_diff")).withColumn("_c", at))
+        F.max("worst").alias("max_diff"), F.sum("total").alias("total")).withColumn("_c", at))
     partner = F.when(F.col("_c")[2] == "True", F.col("_c")[1])
     return (stats.select("column", "order", F.col("_c")[0].alias("candidate"),
-                         partner.alias("partner"), "rows", "rate", "max_diff")
+                         partner.alias("partner"), "rows", "rate", "max_diff", "total")
             .filter((F.col("rows") > 0)
                     & (F.col("partner").isNull() | (F.col("partner") != F.col("column")))))
 
 
 def first_hits(df: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """Per column the first candidate that matches well enough on enough rows."""
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
     enough = F.col("rows") >= F.greatest(F.lit(float(fv.DERIVED_MIN_ROWS)),
-                                         F.col("_total") * fv.DERIVED_MIN_SHARE)
-    hits = (match_rates(df, cfg).join(F.broadcast(total))
-            .filter(enough & (F.col("rate") >= cfg.derived_share)))
+                                         F.col("total") * fv.DERIVED_MIN_SHARE)
+    hits = match_rates(df, cfg).filter(enough & (F.col("rate") >= cfg.derived_share))
     w = Window.partitionBy("column").orderBy("order")
     return (hits.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
-            .drop("_rn", "_total", "order"))
+            .drop("_rn", "total", "order"))
 
 
 def null_fingerprint(df: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:

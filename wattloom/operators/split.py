@@ -94,11 +94,11 @@ def window_ok(df: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """Flag rows whose last 96 rows are unbroken 15-minute steps with finite values.
 
     Meant for the labelled table, before other filters: a removed row breaks the windows that
-    need it.
+    need it. A repeated time stops the job.
     """
     n = cfg.window
     frame = blocks.segment_window(cfg).rowsBetween(-(n - 1), 0)
-    out = blocks.with_local_segments(df, cfg, before_steps=n - 1)
+    out = blocks.with_local_segments(df, cfg, before_steps=n - 1, strict=True)
     good = F.count(F.when(finite("kw"), 1)).over(frame) == n
     return blocks.drop_halo(out.withColumn("window_ok", good))
 
@@ -126,7 +126,7 @@ def window_vectors(df: DataFrame, cfg: Settings = DEFAULT, out: str = "window")
     frame = blocks.segment_window(cfg).rowsBetween(-(n - 1), 0)
     cut = F.transform(F.sequence(F.lit(0), F.lit(rows - 1)),
                       lambda i: F.slice("_flat", i * width + 1, F.lit(width)))
-    local = blocks.with_local_segments(df, cfg, before_steps=n - 1)
+    local = blocks.with_local_segments(df, cfg, before_steps=n - 1, strict=True)
     return (blocks.drop_halo(local
                              .withColumn("_n", F.count(F.when(finite("kw"), 1)).over(frame))
                              .withColumn("_flat", F.collect_list("kw").over(frame)))

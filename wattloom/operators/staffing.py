@@ -168,17 +168,19 @@ def replay_target(hours: DataFrame, history: DataFrame, cfg: Settings = DEFAULT)
 def scenario_cost(requests: DataFrame, frame: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """Baseline and scenario cost of 15 minutes. Production does not change the prediction.
 
-    ``requests`` name (series, day_key, cursor); positions are computed per day.
+    ``requests`` name (series, day_key, cursor). A request whose day or position does not exist
+    stays in the result with ``found`` false and without costs.
     """
     w = Window.partitionBy(cfg.series, "day_key").orderBy(cfg.ts)
     placed = frame.select(cfg.series, "day_key", cfg.ts, "prediction",
                           (F.row_number().over(w) - 1).cast("long").alias("cursor"))
-    joined = requests.join(placed, [cfg.series, "day_key", "cursor"])
-    energy = (F.greatest(F.lit(0.0), F.col("prediction")) * F.col("power_factor") * 0.25
-              * F.col("energy_rate"))
+    joined = (requests.join(placed, [cfg.series, "day_key", "cursor"], "left")
+              .withColumn("found", F.col("prediction").isNotNull()))
+    power = F.when(F.col("found"), F.greatest(F.lit(0.0), F.col("prediction")))
+    energy = power * F.col("power_factor") * 0.25 * F.col("energy_rate")
     out = {"energy": half_even(energy, 0)}
     for name, n in (("baseline", "baseline_staff"), ("scenario", "staff")):
-        labor = F.col(n) * F.col("hourly_wage") * 0.25
+        labor = F.when(F.col("found"), F.col(n) * F.col("hourly_wage") * 0.25)
         out[f"{name}_labor"] = half_even(labor, 0)
         out[f"{name}_total"] = half_even(energy + labor, 0)
     return joined.withColumns(out)

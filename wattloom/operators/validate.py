@@ -268,17 +268,39 @@ def number_faults(df: DataFrame, columns, cfg: Settings = DEFAULT) -> DataFrame:
                   F.count_if(F.least(*cfg.power) < 0).alias("negative_power"))
 
 
+def numeric_texts(df: DataFrame, columns) -> list[str]:
+    """Text columns that hold numbers only (and at least one)."""
+    if not columns:
+        return []
+    def form(c: str) -> Column:
+        text = F.nullif(F.trim(F.col(c)), F.lit(""))
+        number = text.try_cast("double")
+        return (F.coalesce(F.bool_and(number.isNotNull() | text.isNull()), F.lit(False))
+                & (F.count(number) > 0)).alias(c)
+    row = df.agg(*[form(c) for c in columns]).first()
+    return [c for c in columns if row[c]]
+
+
 def ingest(raw: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """Numeric check, rules that stop the run, and NaN to null.
 
-    The rules see all rows, also those whose date turns out to be unreadable.
+    The rules see all rows, also those whose date turns out to be unreadable. Columns of unknown
+    role become numbers when all their texts are numbers; the leak detection judges them.
     """
     require_columns(raw, [cfg.series, "dt", "hr", *cfg.power])
     numeric = ["hr", *cfg.power, *[c for c in cfg.context if c in raw.columns]]
-    df = strict_numeric(raw, [c for c in numeric
-                              if isinstance(raw.schema[c].dataType, T.StringType)])
+    texts = [f.name for f in raw.schema.fields if isinstance(f.dataType, T.StringType)]
+    unknown = [c for c in texts if c not in (*numeric, cfg.series, "dt", "src_file")]
+    df = strict_numeric(raw, [c for c in texts if c in numeric] + numeric_texts(raw, unknown))
     faults = {k: n for k, n in number_faults(df, numeric, cfg).first().asDict().items() if n}
     if faults:
         raise RuleViolation(f"infinite values or negative power: {faults}")
-    doubles = [c for c in numeric if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))]
+    doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
     return df.withColumns({c: nan_to_null(c) for c in doubles})
+
+
+def require_ok(report: DataFrame, what: str) -> None:
+    """Raise when a report with an ``ok`` column holds a row that is not ok."""
+    bad = report.filter(~F.col("ok")).limit(5).collect()
+    if bad:
+        raise RuleViolation(f"{what}: {[r.asDict() for r in bad]}")

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from wattloom.functions import fixed_values as fv
 from wattloom.functions.columns import date_key, plus_minutes
 from wattloom.operators import features, split
-from wattloom.plans import pipeline
+from wattloom.plans import preprocess
 from wattloom.session import pin
 from wattloom.sources.dimensions import load_holidays, load_tariff
 
@@ -102,7 +102,7 @@ class Fixtures:
     @cached_property
     def clean(self) -> DataFrame:
         """Hourly rows after the date and hour rules."""
-        return pipeline.clean_hourly(self.hourly)
+        return preprocess.clean_hourly(self.hourly)
 
     @cached_property
     def tariff(self) -> DataFrame:

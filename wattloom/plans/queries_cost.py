@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wattloom.functions import fixed_values as fv
@@ -188,27 +189,26 @@ asked AS (SELECT r.*, 'M' || CAST(request_id // 2880 AS VARCHAR) AS series_id, r
   WHERE production <= 100000 AND staff >= 0 AND hourly_wage <= 1000000 AND power_factor > 0),
 placed AS (SELECT series_id, day_key, prediction, row_number() OVER (PARTITION BY series_id, day_key ORDER BY ts) - 1
   AS cursor FROM forecast),
-joined AS (SELECT a.*, p.prediction, greatest(0, p.prediction) * power_factor * 0.25::DOUBLE * energy_rate AS e
-  FROM asked a JOIN dayno d USING (series_id, dn) JOIN placed p ON p.series_id = a.series_id
+joined AS (SELECT a.*, p.prediction, p.prediction IS NOT NULL AS found, CASE WHEN p.prediction IS NOT NULL THEN
+    greatest(0, p.prediction) * power_factor * 0.25::DOUBLE * energy_rate END AS e,
+    CASE WHEN p.prediction IS NOT NULL THEN baseline_staff * hourly_wage * 0.25::DOUBLE END AS lb,
+    CASE WHEN p.prediction IS NOT NULL THEN staff * hourly_wage * 0.25::DOUBLE END AS ls
+  FROM asked a LEFT JOIN dayno d USING (series_id, dn) LEFT JOIN placed p ON p.series_id = a.series_id
   AND p.day_key = d.day_key AND p.cursor = a.cursor)"""
 
 
-@add("i14_scenario_cost", "request_id:i prediction:r energy:r baseline_labor:r baseline_total:r scenario_labor:r "
+@add("i14_scenario_cost", "request_id:i found prediction:r energy:r baseline_labor:r baseline_total:r scenario_labor:r "
      "scenario_total:r", SCENARIO,
-     f"""SELECT request_id, prediction, {H('e', 0)} AS energy, {H('baseline_staff * hourly_wage * 0.25::DOUBLE', 0)}
-  AS baseline_labor, {H('e + baseline_staff * hourly_wage * 0.25::DOUBLE', 0)} AS baseline_total,
-  {H('staff * hourly_wage * 0.25::DOUBLE', 0)} AS scenario_labor,
-  {H('e + staff * hourly_wage * 0.25::DOUBLE', 0)} AS scenario_total FROM joined""")
+     f"""SELECT request_id, found, prediction, {H('e', 0)} AS energy, {H('lb', 0)} AS baseline_labor,
+  {H('e + lb', 0)} AS baseline_total, {H('ls', 0)} AS scenario_labor, {H('e + ls', 0)} AS scenario_total FROM joined""")
 def i14(t):
-    from pyspark.sql import Window
-    rules = requests.SCENARIO
-    valid = requests.accepted(requests.validate_params(t.requests, rules))
+    valid = requests.accepted(requests.validate_params(t.requests, requests.SCENARIO))
     key = F.col("request_id")
     asked = valid.withColumn("series_id", F.concat(F.lit("M"), F.expr("request_id div 2880").cast("string"))
                              ).withColumn("dn", key % 9)
     days = (t.forecast.select("series_id", "day_key").distinct().withColumn(
         "dn", F.row_number().over(Window.partitionBy("series_id").orderBy("day_key")) - 1))
-    return staffing.scenario_cost(asked.join(days, ["series_id", "dn"]), t.forecast)
+    return staffing.scenario_cost(asked.join(days, ["series_id", "dn"], "left"), t.forecast)
 
 
 @add("i15_production_range", "series_id min_production:r max_production:r", x.OBSERVED,

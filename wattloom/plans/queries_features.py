@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wattloom.functions import fixed_values as fv
 from wattloom.operators import features, impute, leaks, reshape, split
 from wattloom.plans import fixtures as x
-from wattloom.plans import pipeline
+from wattloom.plans import preprocess
 from wattloom.plans.queries_raw import DROPS, LONG, filled_sql
 from wattloom.plans.registry import REGISTRY
 
@@ -203,7 +203,7 @@ table_ AS (SELECT s.*, {SEGMENT_SQL}, {CALENDAR_SQL},
      "AND k.date = CAST(p.ts AS DATE) WHERE y IS NOT NULL")
 def flagship(t):
     """Raw hourly rows with planted defects to the labelled feature table, leaks found on the way."""
-    return pipeline.preprocess(t.hourly, t.holidays)
+    return preprocess.preprocess(t.hourly, t.holidays)
 
 
 @add("f_all_features", TABLE_WORDS.replace(" split", "") + " rain_lag4:r", x.SEG + ",\n" + activity_ctes("dense") + ",\n"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from wattloom.operators import features, impute, leaks, requests, reshape, split, validate
 from wattloom.plans import fixtures as x
-from wattloom.plans import pipeline
+from wattloom.plans import preprocess
 from wattloom.plans.registry import REGISTRY
 from wattloom.session import shared_folder
 from wattloom.sources import dimensions, raw, results
@@ -516,7 +516,7 @@ def d1_audit(t):
 @add("d2_impute_train_median", "n_rows:i still_missing:i")
 def d2(t):
     rows = t.observed
-    out = impute.fill_with(rows, impute.train_medians(rows, ["temp", "humidity"]), ["temp", "humidity"])
+    out = impute.impute_train_median(rows, ["temp", "humidity"])
     return out.agg(F.count(F.lit(1)).alias("n_rows"),
                    F.count_if(F.col("temp").isNull() | F.col("humidity").isNull()).alias("still_missing"))
 

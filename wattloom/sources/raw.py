@@ -6,24 +6,28 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wattloom.config import DEFAULT, Settings
+from wattloom.functions import fixed_values as fv
 from wattloom.operators.validate import require_columns
 
-RAW_SCHEMA = ("series_id string, dt string, hr string, q1 string, q2 string, q3 string, q4 string,"
-              " production string, temp string, wind string, humidity string, rain string")
 FEATURE_COLUMNS = ("series_id", "ts", "date_key", "split", "kw", "y")
 
 
-def scan_raw(spark: SparkSession, path: str, schema: str = RAW_SCHEMA,
-             number_rows: bool = True) -> DataFrame:
+def scan_raw(spark: SparkSession, path: str, series: str | None = None,
+             columns: dict[str, str] | None = None, number_rows: bool = True) -> DataFrame:
     """CSV with header, UTF-8 with or without byte-order mark, all columns as text.
 
+    ``columns`` maps headers of the file to the names used here (the usual ones by default);
+    other headers keep their name. ``series`` names the meter where the file has no ``series_id``.
+
     ``src_row`` is the line number inside its file, counting the header as line 1. Large files are
     read in blocks: the rows of each block are counted once, the counts of earlier blocks of the
     same file are added up, and each row adds its place inside its block. The block table has one
     row per 128 MB, so the numbering needs no shuffle of the rows and no single ordered task.
     """
-    text = (spark.read.schema(schema).option("header", True).option("enforceSchema", False)
-            .csv(path))
+    text = (spark.read.option("header", True).csv(path)
+            .withColumnsRenamed(fv.SOURCE_COLUMNS if columns is None else columns))
+    if series is not None:
+        text = text.withColumn("series_id", F.lit(series))
     if not number_rows:
         return text
     rows = (text.withColumn("src_file", F.col("_metadata.file_path"))

@@ -62,7 +62,8 @@ def audit_step(run_id: str, step: str, metrics: DataFrame, details: DataFrame |
     few = (details.select(F.col("item").cast("string"), F.col("value").cast("string"))
            .orderBy("item").limit(limit)
            .agg(F.array_sort(F.collect_list(F.struct("item", "value"))).alias("details")))
-    return row.join(F.broadcast(few))
+    return row.join(few.withColumn("step", F.lit(step)), "step", "left").select(
+        "run_id", "step", "metrics", "details")
 
 
 def write_audit(steps: list[DataFrame], path: str) -> None:
