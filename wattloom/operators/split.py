@@ -140,6 +140,7 @@ def forward_folds(df: DataFrame, folds: int | None = None, days: int | None = No
     """Per series the last months of the training part that leave room for a whole fold.
 
     A fold is ``[lo, hi)`` in date keys and starts on the first of a month present in train.
+    ``fold_no`` counts from the newest fold (1).
     """
     folds = folds or cfg.forward_folds
     days = days or cfg.fold_days
@@ -153,7 +154,7 @@ def forward_folds(df: DataFrame, folds: int | None = None, days: int | None = No
             .withColumn("_rn", F.row_number().over(w.orderBy(F.desc("first"))))
             .filter(F.col("_rn") <= folds)
             .select(cfg.series, date_key("first").alias("lo"), date_key(stop).alias("hi"),
-                    date_key("first").cast("string").alias("fold")))
+                    date_key("first").cast("string").alias("fold"), F.col("_rn").alias("fold_no")))
 
 
 def eval_jobs(df: DataFrame, folds: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
@@ -161,7 +162,7 @@ def eval_jobs(df: DataFrame, folds: DataFrame, cfg: Settings = DEFAULT) -> DataF
     test = (df.filter(F.col("split") == "test").groupBy(cfg.series)
             .agg(F.min("date_key").alias("lo"))
             .select(cfg.series, "lo", F.lit(None).cast("int").alias("hi"),
-                    F.lit("test").alias("fold")))
+                    F.lit("test").alias("fold"), F.lit(0).alias("fold_no")))
     return folds.unionByName(test)
 
 

@@ -161,7 +161,7 @@ class Fixtures:
         return self.table("orders").select(
             F.col("o_orderkey").alias("request_id"), (c % 120).alias("cursor"),
             (F.col("o_totalprice") / 4).alias("production"), (c % 60 - 3).alias("staff"),
-            (F.col("o_totalprice") * 3).alias("hourly_wage"), (c % 200).cast("double").alias("energy_rate"),
+            (F.floor("o_totalprice") * 3).cast("double").alias("hourly_wage"), (c % 200).cast("double").alias("energy_rate"),
             (c % 7).cast("double").alias("power_factor"), (c % 50).alias("baseline_staff"),
             F.when(c % 3 == 0, F.col("o_totalprice")).alias("planned_production"),
             F.when(c % 5 != 0, c % 300 - 10).cast("double").alias("unit_price"),

@@ -308,7 +308,7 @@ def b17(t):
 
 
 REQUESTS = """requests AS (SELECT o_orderkey AS request_id, o_custkey % 120 AS cursor, o_totalprice / 4 AS production,
-  o_custkey % 60 - 3 AS staff, o_totalprice * 3 AS hourly_wage, CAST(o_custkey % 200 AS DOUBLE) AS energy_rate,
+  o_custkey % 60 - 3 AS staff, floor(o_totalprice) * 3 AS hourly_wage, CAST(o_custkey % 200 AS DOUBLE) AS energy_rate,
   CAST(o_custkey % 7 AS DOUBLE) AS power_factor, o_custkey % 50 AS baseline_staff,
   CASE WHEN o_custkey % 3 = 0 THEN o_totalprice END AS planned_production,
   CASE WHEN o_custkey % 5 <> 0 THEN CAST(o_custkey % 300 - 10 AS DOUBLE) END AS unit_price,

@@ -19,7 +19,7 @@ add = REGISTRY.add
 
 
 def events(t):
-    return readings.stream_readings(t.spark, t.dir, pattern="events.parquet")
+    return readings.stream_readings(t.spark, f"{t.dir}/events.parquet*")
 
 
 def replay(t, df, purpose: str, files: int | None = None, per_batch: int | None = None):

@@ -16,13 +16,16 @@ EVENT_SCHEMA = ("event_id long, ts timestamp_ntz, user_id long, event_type strin
                 "props string")
 
 
-def stream_readings(spark: SparkSession, folder: str, schema: str = EVENT_SCHEMA,
-                    pattern: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
-    """File stream with an explicit schema; event time as a zoned timestamp."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+def stream_readings(spark: SparkSession, path: str, schema: str = EVENT_SCHEMA,
+                    files_per_batch: int | None = None) -> DataFrame:
+    """File stream with an explicit schema; event time as a zoned timestamp.
+
+    ``path`` is a folder or a pattern; a single file needs a pattern, too.
+    """
+    reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    return reader.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def as_readings(events: DataFrame) -> DataFrame:
