@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from wattloom.functions import fixed_values as fv
 from wattloom.operators import requests, staffing, tariff
 from wattloom.plans import fixtures as x
 from wattloom.plans.queries_raw import REQUESTS

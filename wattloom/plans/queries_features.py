@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wattloom.functions import fixed_values as fv
-from wattloom.operators import features, impute, leaks, reshape, split
+from wattloom.operators import features, reshape, split
 from wattloom.plans import fixtures as x
 from wattloom.plans import preprocess
 from wattloom.plans.queries_raw import DROPS, LONG, filled_sql

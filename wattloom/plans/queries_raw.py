@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from wattloom.operators import features, impute, leaks, requests, reshape, split, validate
 from wattloom.plans import fixtures as x
-from wattloom.plans import preprocess
 from wattloom.plans.registry import REGISTRY
 from wattloom.session import shared_folder
 from wattloom.sources import dimensions, raw, results

@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from wattloom.config import DEFAULT, Settings
 from wattloom.functions import fixed_values as fv
