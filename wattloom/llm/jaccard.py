@@ -11,9 +11,9 @@
 4. Inside a group, pairs must also pass the prefixes of the other orders (bit masks, lossless), the length
    filter and a parity mask: two sets differ in at least as many shingles as their masks differ in bits.
    The candidates that are left are verified on the full sets.
-5. Only links between nodes that are not connected yet matter. Round 1 looks at a few tokens of each node,
-   round 2 at all tokens, each taking a spanning forest of the candidates; round 3 takes every candidate
-   between different components, so no link that would join two components is missed.
+5. Only links between nodes that are not connected yet matter. Two rounds look at a few tokens of each node and
+   take a spanning forest of their candidates; the third takes every candidate between different components
+   over all tokens, so no link that would join two components is missed.
 
 A null, empty or blank text has an empty set and links with nothing; its component is its own doc_id. Rows
 with a null doc_id take part, but a component's id is the smallest id that is not null. Rows with one doc_id
@@ -28,17 +28,17 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wattloom.llm.bpe import Cache
 from wattloom.llm.common import arrow_schema, columns_of
 from wattloom.session import stage
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5           # similarity 4/5
 COUNTERS, SLICE = 1 << 20, 1 << 12
 BLOCK = 1_500                                     # nodes of a frequent token in one block
-FEW_TOKENS = 3                                    # tokens of a node in round 1
-MASK_WORDS = 8                                    # 64-bit words of a mask
+FEW_TOKENS = 4                                    # tokens of a node in rounds 1 and 2
+MASK_WORDS, ORDER_WORDS = 8, 4                    # 64-bit words of the parity mask and of those of the orders
 SCHEMA = "doc_id bigint, n_shingles bigint, component_id bigint"
 
 # odd multipliers of the positions in a shingle and of the two further orders
@@ -47,10 +47,22 @@ _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0
 _ORDERS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
+_BYTES = np.random.default_rng(11).integers(0, 1 << 64, 256, np.uint64) | np.uint64(1)
+_BASE = 0x9FB21C651E98DF25
+_BREAK = np.zeros(256, bool)
+_BREAK[[32, *range(9, 14)]] = True
+PIECE = 1 << 22                                   # bytes of text hashed at a time
+
+
 @lru_cache(maxsize=1)
-def _word_hashes() -> Cache:
-    import xxhash
-    return Cache(xxhash.xxh3_64_intdigest, 200_000)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        p = np.full(n, base, np.uint64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    return tuple(out)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -58,19 +70,51 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the 5-word shingles."""
-    words = text.encode("utf-8", "replace").lower().split() if text else []
-    n = len(words)
-    if not n:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_word_hashes().__getitem__, words), np.uint64, n)
-    if n < WORDS:
-        return mix((h * _STEPS[:n]).sum(keepdims=True) + np.uint64(n))
-    total = h[:n - WORDS + 1] * _STEPS[0]
-    for k in range(1, WORDS):
-        total = total + h[k:n - WORDS + 1 + k] * _STEPS[k]
-    return np.unique(mix(total))
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of each word: sums of byte values times powers of a base, moved to the start of the word."""
+    x = np.frombuffer(raw, np.uint8)
+    inside = ~_BREAK[x]
+    edge = np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    up, down = _powers(1 << max(22, (len(x) + 1).bit_length()))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[x] * up[:len(x)])))
+    return starts, mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the 5-word shingles of each text."""
+    raws = [t.encode("utf-8", "replace").lower() if t else b"" for t in texts]
+    out: list[np.ndarray] = []
+    at = 0
+    while at < len(raws):
+        end, size = at, 0
+        while end < len(raws) and (end == at or size + len(raws[end]) < PIECE):
+            size += len(raws[end]) + 1
+            end += 1
+        starts, h = word_hashes(b" ".join(raws[at:end]))
+        cuts = np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in raws[at:end])])).tolist()
+        grams = h[:max(0, len(h) - WORDS + 1)] * _STEPS[0]
+        for k in range(1, WORDS):
+            grams += h[k:len(grams) + k] * _STEPS[k]
+        grams = mix(grams)
+        for lo, hi in zip(cuts, cuts[1:]):
+            if hi - lo >= WORDS:
+                s = np.sort(grams[lo:hi - WORDS + 1])
+                out.append(s[np.concatenate((_TRUE, s[1:] != s[:-1]))])
+            else:
+                n = hi - lo
+                out.append(mix((h[lo:hi] * _STEPS[:n]).sum(keepdims=True) + np.uint64(n)) if n else np.empty(0, np.uint64))
+        at = end
+    return out
+
+
+_TRUE = np.ones(1, bool)
+
+
+def node_of(s: np.ndarray) -> int | None:
+    """Id of a set: a hash of its members."""
+    import xxhash
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None
 
 
 def prefix_size(n: int) -> int:
@@ -89,18 +133,15 @@ def _batches(df: DataFrame, schema: str, run) -> DataFrame:
 def sets_and_counts(documents: DataFrame) -> DataFrame:
     """One pass: a row (doc_id, node, n) for each document and, per task, its counters in slices."""
     def run(batches):
-        import xxhash
         counters, any_row = np.zeros(COUNTERS, np.uint32), False
         for b in batches:
-            nodes, sizes = [], []
-            for text in b.column(1).to_pylist():
-                s = shingles(text)
-                sizes.append(len(s))
-                nodes.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None)
-                np.add.at(counters, (s & np.uint64(COUNTERS - 1)).astype(np.int64), np.uint32(1))
+            sets = shingle_sets(b.column(1).to_pylist())
+            if sets:
+                places = (np.concatenate(sets) & np.uint64(COUNTERS - 1)).astype(np.int64)
+                counters += np.bincount(places, minlength=COUNTERS).astype(np.uint32)
             any_row = any_row or b.num_rows > 0
             k = b.num_rows
-            yield b.column(0), nodes, sizes, [None] * k, [None] * k, b.column(2)
+            yield b.column(0), list(map(node_of, sets)), list(map(len, sets)), [None] * k, [None] * k, b.column(2)
         if any_row:
             for at in range(0, COUNTERS, SLICE):
                 part = counters[at:at + SLICE]
@@ -132,39 +173,43 @@ def counter_table(counts: DataFrame) -> bytes:
     return table.tobytes()
 
 
-def mask_of(tokens: np.ndarray, parity: bool) -> bytes:
+def mask_of(tokens: np.ndarray, words: int, parity: bool) -> bytes:
     """Bit mask over hashed places: set where any token falls, or where an odd number does."""
-    places = (tokens >> np.uint64(17)) % np.uint64(64 * MASK_WORDS)
-    hits = np.bincount(places.astype(np.int64), minlength=64 * MASK_WORDS)
+    places = (tokens >> np.uint64(17)) & np.uint64(64 * words - 1)
+    hits = np.bincount(places.astype(np.intp), minlength=64 * words)
     return np.packbits(hits & 1 if parity else hits > 0).tobytes()
 
 
+def prefix(s: np.ndarray, counts: np.ndarray, multiplier: np.uint64, k: int) -> np.ndarray:
+    """Places of the first k tokens in the order (count, hash times multiplier); all that tie with the k-th."""
+    key = (np.minimum(counts, np.uint64((1 << 24) - 1)) << np.uint64(40)) | ((s * multiplier) >> np.uint64(24))
+    return np.flatnonzero(key <= np.partition(key, k - 1)[k - 1])
+
+
 def index_rows(representatives: DataFrame, counters) -> DataFrame:
     """For each node a row with its masks, and a row for each token of its prefix (first order)."""
     def run(batches):
-        table = np.frombuffer(counters.value, "<u4")
-        import xxhash
+        table = np.frombuffer(counters.value, "<u4").astype(np.uint64)
         for b in batches:
-            for at in range(0, b.num_rows, 200):
-                nodes, tokens, seen, sizes, masks = [], [], [], [], []
-                for text in b.column(0).slice(at, 200).to_pylist():
-                    s = shingles(text)
-                    n = len(s)
-                    if not n:
-                        continue
-                    node = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
-                    counts, k = table[(s & np.uint64(COUNTERS - 1)).astype(np.int64)], prefix_size(n)
-                    head = np.lexsort((s, counts))[:k]
-                    others = [s[np.lexsort((s * m, counts.astype(np.float32).astype(np.uint32) >> np.uint32(j)))[:k]]
-                              for j, m in enumerate(_ORDERS, 1)]
-                    masks += [b"".join([mask_of(s, True), *(mask_of(o, False) for o in others)])] + [None] * k
-                    nodes += [node] * (k + 1)
-                    sizes += [n] * (k + 1)
-                    tokens += [None, *s[head].view(np.int64).tolist()]
-                    seen += [None, *counts[head].tolist()]
-                yield tokens, nodes, sizes, seen, masks
-    return _batches(representatives.select("text"),
-                    "token bigint, node bigint, n int, seen bigint, masks binary", run)
+            for at in range(0, b.num_rows, 500):
+                sets = [s for s in shingle_sets(b.column(0).slice(at, 500).to_pylist()) if len(s)]
+                if not sets:
+                    continue
+                nodes, sizes, tokens, seen, masks = [node_of(s) for s in sets], [len(s) for s in sets], [], [], []
+                for s in sets:
+                    counts, k = table[(s & np.uint64(COUNTERS - 1)).astype(np.intp)], prefix_size(len(s))
+                    head = prefix(s, counts, np.uint64(1), k)
+                    tokens.append(s[head].view(np.int64))
+                    seen.append(counts[head])
+                    others = (s[prefix(s, counts >> np.uint64(j), m, k)] for j, m in enumerate(_ORDERS, 1))
+                    masks.append(b"".join([mask_of(s, MASK_WORDS, True), *(mask_of(o, ORDER_WORDS, False) for o in others)]))
+                n = len(sets)
+                yield pa.nulls(n, pa.int64()), nodes, sizes, pa.nulls(n, pa.int32()), masks
+                lengths = [len(t) for t in tokens]
+                n = sum(lengths)
+                yield (np.concatenate(tokens), np.repeat(np.array(nodes), lengths), np.repeat(np.array(sizes, np.int32), lengths),
+                       np.minimum(np.concatenate(seen), 2**31 - 1).astype(np.int32), pa.nulls(n, pa.binary()))
+    return _batches(representatives.select("text"), "token bigint, node bigint, n int, seen int, masks binary", run)
 
 
 def shared_tokens(index: DataFrame) -> DataFrame:
@@ -195,7 +240,7 @@ def shared_tokens(index: DataFrame) -> DataFrame:
     few = index.filter((F.col("seen") > 1) & (F.col("seen") <= BLOCK)).select("token", "node", "n", "seen")
     few = few.repartition("token").sortWithinPartitions("token", "node")
     many = index.filter(F.col("seen") > BLOCK).select("token", "node", "n", "seen")
-    return _batches(few, "token bigint, node bigint, n int, seen bigint", run).unionByName(many)
+    return _batches(few, "token bigint, node bigint, n int, seen int", run).unionByName(many)
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
@@ -213,28 +258,48 @@ def candidates(rows: DataFrame, every: bool) -> DataFrame:
     ``rows``: token, node, n, seen, label, masks.
     """
     def run(batches):
-        held, key = None, None
+        held = None
         for b in batches:
-            keys = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)])
-            node, n, label = (b.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 5))
-            masks = np.frombuffer(b"".join(b.column(6).to_pylist()), np.uint64).reshape(-1, 3 * MASK_WORDS)
-            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-            found = []
-            for lo, hi in zip([0, *cuts], [*cuts, b.num_rows]):
-                part, here = (node[lo:hi], n[lo:hi], label[lo:hi], masks[lo:hi]), tuple(keys[:, lo]) if hi > lo else None
-                if here == key and held is not None:
-                    held = tuple(np.concatenate(p) for p in zip(held, part))
-                else:
-                    if held is not None:
-                        found += group_pairs(*held, every)
-                    held, key = part, here
-            if found:
-                yield [p[0] for p in found], [p[1] for p in found]
-        if held is not None and (found := group_pairs(*held, every)):
-            yield [p[0] for p in found], [p[1] for p in found]
+            cols = [np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], axis=1),
+                    *(b.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 5)),
+                    np.frombuffer(b"".join(b.column(6).to_pylist()), np.uint64).reshape(b.num_rows, -1)]
+            cols = cols if held is None else [np.concatenate(p) for p in zip(held, cols)]
+            if not len(cols[0]):
+                continue
+            last = (cols[0] == cols[0][-1]).all(axis=1)             # the last group may go on in the next batch
+            tail = len(last) - int(np.argmin(last[::-1])) if not last.all() else 0
+            held = [c[tail:] for c in cols]
+            yield from groups([c[:tail] for c in cols])
+        if held is not None:
+            yield from groups(held)
+
+    def groups(cols):
+        key, node, n, label, masks = cols
+        if not len(key):
+            return
+        cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+        lows, highs = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(key)]))
+        two = lows[highs - lows == 2]                               # most groups are pairs: all of them at once
+        good = two[(label[two] != label[two + 1]) & similar(n[two], n[two + 1], masks[two], masks[two + 1])]
+        out = [np.stack([node[good], node[good + 1]], axis=1)]
+        for lo, hi in zip(lows[highs - lows > 2].tolist(), highs[highs - lows > 2].tolist()):
+            if (label[lo:hi] != label[lo]).any() and (found := group_pairs(node[lo:hi], n[lo:hi], label[lo:hi], masks[lo:hi], every)):
+                out.append(np.array(found))
+        pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
+        if len(pairs):
+            yield pairs[:, 0], pairs[:, 1]
     grouped = _blocks(rows).select("token", "i", "j", "node", "n", "label", "masks") \
         .repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return _batches(grouped, "a bigint, b bigint", run).distinct()
+    return _batches(grouped, "a bigint, b bigint", run).filter("a <> b").distinct()
+
+
+def similar(n, m, x, y) -> np.ndarray:
+    """Whether sets of sizes n and m with masks x and y may reach the similarity (lossless filters)."""
+    n, m, both, w = n.astype(np.int64), np.asarray(m, np.int64), x & y, MASK_WORDS
+    differ = np.bitwise_count(x[:, :w] ^ y[..., :w]).sum(axis=1).astype(np.int64)
+    return ((NUMERATOR * n <= DENOMINATOR * m) & (NUMERATOR * m <= DENOMINATOR * n)
+            & both[:, w:w + ORDER_WORDS].any(axis=1) & both[:, w + ORDER_WORDS:].any(axis=1)
+            & ((NUMERATOR + DENOMINATOR) * differ <= (DENOMINATOR - NUMERATOR) * (n + m)))
 
 
 def group_pairs(node, n, label, masks, every: bool) -> list[tuple[int, int]]:
@@ -249,16 +314,12 @@ def group_pairs(node, n, label, masks, every: bool) -> list[tuple[int, int]]:
         return x
     if len(node) < 2 or (label == label[0]).all():
         return out
-    w = MASK_WORDS
     for i in range(1, len(node)):
-        ok = (label[:i] != label[i]) & (NUMERATOR * n[i] <= DENOMINATOR * n[:i]) & (NUMERATOR * n[:i] <= DENOMINATOR * n[i])
-        js = np.flatnonzero(ok)
+        js = np.flatnonzero((label[:i] != label[i]) & (NUMERATOR * n[i] <= DENOMINATOR * n[:i]) & (NUMERATOR * n[:i] <= DENOMINATOR * n[i]))
+        if len(js):
+            js = js[similar(n[js], n[i], masks[js], masks[i])]
         if not len(js):
             continue
-        both = masks[js] & masks[i]
-        differ = np.bitwise_count(masks[js, :w] ^ masks[i, :w]).sum(axis=1)
-        js = js[both[:, w:2 * w].any(axis=1) & both[:, 2 * w:].any(axis=1)
-                & ((NUMERATOR + DENOMINATOR) * differ <= (DENOMINATOR - NUMERATOR) * (n[js] + n[i]))]
         if every:
             out += [(int(node[j]), int(node[i])) for j in js]
             continue
@@ -346,18 +407,17 @@ def _components(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
             .unionByName(docs.filter("doc_id is null"))
 
         def run(batches):
-            import xxhash
             for b in batches:
-                made = [s for s in map(shingles, b.column(0).to_pylist()) if len(s)]
-                yield [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in made], [s.view(np.int64) for s in made]
+                made = [s for s in shingle_sets(b.column(0).to_pylist()) if len(s)]
+                yield list(map(node_of, made)), [s.view(np.int64) for s in made]
         full = _batches(some.select("text"), "node bigint, tokens array<bigint>", run)
         return stage(full.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "full-sets")
 
     links, labels = None, None
-    for turn in ("few", "forest", "every"):
+    for turn in ("few", "other few", "every"):
         rows = shared
-        if turn == "few":
-            rank = F.row_number().over(_by_node())
+        if turn != "every":
+            rank = F.row_number().over(W.partitionBy("node").orderBy(F.xxhash64("token", F.lit(turn)), "token"))
             rows = rows.filter(F.col("seen") > 1).withColumn("_k", rank).filter(F.col("_k") <= FEW_TOKENS).drop("_k")
         if labels is None:
             rows = rows.withColumn("label", F.col("node"))
@@ -377,8 +437,3 @@ def _components(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = members.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return each, members.join(smallest, "label").select("node", "label", "component_id")
-
-
-def _by_node():
-    from pyspark.sql import Window
-    return Window.partitionBy("node").orderBy("token")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wattloom.llm.bpe import Cache, split_white
+from wattloom.llm.bpe import Cache, chunks
 from wattloom.llm.common import TOKENIZER, arrow_schema, columns_of, map_batches, tokenizer_path
 from wattloom.session import shared_folder, stage
 
@@ -163,25 +163,23 @@ class LibraryEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.lower = "Lowercase" in str(self.library.normalizer)
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.known = Cache(lambda chunk: self.raw(self.library.encode(chunk, add_special_tokens=False).ids))
 
     def raw(self, ids) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        return struct.pack(f"<{len(ids)}{'H' if self.dtype.itemsize == 2 else 'I'}", *ids)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as bytes of ``dtype``."""
-        chunks = [split_white(t or "") for t in texts]
+        cut = [chunks(t, self.lower) for t in texts]
         known = self.known
-        new = [c for c in {c for cs in chunks for c in cs} if c not in known]
-        fresh = {c: self.raw(e.ids) for c, e in
-                 zip(new, self.library.encode_batch_fast(new, add_special_tokens=False))}
-        for c, raw in fresh.items():
+        new = [c for c in set().union(*cut).difference(known) if c not in known.old]
+        for c, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
             if len(c) <= 64:
-                known.put(c, raw)
+                known.put(c, self.raw(e.ids))
         get = known.__getitem__
-        return [b"".join([fresh[c] if c in fresh else get(c) for c in cs]) if fresh else b"".join(map(get, cs))
-                for cs in chunks]
+        return [b"".join(map(get, cs)) for cs in cut]
 
 
 @lru_cache(maxsize=2)
