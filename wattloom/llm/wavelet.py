@@ -165,7 +165,8 @@ class LibraryEncoder:
         self.library.no_padding()
         self.lower = "Lowercase" in str(self.library.normalizer)
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known = Cache(lambda chunk: self.raw(self.library.encode(chunk, add_special_tokens=False).ids))
+        # about 220 bytes an entry, two generations: some 200 MB in each Python worker
+        self.known = Cache(lambda chunk: self.raw(self.library.encode(chunk, add_special_tokens=False).ids), 450_000)
 
     def raw(self, ids) -> bytes:
         return struct.pack(f"<{len(ids)}{'H' if self.dtype.itemsize == 2 else 'I'}", *ids)
