@@ -337,7 +337,7 @@ def verified(pairs: DataFrame, sets) -> DataFrame:
     left, right = full.toDF("a", "_sa"), full.toDF("b", "_sb")
     common = F.size(F.array_intersect("_sa", "_sb"))
     joined = pairs.join(left, "a").join(right, "b")
-    return joined.filter(DENOMINATOR * common >= NUMERATOR * (F.size("_sa") + F.size("_sb") - common)).select("a", "b")
+    return joined.filter(DENOMINATOR * common >= NUMERATOR * (F.size("_sa") + F.size("_sb") - common)).select("a", "b").distinct()
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -402,16 +402,15 @@ def _components(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = stage(shared_tokens(index.filter("token is not null")), "shared-tokens")
 
     def sets(wanted: DataFrame) -> DataFrame:
-        ids = wanted.join(nodes, "node").select("doc_id", "node")
-        some = docs.join(ids.filter("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi") \
-            .unionByName(docs.filter("doc_id is null"))
+        # written first, so that Spark knows its size: a small list is broadcast, a long one joined by shuffle
+        ids = stage(wanted.join(nodes, "node").filter("doc_id is not null").select("doc_id").distinct(), "wanted")
+        some = docs.join(ids, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
 
         def run(batches):
             for b in batches:
                 made = [s for s in shingle_sets(b.column(0).to_pylist()) if len(s)]
                 yield list(map(node_of, made)), [s.view(np.int64) for s in made]
-        full = _batches(some.select("text"), "node bigint, tokens array<bigint>", run)
-        return stage(full.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "full-sets")
+        return stage(_batches(some.select("text"), "node bigint, tokens array<bigint>", run), "full-sets")
 
     links, labels = None, None
     for turn in ("few", "other few", "every"):
