@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 
 from wattloom.llm.common import columns_of, map_batches
 
-TRAIN_ROWS, TRAIN_CHUNKS = 1_500, 12
+TRAIN_ROWS, TRAIN_CHUNKS = 1_000, 8
 FILTERS, WIDTH, BLOCK, CHUNK_BLOCKS = 16, 8, 64, 4      # a chunk is four blocks and shares one with the next
-EPOCHS, BATCHES, BATCH, RATE, SEED = 8, 250, 64, 0.01, 7   # at least BATCHES steps where the sample is small
+EPOCHS, BATCHES, BATCH, RATE, SEED = 6, 200, 64, 0.01, 7   # at least BATCHES steps where the sample is small
 BUFFER = 1 << 20                                        # bytes scored at a time
 SCHEMA = "doc_id bigint, held_out boolean, score double, predicted int"
 
@@ -107,8 +107,10 @@ class Network:
             while end < len(texts) and (end == at or size + len(texts[end]) <= BUFFER):
                 size += len(texts[end])
                 end += 1
-            blocks = [max(1, -(-len(t) // BLOCK)) for t in texts[at:end]]
-            tops = self._block_tops(b"".join(t.ljust(n * BLOCK, b"\0") for t, n in zip(texts[at:end], blocks)), pairs)
+            # at least WIDTH - 1 bytes of padding, so no filter reaches from one text into the next
+            blocks = [-(-(len(t) + WIDTH - 1) // BLOCK) for t in texts[at:end]]
+            tops = self._block_tops(b"".join(t.ljust(n * BLOCK, b"\0") for t, n in zip(texts[at:end], blocks)),
+                                    np.cumsum(blocks) * BLOCK, pairs)
             low, features = 0, []
             for n in blocks:
                 a = tops[low:low + n]
@@ -124,10 +126,10 @@ class Network:
             at = end
         return out
 
-    def _block_tops(self, data: bytes, pairs) -> np.ndarray:
-        """Largest response of each filter among the places of each block. A filter that starts at the end of
-        a block reads on into the next one; past the end of a text it reads what follows only for the places
-        that do not belong to it, which are left out by starting each text at a block."""
+    def _block_tops(self, data: bytes, ends: np.ndarray, pairs) -> np.ndarray:
+        """Largest response of each filter among the places of each block. The last places before the ``ends`` of
+        texts are padding whose filters would read on into the next text, so they do not count."""
+        idle = (ends[:, None] - np.arange(WIDTH - 1, 0, -1)).ravel()
         x = np.frombuffer(data + b"\0" * WIDTH, np.uint8).astype(np.intp)
         two = (x[:-1] << 8) | x[1:]
         out = np.empty((len(data) // BLOCK, len(self.c)), np.float32)
@@ -137,6 +139,7 @@ class Network:
             conv = pairs[0].take(two[lo:lo + n], axis=0)
             for k, p in enumerate(pairs[1:], 1):
                 conv += p.take(two[lo + 2 * k:lo + 2 * k + n], axis=0)
+            conv[idle[np.searchsorted(idle, lo):np.searchsorted(idle, lo + n)] - lo] = -np.inf
             out[lo // BLOCK:(lo + n) // BLOCK] = conv.reshape(-1, BLOCK, len(self.c)).max(axis=1)
         return np.maximum(out + self.c, 0)
 

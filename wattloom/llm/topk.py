@@ -74,7 +74,7 @@ def _scores(b, i):
     dim = b.column(0)[i].as_py()
     q_ids, ids = (np.frombuffer(b.column(c)[i].as_py(), "<i8") for c in (1, 4))
     lows = np.frombuffer(b.column(3)[i].as_py(), "<f8")
-    q, c = (np.frombuffer(b.column(k)[i].as_py(), "<f8").reshape(-1, dim) for k in (2, 5))
+    q, c = (np.frombuffer(b.column(k)[i].as_py(), "<f8").reshape(len(n), dim) for k, n in ((2, q_ids), (5, ids)))
     s = q @ c.T
     s[q_ids[:, None] == ids[None, :]] = -np.inf
     return q_ids, ids, lows, s
