@@ -23,14 +23,14 @@ def load_band(df: DataFrame, bands: DataFrame, cfg: Settings = DEFAULT) -> DataF
     """Band of the fractional hour in the half-open intervals of the season.
 
     Equality on the season plus a range; the band table covers 24 hours of three seasons and is
-    broadcast.
+    broadcast. A time that no interval holds keeps its row, with a null band.
     """
     h = F.hour(cfg.ts) + F.minute(cfg.ts) / 60 + F.second(cfg.ts) / 3600
     b = bands.select(F.col("season").alias("_s"), "band", "h_start", "h_end")
     rows = df.withColumn("_h", h)
     cond = ((F.col("season") == F.col("_s")) & (F.col("_h") >= F.col("h_start"))
             & (F.col("_h") < F.col("h_end")))
-    return rows.join(F.broadcast(b), cond).drop("_s", "_h", "h_start", "h_end")
+    return rows.join(F.broadcast(b), cond, "left").drop("_s", "_h", "h_start", "h_end")
 
 
 def with_holiday(df: DataFrame, holidays: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
@@ -49,9 +49,10 @@ def band_override(df: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
 
 
 def rate_lookup(df: DataFrame, rates: DataFrame, override: float | None = None) -> DataFrame:
-    """Rate by season and band (nine rows, broadcast); one override replaces all of them."""
+    """Rate by season and band (nine rows, broadcast); one override replaces all of them. Where the table
+    has no rate the row stays, with a null rate."""
     out = df.join(F.broadcast(rates.select("season", "band", F.col("rate").alias("tariff_rate"))),
-                  ["season", "band"])
+                  ["season", "band"], "left")
     return out.withColumn("rate", F.col("tariff_rate") if override is None
                           else F.lit(float(override)))
 

@@ -160,7 +160,7 @@ def usable(t, window=None):
 def g21(t):
     """Tree ensemble fitted on the training part, scored on the test part, beside persistence."""
     rows = usable(t)
-    jobs = split.eval_jobs(rows, split.forward_folds(rows).limit(0))
+    jobs = split.eval_jobs(rows, split.forward_folds(rows))
     fit = lambda train: models.fit_tree_model(train, trees=20, depth=8)
     out = models.evaluate_jobs(rows, jobs, fit, models.score_tree_model)
     naive = evaluate.score(out.withColumn("p0", F.col("kw_lag1")), ["series_id", "fold"], p="p0")
