@@ -9,7 +9,7 @@ from wattloom.config import DEFAULT, Settings
 from wattloom.functions import fixed_values as fv
 from wattloom.functions.columns import date_key, finite
 from wattloom.operators import blocks
-from wattloom.operators.validate import RuleViolation, require_columns
+from wattloom.operators.validate import RuleViolation, require_columns, require_ok
 
 REQUIRED = tuple(fv.TREE_FEATURES + fv.WEATHER_LAGS + fv.SEQUENCE_CALENDAR) + ("kw", "y")
 
@@ -19,25 +19,20 @@ def with_date_key(df: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
 
 
 def _label(boundary: Column) -> Column:
-    return F.when(F.col("date_key") < boundary, F.lit("train")).otherwise(F.lit("test"))
+    """No label where the day or the boundary is missing."""
+    return F.when(F.col("date_key") < boundary, F.lit("train")).when(F.col("date_key") >= boundary, F.lit("test"))
 
 
 def split_by_date(df: DataFrame, boundary: int | None = None, cfg: Settings = DEFAULT) -> DataFrame:
     """Days before the boundary train, the rest tests.
 
     Without a boundary each series whose rows lie in one single year gets the default of that
-    year, if there is one; the other rows get no label.
+    year, if there is one; every other series is split by the fraction.
     """
     if boundary is not None:
         return df.withColumn("split", _label(F.lit(int(boundary))))
-    by_year = F.create_map(*[F.lit(x) for kv in cfg.default_split.items() for x in kv])
-    w = Window.partitionBy(cfg.series)
-    year = F.floor(F.col("date_key") / 10000).cast("int")
-    one_year = F.min(year).over(w) == F.max(year).over(w)
-    days = (df.select(cfg.series, "date_key").distinct()
-            .withColumn("_b", F.when(one_year, F.try_element_at(by_year, F.min(year).over(w)))))
-    return _label_days(df, days.withColumn(
-        "split", F.when(F.col("_b").isNotNull(), _label(F.col("_b")))), cfg)
+    days = boundary_on_days(df.select(cfg.series, "date_key").distinct(), None, cfg, defaults=True)
+    return _label_days(df, label_by_boundary(days), cfg)
 
 
 def _label_days(df: DataFrame, days: DataFrame, cfg: Settings) -> DataFrame:
@@ -50,10 +45,11 @@ def _label_days(df: DataFrame, days: DataFrame, cfg: Settings) -> DataFrame:
 
 
 def boundary_on_days(days: DataFrame, fraction: float | None = None,
-                     cfg: Settings = DEFAULT) -> DataFrame:
+                     cfg: Settings = DEFAULT, defaults: bool = False) -> DataFrame:
     """Per series the day that starts the test part: distinct day number int(n * (1 - f)).
 
-    ``days`` has one row per series and ``date_key``; the boundary becomes a column of it.
+    ``days`` has one row per series and ``date_key``; the boundary becomes a column of it. With
+    ``defaults`` a series that lies in one year takes the default date of that year where there is one.
     """
     fraction = cfg.test_fraction if fraction is None else fraction
     if not 0 < fraction < 1:
@@ -62,7 +58,23 @@ def boundary_on_days(days: DataFrame, fraction: float | None = None,
     numbered = (days.withColumn("_i", F.row_number().over(w.orderBy("date_key")) - 1)
                 .withColumn("_n", F.count(F.lit(1)).over(w)))
     at = F.when(F.col("_i") == F.floor(F.col("_n") * F.lit(1 - fraction)), F.col("date_key"))
-    return numbered.withColumn("boundary", F.max(at).over(w)).drop("_i", "_n")
+    boundary = F.max(at).over(w)
+    if defaults and cfg.default_split:
+        by_year = F.create_map(*[F.lit(x) for kv in cfg.default_split.items() for x in kv])
+        year = F.floor(F.col("date_key") / 10000).cast("int")
+        one_year = F.min(year).over(w) == F.max(year).over(w)
+        boundary = F.coalesce(F.when(one_year, F.try_element_at(by_year, F.min(year).over(w))), boundary)
+    return numbered.withColumn("boundary", boundary).drop("_i", "_n")
+
+
+def require_both_parts(days: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
+    """Stop where a series of the day table has no day before its boundary, or none from it on."""
+    parts = days.groupBy(cfg.series).agg(F.min("date_key").alias("first"), F.max("date_key").alias("last"),
+                                         F.max("boundary").alias("boundary"))
+    require_ok(parts.withColumn("ok", F.coalesce((F.col("first") < F.col("boundary"))
+                                                 & (F.col("boundary") <= F.col("last")), F.lit(False))),
+               "a part of the split is empty")
+    return days
 
 
 def label_by_boundary(df: DataFrame) -> DataFrame:

@@ -262,10 +262,11 @@ def require_calendar_years(df: DataFrame, holidays: DataFrame, cfg: Settings = D
 
 
 def number_faults(df: DataFrame, columns, cfg: Settings = DEFAULT) -> DataFrame:
-    """One pass, one row: infinite values per column and rows with negative power."""
+    """One pass, one row: infinite values per column, rows with negative power, rows without a series."""
     return df.agg(*[F.count_if(F.abs(F.col(c).cast("double")) == math.inf).alias(c)
                     for c in columns],
-                  F.count_if(F.least(*cfg.power) < 0).alias("negative_power"))
+                  F.count_if(F.least(*cfg.power) < 0).alias("negative_power"),
+                  F.count_if(F.col(cfg.series).isNull()).alias("missing_series"))
 
 
 def numeric_texts(df: DataFrame, columns) -> list[str]:
@@ -294,7 +295,7 @@ def ingest(raw: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     df = strict_numeric(raw, [c for c in texts if c in numeric] + numeric_texts(raw, unknown))
     faults = {k: n for k, n in number_faults(df, numeric, cfg).first().asDict().items() if n}
     if faults:
-        raise RuleViolation(f"infinite values or negative power: {faults}")
+        raise RuleViolation(f"infinite values, negative power or a missing series: {faults}")
     doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
     return df.withColumns({c: nan_to_null(c) for c in doubles})
 

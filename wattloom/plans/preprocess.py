@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from wattloom.config import DEFAULT, Settings
 from wattloom.functions.columns import date_key
@@ -17,13 +18,16 @@ def clean_hourly(raw: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     return validate.build_hour_ts(validate.normalize_hour(good))
 
 
-def day_table(hourly: DataFrame, fraction: float | None, cfg: Settings = DEFAULT) -> DataFrame:
+def day_table(hourly: DataFrame, fraction: float | None, cfg: Settings = DEFAULT,
+              boundary: int | None = None, defaults: bool = False) -> DataFrame:
     """Activity and split boundary per series and day; power is never imputed, so the cleaned
     hours are enough for it."""
     energy = features.daily_energy(reshape.to_15min(hourly, cfg=cfg), cfg)
     days = features.activity(features.day_active(energy, cfg), cfg).withColumn(
         "date_key", date_key("date"))
-    return split.boundary_on_days(days, fraction, cfg)
+    if boundary is not None:
+        return days.withColumn("boundary", F.lit(int(boundary)))
+    return split.boundary_on_days(days, fraction, cfg, defaults)
 
 
 def preprocess(raw: DataFrame, holidays: DataFrame | None = None, cfg: Settings = DEFAULT,
@@ -33,7 +37,9 @@ def preprocess(raw: DataFrame, holidays: DataFrame | None = None, cfg: Settings
 
     The cleaned hours are written once to the shared folder: the checks, the leak detection, the
     imputation and the reshaping then each read only the columns they need. The feature table
-    itself stays lazy. The split is made before unlabelled rows go.
+    itself stays lazy. The split is made before unlabelled rows go: at ``boundary``, else with a calendar
+    at the default date of the year of a one-year series, else by the fraction. A series with an empty
+    part stops a strict run, and so does a row without a series.
     """
     if strict:
         raw = validate.ingest(raw, cfg)
@@ -48,9 +54,8 @@ def preprocess(raw: DataFrame, holidays: DataFrame | None = None, cfg: Settings
     context = [c for c in cfg.context if c in hourly.columns and c not in drop]
     filled = impute.impute_past_median(hourly, context, cfg)
     long = reshape.to_15min(filled, context, cfg)
-    table = features.all_features(long, holidays, cfg, day_table(hourly, fraction, cfg))
-    if boundary is not None:
-        table = split.split_by_date(table.drop("boundary"), boundary, cfg)
-    else:
-        table = split.label_by_boundary(table)
-    return split.drop_unlabelled(table)
+    days = day_table(hourly, fraction, cfg, boundary, defaults=holidays is not None)
+    if strict:
+        split.require_both_parts(days, cfg)
+    table = features.all_features(long, holidays, cfg, days)
+    return split.drop_unlabelled(split.label_by_boundary(table))

@@ -229,11 +229,15 @@ def g2(t):
 
 
 @add("g2_default_boundary", "series_id split n:i", x.TARIFF + f""",
-by_year AS (SELECT 'T' || year(ts) AS series_id, CASE WHEN year(ts) = 2021 THEN CASE WHEN {x.DATE_KEY} < 20210725
-  THEN 'train' ELSE 'test' END END AS split FROM tariff)""",
-     "SELECT series_id, split, count(*) AS n FROM by_year GROUP BY 1, 2")
+by_year AS (SELECT 'T' || year(ts) AS series_id, {x.DATE_KEY} AS k FROM tariff),
+days AS (SELECT series_id, k, row_number() OVER (PARTITION BY series_id ORDER BY k) - 1 AS i,
+  count(*) OVER (PARTITION BY series_id) AS n FROM (SELECT DISTINCT series_id, k FROM by_year)),
+bounds AS (SELECT series_id, CASE WHEN series_id = 'T2021' THEN 20210725 ELSE max(k) FILTER (i = floor(n * (1 - 0.3::DOUBLE))) END AS b
+  FROM days GROUP BY 1)""",
+     "SELECT series_id, CASE WHEN k < b THEN 'train' ELSE 'test' END AS split, count(*) AS n FROM by_year "
+     "JOIN bounds USING (series_id) GROUP BY 1, 2")
 def g2_default(t):
-    """Series that lie in one year with a known default boundary; the others stay unlabelled."""
+    """Series that lie in one year with a known default boundary; the others by the fraction."""
     rows = t.tariff.withColumn("series_id", F.concat(F.lit("T"), F.year("ts").cast("string")))
     out = split.split_by_date(split.with_date_key(rows))
     return out.groupBy("series_id", "split").agg(F.count(F.lit(1)).alias("n"))

@@ -152,8 +152,9 @@ def a8(t):
 
 
 @add("a9_table_fingerprint", "series_id rows:i digest_sum digest_xor:i", x.OBSERVED + """,
-heads AS (SELECT series_id, CAST('0x' || substr(sha256(series_id || '|' || strftime(ts, '%Y-%m-%d %H:%M:%S')
-    || '|' || CAST(CAST(kw * 64 AS BIGINT) AS VARCHAR)), 1, 13) AS BIGINT) AS h FROM forecast)""",
+heads AS (SELECT series_id, CAST('0x' || substr(sha256(length(series_id) || ':' || series_id || '19:' ||
+    strftime(ts, '%Y-%m-%d %H:%M:%S') || length(CAST(CAST(kw * 64 AS BIGINT) AS VARCHAR)) || ':' ||
+    CAST(CAST(kw * 64 AS BIGINT) AS VARCHAR)), 1, 13) AS BIGINT) AS h FROM forecast)""",
      "SELECT series_id, count(*) AS rows, CAST(sum(CAST(h AS HUGEINT)) AS VARCHAR) AS digest_sum, "
      "bit_xor(h) AS digest_xor FROM heads GROUP BY 1")
 def a9(t):
@@ -512,12 +513,11 @@ def d1_audit(t):
     return impute.impute_audit(t.clean, impute.impute_past_median(t.clean, cols), cols)
 
 
-@add("d2_impute_train_median", "n_rows:i still_missing:i")
+@add("d2_impute_train_median", "series_id ts:t temp:r humidity:r", x.OBSERVED + """,
+middle AS (SELECT median(temp) AS mt, median(humidity) AS mh FROM observed WHERE split = 'train')""",
+     "SELECT series_id, ts, coalesce(temp, mt) AS temp, coalesce(humidity, mh) AS humidity FROM observed, middle")
 def d2(t):
-    rows = t.observed
-    out = impute.impute_train_median(rows, ["temp", "humidity"])
-    return out.agg(F.count(F.lit(1)).alias("n_rows"),
-                   F.count_if(F.col("temp").isNull() | F.col("humidity").isNull()).alias("still_missing"))
+    return impute.impute_train_median(t.observed, ["temp", "humidity"])
 
 
 @add("d3_default_fill", "series_id ts:t days_since_active:i prev_day_active:i", x.DENSE,

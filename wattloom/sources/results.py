@@ -26,9 +26,12 @@ def export_day_points(points: DataFrame, path: str) -> None:
 
 
 def row_digest(df: DataFrame, columns) -> DataFrame:
-    """SHA-256 of the text form of each row, columns joined by a bar, missing as empty text."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-    return df.withColumn("digest", F.sha2(text, 256))
+    """SHA-256 of the text form of each row. Each value comes after its length and a colon, a missing one is
+    a tilde, so no two different rows have one form."""
+    def form(c: str):
+        text = F.col(c).cast("string")
+        return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("~"))
+    return df.withColumn("digest", F.sha2(F.concat(*map(form, columns)), 256))
 
 
 def table_fingerprint(df: DataFrame, columns, keys=()) -> DataFrame:

@@ -5,21 +5,23 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
 from wattloom.config import DEFAULT, Settings
 from wattloom.functions import fixed_values as fv
 
-# Histogram of under-predictions: bin 0 holds 0, the others grow by 1 %, so the quantile read
-# from it is within 1 % of the exact one whatever the number of rows.
+# Histogram of under-predictions: bin 0 holds values up to SMALLEST (as 0), the others grow by 1 % and
+# reach beyond 1e15. A quantile is interpolated between the bins of its two ranks, as the exact one is
+# between the two values, so it is within 1 % (or SMALLEST) of it whatever the number of rows.
 GROWTH = math.log(1.01)
 SMALLEST = 0.001
-BINS = 2200
+BINS = 4200
 
 STATE = "year int, peak double, n long, bins binary, last_ts timestamp, last_prediction double"
 OUTPUT = ("series_id string, ts timestamp, kw double, prediction double, annual_peak double, "
-          "error_samples long, error_margin double, threshold double, at_risk boolean")
+          "error_samples long, error_margin double, threshold double, at_risk boolean, late boolean")
 
 
 def _bin(x: float) -> int:
@@ -28,28 +30,27 @@ def _bin(x: float) -> int:
     return min(BINS - 1, 1 + int(math.log(x / SMALLEST) / GROWTH))
 
 
-def _quantile(bins, n: int, q: float) -> float:
-    rank, seen = q * (n - 1), 0
-    for i, c in enumerate(bins):
-        seen += c
-        if seen > rank:
-            return 0.0 if i == 0 else SMALLEST * math.exp((i - 0.5) * GROWTH)
-    return 0.0
+def _quantile(bins: np.ndarray, n: int, q: float) -> float:
+    place = q * (n - 1)
+    low = int(place)
+    found = np.searchsorted(np.cumsum(bins), (low, min(low + 1, n - 1)), side="right")
+    a, b = (0.0 if i == 0 else SMALLEST * math.exp((i - 0.5) * GROWTH) for i in found.tolist())
+    return a + (b - a) * (place - low)
 
 
 def _follow(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     """Rows of one series in time order. The state has a fixed size."""
-    from array import array
     rows = pd.concat(list(frames)).sort_values("ts")
     year, peak, n, packed, last_ts, last_p = (
         state.get if state.exists else (0, -math.inf, 0, bytes(8 * BINS), None, None))
-    bins = array("q", packed)
+    bins = np.frombuffer(packed, np.int64).copy()
     out = []
     for ts, kw, p in zip(rows["ts"], rows["kw"], rows["prediction"]):
         if last_ts is not None and ts <= last_ts:
+            out.append((key[0], ts, kw, p, None, None, None, None, False, True))
             continue
         if ts.year != year:
-            year, peak, n, bins = ts.year, -math.inf, 0, array("q", bytes(8 * BINS))
+            year, peak, n, bins = ts.year, -math.inf, 0, np.zeros(BINS, np.int64)
         peak = max(peak, kw)
         if last_p is not None and last_p == last_p and ts - last_ts == pd.Timedelta(
                 minutes=fv.STEP_MINUTES):
@@ -59,18 +60,19 @@ def _follow(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame
                   else peak * fv.FALLBACK_MARGIN_SHARE)
         threshold = round(max(1.0, peak - margin), 1)
         if p == p:
-            out.append((key[0], ts, kw, p, peak, n, margin, threshold, bool(p >= threshold)))
+            out.append((key[0], ts, kw, p, peak, n, margin, threshold, bool(p >= threshold), False))
         last_ts, last_p = ts, p
     state.update((int(year), float(peak), int(n), bins.tobytes(), last_ts,
                   None if last_p is None or last_p != last_p else float(last_p)))
     names = [c.split()[0] for c in OUTPUT.split(", ")]
-    yield pd.DataFrame(out, columns=names)
+    yield pd.DataFrame(out, columns=names).astype({"error_samples": "Int64"})
 
 
 def stateful_threshold(observed: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """Peak, error margin and threshold after every reading, from (series, ts, kw, prediction).
 
-    Peak and errors start anew with each year. A reading older than the last one seen is ignored.
+    Peak and errors start anew with each year. A reading that is not newer than the last one seen changes
+    nothing: it comes back with ``late`` set and without a threshold, so it can be stored and counted.
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
     rows = observed.select(cfg.series, cfg.ts, "kw", "prediction")
