@@ -10,7 +10,8 @@
    with the input.
 4. Inside a group, pairs must also pass the prefixes of the other orders (bit masks, lossless), the length
    filter and a parity mask: two sets differ in at least as many shingles as their masks differ in bits.
-   The candidates that are left are verified on the full sets.
+   Pairs found so must pass a second parity mask, whose size follows that of the set (lossless as well, a
+   sixteenth of the set); what is left is verified on the full sets.
 5. Only links between nodes that are not connected yet matter. Two rounds look at a few tokens of each node and
    take a spanning forest of their candidates; the third takes every candidate between different components
    over all tokens, so no link that would join two components is missed.
@@ -180,6 +181,22 @@ def mask_of(tokens: np.ndarray, words: int, parity: bool) -> bytes:
     return np.packbits(hits & 1 if parity else hits > 0).tobytes()
 
 
+def wide_mask(tokens: np.ndarray) -> bytes:
+    """Parity mask of 4 to 8 bits for each member, 512 at least; its number of bits is a power of two."""
+    bits = max(512, 1 << (4 * len(tokens) - 1).bit_length())
+    places = ((tokens >> np.uint64(17)) & np.uint64(bits - 1)).astype(np.intp)
+    return np.packbits(np.bincount(places, minlength=bits) & 1).tobytes()
+
+
+def wide_difference(x: bytes, y: bytes) -> int:
+    """Bits in which two wide masks differ; halves of the longer one are folded until both have one length."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) != len(b):
+        a, b = (a, b) if len(a) > len(b) else (b, a)
+        a = a[:len(a) // 2] ^ a[len(a) // 2:]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def prefix(s: np.ndarray, counts: np.ndarray, multiplier: np.uint64, k: int) -> np.ndarray:
     """Places of the first k tokens in the order (count, hash times multiplier); all that tie with the k-th."""
     key = (np.minimum(counts, np.uint64((1 << 24) - 1)) << np.uint64(40)) | ((s * multiplier) >> np.uint64(24))
@@ -204,12 +221,12 @@ def index_rows(representatives: DataFrame, counters) -> DataFrame:
                     others = (s[prefix(s, counts >> np.uint64(j), m, k)] for j, m in enumerate(_ORDERS, 1))
                     masks.append(b"".join([mask_of(s, MASK_WORDS, True), *(mask_of(o, ORDER_WORDS, False) for o in others)]))
                 n = len(sets)
-                yield pa.nulls(n, pa.int64()), nodes, sizes, pa.nulls(n, pa.int32()), masks
+                yield pa.nulls(n, pa.int64()), nodes, sizes, pa.nulls(n, pa.int32()), masks, list(map(wide_mask, sets))
                 lengths = [len(t) for t in tokens]
                 n = sum(lengths)
                 yield (np.concatenate(tokens), np.repeat(np.array(nodes), lengths), np.repeat(np.array(sizes, np.int32), lengths),
-                       np.minimum(np.concatenate(seen), 2**31 - 1).astype(np.int32), pa.nulls(n, pa.binary()))
-    return _batches(representatives.select("text"), "token bigint, node bigint, n int, seen int, masks binary", run)
+                       np.minimum(np.concatenate(seen), 2**31 - 1).astype(np.int32), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()))
+    return _batches(representatives.select("text"), "token bigint, node bigint, n int, seen int, masks binary, wide binary", run)
 
 
 def shared_tokens(index: DataFrame) -> DataFrame:
@@ -331,6 +348,21 @@ def group_pairs(node, n, label, masks, every: bool) -> list[tuple[int, int]]:
     return [(min(p), max(p)) for p in out]
 
 
+def close_by_masks(pairs: DataFrame, wide: DataFrame) -> DataFrame:
+    """Pairs whose wide masks allow the similarity. ``wide``: node, n, wide; a node may stand in it repeatedly."""
+    nodes = stage(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "candidate-nodes")
+    some = wide.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+
+    def run(batches):
+        for b in batches:
+            x, y, n, m, u, v = (b.column(i).to_pylist() for i in range(6))
+            good = [(DENOMINATOR + NUMERATOR) * wide_difference(p, q) <= (DENOMINATOR - NUMERATOR) * (k + l)
+                    for k, l, p, q in zip(n, m, u, v)]
+            yield [i for i, g in zip(x, good) if g], [i for i, g in zip(y, good) if g]
+    both = pairs.join(some.toDF("a", "_n", "_u"), "a").join(some.toDF("b", "_m", "_v"), "b")
+    return _batches(both.select("a", "b", "_n", "_m", "_u", "_v"), "a bigint, b bigint", run)
+
+
 def verified(pairs: DataFrame, sets) -> DataFrame:
     """Pairs whose full sets have at least the similarity asked for."""
     full = sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
@@ -399,6 +431,7 @@ def _components(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         .unionByName(docs.filter("doc_id is null"))
     index = stage(index_rows(texts, counters), "shingle-index")
     masks = index.filter("token is null").select("node", "masks").dropDuplicates(["node"])
+    wide = index.filter("token is null").select("node", "n", "wide")
     shared = stage(shared_tokens(index.filter("token is not null")), "shared-tokens")
 
     def sets(wanted: DataFrame) -> DataFrame:
@@ -428,7 +461,10 @@ def _components(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         pairs = stage(candidates(rows.join(masks, "node"), turn == "every"), "candidates")
         if pairs.isEmpty():
             continue
-        found = stage(verified(pairs, sets), "verified")
+        close = stage(close_by_masks(pairs, wide), "close-pairs")
+        if close.isEmpty():
+            continue
+        found = stage(verified(close, sets), "verified")
         links = found if links is None else links.unionByName(found)
         labels = connected(links)
 
