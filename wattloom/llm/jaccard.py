@@ -12,8 +12,8 @@
    filter and a parity mask: two sets differ in at least as many shingles as their masks differ in bits.
    Pairs found so must pass a second parity mask, whose size follows that of the set (lossless as well, a
    sixteenth of the set); what is left is verified on the full sets.
-5. Only links between nodes that are not connected yet matter. Two rounds look at a few tokens of each node and
-   take a spanning forest of their candidates; the third takes every candidate between different components
+5. Only links between nodes that are not connected yet matter. One round looks at a few tokens of each node and
+   takes a spanning forest of their candidates; the second takes every candidate between different components
    over all tokens, so no link that would join two components is missed.
 
 A null, empty or blank text has an empty set and links with nothing; its component is its own doc_id. Rows
@@ -38,7 +38,7 @@ from wattloom.session import stage
 WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5           # similarity 4/5
 COUNTERS, SLICE = 1 << 20, 1 << 12
 BLOCK = 1_500                                     # nodes of a frequent token in one block
-FEW_TOKENS = 4                                    # tokens of a node in rounds 1 and 2
+FEW_TOKENS = 6                                    # tokens of a node in the first round
 MASK_WORDS, ORDER_WORDS = 8, 4                    # 64-bit words of the parity mask and of those of the orders
 SCHEMA = "doc_id bigint, n_shingles bigint, component_id bigint"
 
@@ -446,7 +446,7 @@ def _components(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         return stage(_batches(some.select("text"), "node bigint, tokens array<bigint>", run), "full-sets")
 
     links, labels = None, None
-    for turn in ("few", "other few", "every"):
+    for turn in ("few", "every"):
         rows = shared
         if turn != "every":
             rank = F.row_number().over(W.partitionBy("node").orderBy(F.xxhash64("token", F.lit(turn)), "token"))
