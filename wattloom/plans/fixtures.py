@@ -6,6 +6,8 @@ means are exact in any order and can be compared bit by bit.
 * ``natural``  events summed per type and 15 minutes: irregular, with many gaps
 * ``dense``    every order is one 15-minute reading; 2,880 consecutive orders (30 days) are one
                meter; meters start on different days of 2021-2026; days 6-9 run at 1/16 load
+* ``long``     the same readings with 17,280 consecutive orders (180 days) to a meter: room for
+               walk-forward folds of whole months
 * ``hourly``   the dense readings as raw hourly rows with planted defects: corrupt hours on days
                13 and 15, mixed and unreadable date texts, two columns computed from power
 * ``tariff``   orders moved to 2021-2026: all seasons, hours and holidays
@@ -29,6 +31,7 @@ from wattloom.session import pin
 from wattloom.sources.dimensions import load_holidays, load_tariff
 
 METER_SLOTS = 2880
+LONG_SLOTS = 17280
 START = "2021-12-17"
 
 
@@ -52,15 +55,15 @@ class Fixtures:
                 .agg(F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("kw"),
                      F.count(F.lit(1)).alias("n_events")))
 
-    @cached_property
-    def dense(self) -> DataFrame:
+    def meters(self, prefix: str, slots: int) -> DataFrame:
+        """Orders as 15-minute readings, ``slots`` consecutive ones to a meter."""
         o = self.table("orders").select("o_orderkey", "o_custkey", "o_totalprice")
-        meter = F.expr(f"o_orderkey div {METER_SLOTS}")
-        minutes = (meter * 37 % 1700) * 1440 + F.expr(f"o_orderkey % {METER_SLOTS}") * 15
+        meter = F.expr(f"o_orderkey div {slots}")
+        minutes = (meter * 37 % 1700) * 1440 + F.expr(f"o_orderkey % {slots}") * 15
         ts = plus_minutes(F.lit(START).cast("timestamp"), minutes)
         cust = F.col("o_custkey")
         rows = o.select(
-            F.concat(F.lit("M"), meter.cast("string")).alias("series_id"), ts.alias("ts"),
+            F.concat(F.lit(prefix), meter.cast("string")).alias("series_id"), ts.alias("ts"),
             (F.floor(F.col("o_totalprice") / 250) / 4).alias("kw"),
             (cust % 400).cast("double").alias("production"),
             F.when(cust % 11 != 0, (cust % 256) / 8 - 8).alias("temp"),
@@ -71,6 +74,14 @@ class Fixtures:
         low = F.dayofmonth("ts").between(6, 9)
         return rows.withColumn("kw", F.col("kw") * F.when(low, 0.0625).otherwise(1.0))
 
+    @cached_property
+    def dense(self) -> DataFrame:
+        return self.meters("M", METER_SLOTS)
+
+    @cached_property
+    def long(self) -> DataFrame:
+        return self.meters("L", LONG_SLOTS)
+
     @cached_property
     def readings(self) -> DataFrame:
         return self.dense.select("series_id", "ts", "kw")

@@ -150,16 +150,16 @@ def a11(t):
 
 # -- G21 - G23, A10: models ----------------------------------------------------------------
 
-def usable(t, window=None):
+def usable(t, window=None, readings=None):
     """Usable rows as a stored table: a fit reads them many times."""
-    table = split.split_by_fraction(features.all_features(t.dense, t.holidays))
+    table = split.split_by_fraction(features.all_features(t.dense if readings is None else readings, t.holidays))
     return stage(split.usable_rows(split.drop_unlabelled(table), window=window), "usable")
 
 
 @add("g21_fit_tree_model", "series_id fold rows:i mse:r4 mae:r4 persistence_mse:r4")
 def g21(t):
-    """Tree ensemble fitted on the training part, scored on the test part, beside persistence."""
-    rows = usable(t)
+    """Tree ensemble fitted before each walk-forward fold and the test part, scored on it, beside persistence."""
+    rows = usable(t, readings=t.long)
     jobs = split.eval_jobs(rows, split.forward_folds(rows))
     fit = lambda train: models.fit_tree_model(train, trees=20, depth=8)
     out = models.evaluate_jobs(rows, jobs, fit, models.score_tree_model)
