@@ -1,8 +1,12 @@
 """The model queries: which jobs they run and with which settings."""
 
+from inspect import signature
+
 import pytest
+from pyspark.sql import functions as F
 
-from wattloom.operators import models
+from wattloom.config import DEFAULT
+from wattloom.operators import models, split
 from wattloom.plans import load_all
 
 MONTHS_DIR = "/root/testdata/sf0.01"        # the smallest tables with a meter of several months
@@ -20,3 +24,45 @@ def test_tree_query_scores_forward_folds(spark, quick_trees):
     folds = {fold for _, fold in got}
     assert "test" in folds and len(folds) > 1
     assert all(fold == "test" or fold.endswith("01") for fold in folds) and min(got.values()) > 0
+
+
+@pytest.fixture
+def settings(monkeypatch):
+    """Settings that each fit is called with; the models themselves are small."""
+    seen = []
+
+    def record(name, quick):
+        full = getattr(models, name)
+        bind = signature(full).bind
+
+        def fit(*args, **kw):
+            call = bind(*args, **kw)
+            call.apply_defaults()
+            seen.append({k: v for k, v in call.arguments.items() if k in ("trees", "depth", "rounds", "seeds")})
+            return full(*args, **kw | quick)
+        monkeypatch.setattr(models, name, fit)
+    record("fit_tree_model", {"trees": 2, "depth": 3})
+    record("fit_sequence_model", {"rounds": 2, "depth": 2, "seeds": (42,)})
+    return seen
+
+
+@pytest.mark.parametrize("name", ["g21_fit_tree_model", "g23_batch_score", "j10_stream_scoring"])
+def test_tree_queries_fit_the_default_model(spark, settings, name):
+    assert load_all().queries[name](spark, MONTHS_DIR).count() > 0
+    assert settings and all(s == {"trees": 300, "depth": 30} for s in settings)
+
+
+def test_sequence_query_runs_its_jobs_with_lookback(spark, settings, monkeypatch):
+    parts = []
+    full = split.job_rows
+
+    def job_rows(df, jobs, cfg=DEFAULT, part="eval"):
+        out = full(df, jobs, cfg, part)
+        if part == "train":
+            parts.append(out.filter((F.col("date_key") < F.col("start")) | (F.col("date_key") >= F.col("lo"))).count())
+        return out
+    monkeypatch.setattr(split, "job_rows", job_rows)
+    folds = {r.fold for r in load_all().queries["g22_fit_sequence_model"](spark, MONTHS_DIR).collect()}
+    assert "test" in folds and len(folds) > 1
+    assert settings and all(s == {"rounds": 100, "depth": 5, "seeds": (42, 2024, 7)} for s in settings)
+    assert parts and not any(parts)

@@ -180,14 +180,18 @@ def eval_jobs(df: DataFrame, folds: DataFrame, cfg: Settings = DEFAULT) -> DataF
 
 def job_rows(df: DataFrame, jobs: DataFrame, cfg: Settings = DEFAULT,
              part: str = "eval") -> DataFrame:
-    """Rows of each job: ``eval`` = [lo, hi), ``train`` = everything before lo.
+    """Rows of each job: ``eval`` = [lo, hi), ``train`` = everything before lo, from ``start`` on
+    where the jobs have that column.
 
     Equality on the series plus a range condition, against at most five jobs per series.
     """
     j = jobs.withColumnRenamed(cfg.series, "_s")
     inside = ((F.col("date_key") >= F.col("lo"))
               & (F.col("hi").isNull() | (F.col("date_key") < F.col("hi"))))
-    cond = inside if part == "eval" else F.col("date_key") < F.col("lo")
+    earlier = F.col("date_key") < F.col("lo")
+    if "start" in jobs.columns:
+        earlier = earlier & (F.col("date_key") >= F.col("start"))
+    cond = inside if part == "eval" else earlier
     return df.join(j, (F.col(cfg.series) == F.col("_s")) & cond).drop("_s")
 
 

@@ -161,20 +161,22 @@ def g21(t):
     """Tree ensemble fitted before each walk-forward fold and the test part, scored on it, beside persistence."""
     rows = usable(t, readings=t.long)
     jobs = split.eval_jobs(rows, split.forward_folds(rows))
-    fit = lambda train: models.fit_tree_model(train, trees=20, depth=8)
-    out = models.evaluate_jobs(rows, jobs, fit, models.score_tree_model)
+    out = models.evaluate_jobs(rows, jobs, models.fit_tree_model, models.score_tree_model)
     naive = evaluate.score(out.withColumn("p0", F.col("kw_lag1")), ["series_id", "fold"], p="p0")
     return evaluate.score(out, ["series_id", "fold"]).join(
         naive.select("series_id", "fold", F.col("mse").alias("persistence_mse")), ["series_id", "fold"])
 
 
-@add("g22_fit_sequence_model", "series_id split rows:i mse:r4 mae:r4")
+@add("g22_fit_sequence_model", "series_id fold rows:i mse:r4 mae:r4")
 def g22(t):
-    """Boosted trees over the last 96 values, three seeds, early stop on the last 15 %."""
-    rows = usable(t, "window")
-    fitted, stats = models.fit_sequence_model(rows.filter("split = 'train'"), rounds=10, depth=4)
-    out = models.score_sequence_model(fitted, stats, rows.filter("split = 'test'"))
-    return evaluate.score(out, ["series_id", "split"])
+    """Boosted trees over the last 96 values, three seeds, early stop on the last 15 %: fitted on the
+    three months before each walk-forward fold and the test part, scored on it."""
+    rows = usable(t, "window", t.long)
+    jobs = split.train_lookback(split.eval_jobs(rows, split.forward_folds(rows)))
+    out = models.evaluate_jobs(rows, jobs, models.fit_sequence_model,
+                               lambda fitted, test: models.score_sequence_model(*fitted, test),
+                               least=fv.MIN_SEQUENCE_ROWS)
+    return evaluate.score(out, ["series_id", "fold"])
 
 
 @add("g23_batch_score", "series_id ts:t split y:r prediction:r6")
@@ -183,7 +185,7 @@ def g23(t):
     rows = usable(t)
     folder = shared_folder(t.spark, "model")
     current = results.settings_row(t.spark)
-    models.save_model(models.fit_tree_model(rows.filter("split = 'train'"), trees=10, depth=6), current, folder)
+    models.save_model(models.fit_tree_model(rows.filter("split = 'train'")), current, folder)
     return models.batch_score(t.spark, folder, current, rows)
 
 

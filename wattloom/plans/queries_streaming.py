@@ -142,7 +142,7 @@ def j10(t):
     """Test rows arrive in three batches and are scored with a stored model."""
     rows = usable(t)
     folder, out = shared_folder(t.spark, "model"), shared_folder(t.spark, "scored")
-    models.fit_tree_model(rows.filter("split = 'train'"), trees=10, depth=6).write().save(folder)
+    models.fit_tree_model(rows.filter("split = 'train'")).write().save(folder)
     from pyspark.ml import PipelineModel
     model = PipelineModel.load(folder)
     stream = replay(t, rows.filter("split = 'test'"), "to-score", files=3, per_batch=1)
