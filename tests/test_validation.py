@@ -267,6 +267,14 @@ def test_audit_keeps_a_sample_of_details(spark):
     assert row.metrics == {"rows": "3"} and len(row.details) == 20 and row.details[0]["item"] == "000"
 
 
+def test_audit_details_are_whole(spark):
+    details = spark.createDataFrame([(f"{i:03d}", i) for i in range(50)], "item string, value int")
+    rows = results.audit_details("r", "step", details).collect()
+    assert sorted((r.run_id, r.step, r["item"], r.value) for r in rows) == [("r", "step", f"{i:03d}", str(i)) for i in range(50)]
+    few = results.audit_details("r", "step", details, sample=20).collect()
+    assert sorted(r["item"] for r in few) == [f"{i:03d}" for i in range(20)]
+
+
 def test_fingerprint_ignores_order_and_sees_changes(spark):
     df = spark.range(50).selectExpr("id", "id * 2 AS v")
     a = results.table_fingerprint(df, ["id", "v"]).first()

@@ -124,6 +124,24 @@ def a6(t):
             .select("step", F.explode("metrics").alias("metric", "value")))
 
 
+@add("a6_audit_details", "step item value", x.QUALITY + """,
+days_ AS (SELECT series_id || ' ' || strftime(day0, '%Y-%m-%d') AS item, n_rows, hours_ok FROM quality)""",
+     """SELECT 'bad_hours' AS step, item, CAST(n_rows AS VARCHAR) AS value FROM days_ WHERE NOT hours_ok
+UNION ALL SELECT 'incomplete', item, CAST(n_rows AS VARCHAR) FROM (SELECT *, row_number() OVER (ORDER BY item) AS rn
+  FROM days_ WHERE hours_ok AND n_rows <> 24) WHERE rn <= 20""")
+def a6_details(t):
+    """Every deleted day; of the incomplete days that are kept a sample, as in the reference."""
+    path = shared_folder(t.spark, "audit-details")
+    quality = validate.hour_quality(validate.drop_bad_dates(validate.with_date(t.hourly)))
+    days = lambda rows: quality.filter(rows).select(
+        F.concat_ws(" ", "series_id", F.date_format("day", "yyyy-MM-dd")).alias("item"), F.col("rows").alias("value"))
+    run = "run-1"
+    results.write_audit([
+        results.audit_details(run, "bad_hours", days("not hours_ok")),
+        results.audit_details(run, "incomplete", days("hours_ok and not complete"), sample=20)], path)
+    return t.spark.read.parquet(path)
+
+
 @add("a7_export_predictions", "series_id target_time actual_kw:r predicted_kw:r", x.OBSERVED,
      "SELECT series_id, strftime(target_time, '%Y-%m-%d %H:%M:%S') AS target_time, y AS actual_kw, "
      "prediction AS predicted_kw FROM forecast")

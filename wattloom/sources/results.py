@@ -53,8 +53,8 @@ def audit_step(run_id: str, step: str, metrics: DataFrame, details: DataFrame |
                limit: int = 20) -> DataFrame:
     """One audit row from a one-row metrics table and an optional detail table (item, value).
 
-    Every rule writes one, also when it changed nothing. Details are a sample of ``limit`` rows,
-    the metrics are whole.
+    Every rule writes one, also when it changed nothing. The metrics are whole; the details of this row
+    are a preview of ``limit`` rows, ``audit_details`` has them all.
     """
     pairs = F.map_from_arrays(F.array(*[F.lit(c) for c in metrics.columns]),
                               F.array(*[F.col(c).cast("string") for c in metrics.columns]))
@@ -69,7 +69,17 @@ def audit_step(run_id: str, step: str, metrics: DataFrame, details: DataFrame |
         "run_id", "step", "metrics", "details")
 
 
+def audit_details(run_id: str, step: str, details: DataFrame, sample: int | None = None) -> DataFrame:
+    """Details of a step as rows (run_id, step, item, value): all of them, or the first ``sample`` by
+    item for a step whose list the reference cuts."""
+    if sample is not None:
+        details = details.orderBy("item").limit(sample)
+    return details.select(F.lit(run_id).alias("run_id"), F.lit(step).alias("step"),
+                          F.col("item").cast("string"), F.col("value").cast("string"))
+
+
 def write_audit(steps: list[DataFrame], path: str) -> None:
+    """Append audit rows of one kind: of ``audit_step``, or of ``audit_details`` to a folder of its own."""
     out = steps[0]
     for s in steps[1:]:
         out = out.unionByName(s)
