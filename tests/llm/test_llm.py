@@ -282,6 +282,31 @@ def test_main_text_of_the_pages_table(spark, small_dir):
     assert got == {r["page_id"]: plain_text(r["html"]) for r in pages.collect()}
 
 
+LONG = "A sentence of the article that is long enough to be read as prose by the model."
+
+
+@pytest.mark.parametrize("start", [
+    "<html><head><title>t</title><meta charset='utf-8'>", "<head><title>t</title><style>p{}</style><link rel='x'>", "<head><title>t",
+    "<html><head><title>t</title></head><body><noscript>", "<body><svg>", "<body><object>", "<body><select>", "<body><iframe src='x'>"])
+def test_text_after_an_unclosed_element_is_kept(start):
+    assert html.trained().text(f"{start}<article><h1>Name</h1><p>{LONG}</p></article>") == f"Name\n{LONG}"
+
+
+def test_an_unclosed_script_or_style_takes_the_rest():
+    page = f"<body><article><h1>Name</h1><p>{LONG}</p>%s</article>"
+    assert html.trained().text(page % "<script>var a; <p>no text") == f"Name\n{LONG}"
+    assert html.trained().text(page % "<style>p{} <p>no text") == f"Name\n{LONG}"
+
+
+def test_a_line_feed_between_elements_is_one_space():
+    assert html.trained().text(f"<article><h1>Name</h1><p><b>{LONG}</b>\n<i>{LONG}</i></p></article>") == f"Name\n{LONG} {LONG}"
+
+
+def test_formulas_are_text():
+    page = f"<article><h1>Name</h1><p>{LONG} <math><mrow><mi>E</mi><mo>=</mo><mi>m</mi></mrow></math> holds.</p></article>"
+    assert html.trained().text(page) == f"Name\n{LONG} E=m holds."
+
+
 def test_messages_give_exact_marginals():
     import itertools
     import math

@@ -7,7 +7,8 @@ gradient of the log likelihood, which needs the same marginals. The labelled pag
 of many kinds; further ones can be given (``data-content`` of "1" or "0" on the elements).
 
 Text of elements that are content is kept by block: character references decoded, white space of a block one
-space, blocks in page order joined by a line break. Head, scripts, styles, comments and the like are no text.
+space, blocks in page order joined by a line break. Titles, scripts, styles, comments and the like are no text. The head is no element of the
+tree: what may stand in it has no text, and anything else ends it, with or without its tags.
 
 A null or empty page gives an empty text. Cut pages are read as far as they go; a tag cut off at the end is
 left out. Repeated rows give repeated results; other columns are ignored.
@@ -29,10 +30,11 @@ from wattloom.llm.common import columns_of, map_batches
 SCHEMA = "page_id bigint, url string, text string, n_chars bigint"
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = set("script style head template svg iframe noscript object canvas math select textarea".split())
+DROPPED = set("script style template svg iframe noscript object canvas select textarea annotation annotation-xml".split())
 RAW = set("script style textarea title".split())
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q ruby s samp "
-             "small span strike strong sub sup time tt u var wbr".split())
+             "small span strike strong sub sup time tt u var wbr math menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded "
+             "mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 #: Opening one of the keys ends an open element of the values, unless a stopping element lies between
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
           "option": {"option"}}
@@ -56,6 +58,8 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^
                     re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|data-content|hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _PARTS = re.compile(r"[a-z]+")
+#: Marks the end of a block among the pieces of text; no text equals it
+BREAK = None
 
 
 class Node:
@@ -78,10 +82,11 @@ class Node:
             self.hints = tuple(sorted(found))
 
 
-def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
-    """Nodes in document order (parents first) and the pieces of text with their element. A line break marks
-    the end of a block in the pieces."""
-    top = Node("html", None)
+def parse(page: str) -> tuple[list[Node], list[tuple[Node, str | None]]]:
+    """Nodes in document order (parents first) and the pieces of text with their element. ``BREAK`` marks
+    the end of a block in the pieces. Of the elements without text, only a script or style that never ends
+    takes the rest of the page; of others the tag is left out, and of a title or text area what comes before the next tag."""
+    top, unclosed = Node("html", None), set()
     nodes, pieces, at, here, end = [top], [], 0, top, len(page)
     while at < end:
         m = _TOKEN.search(page, at)
@@ -100,18 +105,24 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             if up is not None and up.parent is not None:
                 here = up.parent
             if tag not in INLINE:
-                pieces.append((here, "\n"))
+                pieces.append((here, BREAK))
             continue
         if tag in DROPPED or tag in RAW:
             if not m[3].endswith("/"):
-                close = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(page, at)
-                body = re.compile("<body[\\s>]", re.I).search(page, at) if tag == "head" else None
-                at = close.end() if close else body.start() if body else end
+                close = None if tag in unclosed else re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(page, at)
+                if close:
+                    at = close.end()
+                else:
+                    unclosed.add(tag)
+                    if tag in ("script", "style"):
+                        at = end
+                    elif tag in RAW:
+                        at = end if (following := page.find("<", at)) < 0 else following
             continue
-        if tag == "html":
+        if tag in ("html", "head"):
             continue
         if tag in VOID:
-            pieces.append((here, " " if tag in INLINE else "\n"))
+            pieces.append((here, " " if tag in INLINE else BREAK))
             continue
         close = CLOSES.get(tag) or ({"p"} if tag in CLOSE_P else None)
         if close:
@@ -124,15 +135,17 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         here.children.append(node)
         nodes.append(node)
         if tag not in INLINE:
-            pieces.append((here, "\n"))
+            pieces.append((here, BREAK))
         if not m[3].endswith("/"):
             here = node
     return nodes, pieces
 
 
-def describe(nodes: list[Node], pieces: list[tuple[Node, str]]) -> None:
+def describe(nodes: list[Node], pieces: list[tuple[Node, str | None]]) -> None:
     """Features of every node."""
     for node, text in pieces:
+        if text is BREAK:
+            continue
         n = len(text.strip())
         node.own += n
         if node.tag == "a":
@@ -217,8 +230,8 @@ class TreeModel:
         describe(nodes, pieces)
         content = {id(n) for n, p in zip(nodes, self.marginals(nodes)[0]) if p >= 0.5}
         blocks, held = [], []
-        for node, text in [*pieces, (nodes[0], "\n")]:
-            if text == "\n":
+        for node, text in [*pieces, (nodes[0], BREAK)]:
+            if text is BREAK:
                 if held and (block := " ".join("".join(held).split())):
                     blocks.append(block)
                 held = []
