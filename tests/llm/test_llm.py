@@ -282,6 +282,25 @@ def test_main_text_of_the_pages_table(spark, small_dir):
     assert got == {r["page_id"]: plain_text(r["html"]) for r in pages.collect()}
 
 
+def test_shard_files_hold_whole_rows(spark, docs, tmp_path, monkeypatch, small_dir):
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        hot = docs.withColumn("k", F.lit("one"))
+        sharding.write_shards(hot, str(tmp_path / "hot"), "k")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert rows(spark.read.parquet(str(tmp_path / "hot")).select(hot.columns)) == rows(hot)
+    assert len(list((tmp_path / "hot").glob("shard=*"))) == 1
+    assert len(list((tmp_path / "hot").glob("shard=*/*.parquet"))) > 1
+
+    from wattloom.llm import queries
+    monkeypatch.setattr(queries, "shared_folder", lambda *_: str(tmp_path / "op9"))
+    given = spark.read.parquet(f"{small_dir}/documents.parquet")
+    assert rows(queries.op9_shards(spark, small_dir)) == rows(sharding.place(given).select("doc_id", "slot", "shard"))
+    assert rows(spark.read.parquet(str(tmp_path / "op9")).select(given.columns)) == rows(given)
+
+
 LONG = "A sentence of the article that is long enough to be read as prose by the model."
 
 

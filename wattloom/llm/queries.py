@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wattloom.llm import bpe, decontaminate, html, jaccard, licenses, quality, secrets, sharding, topk, wavelet
 from wattloom.llm.common import table
+from wattloom.session import shared_folder
 
 
 def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +44,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.place(table(spark, sf_dir, "documents").select("doc_id"))
+    """The whole documents are written by shard; the rows come from the files."""
+    docs, folder = table(spark, sf_dir, "documents"), shared_folder(spark, "shards")
+    sharding.write_shards(docs, folder)
+    doc_id = docs.schema["doc_id"].dataType.simpleString()
+    return spark.read.schema(f"doc_id {doc_id}, slot int, shard string").parquet(folder)
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

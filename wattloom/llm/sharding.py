@@ -65,7 +65,10 @@ def place(df: DataFrame, key: str = "doc_id", names: list[str] | tuple[str, ...]
 
 def write_shards(df: DataFrame, folder: str, key: str = "doc_id", names=SHARDS, slots: int = SLOTS,
                  files: int = 4) -> None:
-    """Parquet, one folder per shard and ``files`` files in each, so that a shard is not one task."""
-    placed = place(df, key, names, slots, "_slot", "shard")
-    placed.repartition("shard", F.pmod(F.col("_slot"), F.lit(files))).drop("_slot") \
-        .write.partitionBy("shard").parquet(folder)
+    """Whole rows and their slot as Parquet, one folder per shard. The rows of a shard are spread over ``files``
+    parts by a hash of the row, so that a frequent key is not one task; Spark splits parts that are still large
+    and joins small ones."""
+    placed = place(df, key, names, slots)
+    hashed = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    placed.withColumn("_salt", F.pmod(F.xxhash64(*hashed), F.lit(files))) \
+        .hint("rebalance", F.col("shard"), F.col("_salt")).drop("_salt").write.partitionBy("shard").parquet(folder)
