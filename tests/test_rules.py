@@ -97,3 +97,21 @@ def test_batches_make_no_difference_and_late_readings_come_back():
     pd.testing.assert_frame_equal(whole.reset_index(drop=True), pieces.reset_index(drop=True))
     late = follow([rows[3]], parted)
     assert late.late.tolist() == [True] and late.threshold.isna().all() and not late.at_risk.any()
+
+
+@pytest.mark.parametrize("values", [
+    [], [None, float("nan")], [3.0], [1.0, 2.0], [5.0] * 7, [float("inf"), float("-inf"), 1.0], [float("inf")] * 3, [-1.7e308, 1.7e308, 0.0, 1e-300],
+    [float(i * 7919 % 1000) / 8 for i in range(1000)], [1e-300 * i for i in range(50)] + [1e300] * 20, [0.0, -0.0, 0.0, -0.0]])
+def test_middle_values_are_exact(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "x double").repartition(3)
+    real = sorted(v for v in values if v is not None and v == v)
+    want = {"x": (real[(len(real) - 1) // 2], real[len(real) // 2])} if real else {}
+    for bins in (3, 4096):
+        assert impute.middle_values(df, ["x"], bins) == want
+
+
+def test_selection_holds_no_distinct_values(spark):
+    """Every pass returns at most ``bins`` rows per column, also where all values differ."""
+    df = spark.range(200_000).select((F.rand(3) * 1000).alias("x"))
+    lo, hi = impute.middle_values(df, ["x"], 64)["x"]
+    assert df.filter(F.col("x") < lo).count() == 99_999 and df.filter(F.col("x") <= hi).count() == 100_001

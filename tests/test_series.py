@@ -277,8 +277,8 @@ def test_staff_tie_goes_to_the_newest(spark):
     assert got[(2, 5.0)] == (1, 3, 1, 2.2)
 
 
-@pytest.mark.parametrize("salts", [1, 3])
-def test_staff_match_equals_brute_force(spark, salts):
+@pytest.mark.parametrize("run_rows", [4096, 5])
+def test_staff_match_equals_brute_force(spark, run_rows):
     rng = random.Random(8)
     hist = [(datetime(2021, 1, 1, h) + timedelta(days=d), rng.choice(["work", "off"]), rng.randrange(12), rng.randrange(1, 40) / 4)
             for d in range(60) for h in (7, 8)]
@@ -286,7 +286,7 @@ def test_staff_match_equals_brute_force(spark, salts):
              float(rng.randrange(14))) for _ in range(300)]
     ask = spark.createDataFrame(asks, "series_id string, ts timestamp, day_type string, target double")
     got = {(r.ts, r.day_type, r.target): (r.matches, r.staff_ref, r.ref_ts) for r in
-           staffing.staff_match(ask, history(spark, hist), salts=salts).collect()}
+           staffing.staff_match(ask, history(spark, hist), run_rows=run_rows).collect()}
     for _, ts, kind, target in asks:
         day = ts.replace(hour=0)
         found = [x for x in hist if x[0] < day and x[0].hour == ts.hour and x[1] == kind and x[2] >= target]

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from wattloom.config import DEFAULT, Settings
 from wattloom.functions import fixed_values as fv
 from wattloom.functions.columns import half_even, plus_minutes
-from wattloom.operators.running import asof_quantile
+from wattloom.operators.order_stats import quantile_before
 
 
 def forecast_frame(df: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
@@ -85,8 +85,12 @@ def _by_year(observed: DataFrame, cfg: Settings) -> DataFrame:
 
 
 def _margin(laid: DataFrame, cfg: Settings) -> DataFrame:
-    out = asof_quantile(laid.filter(F.col("prediction").isNotNull()), [cfg.series, "_year"],
-                        "_ask", "_tell", "_under", fv.ERROR_QUANTILE, "_p90", "error_samples")
+    made = laid.filter(F.col("prediction").isNotNull())
+    keys = [cfg.series, "_year"]
+    known = quantile_before(made.select(*keys, F.col("_tell").alias("t"), F.col("_under").alias("value")),
+                            made.select(*keys, F.col("_ask").alias("t")), keys, fv.ERROR_QUANTILE, inclusive=True)
+    out = made.filter(F.col("_ask").isNotNull()).join(known.withColumnsRenamed(
+        {"t": "_ask", "quantile": "_p90", "n": "error_samples"}), [*keys, "_ask"])
     enough = F.col("error_samples") >= fv.MIN_ERROR_SAMPLES
     return (out.withColumn("error_margin", F.when(enough, F.col("_p90")).otherwise(
         F.col("annual_peak") * fv.FALLBACK_MARGIN_SHARE))
@@ -97,7 +101,7 @@ def _margin(laid: DataFrame, cfg: Settings) -> DataFrame:
 def error_margin(observed: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """p90 of the confirmed under-predictions of the year, or 5 % of the peak below 30 of them.
 
-    Needs ``annual_peak``. Group: one series-year.
+    Needs ``annual_peak``. No group holds more than a block of time and a run of values.
     """
     return _margin(_by_year(observed, cfg), cfg)
 

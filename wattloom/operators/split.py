@@ -178,21 +178,35 @@ def eval_jobs(df: DataFrame, folds: DataFrame, cfg: Settings = DEFAULT) -> DataF
     return folds.unionByName(test)
 
 
+def job_days(df: DataFrame, jobs: DataFrame, cfg: Settings = DEFAULT, part: str = "eval") -> DataFrame:
+    """The days of each job, one row per (series, date key, job): ``eval`` = [lo, hi), ``train`` = everything before
+    lo, from ``start`` on where the jobs have that column. Only days between the series' first and last one."""
+    def day(c) -> Column:
+        return F.to_date(c.cast("string"), "yyyyMMdd")
+    ends = df.groupBy(cfg.series).agg(F.min("date_key").alias("_first"), F.max("date_key").alias("_last"))
+    spans = jobs.join(ends, cfg.series)
+    first, last = day(F.col("_first")), day(F.col("_last"))
+    lo = day(F.col("lo"))
+    if part == "eval":
+        begin, end = F.greatest(lo, first), F.least(F.date_sub(F.coalesce(day(F.col("hi")), F.date_add(last, 1)), 1), last)
+    else:
+        begin, end = first, F.least(F.date_sub(lo, 1), last)
+        if "start" in jobs.columns:
+            begin = F.greatest(begin, day(F.col("start")))
+    spans = spans.withColumns({"_begin": begin, "_end": end}).filter("_begin <= _end")
+    return spans.withColumn("date_key", date_key(F.explode(F.sequence("_begin", "_end")))) \
+        .drop("_begin", "_end", "_first", "_last")
+
+
 def job_rows(df: DataFrame, jobs: DataFrame, cfg: Settings = DEFAULT,
              part: str = "eval") -> DataFrame:
     """Rows of each job: ``eval`` = [lo, hi), ``train`` = everything before lo, from ``start`` on
     where the jobs have that column.
 
-    Equality on the series plus a range condition, against at most five jobs per series.
+    The jobs are laid out over their days, so rows meet them by (series, day): no join on the series
+    alone, and one scan serves all jobs.
     """
-    j = jobs.withColumnRenamed(cfg.series, "_s")
-    inside = ((F.col("date_key") >= F.col("lo"))
-              & (F.col("hi").isNull() | (F.col("date_key") < F.col("hi"))))
-    earlier = F.col("date_key") < F.col("lo")
-    if "start" in jobs.columns:
-        earlier = earlier & (F.col("date_key") >= F.col("start"))
-    cond = inside if part == "eval" else earlier
-    return df.join(j, (F.col(cfg.series) == F.col("_s")) & cond).drop("_s")
+    return df.join(job_days(df, jobs, cfg, part), [cfg.series, "date_key"])
 
 
 def train_lookback(jobs: DataFrame, months: int | None = None, cfg: Settings = DEFAULT) -> DataFrame:

@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
-from collections import defaultdict
+from itertools import chain
 from math import ceil
 from operator import itemgetter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from wattloom.config import DEFAULT, Settings
 from wattloom.functions import fixed_values as fv
 from wattloom.functions.columns import finite, half_even, plus_minutes
+from wattloom.operators.order_stats import RUN_ROWS, in_runs
+from wattloom.session import stage
+
+SPREAD = 16                       # copies of the history summaries that meet the runs of questions
 
 
 def staff_validity(df: DataFrame) -> DataFrame:
@@ -31,19 +36,18 @@ MATCH_FIELDS = [
 
 
 class _Records:
-    """Earlier records of one (hour, day type).
+    """Earlier records of one (series, hour, day type).
 
     ``front`` keeps the records that can still win, sorted by production: a record is useless once
     another has at least its production and comes before it in the order (ceil of staff,
     production, newest first). The first one with enough production is the answer.
     """
 
-    def __init__(self) -> None:
-        self.seen: list[float] = []
+    def __init__(self, seen: list[float] | None = None) -> None:
+        self.seen: list[float] = seen or []
         self.front: list[tuple] = []     # (production, order key, staff, time)
 
-    def add(self, production: float, staff: float, ts: int) -> None:
-        insort(self.seen, production)
+    def contend(self, production: float, staff: float, ts: int) -> None:
         key = (ceil(staff), production, -ts)
         front = self.front
         i = bisect_left(front, production, key=itemgetter(0))
@@ -54,59 +58,104 @@ class _Records:
             i -= 1
         front[i:j] = [(production, key, staff, ts)]
 
-    def best(self, target: float) -> tuple:
-        matches = len(self.seen) - bisect_left(self.seen, target) if target == target else 0
+    def add(self, production: float, staff: float, ts: int) -> None:
+        insort(self.seen, production)
+        self.contend(production, staff, ts)
+
+    def best(self, target: float | None) -> tuple:
+        matches = len(self.seen) - bisect_left(self.seen, target) if target is not None and target == target else 0
         if not matches:
             return 0, None, None, None, None
         _, key, staff, ts = self.front[bisect_left(self.front, target, key=itemgetter(0))]
         return matches, key[0], key[1], staff, ts
 
 
-def _match_series(history: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-    """Answer the questions of one series in time order; a question sees earlier dates only."""
-    history = history.sort_values("ts", kind="stable")
-    asked = asked.sort_values("ts", kind="stable")
-    nanos = history["ts"].to_numpy("datetime64[us]").astype("int64")
-    known = list(zip(nanos.tolist(), zip(history["h_hour"], history["h_type"]),
-                     history["production"], history["staff"]))
-    days = asked["ts"].dt.normalize().to_numpy("datetime64[us]").astype("int64").tolist()
-    records: dict[tuple, _Records] = defaultdict(_Records)
-    at, rows = 0, []
-    for day, key, target in zip(days, zip(asked["_hour"], asked["day_type"]), asked["target"]):
-        while at < len(known) and known[at][0] < day:
-            ts, k, production, staff = known[at]
-            records[k].add(production, staff, ts)
-            at += 1
-        rows.append(records[key].best(target))
-    found = pd.DataFrame(rows, columns=[f.name for f in MATCH_FIELDS], index=asked.index)
-    found["staff_ref"] = found["staff_ref"].astype("Int64")
-    found["ref_ts"] = pd.to_datetime(found["ref_ts"], unit="us")
-    return pd.concat([asked, found], axis=1)
-
-
-def staff_match(asked: DataFrame, history: DataFrame, cfg: Settings = DEFAULT,
-                salts: int = 1) -> DataFrame:
+RECORD = "array<struct<production: double, staff: double, _when: bigint>>"
+
+
+def _frontiers(batches):
+    """The records of each run that no other record of the run beats."""
+    for b in batches:
+        found = []
+        for rows in b.column("own").to_pylist():
+            run = _Records()
+            for r in rows:
+                run.contend(r["production"], r["staff"], r["_when"])
+            found.append([{"production": p, "staff": staff, "_when": ts} for p, _, staff, ts in run.front])
+        kept = [c for c in b.schema.names if c != "own"]
+        front = pa.array(found, b.schema.field("own").type)
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), front], names=[*kept, "front"])
+
+
+def _answers(schema: pa.Schema):
+    """Sweep the records and questions of a run in order of time, on top of what earlier runs left."""
+    def run(batches):
+        for b in batches:
+            cols = [b.column(c).to_pylist() for c in ("seen", "fronts", "own", "place", "target")]
+            out = []
+            for seen, fronts, own, places, targets in zip(*cols):
+                known = _Records(sorted(chain.from_iterable(seen or ())))
+                for r in chain.from_iterable(fronts or ()):
+                    known.contend(r["production"], r["staff"], r["_when"])
+                own = sorted(own or (), key=itemgetter("_place"))
+                at, done = 0, [None] * len(places)
+                for i in sorted(range(len(places)), key=places.__getitem__):
+                    while at < len(own) and own[at]["_place"] < places[i]:
+                        known.add(own[at]["production"], own[at]["staff"], own[at]["_when"])
+                        at += 1
+                    done[i] = known.best(targets[i])
+                out += done
+            asked = b.column("asked").flatten()
+            answers = [pa.array([a[j] for a in out]).cast(schema.field(f.name).type) for j, f in enumerate(MATCH_FIELDS)]
+            yield pa.RecordBatch.from_arrays([*asked.flatten(), *answers], schema=schema)
+    return run
+
+
+def staff_match(asked: DataFrame, history: DataFrame, cfg: Settings = DEFAULT, run_rows: int = RUN_ROWS) -> DataFrame:
     """Smallest staffing among earlier dates that produced at least the target.
 
     Same series, hour and day type; valid staff; strictly earlier date; production >= target.
     Order: ceil(staff), production, newest. ``asked`` has (series, ts, day_type, target, …).
 
-    The history of a series has one row per hour, so a group is bounded by the calendar (8,784
-    rows a year). Questions are not: with ``salts`` > 1 they are spread over that many copies of
-    the history. Each question costs a binary search, not a scan of the history.
+    A plane sweep in parts: records and questions stand in one order (series, hour, day type, time) that is range
+    partitioned and cut into runs of at most ``run_rows``. A run leaves a summary, its sorted productions and the
+    frontier of records that can still win; a question sees the summaries of the earlier runs of its key and the
+    records before it in its own run. So many questions on one key become many runs, each with its own copy of
+    the (short) history. A question costs a binary search.
     """
-    hist = (history.filter(F.col("staff_valid") & finite("production"))
-            .select(F.col(cfg.series).alias("h_series"), F.hour(cfg.ts).alias("h_hour"),
-                    F.col("day_type").alias("h_type"),
-                    F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("h_salt"),
-                    F.col(cfg.ts).alias("ts"), F.col("production").cast("double"),
-                    F.col("staff").cast("double")))
-    ask = (asked.withColumn("_hour", F.hour(cfg.ts))
-           .withColumn("_salt", (F.abs(F.xxhash64(cfg.ts, "target")) % salts).cast("int")))
-    schema = T.StructType(list(ask.schema.fields) + MATCH_FIELDS)
-
-    return (hist.groupBy("h_series", "h_salt").cogroup(ask.groupBy(cfg.series, "_salt"))
-            .applyInPandas(_match_series, schema).drop("_hour", "_salt"))
+    def key(series, day_type) -> list:
+        nothing = F.lit("\0")
+        return [F.coalesce(series.cast("string"), nothing).alias("_series"), F.coalesce(F.hour(cfg.ts), F.lit(-1)).alias("_hour"),
+                F.coalesce(day_type.cast("string"), nothing).alias("_type")]
+    keys = ["_series", "_hour", "_type"]
+    whole = F.struct(*[F.col(f"`{c}`") for c in asked.columns])
+    questions = asked.select(*key(F.col(cfg.series), F.col("day_type")), F.unix_micros(F.date_trunc("day", cfg.ts)).alias("_when"),
+                             F.lit(0).alias("_kind"), F.col("target").cast("double").alias("production"),
+                             F.lit(None).cast("double").alias("staff"), whole.alias("_asked"))
+    records = history.filter(F.col("staff_valid") & finite("production") & F.col(cfg.ts).isNotNull()).select(
+        *key(F.col(cfg.series), F.col("day_type")), F.unix_micros(cfg.ts).alias("_when"), F.lit(1).alias("_kind"),
+        F.col("production").cast("double"), F.col("staff").cast("double"), F.lit(None).cast(questions.schema["_asked"].dataType).alias("_asked"))
+    # a question sorts before the records of its own day; equal questions are spread by their hash
+    order = [*keys, "_when", "_kind", "_spread"]
+    swept = in_runs(questions.unionByName(records).withColumn("_spread", F.xxhash64("production", "staff", "_asked")), order, run_rows)
+
+    own = swept.filter("_kind = 1").groupBy(*keys, "run").agg(
+        F.array_sort(F.collect_list("production")).alias("seen"),
+        F.collect_list(F.struct("production", "staff", "_when")).cast(RECORD).alias("own"))
+    shape = T.StructType([*(f for f in own.schema.fields if f.name != "own"), T.StructType.fromDDL(f"front {RECORD}").fields[0]])
+    summaries = stage(own.mapInArrow(_frontiers, shape), "frontiers")
+    spread = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))
+    ask = swept.filter("_kind = 0").groupBy(*keys, "run").agg(
+        F.collect_list(F.struct("_place", "production", "_asked")).alias("a"))
+    # summaries are few and small, runs of questions may be many: each copy of the history serves its share of them
+    waiting = ask.select(*keys, "run", F.pmod(F.xxhash64("run"), F.lit(SPREAD)).cast("int").alias("_copy"))
+    earlier = waiting.join(summaries.withColumnRenamed("run", "_run").withColumn("_copy", spread), [*keys, "_copy"]) \
+        .filter("_run < run").groupBy(*keys, "run").agg(F.collect_list("seen").alias("seen"), F.collect_list("front").alias("fronts"))
+    inside = swept.filter("_kind = 1").groupBy(*keys, "run").agg(F.collect_list(F.struct("_place", "production", "staff", "_when")).alias("own"))
+    rows = ask.join(earlier, [*keys, "run"], "left").join(inside, [*keys, "run"], "left").select(
+        "seen", "fronts", "own", F.col("a._place").alias("place"), F.col("a.production").alias("target"), F.col("a._asked").alias("asked"))
+    schema = T.StructType(list(asked.schema.fields) + MATCH_FIELDS)
+    return rows.mapInArrow(_answers(to_arrow_schema(schema)), schema)
 
 
 def match_status(df: DataFrame) -> DataFrame:

@@ -91,11 +91,11 @@ def history(t):
     return staffing.staff_validity(tariff.day_type(tariff.with_holiday(t.clean, t.holidays)))
 
 
-def matched(t, salts: int = 1):
+def matched(t, **runs):
     """Every hour asks for its own production: the replay of the whole history."""
     rows = history(t)
     asked = rows.select("series_id", "ts", "day_type", F.col("production").alias("target"))
-    return staffing.match_status(staffing.staff_match(asked, rows, salts=salts))
+    return staffing.match_status(staffing.staff_match(asked, rows, **runs))
 
 
 @add("i7_staff_validity", "series_id ts:t staff:r staff_valid", HISTORY, "SELECT * FROM history")
@@ -113,8 +113,8 @@ def i8(t):
 
 @add("i8_staff_match_salted", MATCH_WORDS, MATCHED, "SELECT * FROM matched")
 def i8_salted(t):
-    """The same with the questions of one hour spread over several tasks."""
-    return matched(t, salts=4)
+    """The same with short runs: questions of one hour are spread over several tasks."""
+    return matched(t, run_rows=64)
 
 
 @add("i9_staff_match_status", "series_id ts:t matches:i status", MATCHED, "SELECT * FROM matched")
