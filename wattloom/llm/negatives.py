@@ -29,7 +29,7 @@ from wattloom.session import stage
 
 CANDIDATES, ANCHORS = 4_096, 128                  # rows of a block
 PARTS, GROUPS = 256, 64                           # candidate parts and anchor groups, at most: tasks of a search
-FIRST = 16                                        # rows read from each list before the threshold is looked at
+FIRST = 32                                        # rows read from each list before the threshold is looked at
 EXACT = 2 ** 53
 MOST = 2 ** 62                                    # stands for no bound
 
@@ -123,40 +123,38 @@ class Lists:
         table, a = (self.as_float, anchor.astype(np.float64)) if exact else (self.vectors, anchor)
         up, down = np.flatnonzero(anchor > 0), np.flatnonzero(anchor < 0)
         unseen = allowed.copy()
-        rows, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        opened, read, depth = list(range(len(windows))), 0, FIRST
-        while opened:
-            if len(up) + len(down) == 0:                               # no list helps an anchor of zeros: all score 0
-                depth = self.n
+        left, read, depth = int(unseen.sum()), 0, FIRST
+        held = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in windows]     # best scores and rows so far
+        opened = list(range(len(windows)))
+        while opened and left:
             depth = min(depth, self.n)
-            new = np.zeros(self.n, bool)
-            new[self.order[up, self.n - depth:self.n - read].ravel()] = True
-            new[self.order[down, read:depth].ravel()] = True
-            if depth == self.n:
-                new[:] = True
-            met = np.flatnonzero(new & unseen)
-            unseen[met] = False
-            rows = np.concatenate([rows, met])
-            scores = np.concatenate([scores, (table[met] @ a).astype(np.int64)])
-            if depth == self.n:
-                break
+            if left <= depth or depth == self.n:                       # fewer rows are left than a list would name
+                met, left = np.flatnonzero(unseen), 0
+            else:
+                new = np.zeros(self.n, bool)
+                new[self.order[up, self.n - depth:self.n - read]] = True
+                new[self.order[down, read:depth]] = True
+                met = np.flatnonzero(new & unseen)
+                unseen[met] = False
+                left -= len(met)
+            scores = (table[met] @ a).astype(np.int64)
             threshold = int(self.sorted[up, self.n - depth] @ anchor[up] + self.sorted[down, depth - 1] @ anchor[down])
             still = []
             for w in opened:
                 low, high = windows[w]
-                if threshold < low:
-                    continue
-                held = scores[(scores >= low) & (scores <= high)]
-                if len(held) < k or threshold >= np.partition(held, -k)[-k]:
+                inside = np.flatnonzero((scores >= low) & (scores <= high))
+                best, rows = np.concatenate([held[w][0], scores[inside]]), np.concatenate([held[w][1], met[inside]])
+                if len(best) > k:                                      # ties of the k-th stay in
+                    kept = best >= np.partition(best, -k)[-k]
+                    best, rows = best[kept], rows[kept]
+                held[w] = best, rows
+                if threshold >= low and (len(best) < k or threshold >= best.min()):
                     still.append(w)
             opened, read, depth = still, depth, depth * 2
         out = []
-        for low, high in windows:
-            inside = np.flatnonzero((scores >= low) & (scores <= high))
-            if len(inside) > k:                                        # ties of the k-th stay in
-                inside = inside[scores[inside] >= np.partition(scores[inside], -k)[-k]]
-            best = inside[np.lexsort((self.ids[rows[inside]], -scores[inside]))[:k]]
-            out.append(list(zip(scores[best].tolist(), rows[best].tolist())))
+        for best, rows in held:
+            order = np.lexsort((self.ids[rows], -best))[:k]
+            out.append(list(zip(best[order].tolist(), rows[order].tolist())))
         return out
 
 
