@@ -73,30 +73,12 @@ def test_rows_that_differ_have_different_digests(spark):
 def test_streamed_margin_is_within_one_percent(n):
     errors = np.random.default_rng(n).lognormal(3, 3, n)
     errors[::5] = 0
-    bins = np.zeros(alerts.BINS, np.int64)
-    for e in errors:
-        bins[alerts._bin(e)] += 1
-    assert alerts._quantile(bins, n, 0.9) == pytest.approx(np.quantile(errors, 0.9), rel=0.01, abs=alerts.SMALLEST)
-
-
-def follow(rows, state):
-    frame = pd.DataFrame(rows, columns=["ts", "kw", "prediction"])
-    return pd.concat(alerts._follow(("a",), iter([frame]), state))
-
-
-def test_batches_make_no_difference_and_late_readings_come_back():
-    class State:
-        exists, get = False, None
-
-        def update(self, value):
-            self.exists, self.get = True, value
-    start, rng = pd.Timestamp("2024-01-01"), np.random.default_rng(5)
-    rows = [(start + pd.Timedelta(minutes=15 * i), float(k), float(p)) for i, (k, p) in enumerate(rng.uniform(1, 99, (90, 2)))]
-    whole, parted = follow(rows, State()), State()
-    pieces = pd.concat([follow(rows[at:at + 20], parted) for at in range(0, 90, 20)])
-    pd.testing.assert_frame_equal(whole.reset_index(drop=True), pieces.reset_index(drop=True))
-    late = follow([rows[3]], parted)
-    assert late.late.tolist() == [True] and late.threshold.isna().all() and not late.at_risk.any()
+    bins = alerts.RunningBins(0.9)
+    for i, e in enumerate(errors, 1):
+        bins.add(e)
+        assert bins.quantile() == pytest.approx(np.quantile(errors[:i], 0.9), rel=0.01, abs=alerts.SMALLEST)
+    again = alerts.RunningBins(0.9, bins.bins.copy())
+    assert (again.quantile(), again.n) == (bins.quantile(), n)
 
 
 @pytest.mark.parametrize("values", [
