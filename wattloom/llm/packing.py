@@ -1,6 +1,7 @@
 """Mixture-controlled packing: deficit round-robin over source queues.
 
-Every source is a queue of tokens (its documents in doc_id order, each closed by an end id). A window is filled by
+Every source is a queue of tokens: its documents in the order in which the table is read, each closed by an end id. A window is a stretch of
+sequences (``window``, 32 by default; 1 gives every single sequence the mixture, at the price of many short pieces) filled by
 visiting all queues: a queue's credit grows by its target share of the window, it serves the whole tokens of its
 credit, and what it could not serve (or served beyond it, when the window's rest was dealt out) stays as its deficit
 for the next window. A *round* of up to 1,024 windows hands every queue a whole number of tokens, its quantum, so all
@@ -9,13 +10,17 @@ closed form: the place of any token of any queue follows from its position alone
 needs no state of the tasks before it. What quanta round away is carried into the next phase; a phase ends when a queue
 runs short.
 
-Targets are the corpus's own shares (then all queues last to the end), or a mixture given by the caller: an empty queue's share falls to the
-others in proportion. The queues are the largest sources, at most ``QUEUES`` of them, and one for all the rest; null is a
-source like any other. Every window but the last is full, so only the last sequence may need padding.
+Targets are the corpus's own shares (then all queues last to the end), or a mixture given by the caller: an empty queue's
+share falls to the others in proportion. The queues are the sources with most documents, at most ``QUEUES`` of them, the last
+one for all the rest; null is a source like any other. Every window but the last is full, so only the last sequence may
+need padding.
 
-A null text is an empty one: its document is the end id alone. Repeated rows and repeated ids are documents of their own,
-ordered by length and content. Texts of any length are cut freely. An empty table has no sequences. Further columns of any
-name are ignored.
+Ids cross one shuffle, the one that brings the pieces of neighbouring sequences together. The place of a document in its queue is the
+sum of two numbers: the tokens of the queue before it in its own part of the table, counted where the part is encoded, and the tokens of
+earlier parts, a table of at most ``PARTS`` x ``QUEUES`` rows.
+
+A null text is an empty one: its document is the end id alone. Repeated rows and repeated ids are documents of their own.
+Texts of any length are cut freely. An empty table has no sequences. Further columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -26,16 +31,19 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wattloom.llm.common import arrow_schema, columns_of, tokenizer_path
-from wattloom.session import stage
+from wattloom.session import shared_folder, stage
 
 SEQUENCE = 1_024
+WINDOW = 32                       # sequences of a window
 ROUND = 1_024                     # windows of a round, at most
-QUEUES = 256
+QUEUES = 64
+PARTS = 32_768                    # parts of the encoded table, at most; with QUEUES it bounds what is broadcast
 END_ID = 0
 FILE = "byte_bpe_50k"
 PIECES = "array<struct<doc_id: bigint, start: bigint, length: bigint, doc_tokens: bigint, offset: bigint>>"
@@ -114,34 +122,36 @@ def whole_shares(weights: list[float | int], of: int, cap: list[int]) -> list[in
 def schedule(tokens: list[int], size: int, mixture: list[float] | None = None, windows: int = ROUND) -> list[Phase]:
     """Phases that pack all tokens of all queues into windows of ``size``. At most some ten phases per queue."""
     left, at, first, k, out = list(tokens), [0] * len(tokens), 0, windows, []
+    due = [0.0] * len(tokens)                                 # what quanta have rounded away so far
     while sum(left):
         total = sum(left)
         if total <= size * (windows if mixture is None else 1):
             k, quanta, rounds = -(-total // size), list(left), 1
         else:
             k = min(k, total // size)
-            weights = left if mixture is None else \
-                [max(0.0, m * (sum(at) + k * size) - a) if n else 0.0 for m, a, n in zip(_shares(mixture, left), at, left)]
-            quanta = whole_shares(weights, k * size, [k * size] * len(left) if k > 1 else left)
+            share = [m * k * size for m in _shares(mixture, left)] if mixture is not None else left
+            weights = left if mixture is None else [max(0.0, x + d) for x, d in zip(share, due)]
+            quanta = whole_shares(weights, k * size, [k * size if n else 0 for n in left] if k > 1 else left)
             rounds = min(n // q for n, q in zip(left, quanta) if q)
             if rounds == 0:
                 k = max(1, k // 2)
                 continue
-            if mixture is not None and any(abs(w - q) >= 1 for w, q in zip(weights, quanta)):
-                rounds = 1                                    # a deficit is being paid back: look again after one round
+            if mixture is not None:
+                rounds = 1 if any(abs(d) >= 1 for d in due) else rounds          # pay once, then go on
+                due = [d + rounds * (x - q) for d, x, q in zip(due, share, quanta)]
         out.append(Phase(first, k, rounds, quanta, list(at)))
         first += k * rounds
         at = [a + q * rounds for a, q in zip(at, quanta)]
-        emptied = any(n and n == q * rounds for n, q in zip(left, quanta))
         left = [n - q * rounds for n, q in zip(left, quanta)]
-        if emptied:
-            k = windows
+        if any(q and not n for n, q in zip(left, quanta)):
+            k, due = windows, [0.0] * len(left)
     return out
 
 
 def _shares(mixture: list[float], left: list[int]) -> list[float]:
+    """Targets of the queues that are not empty; where none of these has a target, by what is left."""
     total = sum(m for m, n in zip(mixture, left) if n)
-    return [m / total if n and total else 0.0 for m, n in zip(mixture, left)]
+    return [m / total if n else 0.0 for m, n in zip(mixture, left)] if total else [n / sum(left) for n in left]
 
 
 class Placer:
@@ -212,25 +222,47 @@ def encode(text: str | None, name: str = FILE) -> np.ndarray:
         return np.array(library.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
-def encoded(documents: DataFrame, name: str = FILE, end_id: int = END_ID) -> DataFrame:
-    """Stored (row, doc_id, source, n, ids): ids as little-endian 16-bit numbers where the vocabulary allows, else 32."""
-    schema = "doc_id bigint, source string, n bigint, ids binary"
+def queue_names(documents: DataFrame, mixture: dict[str | None, float] | None, queues: int = QUEUES) -> list[str | None]:
+    """Sources that have a queue of their own; all others share one more. Reads the source column only."""
+    rows = columns_of(documents, "source").select(F.col("source").cast("string").alias("source"))
+    if mixture is not None:
+        listed = [m for m in mixture if m is not None]
+        rows = rows.filter(F.col("source").isin(listed) | (F.col("source").isNull() if None in mixture else F.lit(False)))
+    top = rows.groupBy("source").count().orderBy(F.desc("count"), F.col("source").asc_nulls_first()).limit(queues - 1)
+    return [r["source"] for r in top.collect()]
+
+
+def encoded(documents: DataFrame, names: list[str | None], name: str = FILE, end_id: int = END_ID) -> DataFrame:
+    """Stored (part, queue, before, doc_id, n, ids): ``before`` counts the tokens of the queue earlier in the part. Ids are
+    little-endian 16-bit numbers where the vocabulary allows, else 32, packed by zstd."""
+    schema = "part int, queue int, before bigint, doc_id bigint, n bigint, ids binary"
     arrow = arrow_schema(schema)
+    number = {s: i for i, s in enumerate(names)}
 
     def run(batches):
         import pyarrow as pa
-        form = id_form(name)
+        from pyspark import TaskContext
+        form, small, part = id_form(name), zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId()
+        done = [0] * (len(names) + 1)
         for b in batches:
             for at in range(0, b.num_rows, 1_000):
                 few = b.slice(at, 1_000)
-                raw = [np.append(encode(t, name), end_id).astype(form).tobytes() for t in few.column("text").to_pylist()]
-                n = [len(r) // np.dtype(form).itemsize for r in raw]
-                yield pa.RecordBatch.from_arrays([few.column("doc_id").cast("int64"), few.column("source").cast("string"),
-                                                  pa.array(n, pa.int64()), pa.array(raw, pa.binary())], schema=arrow)
+                raw, n, queue, before = [], [], [], []
+                for text, source in zip(few.column("text").to_pylist(), few.column("source").to_pylist()):
+                    ids = np.append(encode(text, name), end_id).astype(form)
+                    q = number.get(source, len(names))
+                    queue.append(q)
+                    before.append(done[q])
+                    n.append(len(ids))
+                    raw.append(small.compress(ids))
+                    done[q] += len(ids)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(n), part, np.int32)), pa.array(queue, pa.int32()), pa.array(before, pa.int64()),
+                     few.column("doc_id"), pa.array(n, pa.int64()), pa.array(raw, pa.binary())], schema=arrow)
     docs = columns_of(documents, "doc_id", "source", "text")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"),
                        F.col("text").cast("string").alias("text"))
-    return stage(docs.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "encoded")
+    return stage(docs.coalesce(PARTS).mapInArrow(run, schema), "encoded")
 
 
 def id_form(name: str) -> str:
@@ -238,65 +270,23 @@ def id_form(name: str) -> str:
 
 
 # packing ------------------------------------------------------------------------------------------
-def queues_of(docs: DataFrame, mixture: dict[str | None, float] | None, queues: int = QUEUES) -> tuple[list, list[int], list[float] | None]:
-    """Names of the queues (the last one is for all other sources), their tokens and their shares."""
-    totals = docs.groupBy("source").agg(F.sum("n").alias("n"))
-    named = totals
-    if mixture is not None:
-        listed = [m for m in mixture if m is not None]
-        named = totals.filter(F.col("source").isin(listed) | (F.col("source").isNull() if None in mixture else F.lit(False)))
-    top = named.orderBy(F.desc("n"), F.col("source").asc_nulls_first()).limit(queues - 1).collect()
-    whole = totals.agg(F.sum("n")).first()[0] or 0
-    tokens = [r["n"] for r in top]
-    shares = None if mixture is None else [*(float(mixture[r["source"]]) for r in top), 0.0]
-    return [r["source"] for r in top], [*tokens, whole - sum(tokens)], shares
-
-
-def queue_number(names: list) -> Column:
-    known = {n: i for i, n in enumerate(names) if n is not None}
-    table = F.create_map(*[F.lit(x) for kv in known.items() for x in kv]) if known else None
-    other = F.lit(len(names))
-    found = F.coalesce(F.element_at(table, F.col("source")), other) if known else other
-    return F.when(F.col("source").isNull(), F.lit(names.index(None)) if None in names else other).otherwise(found).cast("int")
-
-
-def positions(docs: DataFrame, names: list) -> DataFrame:
-    """(row, queue, position): tokens of the queue before each document, in doc_id order.
-
-    Two levels over narrow rows: running sums inside range parts, then the sums of the parts before. Equal ids of a
-    frequent source are told apart by length, content and row, so no part grows with them.
-    """
-    keys = ["queue", F.col("doc_id").asc_nulls_first(), "n", "digest", "row"]
-    narrow = docs.select("row", queue_number(names).alias("queue"), "doc_id", "n", F.xxhash64("ids").alias("digest"))
-    ordered = narrow.repartitionByRange(*keys).sortWithinPartitions(*keys).select("row", "queue", "n")
-    schema = "row bigint, queue int, n bigint, part int, before bigint"
-    arrow = arrow_schema(schema)
+def earlier_parts(docs: DataFrame) -> DataFrame:
+    """(part, queue, sum, earlier): tokens of a queue in a part and in all parts before."""
+    sums = docs.groupBy("part", "queue").agg(F.sum("n").alias("sum"))
+    return sums.withColumn("earlier", F.sum("sum").over(W.partitionBy("queue").orderBy("part")) - F.col("sum"))
 
-    def run(batches):
-        import pyarrow as pa
-        from pyspark import TaskContext
-        part, done = TaskContext.get().partitionId(), {}
-        for b in batches:
-            queue, n = b.column("queue").to_numpy(), b.column("n").to_numpy()
-            before = np.cumsum(n) - n
-            for q, first in zip(*np.unique(queue, return_index=True)):
-                mine = queue == q
-                before[mine] += done.get(q, 0) - before[first]
-                done[q] = done.get(q, 0) + int(n[mine].sum())
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("queue"), b.column("n"), pa.array(np.full(len(n), part, np.int32)),
-                                              pa.array(before)], schema=arrow)
-    placed = stage(ordered.mapInArrow(run, schema), "places")
-    sums = placed.groupBy("part", "queue").agg(F.sum("n").alias("sum"))
-    earlier = sums.select("part", "queue", (F.sum("sum").over(W.partitionBy("queue").orderBy("part")) - F.col("sum")).alias("earlier"))
-    return placed.join(earlier, ["part", "queue"]).select("row", "queue", (F.col("before") + F.col("earlier")).alias("position"))
-
-
-def pack(documents: DataFrame, mixture: dict[str | None, float] | None = None, sequence: int = SEQUENCE, window: int = 1,
+
+def pack(documents: DataFrame, mixture: dict[str | None, float] | None = None, sequence: int = SEQUENCE, window: int = WINDOW,
          name: str = FILE, end_id: int = END_ID) -> DataFrame:
     """Stored sequences: sequence_id, n, ids (little-endian unsigned 32-bit, padded with the end id to ``sequence`` unless n is
     a power of two), pieces. A window is ``window`` sequences; ``mixture`` names target shares by source."""
-    docs = encoded(documents, name, end_id)
-    names, tokens, shares = queues_of(docs, mixture)
+    names = queue_names(documents, mixture)
+    docs = encoded(documents, names, name, end_id)
+    parts = stage(earlier_parts(docs), "queue-parts")
+    tokens = [0] * (len(names) + 1)
+    for r in parts.groupBy("queue").agg(F.sum("sum").alias("n")).collect():
+        tokens[r["queue"]] = r["n"]
+    shares = None if mixture is None else [*(float(mixture[s]) for s in names), 0.0]
     size = window * sequence
     phases = schedule(tokens, size, shares)
     cut = "sequence_id bigint, offset bigint, doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary"
@@ -305,13 +295,14 @@ def pack(documents: DataFrame, mixture: dict[str | None, float] | None = None, s
 
     def pieces(batches):
         import pyarrow as pa
-        place = Placer(phases, size, sequence)
+        place, large = Placer(phases, size, sequence), zstandard.ZstdDecompressor()
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 got: list[list] = [[] for _ in cut_arrow]
                 for doc_id, n, raw, queue, position in zip(*(b.slice(at, 500).column(c).to_pylist()
                                                              for c in ("doc_id", "n", "ids", "queue", "position"))):
                     s, o, begin, length = (x.tolist() for x in place.pieces(queue, position, n))
+                    raw = large.decompress(raw, n * width)
                     for column, values in zip(got, (s, o, [doc_id] * len(s), begin, length, [n] * len(s),
                                                     [raw[i * width:(i + m) * width] for i, m in zip(begin, length)])):
                         column += values
@@ -345,9 +336,12 @@ def pack(documents: DataFrame, mixture: dict[str | None, float] | None = None, s
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(out_arrow)], schema=out_arrow)
 
     near = F.expr("sequence_id div 64")
-    placed = docs.join(positions(docs, names), "row").select("doc_id", "n", "ids", "queue", "position").mapInArrow(pieces, cut) \
-        .repartition(near).sortWithinPartitions("sequence_id", "offset")
-    return stage(placed.mapInArrow(filled, out), "sequences")
+    before = F.broadcast(parts.select("part", "queue", "earlier"))                # at most PARTS x QUEUES rows
+    placed = docs.join(before, ["part", "queue"]).select("doc_id", "n", "ids", "queue", (F.col("before") + F.col("earlier")).alias("position")) \
+        .mapInArrow(pieces, cut).repartition(near).sortWithinPartitions("sequence_id", "offset")
+    folder = shared_folder(documents.sparkSession, "sequences")
+    placed.mapInArrow(filled, out).write.option("compression", "zstd").parquet(folder)
+    return documents.sparkSession.read.schema(out).parquet(folder)
 
 
 def piece_digests(sequences: DataFrame) -> DataFrame:
