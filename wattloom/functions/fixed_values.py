@@ -221,3 +221,7 @@ def holidays() -> list[tuple[str, str]]:
 
 def calendar_years() -> list[int]:
     return sorted({int(day[:4]) for day, _ in holidays()})
+
+# fixed values: texts of a CSV field that mean a missing value
+MISSING_WORDS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+                 "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")

@@ -194,8 +194,8 @@ def job_days(df: DataFrame, jobs: DataFrame, cfg: Settings = DEFAULT, part: str
         if "start" in jobs.columns:
             begin = F.greatest(begin, day(F.col("start")))
     spans = spans.withColumns({"_begin": begin, "_end": end}).filter("_begin <= _end")
-    return spans.withColumn("date_key", date_key(F.explode(F.sequence("_begin", "_end")))) \
-        .drop("_begin", "_end", "_first", "_last")
+    return spans.withColumn("_day", F.explode(F.sequence("_begin", "_end"))).withColumn("date_key", date_key("_day")) \
+        .drop("_day", "_begin", "_end", "_first", "_last")
 
 
 def job_rows(df: DataFrame, jobs: DataFrame, cfg: Settings = DEFAULT,

@@ -16,9 +16,27 @@ from pyspark.sql import types as T
 from wattloom.config import DEFAULT, Settings
 from wattloom.functions.columns import nan_to_null, plus_minutes
 
-# fixed values: date text forms that are understood, tried in this order
-DATE_FORMATS = ("yyyyMMdd", "yyyy-MM-dd", "yyyy/MM/dd", "yyyy.MM.dd", "yyyy-MM-dd HH:mm:ss",
-                "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy/MM/dd HH:mm:ss")
+# fixed values: date text forms that are understood, by the shape of the text; of several forms of a shape the first that fits
+DATE_SHAPES = (
+    (r"^\d{8}$", ("yyyyMMdd",)),
+    (r"^\d{4}-\d{1,2}-\d{1,2}$", ("yyyy-M-d",)),
+    (r"^\d{4}/\d{1,2}/\d{1,2}$", ("yyyy/M/d",)),
+    (r"^\d{4}\.\d{1,2}\.\d{1,2}$", ("yyyy.M.d",)),
+    (r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{2}$", ("yyyy-M-d H:mm", "yyyy-M-d'T'H:mm")),
+    (r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{2}:\d{2}$", ("yyyy-M-d H:mm:ss", "yyyy-M-d'T'H:mm:ss")),
+    (r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{2}$", ("yyyy/M/d H:mm",)),
+    (r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{2}:\d{2}$", ("yyyy/M/d H:mm:ss",)),
+    (r"^\d{8}[ T]\d{4}$", ("yyyyMMdd HHmm", "yyyyMMdd'T'HHmm")),
+    (r"^\d{14}$", ("yyyyMMddHHmmss",)),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", ("M/d/yyyy", "d/M/yyyy")),
+    (r"^\d{1,2}-\d{1,2}-\d{4}$", ("M-d-yyyy", "d-M-yyyy")),
+    (r"^\d{1,2}\.\d{1,2}\.\d{4}$", ("M.d.yyyy", "d.M.yyyy")),
+    (r"^[A-Za-z]{3} \d{1,2},? \d{4}$", ("MMM d, yyyy", "MMM d yyyy")),
+    (r"^[A-Za-z]{4,} \d{1,2},? \d{4}$", ("MMMM d, yyyy", "MMMM d yyyy")),
+    (r"^\d{1,2}[ -][A-Za-z]{3}[ -]\d{4}$", ("d MMM yyyy", "d-MMM-yyyy")),
+    (r"^\d{1,2} [A-Za-z]{4,} \d{4}$", ("d MMMM yyyy",)),
+)
+SOURCE_DAY = "src_day"            # name of a source column "day" beside the parsed date
 
 
 class RuleViolation(ValueError):
@@ -103,13 +121,21 @@ def reject_negative_power(df: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
 def parse_mixed_date(c: Column | str) -> Column:
     """Date text in mixed forms; a trailing ``.0`` is removed, failure gives null.
 
-    A time of day in the text is kept: such a text makes its own "day" for the hour checks.
+    The shape of the text picks the forms that are tried. Month first, day first only where the month cannot be one. A time of
+    day in the text is kept: such a text makes its own "day" for the hour checks.
     """
-    text = F.regexp_replace((F.col(c) if isinstance(c, str) else c).cast("string"), r"\.0$", "")
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS])
+    text = F.trim(F.regexp_replace((F.col(c) if isinstance(c, str) else c).cast("string"), r"\.0$", ""))
+    out = None
+    for shape, forms in DATE_SHAPES:
+        found = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in forms])
+        out = F.when(text.rlike(shape), found) if out is None else out.when(text.rlike(shape), found)
+    return out
 
 
 def with_date(df: DataFrame, date_col: str = "dt") -> DataFrame:
+    """The parsed date as ``day``. A column of the source with that name goes on as ``src_day``."""
+    if "day" in df.columns and date_col != "day":
+        df = df.withColumnRenamed("day", SOURCE_DAY)
     return df.withColumn("day", parse_mixed_date(date_col))
 
 
@@ -151,10 +177,10 @@ def hour_quality(df: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
 
 
 def incomplete_days(quality: DataFrame, cfg: Settings = DEFAULT, keep: int = 20) -> DataFrame:
-    """Days that miss hours but have valid ones: kept, and listed (first ones per series)."""
-    w = Window.partitionBy(cfg.series).orderBy("day")
-    return (quality.filter(F.col("hours_ok") & ~F.col("complete"))
-            .withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= keep).drop("_rn"))
+    """Days that miss hours but have valid ones: kept, and listed (first ones per series) with the series' ``total``."""
+    w = Window.partitionBy(cfg.series)
+    return (quality.filter(F.col("hours_ok") & ~F.col("complete")).withColumn("total", F.count(F.lit(1)).over(w))
+            .withColumn("_rn", F.row_number().over(w.orderBy("day"))).filter(F.col("_rn") <= keep).drop("_rn"))
 
 
 def drop_bad_hour_days(df: DataFrame, quality: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
@@ -180,6 +206,14 @@ def normalize_hour(df: DataFrame) -> DataFrame:
     return df.withColumn("hour", F.when(valid_hour(), F.col("hr").cast("int")))
 
 
+def require_hours(df: DataFrame) -> DataFrame:
+    """Stop where a row has no hour after the days with bad hours are gone."""
+    n = df.filter(F.col("hour").isNull()).count()
+    if n:
+        raise RuleViolation(f"{n} rows without an hour of 0..23 are left")
+    return df
+
+
 # -- B13 - B15 -----------------------------------------------------------------------------
 
 def build_hour_ts(df: DataFrame) -> DataFrame:
@@ -261,12 +295,12 @@ def require_calendar_years(df: DataFrame, holidays: DataFrame, cfg: Settings = D
     return df
 
 
-def number_faults(df: DataFrame, columns, cfg: Settings = DEFAULT) -> DataFrame:
-    """One pass, one row: infinite values per column, rows with negative power, rows without a series."""
-    return df.agg(*[F.count_if(F.abs(F.col(c).cast("double")) == math.inf).alias(c)
-                    for c in columns],
-                  F.count_if(F.least(*cfg.power) < 0).alias("negative_power"),
-                  F.count_if(F.col(cfg.series).isNull()).alias("missing_series"))
+def number_faults(columns, cfg: Settings = DEFAULT) -> list[Column]:
+    """Counts of infinite values per column, rows with negative power, rows without a series: for one aggregate or as metrics
+    of a run that reads the rows anyway."""
+    return [*[F.count_if(F.abs(F.col(c).cast("double")) == math.inf).alias(c) for c in columns],
+            F.count_if(F.least(*cfg.power) < 0).alias("negative_power"),
+            F.count_if(F.col(cfg.series).isNull()).alias("missing_series")]
 
 
 def numeric_texts(df: DataFrame, columns) -> list[str]:
@@ -282,24 +316,42 @@ def numeric_texts(df: DataFrame, columns) -> list[str]:
     return [c for c in columns if row[c]]
 
 
-def ingest(raw: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
-    """Numeric check, rules that stop the run, and NaN to null.
+def numeric_names(raw: DataFrame, cfg: Settings = DEFAULT) -> list[str]:
+    """Columns that must be numbers."""
+    return ["hr", *cfg.power, *[c for c in cfg.context if c in raw.columns]]
 
-    The rules see all rows, also those whose date turns out to be unreadable. Columns of unknown
-    role become numbers when all their texts are numbers; the leak detection judges them.
-    """
+
+def as_numbers(raw: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
+    """Texts of numeric columns, and of columns of unknown role that hold numbers only, as numbers; the leak
+    detection judges the latter."""
     require_columns(raw, [cfg.series, "dt", "hr", *cfg.power])
-    numeric = ["hr", *cfg.power, *[c for c in cfg.context if c in raw.columns]]
+    numeric = numeric_names(raw, cfg)
     texts = [f.name for f in raw.schema.fields if isinstance(f.dataType, T.StringType)]
     unknown = [c for c in texts if c not in (*numeric, cfg.series, "dt", "src_file")]
-    df = strict_numeric(raw, [c for c in texts if c in numeric] + numeric_texts(raw, unknown))
-    faults = {k: n for k, n in number_faults(df, numeric, cfg).first().asDict().items() if n}
+    return strict_numeric(raw, [c for c in texts if c in numeric] + numeric_texts(raw, unknown))
+
+
+def refuse_faults(counts: dict[str, int]) -> None:
+    faults = {k: n for k, n in counts.items() if n}
     if faults:
         raise RuleViolation(f"infinite values, negative power or a missing series: {faults}")
+
+
+def without_nan(df: DataFrame) -> DataFrame:
     doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
     return df.withColumns({c: nan_to_null(c) for c in doubles})
 
 
+def ingest(raw: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
+    """Numeric check, rules that stop the run, and NaN to null.
+
+    The rules see all rows, also those whose date turns out to be unreadable.
+    """
+    df = as_numbers(raw, cfg)
+    refuse_faults(df.agg(*number_faults(numeric_names(raw, cfg), cfg)).first().asDict())
+    return without_nan(df)
+
+
 def require_ok(report: DataFrame, what: str) -> None:
     """Raise when a report with an ``ok`` column holds a row that is not ok."""
     bad = report.filter(~F.col("ok")).limit(5).collect()

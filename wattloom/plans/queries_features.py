@@ -10,6 +10,7 @@ from wattloom.plans import fixtures as x
 from wattloom.plans import preprocess
 from wattloom.plans.queries_raw import DROPS, LONG, filled_sql
 from wattloom.plans.registry import REGISTRY
+from wattloom.session import shared_folder
 
 add = REGISTRY.add
 KEY = "series_id ts:t"
@@ -206,6 +207,51 @@ def flagship(t):
     return preprocess.preprocess(t.hourly, t.holidays)
 
 
+def _metrics(step: str, source: str, **cells: str) -> str:
+    return "SELECT * FROM (" + " UNION ALL ".join(
+        f"SELECT '{step}' AS step, '{name}' AS metric, CAST({c} AS VARCHAR) AS value FROM {source}" for name, c in cells.items()) + ")"
+
+
+AUDIT_SQL = " UNION ALL ".join([
+    _metrics("input", "hourly", rows="count(*)", columns="max(18)"),
+    _metrics("bad_dates", "dated WHERE day0 IS NULL", rows="count(*)"),
+    _metrics("schema", "dated WHERE day0 IS NOT NULL", rows="count(*)", columns="max(18)", context="max(5)", absent="max('')"),
+    _metrics("calendar", "(SELECT 1)", given="max('true')"),
+    _metrics("hours", "quality", good_days="count(*) FILTER (WHERE hours_ok)", bad_days="count(*) FILTER (WHERE NOT hours_ok)",
+             incomplete_days="count(*) FILTER (WHERE n_rows <> 24)"),
+    _metrics("incomplete_kept", "quality WHERE hours_ok AND n_rows <> 24", days="count(*)"),
+    _metrics("bad_hour_days", "quality WHERE NOT hours_ok", days="count(*)", rows="coalesce(sum(n_rows), 0)"),
+    _metrics("time_axis", "spans_", first="strftime(min(ts), '%Y-%m-%d %H:%M:%S')", last="strftime(max(ts), '%Y-%m-%d %H:%M:%S')",
+             rows="count(*)", gaps="count(*) FILTER (WHERE gap > INTERVAL '1 hour')"),
+    _metrics("leaks", "drops", dropped="count(*)", columns="string_agg(c, ',' ORDER BY c)", checked="max(10)"),
+    _metrics("imputation", "clean JOIN imputed i USING (series_id, ts)", **{
+        f"{m}_{c}": v for c in ("production", "temp", "wind", "humidity") for m, v in (
+            ("missing", f"count(*) FILTER (WHERE clean.{c} IS NULL)"), ("left", f"count(*) FILTER (WHERE i.{c} IS NULL)"),
+            ("filled", f"count(*) FILTER (WHERE clean.{c} IS NULL AND i.{c} IS NOT NULL)"))}),
+    _metrics("expansion", "clean", hours="count(*)", intervals="4 * count(*)", per_hour="max(4)"),
+    _metrics("segments", "(SELECT series_id, segment, count(*) AS n FROM seg GROUP BY 1, 2)", segments="count(*)", min_rows="min(n)",
+             max_rows="max(n)"),
+    _metrics("split", "parted", train="count(*) FILTER (WHERE split = 'train')", test="count(*) FILTER (WHERE split = 'test')"),
+    _metrics("unlabelled", "parted", dropped="count(*) FILTER (WHERE y IS NULL)", rows="count(*) FILTER (WHERE y IS NOT NULL)")])
+
+
+@add("a6_run_audit", "step metric value", FLAGSHIP + """,
+spans_ AS (SELECT ts, ts - lag(ts) OVER (PARTITION BY series_id ORDER BY ts) AS gap FROM clean)""", AUDIT_SQL)
+def a6_run(t):
+    """The preprocessing run records every rule while it writes the feature table; ``rain`` leaves as a leak of the planted table or stays."""
+    out, audit = shared_folder(t.spark, "features"), shared_folder(t.spark, "audit")
+    preprocess.run(t.hourly, out, audit, t.holidays)
+    return t.spark.read.parquet(f"{audit}/steps").select("step", F.explode("metrics").alias("metric", "value"))
+
+
+@add("a6_run_features", "split rows:i first:t last:t", FLAGSHIP,
+     "SELECT split, count(*) AS rows, min(ts) AS first, max(ts) AS last FROM parted WHERE y IS NOT NULL GROUP BY 1")
+def a6_features(t):
+    """The feature table that the audited run leaves."""
+    made = preprocess.run(t.hourly, shared_folder(t.spark, "features"), shared_folder(t.spark, "audit"), t.holidays)
+    return made.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+
+
 @add("f_all_features", TABLE_WORDS.replace(" split", "") + " rain_lag4:r", x.SEG + ",\n" + activity_ctes("dense") + ",\n"
      + x.HOLIDAYS, f"SELECT s.*, {SEGMENT_SQL}, {CALENDAR_SQL}, days_since_active, prev_day_active, "
      + ", ".join(f"lag({c[:-5]}, 4) OVER w AS {c}" for c in DELAYED)

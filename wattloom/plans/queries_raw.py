@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from wattloom.operators import features, impute, leaks, requests, reshape, split, validate
 from wattloom.plans import fixtures as x
 from wattloom.plans.registry import REGISTRY
-from wattloom.session import shared_folder
+from wattloom.session import shared_folder, stage
 from wattloom.sources import dimensions, raw, results
 
 add = REGISTRY.add
@@ -42,6 +42,22 @@ def a1_rows(t):
                 & (F.col("s") == F.expr("n * (n + 3) div 2"))).alias("contiguous")))
 
 
+@add("a1_missing_words", "series_id q1_missing:i temp_missing:i production:r", x.HOURLY,
+     "SELECT series_id, count(*) FILTER (WHERE src_row % 19 = 0) AS q1_missing, count(*) FILTER (WHERE src_row % 7 < 3 OR temp IS NULL) "
+     "AS temp_missing, sum(production) AS production FROM hourly GROUP BY 1")
+def a1_missing(t):
+    """Words that stand for a missing value in a CSV field are missing, not a fault."""
+    path = shared_folder(t.spark, "raw-csv")
+    n = F.col("src_row")
+    words = F.element_at(F.array(*[F.lit(w) for w in ("NA", "N/A", "null")]), (n % 7 + 1).cast("int"))
+    t.hourly.select("series_id", "src_row", "production", F.when(n % 19 == 0, "NaN").otherwise(F.col("q1").cast("string")).alias("q1"),
+                    F.when(n % 7 < 3, words).otherwise(F.col("temp").cast("string")).alias("temp")) \
+        .write.csv(path, header=True)
+    back = validate.strict_numeric(raw.scan_raw(t.spark, path, number_rows=False), ["q1", "temp", "production"])
+    return back.groupBy("series_id").agg(F.count_if(F.col("q1").isNull()).alias("q1_missing"),
+                                         F.count_if(F.col("temp").isNull()).alias("temp_missing"), F.sum("production").alias("production"))
+
+
 FEATURE_COLS = "series_id ts:t date_key:i split kw:r y:r kw_lag4:r"
 
 
@@ -222,6 +238,22 @@ def b5(t):
     return validate.with_date(t.hourly)
 
 
+FORMS = [("yyyyMMdd", "%Y%m%d"), ("yyyy-MM-dd", "%Y-%m-%d"), ("yyyy/M/d", "%Y/%-m/%-d"), ("yyyy.MM.dd", "%Y.%m.%d"), ("M/d/yyyy", "%-m/%-d/%Y"),
+         ("MMM d, yyyy", "%b %-d, %Y"), ("MMMM d, yyyy", "%B %-d, %Y"), ("d MMM yyyy", "%-d %b %Y"), ("d-MMM-yyyy", "%-d-%b-%Y"),
+         ("yyyy-MM-dd H:mm:ss", "%Y-%m-%d %-H:%M:%S"), ("yyyy-MM-dd'T'HH:mm", "%Y-%m-%dT%H:%M"), ("yyyyMMddHHmmss", "%Y%m%d%H%M%S")]
+
+
+@add("b5_date_forms", "o_orderkey:i text day:t", x.TARIFF,
+     "SELECT o_orderkey, text, CASE WHEN form >= 9 THEN date_trunc(CASE WHEN form = 10 THEN 'minute' ELSE 'second' END, ts) ELSE date_trunc('day', ts) END AS day "
+     "FROM (SELECT o_orderkey, ts, o_orderkey % 12 AS form, CASE o_orderkey % 12 "
+     + " ".join(f"WHEN {i} THEN strftime(ts, '{f}')" for i, (_, f) in enumerate(FORMS)) + " END AS text FROM tariff)")
+def b5_forms(t):
+    """Dates of all forms that the reference reads, one form per row; a month that cannot be one makes the day come first."""
+    form = (F.col("o_orderkey") % len(FORMS)).cast("int")
+    text = F.coalesce(*[F.when(form == i, F.date_format("ts", f)) for i, (f, _) in enumerate(FORMS)])
+    return validate.with_date(t.tariff.withColumn("text", text), "text")
+
+
 @add("b6_drop_bad_dates", "series_id kept:i dropped:i src_rows", x.DATED + """,
 bad AS (SELECT series_id, src_row, row_number() OVER (PARTITION BY series_id ORDER BY src_row) AS rn
   FROM dated WHERE day0 IS NULL),
@@ -265,6 +297,15 @@ def b10(t):
     return validate.incomplete_days(quality)
 
 
+@add("b10_incomplete_total", "series_id total:i listed:i", x.QUALITY,
+     "SELECT series_id, count(*) AS total, least(count(*), 2) AS listed FROM quality WHERE hours_ok AND n_rows <> 24 GROUP BY 1")
+def b10_total(t):
+    """The list is cut, the number of days is not."""
+    quality = validate.hour_quality(validate.drop_bad_dates(validate.with_date(t.hourly)))
+    return validate.incomplete_days(quality, keep=2).groupBy("series_id").agg(
+        F.max("total").alias("total"), F.count(F.lit(1)).alias("listed"))
+
+
 @add("b11_drop_bad_hour_days", "series_id src_row:i dt hr:r", x.QUALITY,
      "SELECT d.series_id, src_row, dt, hr FROM dated d JOIN quality q ON q.series_id = d.series_id "
      "AND q.day0 = d.day0 AND q.hours_ok")
@@ -506,6 +547,18 @@ def c8(t):
     return out.withColumn("n_columns", F.lit(len(out.columns))).withColumn("dropped", F.lit(",".join(names)))
 
 
+@add("c8_source_day", "column key:s identity n_rows:i", x.CLEAN,
+     "SELECT 'src_day' AS \"column\", 'dayofweek' AS key, 'dayofweek+1' AS identity, count(*) AS n_rows FROM clean")
+def c8_day(t):
+    """A source column named ``day`` (a weekday number) stands beside the parsed date and is judged like any other."""
+    weekday = (F.weekday(validate.parse_mixed_date("dt")) + 1).cast("double")
+    rows = stage(validate.build_hour_ts(validate.normalize_hour(validate.drop_bad_dates(validate.with_date(
+        t.hourly.withColumn("day", weekday))))).filter(~F.dayofmonth("day").isin(13, 15)), "source-day")
+    hit = leaks.calendar_hits(rows, [validate.SOURCE_DAY])
+    same = leaks.calendar_identity(rows, [validate.SOURCE_DAY])
+    return hit.join(same, "column").withColumn("n_rows", F.lit(rows.count()))
+
+
 # -- D: imputation -------------------------------------------------------------------------
 
 def filled_sql(c: str) -> str:

@@ -14,7 +14,8 @@ FEATURE_COLUMNS = ("series_id", "ts", "date_key", "split", "kw", "y")
 
 def scan_raw(spark: SparkSession, path: str, series: str | None = None,
              columns: dict[str, str] | None = None, number_rows: bool = True) -> DataFrame:
-    """CSV with header, UTF-8 with or without byte-order mark, all columns as text.
+    """CSV with header, UTF-8 with or without byte-order mark, all columns as text. A field that holds one of
+    ``MISSING_WORDS`` is missing.
 
     ``columns`` maps headers of the file to the names used here (the usual ones by default);
     other headers keep their name. ``series`` names the meter where the file has no ``series_id``.
@@ -26,13 +27,15 @@ def scan_raw(spark: SparkSession, path: str, series: str | None = None,
     """
     text = (spark.read.option("header", True).csv(path)
             .withColumnsRenamed(fv.SOURCE_COLUMNS if columns is None else columns))
+    fields = text.columns
+    if number_rows:
+        text = text.select("*", F.col("_metadata.file_path").alias("src_file"), F.col("_metadata.file_block_start").alias("_at"))
+    text = text.withColumns({c: F.when(~F.col(f"`{c}`").isin(*fv.MISSING_WORDS), F.col(f"`{c}`")) for c in fields})
     if series is not None:
         text = text.withColumn("series_id", F.lit(series))
     if not number_rows:
         return text
-    rows = (text.withColumn("src_file", F.col("_metadata.file_path"))
-            .withColumn("_at", F.col("_metadata.file_block_start"))
-            .withColumn("_id", F.monotonically_increasing_id()))
+    rows = text.withColumn("_id", F.monotonically_increasing_id())
     earlier = (Window.partitionBy("src_file").orderBy("_at")
                .rowsBetween(Window.unboundedPreceding, -1))
     sizes = (rows.groupBy("src_file", "_at")
