@@ -2,12 +2,15 @@
 
 from inspect import signature
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from wattloom.config import DEFAULT
-from wattloom.operators import models, split
+from wattloom.functions import fixed_values as fv
+from wattloom.operators import extra_trees, models, split
 from wattloom.plans import load_all
+from wattloom.session import shared_folder
 
 MONTHS_DIR = "/root/testdata/sf0.01"        # the smallest tables with a meter of several months
 
@@ -49,7 +52,7 @@ def settings(monkeypatch):
 @pytest.mark.parametrize("name", ["g21_fit_tree_model", "g23_batch_score", "j10_stream_scoring"])
 def test_tree_queries_fit_the_default_model(spark, settings, name):
     assert load_all().queries[name](spark, MONTHS_DIR).count() > 0
-    assert settings and all(s == {"trees": 300, "depth": 30} for s in settings)
+    assert settings and all(s == {"trees": 300, "depth": 32} for s in settings)
 
 
 def test_sequence_query_runs_its_jobs_with_lookback(spark, settings, monkeypatch):
@@ -66,3 +69,55 @@ def test_sequence_query_runs_its_jobs_with_lookback(spark, settings, monkeypatch
     assert "test" in folds and len(folds) > 1
     assert settings and all(s == {"rounds": 100, "depth": 5, "seeds": (42, 2024, 7)} for s in settings)
     assert parts and not any(parts)
+
+
+def test_default_forest_beats_persistence_and_is_the_same_again(spark):
+    """The default size, on rows whose next value follows from the inputs."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(3000, 25))
+    y = x[:, 0] * 3 + np.sin(3 * x[:, 1]) * 2
+    names = list(fv.TREE_FEATURES)
+    rows = spark.createDataFrame([(float(b), *map(float, a)) for a, b in zip(x, y)], "y double, " + ", ".join(f"{c} double" for c in names))
+    train, test = rows.limit(2500), rows.subtract(rows.limit(2500))
+    model = models.fit_tree_model(train)
+    assert model.trees.count() == 300
+    got = {r.y: r.prediction for r in models.score_tree_model(model, test).collect()}
+    assert np.mean([(a - b) ** 2 for a, b in got.items()]) < 0.2 * y.var()
+    folder = shared_folder(spark, "forest")
+    model.save(folder)
+    again = models.score_tree_model(models.Forest.load(spark, folder), test).collect()
+    assert {r.y: r.prediction for r in again} == got
+    other = models.fit_tree_model(train.repartition(7))
+    assert {r.y: r.prediction for r in models.score_tree_model(other, test).collect()} == got
+
+
+def test_trees_keep_their_rules():
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 4, (500, 3)).astype(np.float32)
+    y = x[:, 0] + rng.normal(size=500)
+    feature, threshold, child, value = extra_trees.grow(x, y, 6, 5, 0.7, np.random.default_rng(0))
+    node, depth = np.zeros(500, int), np.zeros(len(feature), int)
+    for i in np.flatnonzero(feature >= 0):
+        depth[child[i]] = depth[child[i] + 1] = depth[i] + 1
+    for _ in range(7):
+        inner = feature[node] >= 0
+        node = np.where(inner, child[node] + (x[np.arange(500), np.maximum(feature[node], 0)] >= threshold[node]), node)
+    size = np.bincount(node, minlength=len(feature))
+    assert depth.max() <= 6 and size[feature < 0].min() >= 5
+    assert value[feature < 0] == pytest.approx(np.bincount(node, y, len(feature))[feature < 0] / size[feature < 0], abs=1e-5)
+    assert len(extra_trees.grow(np.ones((50, 2), np.float32), np.arange(50.0), 6, 3, 0.7, np.random.default_rng(0))[0]) == 1
+
+
+def test_missing_inputs_take_the_median(spark):
+    rows = spark.createDataFrame([(float(i % 5), float(i % 5), None if i % 3 else 1.0) for i in range(200)], "y double, a double, b double")
+    model = extra_trees.fit(rows, ["a", "b"], trees=5)
+    assert model.medians == [2.0, 1.0]
+    out = model.predict(spark.createDataFrame([(None, float("nan")), (2.0, 1.0)], "a double, b double")).collect()
+    assert out[0].prediction == out[1].prediction
+
+
+def test_samples_are_bounded(spark):
+    rows = spark.range(5000).select((F.col("id") % 7).cast("double").alias("y"), F.col("id").cast("double").alias("a"))
+    model = extra_trees.fit(rows, ["a"], trees=20, sample_rows=500)
+    nodes = [len(r.feature) // 4 for r in model.trees.collect()]
+    assert len(nodes) == 20 and max(nodes) < 2 * 600 / 3

@@ -225,3 +225,11 @@ def calendar_years() -> list[int]:
 # fixed values: texts of a CSV field that mean a missing value
 MISSING_WORDS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
                  "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+
+# fixed values: field names of a stored results document
+RESULTS_FOLDS = "구간별_원자료"            # model -> fold -> scores
+RESULTS_SEARCH = "결합비율탐색"            # the search for the blend weight
+RESULTS_TABLE = "표"                    # its table: one entry per weight
+RESULTS_WEIGHT, RESULTS_FORWARD, RESULTS_TEST = "트리비중", "전진검증_평균", "시험"
+RESULTS_CHOSEN, RESULTS_BY = "선정_트리비중", "선정기준"
+RESULTS_SCORES = ("MSE", "RMSE", "MAE", "R2", "bias", "rows")

@@ -11,7 +11,9 @@
 4. Inside a group, pairs must also pass the prefixes of the other orders (bit masks, lossless), the length
    filter and a parity mask: two sets differ in at least as many shingles as their masks differ in bits.
    Pairs found so must pass a second parity mask, whose size follows that of the set (lossless as well, a
-   sixteenth of the set); what is left is verified on the full sets.
+   sixteenth of the set); what is left is verified on the full sets. A pair stands in a group for each shared token, but
+   leaves only the first of them: a row carries the node's first ``HEADS`` tokens of order one, and a pair is passed over where a
+   token that comes before the group's own is in both lists. At its first common token no pair is passed over.
 5. Only links between nodes that are not connected yet matter. One round looks at a few tokens of each node and
    takes a spanning forest of their candidates; the second takes every candidate between different components
    over all tokens, so no link that would join two components is missed.
@@ -39,6 +41,7 @@ WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5           # similarity 4/5
 COUNTERS, SLICE = 1 << 20, 1 << 12
 BLOCK = 1_500                                     # nodes of a frequent token in one block
 FEW_TOKENS = 6                                    # tokens of a node in the first round
+HEADS = 8                                         # first shared tokens of a node that its rows carry
 MASK_WORDS, ORDER_WORDS = 8, 4                    # 64-bit words of the parity mask and of those of the orders
 SCHEMA = "doc_id bigint, n_shingles bigint, component_id bigint"
 
@@ -52,15 +55,16 @@ _BYTES = np.random.default_rng(11).integers(0, 1 << 64, 256, np.uint64) | np.uin
 _BASE = 0x9FB21C651E98DF25
 _BREAK = np.zeros(256, bool)
 _BREAK[[32, *range(9, 14)]] = True
-PIECE = 1 << 22                                   # bytes of text hashed at a time
+PIECE = 1 << 19                                   # bytes of text hashed at a time
+LONG_WORD = 1 << 16                               # bytes from which a word is hashed on its own
 
 
 @lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64."""
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64, for one piece."""
     out = []
     for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-        p = np.full(n, base, np.uint64)
+        p = np.full(PIECE + LONG_WORD + 1, base, np.uint64)
         p[0] = 1
         out.append(np.multiply.accumulate(p))
     return tuple(out)
@@ -72,14 +76,44 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of each word: sums of byte values times powers of a base, moved to the start of the word."""
+    """Start and hash of each word: sums of byte values times powers of a base, moved to the start of the word.
+
+    Pieces end where a word ends, so memory does not grow with the text; words of more than ``LONG_WORD`` bytes have a
+    hash of another kind.
+    """
+    import xxhash
     x = np.frombuffer(raw, np.uint8)
-    inside = ~_BREAK[x]
-    edge = np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = _powers(1 << max(22, (len(x) + 1).bit_length()))
+    starts, hashes, at = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], 0
+    while at < len(x):
+        end = min(len(x), at + PIECE)
+        while end < len(x) and not _BREAK[x[end]]:                 # on to the end of the word
+            ahead = np.flatnonzero(_BREAK[x[end:end + PIECE]])
+            end = end + int(ahead[0]) if len(ahead) else min(len(x), end + PIECE)
+        part = x[at:end]
+        inside = ~_BREAK[part]
+        edge = np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0))
+        first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        long = np.flatnonzero(last - first > LONG_WORD)
+        if len(long) == 0:
+            h = _short(part, first, last)
+        else:
+            h = np.empty(len(first), np.uint64)
+            cuts = [0, *(c for w in long.tolist() for c in (w, w + 1)), len(first)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi - lo == 1 and last[lo] - first[lo] > LONG_WORD:
+                    h[lo] = xxhash.xxh3_64_intdigest(raw[at + first[lo]:at + last[lo]])
+                elif hi > lo:
+                    h[lo:hi] = _short(part[first[lo]:last[hi - 1]], first[lo:hi] - first[lo], last[lo:hi] - first[lo])
+        starts.append(first + at)
+        hashes.append(h)
+        at = end
+    return np.concatenate(starts), np.concatenate(hashes)
+
+
+def _short(x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    up, down = _powers()
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[x] * up[:len(x)])))
-    return starts, mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
@@ -212,21 +246,29 @@ def index_rows(representatives: DataFrame, counters) -> DataFrame:
                 sets = [s for s in shingle_sets(b.column(0).slice(at, 500).to_pylist()) if len(s)]
                 if not sets:
                     continue
-                nodes, sizes, tokens, seen, masks = [node_of(s) for s in sets], [len(s) for s in sets], [], [], []
+                nodes, sizes, tokens, seen, ranks, masks = [node_of(s) for s in sets], [len(s) for s in sets], [], [], [], []
                 for s in sets:
                     counts, k = table[(s & np.uint64(COUNTERS - 1)).astype(np.intp)], prefix_size(len(s))
                     head = prefix(s, counts, np.uint64(1), k)
+                    head = head[np.lexsort((s[head], np.minimum(counts[head], np.uint64(2**31 - 1))))]
+                    shared = counts[head] > 1                           # tokens that another node may have, in their order
+                    first = np.zeros(HEADS, np.uint64)
+                    first[:min(HEADS, int(shared.sum()))] = s[head[shared][:HEADS]]
                     tokens.append(s[head].view(np.int64))
                     seen.append(counts[head])
+                    ranks.append(np.minimum(np.cumsum(shared) - shared, HEADS))
                     others = (s[prefix(s, counts >> np.uint64(j), m, k)] for j, m in enumerate(_ORDERS, 1))
-                    masks.append(b"".join([mask_of(s, MASK_WORDS, True), *(mask_of(o, ORDER_WORDS, False) for o in others)]))
+                    masks.append(b"".join([mask_of(s, MASK_WORDS, True), *(mask_of(o, ORDER_WORDS, False) for o in others),
+                                           first.tobytes()]))
                 n = len(sets)
-                yield pa.nulls(n, pa.int64()), nodes, sizes, pa.nulls(n, pa.int32()), masks, list(map(wide_mask, sets))
+                yield (pa.nulls(n, pa.int64()), nodes, sizes, pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), masks,
+                       list(map(wide_mask, sets)))
                 lengths = [len(t) for t in tokens]
                 n = sum(lengths)
                 yield (np.concatenate(tokens), np.repeat(np.array(nodes), lengths), np.repeat(np.array(sizes, np.int32), lengths),
-                       np.minimum(np.concatenate(seen), 2**31 - 1).astype(np.int32), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()))
-    return _batches(representatives.select("text"), "token bigint, node bigint, n int, seen int, masks binary, wide binary", run)
+                       np.minimum(np.concatenate(seen), 2**31 - 1).astype(np.int32), np.concatenate(ranks).astype(np.int32),
+                       pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()))
+    return _batches(representatives.select("text"), "token bigint, node bigint, n int, seen int, rank int, masks binary, wide binary", run)
 
 
 def shared_tokens(index: DataFrame) -> DataFrame:
@@ -234,7 +276,7 @@ def shared_tokens(index: DataFrame) -> DataFrame:
     def run(batches):
         rest = None
         for b in batches:
-            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
             cols = cols if rest is None else [np.concatenate(p) for p in zip(rest, cols)]
             token = cols[0]
             if not len(token):
@@ -254,10 +296,10 @@ def shared_tokens(index: DataFrame) -> DataFrame:
             same = token[1:] == token[:-1]
             keep = np.concatenate((same, [False])) | np.concatenate(([False], same))
             yield tuple(c[keep] for c in cols)
-    few = index.filter((F.col("seen") > 1) & (F.col("seen") <= BLOCK)).select("token", "node", "n", "seen")
+    few = index.filter((F.col("seen") > 1) & (F.col("seen") <= BLOCK)).select("token", "node", "n", "seen", "rank")
     few = few.repartition("token").sortWithinPartitions("token", "node")
-    many = index.filter(F.col("seen") > BLOCK).select("token", "node", "n", "seen")
-    return _batches(few, "token bigint, node bigint, n int, seen int", run).unionByName(many)
+    many = index.filter(F.col("seen") > BLOCK).select("token", "node", "n", "seen", "rank")
+    return _batches(few, "token bigint, node bigint, n int, seen int, rank int", run).unionByName(many)
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
@@ -272,14 +314,14 @@ def _blocks(rows: DataFrame) -> DataFrame:
 def candidates(rows: DataFrame, every: bool) -> DataFrame:
     """Pairs of nodes in different components that pass all filters; ``every`` one, or a forest of them.
 
-    ``rows``: token, node, n, seen, label, masks.
+    ``rows``: token, node, n, seen, rank, label, masks.
     """
     def run(batches):
         held = None
         for b in batches:
             cols = [np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], axis=1),
-                    *(b.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 5)),
-                    np.frombuffer(b"".join(b.column(6).to_pylist()), np.uint64).reshape(b.num_rows, -1)]
+                    *(b.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 5, 6)),
+                    np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint64).reshape(b.num_rows, -1)]
             cols = cols if held is None else [np.concatenate(p) for p in zip(held, cols)]
             if not len(cols[0]):
                 continue
@@ -291,21 +333,23 @@ def candidates(rows: DataFrame, every: bool) -> DataFrame:
             yield from groups(held)
 
     def groups(cols):
-        key, node, n, label, masks = cols
+        key, node, n, rank, label, masks = cols
         if not len(key):
             return
         cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
         lows, highs = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(key)]))
         two = lows[highs - lows == 2]                               # most groups are pairs: all of them at once
         good = two[(label[two] != label[two + 1]) & similar(n[two], n[two + 1], masks[two], masks[two + 1])]
+        if every:
+            good = good[first_common(rank[good], masks[good], masks[good + 1])]
         out = [np.stack([node[good], node[good + 1]], axis=1)]
         for lo, hi in zip(lows[highs - lows > 2].tolist(), highs[highs - lows > 2].tolist()):
-            if (label[lo:hi] != label[lo]).any() and (found := group_pairs(node[lo:hi], n[lo:hi], label[lo:hi], masks[lo:hi], every)):
+            if (label[lo:hi] != label[lo]).any() and (found := group_pairs(node[lo:hi], n[lo:hi], rank[lo:hi], label[lo:hi], masks[lo:hi], every)):
                 out.append(np.array(found))
         pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
         if len(pairs):
             yield pairs[:, 0], pairs[:, 1]
-    grouped = _blocks(rows).select("token", "i", "j", "node", "n", "label", "masks") \
+    grouped = _blocks(rows).select("token", "i", "j", "node", "n", "rank", "label", "masks") \
         .repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
     return _batches(grouped, "a bigint, b bigint", run).filter("a <> b").distinct()
 
@@ -315,14 +359,22 @@ def similar(n, m, x, y) -> np.ndarray:
     n, m, both, w = n.astype(np.int64), np.asarray(m, np.int64), x & y, MASK_WORDS
     differ = np.bitwise_count(x[:, :w] ^ y[..., :w]).sum(axis=1).astype(np.int64)
     return ((NUMERATOR * n <= DENOMINATOR * m) & (NUMERATOR * m <= DENOMINATOR * n)
-            & both[:, w:w + ORDER_WORDS].any(axis=1) & both[:, w + ORDER_WORDS:].any(axis=1)
+            & both[:, w:w + ORDER_WORDS].any(axis=1) & both[:, w + ORDER_WORDS:w + 2 * ORDER_WORDS].any(axis=1)
             & ((NUMERATOR + DENOMINATOR) * differ <= (DENOMINATOR - NUMERATOR) * (n + m)))
 
 
-def group_pairs(node, n, label, masks, every: bool) -> list[tuple[int, int]]:
+def first_common(rank, x, y) -> np.ndarray:
+    """Whether none of the tokens before place ``rank`` among the first ones of x is among the first ones of y."""
+    a, b = x[:, -HEADS:], y[..., -HEADS:]
+    b = b if b.ndim == 2 else b[None, :]
+    both = (a[:, :, None] == b[:, None, :]) & (a != 0)[:, :, None]
+    return ~(both.any(axis=2) & (np.arange(HEADS) < rank[:, None])).any(axis=1)
+
+
+def group_pairs(node, n, rank, label, masks, every: bool) -> list[tuple[int, int]]:
     """Candidate pairs of one group (at most two blocks of nodes), by rows of a matrix."""
     _, first = np.unique(node, return_index=True)
-    node, n, label, masks = node[first], n[first].astype(np.int64), label[first], masks[first]
+    node, n, rank, label, masks = node[first], n[first].astype(np.int64), rank[first], label[first], masks[first]
     roots, out = {}, []
 
     def root(x):
@@ -338,6 +390,7 @@ def group_pairs(node, n, label, masks, every: bool) -> list[tuple[int, int]]:
         if not len(js):
             continue
         if every:
+            js = js[first_common(rank[js], masks[js], masks[i])]
             out += [(int(node[j]), int(node[i])) for j in js]
             continue
         for j in js[np.unique(label[js], return_index=True)[1]]:     # one node of each component

@@ -182,21 +182,26 @@ def asof_slice(frame: DataFrame, cursors: DataFrame, cfg: Settings = DEFAULT) ->
             .withColumn("cursor", at).filter(F.col("position") <= F.col("cursor")).drop("_n"))
 
 
-def alerts(frame: DataFrame, cfg: Settings = DEFAULT, keep: int = fv.ALERT_LIMIT) -> DataFrame:
-    """For every time: the newest rows of the day so far whose prediction reaches the threshold
+def at_cursors(frame: DataFrame, cursors: DataFrame | None, cfg: Settings = DEFAULT) -> DataFrame:
+    """Rows of the times asked for: ``cursors`` has (series, ts); None asks for every time."""
+    return frame if cursors is None else frame.join(cursors.select(cfg.series, cfg.ts).distinct(), [cfg.series, cfg.ts], "left_semi")
+
+
+def alerts(frame: DataFrame, cursors: DataFrame | None = None, cfg: Settings = DEFAULT,
+           keep: int = fv.ALERT_LIMIT) -> DataFrame:
+    """For every time asked for: the newest rows of the day so far whose prediction reaches the threshold
     of that time, newest first, with the excess.
 
-    The rows so far are one array per row, at most a day long.
+    Times meet the rows of their own day only, and only rows that reach the threshold are ranked; the cost follows the number
+    of times asked for (``cursors``, by default all).
     """
-    past = F.collect_list(F.struct(F.col(cfg.ts).alias("time"), F.col("target_time"),
-                                   F.col("prediction").alias("predicted"))).over(_so_far(cfg))
-    hits = F.filter("_past", lambda p: p["predicted"] >= F.col("threshold"))
-    listed = frame.withColumn("_past", past).withColumn("_hits", F.slice(
-        F.reverse(hits), 1, keep))
-    return (listed.select(cfg.series, "day_key", F.col(cfg.ts).alias("now"), "threshold",
-                          F.posexplode("_hits").alias("_i", "_h"))
-            .select(cfg.series, "day_key", "now", "threshold", (F.col("_i") + 1).alias("rank"),
-                    "_h.*", (F.col("_h.predicted") - F.col("threshold")).alias("excess")))
+    asked = at_cursors(frame, cursors, cfg).select(cfg.series, "day_key", F.col(cfg.ts).alias("now"), "threshold")
+    rows = frame.select(cfg.series, "day_key", F.col(cfg.ts).alias("time"), "target_time", F.col("prediction").alias("predicted"))
+    hits = asked.join(rows, [cfg.series, "day_key"]).filter((F.col("time") <= F.col("now")) & (F.col("predicted") >= F.col("threshold")))
+    newest = Window.partitionBy(cfg.series, "day_key", "now").orderBy(F.desc("time"))
+    return (hits.withColumn("rank", F.row_number().over(newest)).filter(F.col("rank") <= keep)
+            .select(cfg.series, "day_key", "now", "threshold", "rank", "time", "target_time", "predicted",
+                    (F.col("predicted") - F.col("threshold")).alias("excess")))
 
 
 def risk_state(frame: DataFrame) -> DataFrame:
@@ -245,7 +250,8 @@ def _clock(ts: Column) -> Column:
 
 
 def briefing_facts(frame: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
-    """The numbers of a briefing for every time. Needs threshold, annual_peak and margin columns."""
+    """The numbers of a briefing for every time, with the context known then where the frame has it. Needs threshold,
+    annual_peak and margin columns."""
     step = cfg.step_min
     full = today_error(recent_values(daily_peak_to_now(risk_state(frame), cfg), cfg), cfg)
     ts = F.col(cfg.ts)
@@ -266,7 +272,9 @@ def briefing_facts(frame: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
         half_even(change, 1).alias("change_kw"),
         "today_n", half_even("today_mae", 2).alias("today_mae_kw"),
         half_even("today_max_under", 1).alias("today_max_under_kw"),
-        half_even(F.col("prediction") - F.col("daily_peak"), 1).alias("forecast_minus_max_kw"))
+        half_even(F.col("prediction") - F.col("daily_peak"), 1).alias("forecast_minus_max_kw"),
+        *([F.col("production_lag4").alias("production")] if "production_lag4" in frame.columns else []),
+        *[c for c in ("temp", "wind", "humidity") if c in frame.columns])
 
 
 def hour_profile(frame: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
@@ -297,6 +305,17 @@ def hour_profile(frame: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
                     F.inline(F.concat(F.col("_done"), F.array(now)))))
 
 
+def profile_at(frame: DataFrame, cursors: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
+    """The hour profile of the times asked for (series, ts), with the values as they are shown: mean and maximum to one place,
+    the error to two. Times meet the rows of their own day only."""
+    asked = at_cursors(frame, cursors, cfg).select(cfg.series, "day_key", F.col(cfg.ts).alias("now"))
+    rows = frame.select(cfg.series, "day_key", F.col(cfg.ts).alias("_t"), "kw", F.abs(F.col("y") - F.col("prediction")).alias("_e"))
+    met = asked.join(rows, [cfg.series, "day_key"]).filter(F.col("_t") <= F.col("now"))
+    return met.groupBy(cfg.series, "day_key", "now", F.hour("_t").alias("hour")).agg(
+        half_even(F.avg("kw"), 1).alias("mean_kw"), half_even(F.max("kw"), 1).alias("max_kw"),
+        half_even(F.avg(F.when(F.col("_t") < F.col("now"), F.col("_e"))), 2).alias("mae_kw"))
+
+
 def _num(c: str) -> Column:
     return F.col(c).cast("string")
 

@@ -137,7 +137,8 @@ def staff_match(asked: DataFrame, history: DataFrame, cfg: Settings = DEFAULT, r
         F.col("production").cast("double"), F.col("staff").cast("double"), F.lit(None).cast(questions.schema["_asked"].dataType).alias("_asked"))
     # a question sorts before the records of its own day; equal questions are spread by their hash
     order = [*keys, "_when", "_kind", "_spread"]
-    swept = in_runs(questions.unionByName(records).withColumn("_spread", F.xxhash64("production", "staff", "_asked")), order, run_rows)
+    hashed = [F.col(f"_asked.`{f.name}`") for f in asked.schema.fields if "map<" not in f.dataType.simpleString()]
+    swept = in_runs(questions.unionByName(records).withColumn("_spread", F.xxhash64("production", "staff", *hashed)), order, run_rows)
 
     own = swept.filter("_kind = 1").groupBy(*keys, "run").agg(
         F.array_sort(F.collect_list("production")).alias("seen"),

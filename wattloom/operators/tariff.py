@@ -34,10 +34,15 @@ def load_band(df: DataFrame, bands: DataFrame, cfg: Settings = DEFAULT) -> DataF
 
 
 def with_holiday(df: DataFrame, holidays: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
-    """Flag public holidays; the calendar (at most 366 dates a year) is broadcast."""
+    """Flag public holidays; the calendar (at most 366 dates a year) is broadcast. A year that the calendar does not know stops
+    the job: "no holiday" would be a guess. Rows without a time have no holiday."""
+    day = F.to_date(cfg.ts)
+    known = holidays.agg(F.collect_set(F.year("date")).alias("_years"))
     dim = holidays.select(F.col("date").alias("_hd")).distinct()
-    return (df.join(F.broadcast(dim), F.to_date(cfg.ts) == F.col("_hd"), "left")
-            .withColumn("is_holiday", F.col("_hd").isNotNull()).drop("_hd"))
+    where = F.concat(F.lit("the calendar has no entries for the year "), F.year(day).cast("string"))
+    sure = F.when(day.isNull() | F.array_contains("_years", F.year(day)), F.col("_hd").isNotNull()).otherwise(F.raise_error(where).cast("boolean"))
+    return (df.join(F.broadcast(dim), day == F.col("_hd"), "left").join(F.broadcast(known))
+            .withColumn("is_holiday", sure).drop("_hd", "_years"))
 
 
 def band_override(df: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:

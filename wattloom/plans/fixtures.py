@@ -199,6 +199,8 @@ DENSE = f"""dense AS (
     (o_orderkey % 16) / 4 AS rain, o_orderkey // 4 + 2 AS src_row
   FROM orders))"""
 
+LONG_METERS = DENSE.replace(f"// {METER_SLOTS}", f"// {LONG_SLOTS}").replace(f"% {METER_SLOTS}", f"% {LONG_SLOTS}").replace("'M' ||", "'L' ||")
+
 HOURLY = DENSE + """,
 hours AS (SELECT series_id, date_trunc('hour', ts) AS h, min(src_row) AS src_row,
     max(CASE WHEN minute(ts) = 0 THEN kw END) AS q1, max(CASE WHEN minute(ts) = 15 THEN kw END) AS q2,

@@ -115,6 +115,21 @@ def h9_manual(t):
     return asof.alerts(asof.alert_threshold(t.forecast, 300))
 
 
+CURSOR = "(hour({t}) * 4 + minute({t}) // 15) % 31 = 7"
+
+
+def cursors(t):
+    """Times asked for: a few of every day."""
+    return t.forecast.filter((F.hour("ts") * 4 + F.floor(F.minute("ts") / 15)) % 31 == 7).select("series_id", "ts")
+
+
+@add("h9_alerts_at", "series_id day_key now:t threshold:r1 rank:i time:t predicted:r excess:r", ALERTS,
+     f"SELECT * FROM alerts WHERE rank <= 20 AND {CURSOR.format(t='now')}")
+def h9_at(t):
+    """Only the times asked for meet the rows of their day."""
+    return asof.alerts(asof.peak_recommendation(t.observed), cursors(t))
+
+
 @add("h10_risk_state", f"{KEY} margin:r at_risk direction change:r", x.RECOMMEND,
      "SELECT *, threshold - prediction AS margin, prediction >= threshold AS at_risk, CASE WHEN prediction > kw THEN 'up' "
      "ELSE 'down' END AS direction, abs(prediction - kw) AS change FROM rec")
@@ -185,6 +200,22 @@ def h16(t):
     return asof.hour_profile(t.forecast)
 
 
+@add("h16_profile_at", "series_id day_key now:t hour:i mean_kw:r1 max_kw:r1 mae_kw:r2", x.OBSERVED + f""",
+shown AS (SELECT n.series_id, n.day_key, n.ts AS now, hour(h.ts) AS hour, avg(h.kw) AS m, max(h.kw) AS x,
+  avg(abs(h.y - h.prediction)) FILTER (WHERE h.ts < n.ts) AS e FROM forecast n JOIN forecast h ON
+  h.series_id = n.series_id AND h.day_key = n.day_key AND h.ts <= n.ts WHERE {CURSOR.format(t='n.ts')} GROUP BY 1, 2, 3, 4)""",
+     f"SELECT *, {x.half_even_sql('m', 1)} AS mean_kw, {x.half_even_sql('x', 1)} AS max_kw, {x.half_even_sql('e', 2)} AS mae_kw FROM shown")
+def h16_at(t):
+    return asof.profile_at(t.forecast, cursors(t))
+
+
+@add("h13_context_facts", f"{KEY} production:r temp:r wind:r humidity:r", x.OBSERVED,
+     "SELECT series_id, ts, production_lag4 AS production, temp, wind, humidity FROM forecast")
+def h13_context(t):
+    """The context known at the time of a briefing: production an hour late, the weather as it is."""
+    return facts(t)
+
+
 def fmt(template: str, *args: str) -> str:
     """The printf-like template as a SQL concatenation."""
     parts, rest = [], template

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from wattloom.functions import fixed_values as fv
 from wattloom.operators import requests, staffing, tariff
 from wattloom.plans import fixtures as x
+from wattloom.plans import staffing_requests
 from wattloom.plans.queries_raw import REQUESTS
 from wattloom.plans.registry import REGISTRY
 
@@ -241,3 +243,63 @@ def staffing_replay(t):
     rows = matched(t).join(made, ["series_id", "ts"])
     priced_rows = tariff.hour_wage(tariff.tariff_at(rows, bands, rates, t.holidays))
     return staffing.economics(staffing.interval_cost(priced_rows)).withColumn("hour", F.col("ts"))
+
+
+# -- requests with their own prices --------------------------------------------------------
+
+ASKED = x.OBSERVED + MATCHED[len(x.DENSE):] + ",\n" + x.BANDS + ",\n" + x.RATES + ",\n" + REQUESTS + f""",
+days2_ AS (SELECT series_id, day_key, row_number() OVER (PARTITION BY series_id ORDER BY day_key) - 1 AS i, count(*) OVER
+    (PARTITION BY series_id) AS n_days, any_value(n_rows) AS n_rows
+  FROM (SELECT series_id, day_key, count(*) AS n_rows FROM forecast GROUP BY 1, 2) GROUP BY 1, 2),
+asked_ AS (SELECT r.request_id, r.series_id, d.day_key, r.cursor, d.n_rows, r.planned_production, r.unit_price, r.day_wage,
+    CASE WHEN request_id % 6 = 0 THEN energy_rate END AS energy_rate, CASE WHEN request_id % 10 = 0 THEN 200.0::DOUBLE END AS billing_peak,
+    CASE WHEN request_id % 4 = 0 THEN request_id % 97 - 2.0::DOUBLE END AS own
+  FROM (SELECT *, 'M' || CAST(request_id // {x.METER_SLOTS} AS VARCHAR) AS series_id FROM requests) r
+  LEFT JOIN days2_ d ON d.series_id = r.series_id AND d.i = r.request_id % d.n_days),
+reasons_ AS (SELECT *, concat_ws(',', CASE WHEN planned_production IS NULL THEN 'planned_production' END,
+    CASE WHEN unit_price < 0 THEN 'unit_price' END, CASE WHEN day_wage <= 0 THEN 'day_wage' END,
+    CASE WHEN own < 0 THEN 'rate_table.summer.off' END) AS reasons FROM asked_),
+at_ AS (SELECT r.*, f.ts AS now, date_trunc('hour', f.ts + INTERVAL '15 minutes') AS hour_ FROM reasons_ r LEFT JOIN (SELECT *, row_number() OVER
+    (PARTITION BY series_id, day_key ORDER BY ts) - 1 AS at FROM forecast) f ON f.series_id = r.series_id AND f.day_key = r.day_key
+    AND f.at = least(r.cursor, r.n_rows - 1) WHERE reasons = ''),
+issued_ AS (SELECT series_id, target_time, max(prediction) AS prediction FROM forecast WHERE minute(target_time) = 0 GROUP BY 1, 2),
+open_ AS (SELECT a.*, i.prediction AS p, {SEASON.replace('(ts)', '(hour_)')} AS season, CAST(hour_ AS DATE) IN (SELECT date FROM holidays) AS hol
+  FROM at_ a LEFT JOIN issued_ i ON i.series_id = a.series_id AND i.target_time = a.hour_),
+band_ AS (SELECT o.*, CASE WHEN isodow(hour_) = 7 OR hol THEN 'off' WHEN isodow(hour_) = 6 AND b.band = 'peak' THEN 'mid' ELSE b.band END
+    AS band, CASE WHEN isodow(hour_) >= 6 OR hol THEN 'off' ELSE 'work' END AS kind
+  FROM open_ o JOIN bands b ON b.season = o.season AND hour(hour_) >= b.h_start AND hour(hour_) < b.h_end WHERE p IS NOT NULL),
+found_ AS (SELECT b.*, coalesce(b.energy_rate, CASE WHEN b.season = 'summer' AND b.band = 'off' THEN b.own WHEN b.own IS NOT NULL THEN 50.5::DOUBLE END,
+    r.rate) AS rate, h.ts AS ref_ts, CAST(ceil(h.staff) AS BIGINT) AS staff_ref, count(h.ts) OVER (PARTITION BY request_id) AS matches,
+    row_number() OVER (PARTITION BY request_id ORDER BY ceil(h.staff), h.production, h.ts DESC) AS rn
+  FROM band_ b JOIN rates r ON r.season = b.season AND r.band = b.band LEFT JOIN history h ON h.series_id = b.series_id AND h.day_type = b.kind
+    AND hour(h.ts) = hour(b.hour_) AND h.ts < date_trunc('day', b.hour_) AND h.staff_valid AND isfinite(h.production)
+    AND h.production >= b.planned_production),
+money_ AS (SELECT *, staff_ref * coalesce(day_wage, 8720.0::DOUBLE) * CASE WHEN hour(hour_) >= 22 OR hour(hour_) < 6 THEN 1.5::DOUBLE ELSE 1 END AS labor_,
+    greatest(0, p) * rate AS energy_, coalesce(billing_peak, {fv.BILLING_PEAK_KW}::DOUBLE) * {fv.BASE_RATE_PER_KW}::DOUBLE / (day(last_day(CAST(hour_ AS DATE))) * 24) AS base_,
+    planned_production * coalesce(unit_price, {fv.UNIT_PRICE}::DOUBLE) AS revenue_ FROM found_ WHERE rn = 1),
+rounded_ AS (SELECT *, {H('labor_', 2)} AS labor, {H('energy_', 2)} AS energy, {H('base_', 2)} AS base_allocated,
+    {H('labor_ + energy_ + base_', 2)} AS total, {H('revenue_', 2)} AS revenue FROM money_)"""
+
+
+@add("b18_priced_requests", "request_id:i hour:t production:r matches:i staff_ref:i ref_ts:t rate:r labor:r2 energy:r2 base_allocated:r2 total:r2 "
+     "revenue:r2 remainder:r2 status", ASKED, f"""SELECT request_id, hour_ AS hour, planned_production AS production, matches, staff_ref, ref_ts, rate, labor,
+  energy, base_allocated, total, revenue, {H('revenue_ - total', 2)} AS remainder, CASE WHEN staff_ref IS NULL THEN 'insufficient_data' ELSE 'complete' END
+  AS status FROM rounded_ UNION ALL
+SELECT request_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, reasons FROM reasons_ WHERE reasons <> '' UNION ALL
+SELECT request_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN now IS NULL THEN 'no day' ELSE 'no forecast' END
+  FROM open_ WHERE p IS NULL""")
+def b18_priced(t):
+    """Staffing requests with their own prices, wages, rate tables and peaks; refused ones keep their reasons."""
+    days = t.forecast.select("series_id", "day_key").distinct()
+    w = Window.partitionBy("series_id")
+    days = days.withColumn("i", F.row_number().over(w.orderBy("day_key")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
+    n, meter = F.col("request_id"), F.expr(f"request_id div {x.METER_SLOTS}").cast("string")
+    rows = t.requests.withColumn("series_id", F.concat(F.lit("M"), meter)).join(days.select("series_id", "n").distinct(), "series_id", "left")
+    rows = rows.withColumn("i", n % F.col("n")).join(days.drop("n"), ["series_id", "i"], "left").drop("i", "n")
+    other, own = F.lit(50.5), F.when(n % 4 == 0, n % 97 - 2.0)
+    table = F.create_map(*[v for s in fv.RATES for v in (F.lit(s), F.create_map(*[c for b in fv.RATES[s] for c in (
+        F.lit(b), own if (s, b) == ("summer", "off") else other)]))])
+    rows = rows.withColumns({"energy_rate": F.when(n % 6 == 0, F.col("energy_rate")), "base_rate": F.lit(None).cast("double"),
+                             "billing_peak": F.when(n % 10 == 0, 200.0), "rate_table": F.when(own.isNotNull(), table)})
+    rates, bands = t.tariff_dims
+    return staffing_requests.answer(rows, t.forecast, history(t), t.holidays, rates, bands)

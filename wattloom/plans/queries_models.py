@@ -148,6 +148,25 @@ def a11(t):
     return results.load_eval(t.spark, path).filter(F.col("metric").isin("MSE", "MAE", "rows"))
 
 
+POOLED = GRID + """,
+pooled_ AS (SELECT fold, i / 1e2 AS w, avg(pow(y - (i / 1e2 * a + (1 - i / 1e2) * b), 2)) AS mse
+  FROM evals, (SELECT unnest(generate_series(1, 99)) AS i) GROUP BY 1, 2),
+pooled_grid AS (SELECT w, """ + H('f', 4) + " AS forward, " + H('t', 4) + """ AS test FROM (SELECT w,
+  avg(mse) FILTER (WHERE fold <> 'test') AS f, max(mse) FILTER (WHERE fold = 'test') AS t FROM pooled_ GROUP BY 1)),
+chosen_ AS (SELECT w FROM pooled_grid ORDER BY test, abs(w - 0.5::DOUBLE), w LIMIT 1)"""
+
+
+@add("a11_load_results", "w:r2 forward:r4 test:r4 chosen", POOLED, "SELECT g.*, g.w = c.w AS chosen FROM pooled_grid g, chosen_ c")
+def a11_results(t):
+    """Scores, blend weights and the choice as one stored document, read back in its own layout."""
+    path, pairs = shared_folder(t.spark, "results"), eval_rows(t)
+    weights = evaluate.blend_search(pairs, [])
+    results.write_results(evaluate.score(long_predictions(t), ["model", "fold"]), weights, evaluate.blend_pick(weights, []), path)
+    _, table, choice = results.load_results(t.spark, path)
+    picked = choice.first()["weight"]
+    return table.withColumn("chosen", F.col("w") == F.lit(picked))
+
+
 # -- G21 - G23, A10: models ----------------------------------------------------------------
 
 def usable(t, window=None, readings=None):
@@ -156,18 +175,58 @@ def usable(t, window=None, readings=None):
     return stage(split.usable_rows(split.drop_unlabelled(table), window=window), "usable")
 
 
-@add("g21_fit_tree_model", "series_id fold rows:i mse:r4 mae:r4 persistence_mse:r4")
+def usable_sql(source: str) -> str:
+    """Usable rows of the meters in ``source`` with split, and their rows of the naive forecast."""
+    from wattloom.plans.queries_features import DELAYED, SEGMENT_SQL, USABLE_NULLS
+    lags = ", ".join(f"lag({c[:-5]}, 4) OVER w AS {c}" for c in DELAYED)
+    return source + ",\n" + x.segmented("dense") + f""",
+full_ AS (SELECT series_id, ts, kw, {x.DATE_KEY} AS date_key, {SEGMENT_SQL}, {lags} FROM seg {x.W}),
+""" + x.split_ctes("full_") + """,
+lab AS (SELECT * FROM parted WHERE y IS NOT NULL),
+""" + x.segmented("lab").replace("stepped", "stepped2").replace("seg AS (", "seg2 AS (") + f""",
+windows AS (SELECT *, count(kw) OVER (PARTITION BY series_id, segment ORDER BY ts ROWS BETWEEN 95 PRECEDING AND
+  CURRENT ROW) = 96 AS window_ok FROM seg2),
+usable AS (SELECT * FROM windows WHERE window_ok AND {USABLE_NULLS})"""
+
+
+def jobs_sql(least: int, months: int | None = None) -> str:
+    """Evaluation rows of every job that has enough earlier rows; the n-th newest fold of all series is one job."""
+    start = "" if months is None else (f" AND u.date_key >= CAST(strftime(strptime(CAST(j.lo AS VARCHAR), '%Y%m%d') - INTERVAL {months} MONTHS, "
+                                       "'%Y%m%d') AS INTEGER)")
+    return usable_sql(x.LONG_METERS) + f""",
+months_ AS (SELECT series_id, date_trunc('month', ts) AS first, max(ts) AS last FROM usable WHERE split = 'train' GROUP BY 1, 2),
+ends_ AS (SELECT *, max(last) OVER (PARTITION BY series_id) AS stop FROM months_),
+jobs AS (SELECT series_id, CAST(strftime(first, '%Y%m%d') AS INTEGER) AS lo,
+    CAST(strftime(first + INTERVAL 24 DAYS, '%Y%m%d') AS INTEGER) AS hi, strftime(first, '%Y%m%d') AS fold, rn AS fold_no
+  FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY first DESC) AS rn FROM ends_
+    WHERE first + INTERVAL 24 DAYS <= stop + INTERVAL 1 DAY) WHERE rn <= 4
+  UNION ALL SELECT series_id, min(date_key), NULL, 'test', 0 FROM usable WHERE split = 'test' GROUP BY 1),
+enough AS (SELECT fold_no FROM usable u JOIN jobs j ON j.series_id = u.series_id AND u.date_key < j.lo{start} GROUP BY 1
+  HAVING count(*) >= {least}),
+evals AS (SELECT u.*, j.fold FROM usable u JOIN jobs j ON j.series_id = u.series_id AND u.date_key >= j.lo
+  AND (j.hi IS NULL OR u.date_key < j.hi) JOIN enough USING (fold_no))"""
+
+
+BETTER = ("SELECT series_id, fold, count(*) AS rows, avg((y - kw_lag1) * (y - kw_lag1)) AS persistence_mse, true AS better "
+          "FROM evals GROUP BY 1, 2")
+
+
+def beside_persistence(out):
+    """Rows and squared error of "as it is now", and whether the model's is smaller, per series and fold."""
+    keys = ["series_id", "fold"]
+    naive = evaluate.score(out.withColumn("p0", F.col("kw_lag1")), keys, p="p0").select(*keys, F.col("mse").alias("persistence_mse"))
+    return evaluate.score(out, keys).join(naive, keys).withColumn("better", F.col("mse") < F.col("persistence_mse"))
+
+
+@add("g21_fit_tree_model", "series_id fold rows:i persistence_mse:r3 better", jobs_sql(fv.MIN_TREE_ROWS), BETTER)
 def g21(t):
     """Tree ensemble fitted before each walk-forward fold and the test part, scored on it, beside persistence."""
     rows = usable(t, readings=t.long)
     jobs = split.eval_jobs(rows, split.forward_folds(rows))
-    out = models.evaluate_jobs(rows, jobs, models.fit_tree_model, models.score_tree_model)
-    naive = evaluate.score(out.withColumn("p0", F.col("kw_lag1")), ["series_id", "fold"], p="p0")
-    return evaluate.score(out, ["series_id", "fold"]).join(
-        naive.select("series_id", "fold", F.col("mse").alias("persistence_mse")), ["series_id", "fold"])
+    return beside_persistence(stage(models.evaluate_jobs(rows, jobs, models.fit_tree_model, models.score_tree_model), "scored"))
 
 
-@add("g22_fit_sequence_model", "series_id fold rows:i mse:r4 mae:r4")
+@add("g22_fit_sequence_model", "series_id fold rows:i persistence_mse:r3 better", jobs_sql(fv.MIN_SEQUENCE_ROWS, 3), BETTER)
 def g22(t):
     """Boosted trees over the last 96 values, three seeds, early stop on the last 15 %: fitted on the
     three months before each walk-forward fold and the test part, scored on it."""
@@ -176,17 +235,18 @@ def g22(t):
     out = models.evaluate_jobs(rows, jobs, models.fit_sequence_model,
                                lambda fitted, test: models.score_sequence_model(*fitted, test),
                                least=fv.MIN_SEQUENCE_ROWS)
-    return evaluate.score(out, ["series_id", "fold"])
+    return beside_persistence(stage(out, "scored"))
 
 
-@add("g23_batch_score", "series_id ts:t split y:r prediction:r6")
+@add("g23_batch_score", "series_id ts:t split y:r scored", usable_sql(x.DENSE),
+     "SELECT series_id, ts, split, y, true AS scored FROM usable WHERE split = 'test'")
 def g23(t):
-    """Fit, store with settings, pass the gate, load and score the test rows."""
+    """Fit, store with settings and manifest, pass both gates, load and score the test rows."""
     rows = usable(t)
     folder = shared_folder(t.spark, "model")
     current = results.settings_row(t.spark)
     models.save_model(models.fit_tree_model(rows.filter("split = 'train'")), current, folder)
-    return models.batch_score(t.spark, folder, current, rows)
+    return models.batch_score(t.spark, folder, current, rows).withColumn("scored", F.col("prediction") >= 0)
 
 
 @add("a10_model_gate", "setting n_rows:i", x.OBSERVED,
@@ -198,3 +258,21 @@ def a10(t):
     now = results.settings_row(t.spark, select="forward").withColumn("window", F.lit(48).cast("long"))
     n = t.observed.count()
     return results.settings_differences(t.spark.read.json(folder), now).withColumn("n_rows", F.lit(n))
+
+
+@add("a10_manifest", "fault name n_rows:i", x.OBSERVED,
+     "SELECT fault, name, (SELECT count(*) FROM observed) AS n_rows FROM (VALUES ('changed file', 'tree-0/part-00000.txt'), "
+     "('missing file', 'tree-1/part-00000.txt'), ('unknown file', 'tree-9/part-00000.txt'), ('no weight', 'blend_weight'), "
+     "('not an ensemble', 'ensemble')) v(fault, name)")
+def a10_manifest(t):
+    """Files changed, lost or added since the manifest was written, and what a blended forecast would lack."""
+    first, later = shared_folder(t.spark, "artefacts"), shared_folder(t.spark, "artefacts")
+
+    def model(folder: str, **trees: str) -> None:
+        for name, text in trees.items():
+            t.spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{folder}/model/{name.replace('_', '-')}")
+    model(first, tree_0="a", tree_1="b", tree_2="c")
+    results.write_manifest(t.spark, first, test_rows=t.forecast)
+    model(later, tree_0="x", tree_2="c", tree_9="d")
+    t.spark.read.schema(results.MANIFEST).json(f"{first}/manifest").coalesce(1).write.json(f"{later}/manifest")
+    return results.manifest_faults(t.spark, later, blended=True).withColumn("n_rows", F.lit(t.observed.count()))

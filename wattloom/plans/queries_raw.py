@@ -197,6 +197,22 @@ def a9(t):
     return results.table_fingerprint(rows, ["series_id", "ts", "kw64"], ["series_id"])
 
 
+@add("a9_ordered_fingerprint", "series_id rows:i digest differs", x.OBSERVED + """,
+digests AS (SELECT series_id, ts, sha256('19:' || strftime(ts, '%Y-%m-%d %H:%M:%S')) AS d, row_number() OVER
+    (PARTITION BY series_id ORDER BY ts) - 1 AS p0 FROM forecast),
+level1 AS (SELECT series_id, p0 // 16 AS p1, sha256(string_agg(d, '' ORDER BY p0)) AS d, count(*) AS n FROM digests GROUP BY 1, 2),
+level2 AS (SELECT series_id, p1 // 16 AS p2, sha256(string_agg(d, '' ORDER BY p1)) AS d, sum(n) AS n FROM level1 GROUP BY 1, 2),
+level3 AS (SELECT series_id, sha256(string_agg(d, '' ORDER BY p2)) AS d, sum(n) AS n FROM level2 GROUP BY 1)""",
+     "SELECT series_id, n AS rows, d AS digest, true AS differs FROM level3")
+def a9_ordered(t):
+    """A digest of the ordered test times, as a tree of hashes; the same times in another order give another one."""
+    rows = t.forecast.select("series_id", "ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("time"))
+    here = results.ordered_fingerprint(rows, ["time"], fan=16)
+    mirrored = rows.withColumn("ts", F.timestamp_micros(-F.unix_micros("ts")))
+    other = results.ordered_fingerprint(mirrored, ["time"], fan=16).withColumnRenamed("digest", "other").drop("rows")
+    return here.join(other, "series_id").withColumn("differs", F.col("digest") != F.col("other"))
+
+
 # -- B: checks -----------------------------------------------------------------------------
 
 @add("b1_require_columns", "table_rows:i ok", x.HOURLY, "SELECT count(*) AS table_rows, true AS ok FROM hourly")

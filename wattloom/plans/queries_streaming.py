@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wattloom.operators import asof, models
 from wattloom.plans import fixtures as x
 from wattloom.plans.queries_cost import BANDED
-from wattloom.plans.queries_models import usable
+from wattloom.plans.queries_models import usable, usable_sql
 from wattloom.plans.registry import REGISTRY
 from wattloom.session import shared_folder
 from wattloom.streaming import alerts, readings
@@ -142,18 +142,23 @@ def j9_margin(t):
             .agg(F.count(F.lit(1)).alias("n"), F.count_if(near).alias("close")))
 
 
-@add("j10_stream_scoring", "series_id ts:t y:r prediction:r6")
+@add("j10_stream_scoring", "series_id ts:t y:r scored rows:i", usable_sql(x.DENSE),
+     "SELECT series_id, ts, y, true AS scored, count(*) OVER () AS rows FROM usable WHERE split = 'test'")
 def j10(t):
-    """Test rows arrive in three batches and are scored with a stored model."""
+    """Test rows arrive in three batches, a third of them once more in a fourth, and are scored with a stored model, once each."""
     rows = usable(t)
     folder, out = shared_folder(t.spark, "model"), shared_folder(t.spark, "scored")
-    models.fit_tree_model(rows.filter("split = 'train'")).write().save(folder)
-    from pyspark.ml import PipelineModel
-    model = PipelineModel.load(folder)
-    stream = replay(t, rows.filter("split = 'test'"), "to-score", files=3, per_batch=1)
-    alerts.stream_scoring(stream, lambda b: models.score_tree_model(model, b), out,
+    models.fit_tree_model(rows.filter("split = 'train'")).save(folder)
+    model = models.Forest.load(t.spark, folder)
+    test = rows.filter("split = 'test'")
+    path = shared_folder(t.spark, "to-score")
+    test.repartition(3).write.parquet(path)
+    test.filter(F.dayofmonth("ts") % 3 == 0).coalesce(1).write.mode("append").parquet(path)
+    stream = t.spark.readStream.schema(test.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    alerts.stream_scoring(stream, lambda b: models.finite_only(models.score_tree_model(model, b)), out,
                           shared_folder(t.spark, "scored-state"))
-    return alerts.read_scored(t.spark, out)
+    done = alerts.read_scored(t.spark, out)
+    return done.withColumn("scored", F.col("prediction") >= 0).withColumn("rows", F.lit(done.count()))
 
 
 @add("j11_alert_once", "series_id ts:t threshold:r1 prediction:r", x.RECOMMEND,

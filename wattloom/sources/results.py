@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wattloom.config import DEFAULT, Settings
 from wattloom.functions import fixed_values as fv
+from wattloom.operators import blocks
 from wattloom.operators.validate import RuleViolation
 
 
@@ -43,6 +44,25 @@ def table_fingerprint(df: DataFrame, columns, keys=()) -> DataFrame:
                  F.bit_xor("_h").alias("digest_xor")))
 
 
+def ordered_fingerprint(df: DataFrame, columns, cfg: Settings = DEFAULT, fan: int = 4096) -> DataFrame:
+    """Per series: row count and a digest that depends on the order of the rows in time.
+
+    A hash tree: the row digests of ``fan`` consecutive rows are hashed together, then ``fan`` of these hashes, until one is left.
+    Places come from counts per day (no task holds a series), so the digest does not depend on how the rows are dealt.
+    """
+    level = blocks.running_rank(row_digest(df.select(cfg.series, cfg.ts, *[c for c in columns if c not in (cfg.series, cfg.ts)]), columns),
+                                cfg, None, "_place", "rows").select(cfg.series, "rows", (F.col("_place") - 1).alias("_place"), "digest")
+    longest = level.agg(F.max("rows")).first()[0] or 0
+    while True:
+        part = F.expr(f"_place div {fan}")
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct("_place", "digest"))), lambda s: s["digest"])
+        level = level.groupBy(cfg.series, "rows", part.alias("_part")).agg(F.sha2(F.array_join(ordered, ""), 256).alias("digest")) \
+            .withColumnRenamed("_part", "_place")
+        longest = -(-longest // fan)
+        if longest <= 1:
+            return level.select(cfg.series, "rows", "digest")
+
+
 # -- audit ---------------------------------------------------------------------------------
 
 AUDIT_SCHEMA = ("run_id string, step string, metrics map<string,string>, "
@@ -116,6 +136,51 @@ def model_gate(stored: DataFrame, current: DataFrame) -> None:
         raise RuleViolation(f"stored model settings differ: {sorted(diff)}")
 
 
+def file_digests(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, digest) of the files below a folder; names are relative to it, without the run's mark in Spark's part names.
+    Bookkeeping files are left out."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    tail = folder.rstrip("/").rsplit("/", 1)[-1]
+    name = F.regexp_extract("path", f"/{tail}/(.*)$", 1)
+    name = F.regexp_replace(name, r"part-(\d+)-[0-9a-f-]{36}(-c\d+)?", "part-$1")
+    return files.select(name.alias("name"), F.sha2("content", 256).alias("digest")).filter(~F.col("name").rlike(r"(^|/)[._][^/]*$"))
+
+
+def write_manifest(spark: SparkSession, folder: str, ensemble: bool = False, blend_weight: float | None = None,
+                   test_rows: DataFrame | None = None, cfg: Settings = DEFAULT) -> None:
+    """What was evaluated: digests of the model's files, the blend weight, and the ordered digest of the test times."""
+    rows = None if test_rows is None else ordered_fingerprint(test_rows, [cfg.series, cfg.ts], cfg).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(cfg.series, "digest"))), lambda s: s["digest"]), ",")).first()[0]
+    file_digests(spark, f"{folder}/model").agg(F.array_sort(F.collect_list(F.struct("name", "digest"))).alias("files")).select(
+        "files", F.lit(ensemble).alias("ensemble"), F.lit(blend_weight).cast("double").alias("blend_weight"),
+        F.lit(rows).alias("test_rows")).coalesce(1).write.mode("overwrite").json(f"{folder}/manifest")
+
+
+MANIFEST = "files array<struct<name:string,digest:string>>, ensemble boolean, blend_weight double, test_rows string"
+
+
+def manifest_faults(spark: SparkSession, folder: str, blended: bool = False) -> DataFrame:
+    """(fault, name) of every difference between a model folder and its manifest; with ``blended`` also what a blended forecast
+    needs: an evaluated ensemble and its weight."""
+    stored = spark.read.schema(MANIFEST).json(f"{folder}/manifest")
+    told = stored.select(F.inline("files")).withColumnRenamed("digest", "told")
+    both = told.join(file_digests(spark, f"{folder}/model"), "name", "full_outer")
+    kind = F.when(F.col("digest").isNull(), "missing file").when(F.col("told").isNull(), "unknown file").otherwise("changed file")
+    out = both.filter(~F.col("told").eqNullSafe(F.col("digest"))).select(kind.alias("fault"), "name")
+    if blended:
+        wanted = F.array(F.when(~F.col("ensemble"), F.struct(F.lit("not an ensemble").alias("fault"), F.lit("ensemble").alias("name"))),
+                         F.when(F.col("blend_weight").isNull(), F.struct(F.lit("no weight").alias("fault"), F.lit("blend_weight").alias("name"))))
+        out = out.unionByName(stored.select(F.explode(F.array_compact(wanted)).alias("x")).select("x.*"))
+    return out
+
+
+def artefact_gate(spark: SparkSession, folder: str, blended: bool = False) -> None:
+    """Refuse files that are not those that were evaluated."""
+    faults = [f"{r['fault']}: {r['name']}" for r in manifest_faults(spark, folder, blended).limit(20).collect()]
+    if faults:
+        raise RuleViolation(f"the stored model is not the evaluated one: {sorted(faults)}")
+
+
 EVAL_JSON = ("models map<string,map<string,struct<MSE:double,RMSE:double,MAE:double,R2:double,"
              "bias:double,rows:long>>>")
 
@@ -139,3 +204,39 @@ def load_eval(spark: SparkSession, path: str) -> DataFrame:
     return cells.select("model", "fold", F.inline(F.array(*[
         F.struct(F.lit(n).alias("metric"), F.col(f"c.{n}").cast("double").alias("value"))
         for n in names])))
+
+
+def _results_schema() -> str:
+    cell = "struct<" + ",".join(f"{n}:{'long' if n == 'rows' else 'double'}" for n in fv.RESULTS_SCORES) + ">"
+    weight = f"struct<`{fv.RESULTS_WEIGHT}`:double,`{fv.RESULTS_FORWARD}`:double,`{fv.RESULTS_TEST}`:double>"
+    search = f"struct<`{fv.RESULTS_BY}`:string,`{fv.RESULTS_CHOSEN}`:double,`{fv.RESULTS_TABLE}`:array<{weight}>>"
+    return f"`{fv.RESULTS_FOLDS}` map<string,map<string,{cell}>>, `{fv.RESULTS_SEARCH}` {search}"
+
+
+def load_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A stored results document, also over many lines: scores (model, fold, metric, value), the table of blend weights
+    (w, forward, test), and the choice (weight, criterion). Further fields are ignored; a document without a search has no weights."""
+    doc = spark.read.schema(_results_schema()).option("multiLine", True).json(path)
+    cells = doc.select(F.explode(F.col(fv.RESULTS_FOLDS)).alias("model", "folds")).select("model", F.explode("folds").alias("fold", "c"))
+    scores = cells.select("model", "fold", F.inline(F.array(*[
+        F.struct(F.lit(n).alias("metric"), F.col(f"c.{n}").cast("double").alias("value")) for n in fv.RESULTS_SCORES])))
+    search = doc.select(F.col(fv.RESULTS_SEARCH).alias("s")).filter("s IS NOT NULL")
+    table = search.select(F.explode(F.col("s")[fv.RESULTS_TABLE]).alias("x")).select(
+        F.col("x")[fv.RESULTS_WEIGHT].alias("w"), F.col("x")[fv.RESULTS_FORWARD].alias("forward"), F.col("x")[fv.RESULTS_TEST].alias("test"))
+    choice = search.select(F.col("s")[fv.RESULTS_CHOSEN].alias("weight"), F.col("s")[fv.RESULTS_BY].alias("criterion"))
+    return scores, table, choice
+
+
+def write_results(scores: DataFrame, weights: DataFrame, choice: DataFrame, path: str, by: str = "test") -> None:
+    """The document that ``load_results`` reads, from scores (model, fold, mse, …), blend weights and the choice among them. One
+    document of a few hundred numbers."""
+    cell = F.struct(F.col("mse").alias("MSE"), F.col("rmse").alias("RMSE"), F.col("mae").alias("MAE"), F.col("r2").alias("R2"), "bias", "rows")
+    per_model = scores.groupBy("model").agg(F.map_from_entries(F.collect_list(F.struct("fold", cell.alias("c")))).alias("folds"))
+    folds = per_model.agg(F.map_from_entries(F.collect_list(F.struct("model", "folds"))).alias(fv.RESULTS_FOLDS))
+    row = F.struct(F.col("w").alias(fv.RESULTS_WEIGHT), F.col("forward").alias(fv.RESULTS_FORWARD), F.col("test").alias(fv.RESULTS_TEST))
+    table = weights.agg(F.array_sort(F.collect_list(row)).alias("t"))
+    picked = choice.agg(F.first("weight").alias("w"))
+    search = F.struct(F.lit(by).alias(fv.RESULTS_BY), F.col("w").alias(fv.RESULTS_CHOSEN), F.col("t").alias(fv.RESULTS_TABLE))
+    one = F.lit(1).alias("_1")
+    folds.select("*", one).join(table.select("t", one), "_1").join(picked.select("w", one), "_1") \
+        .select(fv.RESULTS_FOLDS, search.alias(fv.RESULTS_SEARCH)).coalesce(1).write.mode("overwrite").json(path)
