@@ -12,8 +12,8 @@
    filter and a parity mask: two sets differ in at least as many shingles as their masks differ in bits.
    Pairs found so must pass a second parity mask, whose size follows that of the set (lossless as well, a
    sixteenth of the set); what is left is verified on the full sets. A pair stands in a group for each shared token, but
-   leaves only the first of them: a row carries the node's first ``HEADS`` tokens of order one, and a pair is passed over where a
-   token that comes before the group's own is in both lists. At its first common token no pair is passed over.
+   leaves only the first of them: a row carries the node's ``HEADS`` smallest shared tokens, and a pair is passed over where a
+   smaller token than the group's own is in both lists. At its smallest common token no pair is passed over.
 5. Only links between nodes that are not connected yet matter. One round looks at a few tokens of each node and
    takes a spanning forest of their candidates; the second takes every candidate between different components
    over all tokens, so no link that would join two components is missed.
@@ -41,7 +41,8 @@ WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5           # similarity 4/5
 COUNTERS, SLICE = 1 << 20, 1 << 12
 BLOCK = 1_500                                     # nodes of a frequent token in one block
 FEW_TOKENS = 6                                    # tokens of a node in the first round
-HEADS = 8                                         # first shared tokens of a node that its rows carry
+HEADS = 16                                        # smallest shared tokens of a node that its rows carry
+NO_TOKEN = (1 << 63) - 1                          # stands after all tokens, so it passes over no pair
 MASK_WORDS, ORDER_WORDS = 8, 4                    # 64-bit words of the parity mask and of those of the orders
 SCHEMA = "doc_id bigint, n_shingles bigint, component_id bigint"
 
@@ -246,29 +247,21 @@ def index_rows(representatives: DataFrame, counters) -> DataFrame:
                 sets = [s for s in shingle_sets(b.column(0).slice(at, 500).to_pylist()) if len(s)]
                 if not sets:
                     continue
-                nodes, sizes, tokens, seen, ranks, masks = [node_of(s) for s in sets], [len(s) for s in sets], [], [], [], []
+                nodes, sizes, tokens, seen, masks = [node_of(s) for s in sets], [len(s) for s in sets], [], [], []
                 for s in sets:
                     counts, k = table[(s & np.uint64(COUNTERS - 1)).astype(np.intp)], prefix_size(len(s))
                     head = prefix(s, counts, np.uint64(1), k)
-                    head = head[np.lexsort((s[head], np.minimum(counts[head], np.uint64(2**31 - 1))))]
-                    shared = counts[head] > 1                           # tokens that another node may have, in their order
-                    first = np.zeros(HEADS, np.uint64)
-                    first[:min(HEADS, int(shared.sum()))] = s[head[shared][:HEADS]]
                     tokens.append(s[head].view(np.int64))
                     seen.append(counts[head])
-                    ranks.append(np.minimum(np.cumsum(shared) - shared, HEADS))
                     others = (s[prefix(s, counts >> np.uint64(j), m, k)] for j, m in enumerate(_ORDERS, 1))
-                    masks.append(b"".join([mask_of(s, MASK_WORDS, True), *(mask_of(o, ORDER_WORDS, False) for o in others),
-                                           first.tobytes()]))
+                    masks.append(b"".join([mask_of(s, MASK_WORDS, True), *(mask_of(o, ORDER_WORDS, False) for o in others)]))
                 n = len(sets)
-                yield (pa.nulls(n, pa.int64()), nodes, sizes, pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), masks,
-                       list(map(wide_mask, sets)))
+                yield pa.nulls(n, pa.int64()), nodes, sizes, pa.nulls(n, pa.int32()), masks, list(map(wide_mask, sets))
                 lengths = [len(t) for t in tokens]
                 n = sum(lengths)
                 yield (np.concatenate(tokens), np.repeat(np.array(nodes), lengths), np.repeat(np.array(sizes, np.int32), lengths),
-                       np.minimum(np.concatenate(seen), 2**31 - 1).astype(np.int32), np.concatenate(ranks).astype(np.int32),
-                       pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()))
-    return _batches(representatives.select("text"), "token bigint, node bigint, n int, seen int, rank int, masks binary, wide binary", run)
+                       np.minimum(np.concatenate(seen), 2**31 - 1).astype(np.int32), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()))
+    return _batches(representatives.select("text"), "token bigint, node bigint, n int, seen int, masks binary, wide binary", run)
 
 
 def shared_tokens(index: DataFrame) -> DataFrame:
@@ -276,7 +269,7 @@ def shared_tokens(index: DataFrame) -> DataFrame:
     def run(batches):
         rest = None
         for b in batches:
-            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
             cols = cols if rest is None else [np.concatenate(p) for p in zip(rest, cols)]
             token = cols[0]
             if not len(token):
@@ -296,10 +289,17 @@ def shared_tokens(index: DataFrame) -> DataFrame:
             same = token[1:] == token[:-1]
             keep = np.concatenate((same, [False])) | np.concatenate(([False], same))
             yield tuple(c[keep] for c in cols)
-    few = index.filter((F.col("seen") > 1) & (F.col("seen") <= BLOCK)).select("token", "node", "n", "seen", "rank")
+    few = index.filter((F.col("seen") > 1) & (F.col("seen") <= BLOCK)).select("token", "node", "n", "seen")
     few = few.repartition("token").sortWithinPartitions("token", "node")
-    many = index.filter(F.col("seen") > BLOCK).select("token", "node", "n", "seen", "rank")
-    return _batches(few, "token bigint, node bigint, n int, seen int, rank int", run).unionByName(many)
+    many = index.filter(F.col("seen") > BLOCK).select("token", "node", "n", "seen")
+    return _batches(few, "token bigint, node bigint, n int, seen int", run).unionByName(many)
+
+
+def head_tokens(shared: DataFrame) -> DataFrame:
+    """(node, heads): the smallest shared tokens of each node, filled up with the largest possible number."""
+    few = F.slice(F.array_sort(F.collect_set("token")), 1, HEADS)
+    return shared.groupBy("node").agg(few.alias("_h")).select(
+        "node", F.slice(F.concat("_h", F.array_repeat(F.lit(NO_TOKEN).cast("bigint"), HEADS)), 1, HEADS).alias("heads"))
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
@@ -314,14 +314,15 @@ def _blocks(rows: DataFrame) -> DataFrame:
 def candidates(rows: DataFrame, every: bool) -> DataFrame:
     """Pairs of nodes in different components that pass all filters; ``every`` one, or a forest of them.
 
-    ``rows``: token, node, n, seen, rank, label, masks.
+    ``rows``: token, node, n, seen, label, masks, heads.
     """
     def run(batches):
         held = None
         for b in batches:
             cols = [np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], axis=1),
-                    *(b.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 5, 6)),
-                    np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint64).reshape(b.num_rows, -1)]
+                    *(b.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 5)),
+                    np.frombuffer(b"".join(b.column(6).to_pylist()), np.uint64).reshape(b.num_rows, -1),
+                    b.column(7).flatten().to_numpy().reshape(b.num_rows, -1)]
             cols = cols if held is None else [np.concatenate(p) for p in zip(held, cols)]
             if not len(cols[0]):
                 continue
@@ -333,7 +334,7 @@ def candidates(rows: DataFrame, every: bool) -> DataFrame:
             yield from groups(held)
 
     def groups(cols):
-        key, node, n, rank, label, masks = cols
+        key, node, n, label, masks, heads = cols
         if not len(key):
             return
         cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
@@ -341,15 +342,16 @@ def candidates(rows: DataFrame, every: bool) -> DataFrame:
         two = lows[highs - lows == 2]                               # most groups are pairs: all of them at once
         good = two[(label[two] != label[two + 1]) & similar(n[two], n[two + 1], masks[two], masks[two + 1])]
         if every:
-            good = good[first_common(rank[good], masks[good], masks[good + 1])]
+            good = good[first_common(key[good, 0], heads[good], heads[good + 1])]
         out = [np.stack([node[good], node[good + 1]], axis=1)]
         for lo, hi in zip(lows[highs - lows > 2].tolist(), highs[highs - lows > 2].tolist()):
-            if (label[lo:hi] != label[lo]).any() and (found := group_pairs(node[lo:hi], n[lo:hi], rank[lo:hi], label[lo:hi], masks[lo:hi], every)):
+            if (label[lo:hi] != label[lo]).any() and (found := group_pairs(
+                    key[lo, 0], node[lo:hi], n[lo:hi], label[lo:hi], masks[lo:hi], heads[lo:hi], every)):
                 out.append(np.array(found))
         pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
         if len(pairs):
             yield pairs[:, 0], pairs[:, 1]
-    grouped = _blocks(rows).select("token", "i", "j", "node", "n", "rank", "label", "masks") \
+    grouped = _blocks(rows).select("token", "i", "j", "node", "n", "label", "masks", "heads") \
         .repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
     return _batches(grouped, "a bigint, b bigint", run).filter("a <> b").distinct()
 
@@ -363,18 +365,17 @@ def similar(n, m, x, y) -> np.ndarray:
             & ((NUMERATOR + DENOMINATOR) * differ <= (DENOMINATOR - NUMERATOR) * (n + m)))
 
 
-def first_common(rank, x, y) -> np.ndarray:
-    """Whether none of the tokens before place ``rank`` among the first ones of x is among the first ones of y."""
-    a, b = x[:, -HEADS:], y[..., -HEADS:]
-    b = b if b.ndim == 2 else b[None, :]
-    both = (a[:, :, None] == b[:, None, :]) & (a != 0)[:, :, None]
-    return ~(both.any(axis=2) & (np.arange(HEADS) < rank[:, None])).any(axis=1)
+def first_common(token, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether no token smaller than ``token`` is in both lists of heads (one row of x for each pair; y the same, or one row for all)."""
+    earlier = x < (token[:, None] if np.ndim(token) else token)
+    y = y if y.ndim == 2 else y[None, :]
+    return ~((x[:, :, None] == y[:, None, :]).any(axis=2) & earlier).any(axis=1)
 
 
-def group_pairs(node, n, rank, label, masks, every: bool) -> list[tuple[int, int]]:
+def group_pairs(token, node, n, label, masks, heads, every: bool) -> list[tuple[int, int]]:
     """Candidate pairs of one group (at most two blocks of nodes), by rows of a matrix."""
     _, first = np.unique(node, return_index=True)
-    node, n, rank, label, masks = node[first], n[first].astype(np.int64), rank[first], label[first], masks[first]
+    node, n, label, masks, heads = node[first], n[first].astype(np.int64), label[first], masks[first], heads[first]
     roots, out = {}, []
 
     def root(x):
@@ -390,7 +391,7 @@ def group_pairs(node, n, rank, label, masks, every: bool) -> list[tuple[int, int
         if not len(js):
             continue
         if every:
-            js = js[first_common(rank[js], masks[js], masks[i])]
+            js = js[first_common(token, heads[js], heads[i])]
             out += [(int(node[j]), int(node[i])) for j in js]
             continue
         for j in js[np.unique(label[js], return_index=True)[1]]:     # one node of each component
@@ -486,6 +487,7 @@ def _components(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     masks = index.filter("token is null").select("node", "masks").dropDuplicates(["node"])
     wide = index.filter("token is null").select("node", "n", "wide")
     shared = stage(shared_tokens(index.filter("token is not null")), "shared-tokens")
+    looks = stage(masks.join(head_tokens(shared), "node"), "node-looks")
 
     def sets(wanted: DataFrame) -> DataFrame:
         # written first, so that Spark knows its size: a small list is broadcast, a long one joined by shuffle
@@ -511,7 +513,7 @@ def _components(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
             open_ = rows.groupBy("token").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")) \
                 .filter("_lo <> _hi").select("token")
             rows = rows.join(open_, "token", "left_semi")
-        pairs = stage(candidates(rows.join(masks, "node"), turn == "every"), "candidates")
+        pairs = stage(candidates(rows.join(looks, "node"), turn == "every"), "candidates")
         if pairs.isEmpty():
             continue
         close = stage(close_by_masks(pairs, wide), "close-pairs")
