@@ -60,3 +60,11 @@ def columns_of(df: DataFrame, *names: str) -> DataFrame:
 def let(value, body):
     """``body`` of a value that is computed once, also where the body uses it inside another lambda."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` has it (column names ignore case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

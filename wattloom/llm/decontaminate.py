@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import ascii_lower, columns_of, let
+from wattloom.llm.common import ascii_lower, columns_of, free_name, let
 from wattloom.session import stage
 
 WINDOW, K = 10, 5
@@ -77,7 +77,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs = columns_of(documents, "doc_id", "text")
     windows = stage(benchmark_windows(benchmark), "benchmark-windows")
     lengths = sorted(r[0] for r in windows.select("size").distinct().collect() if r[0] < WINDOW)  # 9 at most
-    marks = stage(windows.select("size", "h").distinct().coalesce(1), "benchmark-marks").withColumn("_hit", F.lit(True))
+    marks = stage(windows.select("size", "h").distinct(), "benchmark-marks").withColumn("_hit", F.lit(True))
 
     # each document also sends one row of size -1 that carries its number of words
     def sent(w):
@@ -121,6 +121,8 @@ def report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows of ``documents`` without a hit, with all their columns."""
-    bad = contamination(documents, benchmark).filter("n_hit > 0").select(F.col("_text").alias("_bad")).distinct()
-    return documents.join(bad, F.xxhash64("text") == F.col("_bad"), "left_anti")
+    """Rows of ``documents`` without a hit, with all their columns. A row goes by its doc_id and the hash of its text, so equal
+    hashes of different documents take nothing along."""
+    d, t = free_name(documents, "_bad_doc"), free_name(documents, "_bad_text")
+    bad = contamination(documents, benchmark).filter("n_hit > 0").select(F.col("doc_id").alias(d), F.col("_text").alias(t)).distinct()
+    return documents.join(bad, (F.xxhash64("text") == F.col(t)) & F.col("doc_id").eqNullSafe(F.col(d)), "left_anti")

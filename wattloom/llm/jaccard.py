@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import arrow_schema, columns_of
+from wattloom.llm.common import arrow_schema, columns_of, free_name
 from wattloom.session import stage
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5           # similarity 4/5
@@ -459,16 +459,17 @@ def drop_near_duplicates(documents: DataFrame) -> DataFrame:
     the smallest hash. Rows without words stay. Groups whose rows all lack a doc_id keep one row as well."""
     each, final = _components(documents)
     # the row to keep of each component, by (doc_id, hash of the text); partial minima before the shuffle
+    d, t = free_name(documents, "_kept_doc"), free_name(documents, "_kept_text")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     kept = each.filter("node is not null").join(final, "node").groupBy("label").agg(F.min(rank).alias("k")) \
-        .select(F.col("k.doc_id").alias("_d"), F.col("k.text_hash").alias("_t"))
-    kept = kept.unionByName(each.filter("node is null").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"))) \
+        .select(F.col("k.doc_id").alias(d), F.col("k.text_hash").alias(t))
+    kept = kept.unionByName(each.filter("node is null").select(F.col("doc_id").alias(d), F.col("text_hash").alias(t))) \
         .distinct()
     key = F.xxhash64("text")
-    found = documents.join(kept.hint("shuffle_hash"), (key == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
+    found = documents.join(kept.hint("shuffle_hash"), (key == F.col(t)) & F.col("doc_id").eqNullSafe(F.col(d)), "left_semi")
     if not each.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():
         # repeated rows: one of each
-        found = found.withColumn("_t", key).dropDuplicates(["doc_id", "_t"]).drop("_t")
+        found = found.withColumn(t, key).dropDuplicates(["doc_id", t]).drop(t)
     return found
 
 

@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from wattloom.llm.common import columns_of, map_batches
 
-TRAIN_ROWS, TRAIN_CHUNKS = 1_000, 8
+TRAIN_ROWS = 1_000                                      # labelled rows of each class, at most; of these every chunk is read
+TILE = 512                                              # chunks whose responses are held at a time in training
 FILTERS, WIDTH, BLOCK, CHUNK_BLOCKS = 16, 8, 64, 4      # a chunk is four blocks and shares one with the next
 EPOCHS, BATCHES, BATCH, RATE, SEED = 6, 200, 64, 0.01, 7   # at least BATCHES steps where the sample is small
 BUFFER = 1 << 20                                        # bytes scored at a time
@@ -72,11 +73,14 @@ class Network:
 
     def _gradients(self, x, starts, y):
         span = x.shape[1] - WIDTH + 1
-        conv = self.w[0][x[:, :span]]
-        for k in range(1, WIDTH):
-            conv += self.w[k][x[:, k:k + span]]
-        place = conv.argmax(axis=1)                                         # (chunks, filters)
-        top = np.take_along_axis(conv, place[:, None, :], 1)[:, 0] + self.c
+        place, top = np.empty((len(x), len(self.c)), np.intp), np.empty((len(x), len(self.c)), np.float32)    # (chunks, filters)
+        for lo in range(0, len(x), TILE):
+            part = x[lo:lo + TILE]
+            conv = self.w[0][part[:, :span]]
+            for k in range(1, WIDTH):
+                conv += self.w[k][part[:, k:k + span]]
+            place[lo:lo + TILE] = conv.argmax(axis=1)
+            top[lo:lo + TILE] = np.take_along_axis(conv, place[lo:lo + TILE, None, :], 1)[:, 0] + self.c
         a = np.maximum(top, 0)
         counts = np.diff([*starts, len(x)])
         mean, most = np.add.reduceat(a, starts) / counts[:, None], np.maximum.reduceat(a, starts)
@@ -145,11 +149,9 @@ class Network:
 
 
 def _sample(text: str | None) -> list[bytes]:
-    """At most TRAIN_CHUNKS chunks of a text, evenly spread, each with the bytes its last filter reads."""
+    """All chunks of a text, each with the bytes its last filter reads."""
     raw, size, step = (text or "").encode("utf-8", "replace"), CHUNK_BLOCKS * BLOCK, (CHUNK_BLOCKS - 1) * BLOCK
     starts = list(range(0, max(1, len(raw) - BLOCK), step))
-    if len(starts) > TRAIN_CHUNKS:
-        starts = [starts[round(i * (len(starts) - 1) / (TRAIN_CHUNKS - 1))] for i in range(TRAIN_CHUNKS)]
     return [raw[s:s + size + WIDTH - 1].ljust(size + WIDTH - 1, b"\0") for s in starts]
 
 
@@ -158,7 +160,7 @@ def held_out() -> F.Column:
 
 
 def train(documents: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS) -> Network:
-    """Fit on a bounded sample of the labelled training rows."""
+    """Fit on a bounded sample of the labelled training rows: ``rows`` of each class, with their whole texts."""
     docs = columns_of(documents, "doc_id", "text")
     known = columns_of(labels, "doc_id", label).toDF("doc_id", "_y").filter("doc_id is not null and _y in (0, 1)") \
         .filter(~held_out())

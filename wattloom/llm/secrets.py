@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import columns_of, let
+from wattloom.llm.common import columns_of, free_name, let
 
 RATE = 0.01
 KINDS = ("assign", "access", "hex", "random")
@@ -154,21 +154,22 @@ def thresholds(documents: DataFrame, rate: float = RATE) -> dict[str, int]:
     return out
 
 
-def with_spans(documents: DataFrame, accept: dict[str, int]) -> DataFrame:
-    """Adds ``_base`` and ``_all``: sorted arrays of (start, kind, end)."""
+def with_spans(documents: DataFrame, accept: dict[str, int], _base: str = "_base", _all: str = "_all") -> DataFrame:
+    """Adds two sorted arrays of (start, kind, end): the base spans, and all spans."""
+    _more = free_name(documents, "_more")
     text = F.coalesce("text", F.lit(""))
     none = F.array().cast(_SPAN)
     table = F.create_map(*[F.lit(x) for kv in accept.items() for x in kv]) if accept else None
-    df = documents.withColumn("_base", F.array_sort(F.concat(*base_spans(text))))
+    df = documents.withColumn(_base, F.array_sort(F.concat(*base_spans(text))))
     if table is None:
-        return df.withColumn("_all", F.col("_base"))
+        return df.withColumn(_all, F.col(_base))
     chosen = F.filter(_candidates(text), lambda x: x["test"]["random"] & (
         x["test"]["bin"] >= F.coalesce(F.element_at(table, x["test"]["group"]), F.lit(BINS + 1))))
     more = F.transform(chosen, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
-    df = df.withColumn("_more", F.coalesce(more, none))
-    apart = F.filter("_more", lambda x: ~F.exists("_base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
-    return df.withColumn("_all", F.when(F.size("_more") > 0, F.array_sort(F.concat("_base", apart))).otherwise(F.col("_base"))) \
-        .drop("_more")
+    df = df.withColumn(_more, F.coalesce(more, none))
+    apart = F.filter(_more, lambda x: ~F.exists(_base, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
+    return df.withColumn(_all, F.when(F.size(_more) > 0, F.array_sort(F.concat(_base, apart))).otherwise(F.col(_base))) \
+        .drop(_more)
 
 
 def _joined(spans: str) -> Column:
@@ -187,7 +188,8 @@ def report(documents: DataFrame, rate: float = RATE) -> DataFrame:
 
 def redact(documents: DataFrame, mask: str = "[secret]", rate: float = RATE) -> DataFrame:
     """Replaces every span by ``mask`` and brings n_chars up to date; all rows and columns stay."""
-    found = with_spans(documents, thresholds(documents, rate))
+    spans = free_name(documents, "_spans")
+    found = with_spans(documents, thresholds(documents, rate), free_name(documents, "_found"), spans)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(a, x):
@@ -195,9 +197,9 @@ def redact(documents: DataFrame, mask: str = "[secret]", rate: float = RATE) ->
         more = F.when(x["start"] >= a["at"], F.array(gap, F.lit(mask))).otherwise(F.array().cast("array<string>"))
         return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.concat(a["out"], more).alias("out"))
     rest = lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col("text"), a["at"] + 1, F.length("text")))
-    clean = F.when(F.size("_all") > 0, F.aggregate("_all", start, step, rest)).otherwise(F.col("text"))
+    clean = F.when(F.size(spans) > 0, F.aggregate(spans, start, step, rest)).otherwise(F.col("text"))
     out = found.withColumn("text", clean)
     if "n_chars" in documents.columns:
-        n = F.when(F.size("_all") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        n = F.when(F.size(spans) > 0, F.length("text")).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", n.cast(documents.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{c}`") for c in documents.columns])

@@ -16,6 +16,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wattloom.llm.common import free_name
+
 SLOTS = 65_537
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
 
@@ -53,14 +55,15 @@ def lookup_table(names: list[str] | tuple[str, ...] = SHARDS, slots: int = SLOTS
 
 def place(df: DataFrame, key: str = "doc_id", names: list[str] | tuple[str, ...] = SHARDS, slots: int = SLOTS,
           slot: str = "slot", shard: str = "shard") -> DataFrame:
-    """Adds the slot and the shard of each row: one lookup in the broadcast table per row, no shuffle."""
+    """Adds the slot and the shard of each row: one lookup in the broadcast table per row, no shuffle. Columns of the input that
+    already have these names go on as ``input_slot`` and ``input_shard``."""
     import pandas as pd
     lookup = df.sparkSession.createDataFrame(pd.DataFrame({
         slot: np.arange(slots, dtype=np.int32), shard: [list(names)[i] for i in lookup_table(names, slots)]}))
     at = F.pmod(F.xxhash64(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("\0"))), F.lit(slots)).cast("int")
-    kept = [c for c in df.columns if c not in (slot, shard)]
-    return df.withColumn(slot, at).select(*[F.col(f"`{c}`") for c in kept], slot) \
-        .join(F.broadcast(lookup), slot).select(*[F.col(f"`{c}`") for c in kept], slot, shard)
+    to = {c: free_name(df, f"input_{c}") if c.lower() in (slot, shard) else c for c in df.columns}
+    own = df.select(*[F.col(f"`{c}`").alias(n) for c, n in to.items()], at.alias(slot))
+    return own.join(F.broadcast(lookup), slot).select(*[F.col(f"`{n}`") for n in to.values()], slot, shard)
 
 
 def write_shards(df: DataFrame, folder: str, key: str = "doc_id", names=SHARDS, slots: int = SLOTS,
@@ -69,6 +72,7 @@ def write_shards(df: DataFrame, folder: str, key: str = "doc_id", names=SHARDS,
     parts by a hash of the row, so that a frequent key is not one task; Spark splits parts that are still large
     and joins small ones."""
     placed = place(df, key, names, slots)
-    hashed = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
-    placed.withColumn("_salt", F.pmod(F.xxhash64(*hashed), F.lit(files))) \
-        .hint("rebalance", F.col("shard"), F.col("_salt")).drop("_salt").write.partitionBy("shard").parquet(folder)
+    hashed = [F.col(f"`{f.name}`") for f in placed.schema.fields if "map<" not in f.dataType.simpleString()]
+    salt = free_name(placed, "_salt")
+    placed.withColumn(salt, F.pmod(F.xxhash64(*hashed), F.lit(files))) \
+        .hint("rebalance", F.col("shard"), F.col(salt)).drop(salt).write.partitionBy("shard").parquet(folder)

@@ -15,7 +15,9 @@ from __future__ import annotations
 import json
 import os
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -165,11 +167,12 @@ class LibraryEncoder:
         self.library.no_padding()
         self.lower = "Lowercase" in str(self.library.normalizer)
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         # about 220 bytes an entry, two generations: some 200 MB in each Python worker
         self.known = Cache(lambda chunk: self.raw(self.library.encode(chunk, add_special_tokens=False).ids), 450_000)
 
     def raw(self, ids) -> bytes:
-        return struct.pack(f"<{len(ids)}{'H' if self.dtype.itemsize == 2 else 'I'}", *ids)
+        return array(self.code, ids).tobytes() if sys.byteorder == "little" else np.array(ids, self.dtype).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as bytes of ``dtype``."""
