@@ -168,8 +168,8 @@ class LibraryEncoder:
         self.lower = "Lowercase" in str(self.library.normalizer)
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        # about 220 bytes an entry, two generations: some 200 MB in each Python worker
-        self.known = Cache(lambda chunk: self.raw(self.library.encode(chunk, add_special_tokens=False).ids), 450_000)
+        # about 220 bytes an entry, two generations: some 260 MB in each Python worker
+        self.known = Cache(lambda chunk: self.raw(self.library.encode(chunk, add_special_tokens=False).ids), 600_000)
 
     def raw(self, ids) -> bytes:
         return array(self.code, ids).tobytes() if sys.byteorder == "little" else np.array(ids, self.dtype).tobytes()
