@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattloom.config import DEFAULT, Settings
-from wattloom.functions import fixed_values as fv
 from wattloom.functions.columns import plus_minutes
 from wattloom.operators import asof, evaluate, models
 from wattloom.operators.extra_trees import Forest
@@ -26,8 +25,7 @@ class Replay:
     weight: float
 
 
-def forecast(spark, folder: str, usable: DataFrame, settings: DataFrame, weight: float | None = None, cfg: Settings = DEFAULT,
-             seeds: int = len(fv.SEEDS)) -> tuple[DataFrame, float]:
+def forecast(spark, folder: str, usable: DataFrame, settings: DataFrame, weight: float | None = None) -> tuple[DataFrame, float]:
     """Blended predictions of the test rows by the stored models of a training run, and the weight of the tree.
 
     Both model folders must hold what was evaluated, under the present settings. The weight is the stored one unless given.
@@ -41,14 +39,14 @@ def forecast(spark, folder: str, usable: DataFrame, settings: DataFrame, weight:
     if test.isEmpty():
         raise RuleViolation("there are no test rows to replay")
     scored = models.score_tree_model(Forest.load(spark, f"{folder}/tree/model"), test).withColumnRenamed("prediction", "a")
-    scored = models.score_sequence_model(*models.load_sequence_model(spark, f"{folder}/sequence", seeds), scored).withColumnRenamed("prediction", "b")
+    scored = models.score_sequence_model(*models.load_sequence_model(spark, f"{folder}/sequence"), scored).withColumnRenamed("prediction", "b")
     return models.finite_only(evaluate.blend(scored, weight)), weight
 
 
 def run(spark, folder: str, table: DataFrame, usable: DataFrame, settings: DataFrame, weight: float | None = None,
         manual: float | None = None, cursors: DataFrame | None = None, cfg: Settings = DEFAULT) -> Replay:
     """``table``: all labelled rows (the year's peak needs those outside the test part, too); ``usable``: the rows for the models."""
-    made, weight = forecast(spark, folder, usable, settings, weight, cfg)
+    made, weight = forecast(spark, folder, usable, settings, weight)
     made = made.select(cfg.series, cfg.ts, "prediction", F.col("a").alias("tree_prediction"), F.col("b").alias("sequence_prediction"))
     observed = table.join(made, [cfg.series, cfg.ts], "left").withColumns({
         "target_time": plus_minutes(cfg.ts, cfg.step_min), "day_key": F.date_format(cfg.ts, "yyyy-MM-dd")})
