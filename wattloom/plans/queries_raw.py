@@ -417,6 +417,15 @@ def b19(t):
     return validate.finite_prediction(t.forecast)
 
 
+@add("b19_planted_faults", "rows:i missing:i nan:i infinite:i ok", x.OBSERVED, """SELECT count(*) AS rows, count(*) FILTER (WHERE minute(ts) = 0) AS missing,
+  count(*) FILTER (WHERE minute(ts) = 15) AS nan, count(*) FILTER (WHERE minute(ts) = 30) AS infinite, false AS ok FROM forecast""")
+def b19_planted(t):
+    """Predictions that are missing, NaN or infinite are told apart and counted."""
+    at = F.minute("ts")
+    bad = F.when(at == 15, math.nan).when(at == 30, -math.inf).when(at != 0, F.col("prediction"))
+    return validate.finite_prediction(t.forecast.withColumn("prediction", bad))
+
+
 @add("b20_calendar_year_check", "year:i rows:i", None,
      "SELECT year(o_orderdate + to_months(312)) AS year, count(*) AS rows FROM orders "
      "WHERE year(o_orderdate + to_months(312)) > 2026 GROUP BY 1")
