@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from wattloom.llm.common import columns_of, map_batches, tokenizer_path
 
 CACHE_ENTRIES = 250_000
-ROUND_TRIPS = 60_000              # finished stretches that a worker keeps, in each of two generations: some 40 MB
+ROUND_TRIPS = 160_000             # finished stretches that a worker keeps, in each of two generations: some 120 MB
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 #: Unicode white space; str.split() knows four more characters, which are not white space here.
