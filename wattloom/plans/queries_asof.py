@@ -52,14 +52,12 @@ def h5(t):
     return asof.error_margin(asof.annual_peak_to_date(t.observed))
 
 
-@add("h5_error_margin_sketch", f"{KEY} error_samples:i near_exact")
+@add("h5_error_margin_sketch", f"{KEY} error_samples:i error_margin:r", x.THRESHOLD.replace("quantile_cont(", "quantile_disc("),
+     "SELECT * FROM margins WHERE prediction IS NOT NULL")
 def h5_sketch(t):
-    """The all-JVM form; ``near_exact`` marks agreement with the exact margin within one rank."""
-    rows = asof.annual_peak_to_date(t.observed)
-    exact = asof.error_margin(rows).select("series_id", "ts", F.col("error_margin").alias("exact"))
-    out = asof.error_margin_sketch(rows).join(exact, ["series_id", "ts"])
-    gap = F.abs(F.col("error_margin") - F.col("exact"))
-    return out.withColumn("near_exact", gap <= F.greatest(F.lit(40.0), 0.2 * F.col("exact")))
+    """The all-JVM form, with an accuracy above the samples of a year: then the sketch returns the value of the asked rank itself, without
+    interpolation. With its default accuracy it is a rank off from some 500 samples on."""
+    return asof.error_margin_sketch(asof.annual_peak_to_date(t.observed), accuracy=100_000)
 
 
 @add("h6_alert_threshold", f"{KEY} threshold:r1", x.RECOMMEND, "SELECT * FROM rec")
