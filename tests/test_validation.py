@@ -1,14 +1,18 @@
 """Rules of the raw hourly table."""
 
 import math
+import tracemalloc
 from datetime import datetime
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.errors import PySparkException
 
 from helpers import raw_hours
 from wattloom.config import Settings
+from wattloom.functions import fixed_values as fv
 from wattloom.operators import impute, leaks, requests, reshape, validate
 from wattloom.operators.validate import RuleViolation
 from wattloom.plans import preprocess
@@ -228,6 +232,32 @@ def test_missing_values_count_as_disagreement(spark):
     assert got["hour"] == 0.5
 
 
+def test_calendar_bounds_do_not_grow_with_the_dates():
+    """A task keeps one chunk of rows and leaves one row per cell, however many dates and values it meets."""
+    def peak(batches: int) -> tuple[int, int]:
+        rng = np.random.default_rng(5)
+        made = (pd.DataFrame({"_k0": rng.integers(0, 24, 500), "_k1": 500 * b + np.arange(500), "_v0": rng.random(500)}) for b in range(batches))
+        tracemalloc.start()
+        out = list(leaks._chunk_bounds(2, 1, 1000)(made))
+        return tracemalloc.get_traced_memory()[1], sum(map(len, out))
+    try:
+        (few, rows), (many, more) = peak(8), peak(160)
+    finally:
+        tracemalloc.stop()
+    assert rows == more == 2 and many < 2 * few
+
+
+def test_calendar_bounds_lie_above_the_agreement(spark):
+    df = leak_table(spark, n=480, x=lambda i, q: float(i // 24 % 2), wage=lambda i, q: 9.0 if i % 24 < 6 else 5.0, temp=noise,
+                    flat=lambda i, q: 1.0, none=lambda i, q: None if i else 2.0)
+    exact = {(r["column"], r.key): r.agreement for r in leaks.calendar_determined(df).collect()}
+    names = leaks.other_numeric(df)
+    for chunk_rows in (30, 100_000):
+        found = {(names[r.cell // 4], fv.CALENDAR_KEYS[r.cell % 4]): r.high for r in leaks.calendar_bounds(df, chunk_rows=chunk_rows).collect()}
+        assert found.keys() == exact.keys() and all(found[k] >= exact[k] for k in exact)
+    assert exact["wage", "hour"] == 1.0 and exact["x", "hour"] == 0.5 and exact["none", "month"] == 1 / 480
+
+
 # -- imputation and reshaping --------------------------------------------------------------
 
 def test_fill_uses_the_unfilled_past(spark):

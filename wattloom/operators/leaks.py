@@ -19,7 +19,7 @@ from wattloom.functions import fixed_values as fv
 from wattloom.operators.validate import RuleViolation
 
 SUM, MEAN, MAX, MIN = "_p_sum", "_p_mean", "_p_max", "_p_min"
-CALENDAR_COUNTERS = 256           # values that a task counts per column and calendar key
+CALENDAR_ROWS = 100_000           # rows that a task judges together for the calendar bounds
 HELPERS = ("dt", "hr", "day", "hour", "ts", "src_row", "series_id")
 
 
@@ -149,99 +149,68 @@ def _calendar_key(name: str) -> Column:
             "date": F.unix_seconds("day")}[name].cast("long")
 
 
-class _HeavyHitters:
-    """Mergeable counters of the most frequent values per (cell, key value), as Misra and Gries keep them.
+def _chunk_modes(key: np.ndarray, code: np.ndarray, distinct: int) -> int:
+    """Sum over the keys of the count of their most frequent value; ``code`` numbers the values from 0, -1 is missing."""
+    known = code >= 0
+    if not known.any():
+        return 0
+    pairs, n = np.unique(key[known] * distinct + code[known], return_counts=True)
+    of = pairs // distinct
+    return int(np.maximum.reduceat(n, np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))).sum())
 
-    A counter never exceeds the true count and falls short of it by at most ``lost``, the sum of what was
-    subtracted from all counters of that key when they were too many.
-    """
-
-    def __init__(self, counters: int) -> None:
-        self.counters = counters
-        self.held: dict[tuple[int, int], dict[float, int]] = {}
-        self.keys: dict[tuple[int, int], list] = {}       # rows, present, lost, lo, hi
-
-    def add(self, cell: int, at: np.ndarray, values: np.ndarray) -> None:
-        """Counts one batch: distinct (key, value) pairs first, then only those above the batch's own cut."""
-        key, first, rows = np.unique(at, return_index=True, return_counts=True)
-        ok = ~np.isnan(values)
-        a, v = at[ok], values[ok] + 0.0                   # -0.0 becomes 0.0
-        order = np.lexsort((v, a))
-        a, v = a[order], v[order]
-        new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (v[1:] != v[:-1])
-        starts = np.flatnonzero(new)
-        n = np.diff(np.append(starts, len(a)))
-        a, v = a[starts], v[starts]
-        by_size = np.lexsort((-n, a))
-        a, v, n = a[by_size], v[by_size], n[by_size]
-        begin = np.searchsorted(a, key)
-        end = np.searchsorted(a, key, "right")
-        cut = np.array([n[b + self.counters] if e - b > self.counters else 0 for b, e in zip(begin, end)], np.int64)
-        for i, k in enumerate(key.tolist()):
-            b, e = begin[i], end[i]
-            lo, hi = (float(v[b:e].min()), float(v[b:e].max())) if e > b else (np.nan, np.nan)
-            stat = self.keys.setdefault((cell, k), [0, 0, 0, np.nan, np.nan])
-            stat[0] += int(rows[i])
-            stat[1] += int(n[b:e].sum())
-            stat[2] += int(cut[i])
-            stat[3], stat[4] = np.fmin(stat[3], lo), np.fmax(stat[4], hi)
-            counts = self.held.setdefault((cell, k), {})
-            for value, size in zip(v[b:e].tolist(), (n[b:e] - cut[i]).tolist()):
-                if size <= 0:
-                    break
-                counts[value] = counts.get(value, 0) + size
-            if len(counts) > self.counters:
-                stat[2] += self.shrink(cell, k)
-
-    def shrink(self, cell: int, k: int) -> int:
-        counts = self.held[cell, k]
-        less = sorted(counts.values(), reverse=True)[self.counters]
-        self.held[cell, k] = {v: n - less for v, n in counts.items() if n > less}
-        return less
-
-    def table(self) -> pd.DataFrame:
-        """One row per key (value missing) and one per counter."""
-        rows = [(c, k, None, 0, *stat) for (c, k), stat in self.keys.items()]
-        rows += [(c, k, v, n, 0, 0, 0, None, None) for (c, k), counts in self.held.items() for v, n in counts.items()]
-        return pd.DataFrame(rows, columns=["cell", "at", "value", "n", "rows", "present", "lost", "lo", "hi"]).astype(
-            {"value": "float64", "lo": "float64", "hi": "float64"})
-
-
-def calendar_bounds(df: DataFrame, columns=None, cfg: Settings = DEFAULT, counters: int = CALENDAR_COUNTERS) -> DataFrame:
-    """Per (column, calendar key) bounds of the agreement: cell, low, high, varies.
-
-    Every task keeps at most ``counters`` values per column and key; only these are shuffled and added up. Where no
-    task lost a value, ``low`` equals ``high`` and both are exact.
-    """
-    columns = columns or other_numeric(df, cfg)
-    n_keys = len(fv.CALENDAR_KEYS)
 
+def _chunk_bounds(n_keys: int, columns: int, chunk_rows: int):
+    """Rows that agree per cell (column, calendar key) within chunks of some ``chunk_rows`` rows, and the ends of each column."""
     def summary(batches):
-        hitters = _HeavyHitters(counters)
+        rows, held, cells = 0, [], n_keys * columns
+        total, agree, ends = 0, np.zeros(cells, np.int64), np.full((columns, 2), np.nan)
+
+        def judge(chunk: list[list[np.ndarray]]) -> None:
+            keys = [np.unique(np.concatenate(k), return_inverse=True)[1] for k in chunk[:n_keys]]
+            for i, parts in enumerate(chunk[n_keys:]):
+                values = np.concatenate(parts)
+                known = ~np.isnan(values)
+                if not known.any():
+                    continue
+                found, place = np.unique(values[known] + 0.0, return_inverse=True)          # -0.0 becomes 0.0
+                code = np.full(len(values), -1, np.int64)
+                code[known] = place
+                ends[i] = np.fmin(ends[i, 0], found[0]), np.fmax(ends[i, 1], found[-1])
+                for o, key in enumerate(keys):
+                    agree[i * n_keys + o] += _chunk_modes(key, code, len(found))
         for pdf in batches:
-            at = [pdf[f"_k{o}"].to_numpy("int64") for o in range(n_keys)]
-            for i in range(len(columns)):
-                values = pdf[f"_v{i}"].to_numpy("float64", na_value=np.nan)
-                for o in range(n_keys):
-                    hitters.add(i * n_keys + o, at[o], values)
-        yield hitters.table()
-
+            if not held:
+                held = [[] for _ in range(n_keys + columns)]
+            for o in range(n_keys):
+                held[o].append(pdf[f"_k{o}"].to_numpy("int64"))
+            for i in range(columns):
+                held[n_keys + i].append(pdf[f"_v{i}"].to_numpy("float64", na_value=np.nan))
+            rows += len(pdf)
+            if rows >= chunk_rows:
+                judge(held)
+                total, rows, held = total + rows, 0, []
+        if rows:
+            judge(held)
+            total += rows
+        if total:
+            yield pd.DataFrame({"cell": np.arange(cells), "agree": agree, "rows": total,
+                                "lo": np.repeat(ends[:, 0], n_keys), "hi": np.repeat(ends[:, 1], n_keys)})
+    return summary
+
+
+def calendar_bounds(df: DataFrame, columns=None, cfg: Settings = DEFAULT, chunk_rows: int = CALENDAR_ROWS) -> DataFrame:
+    """Per (column, calendar key) an upper bound of the agreement: cell, high, varies.
+
+    The rows that agree within chunks of rows, each chunk with most frequent values of its own, are at least as many as those
+    that agree over the whole table. So a task holds one chunk at a time and leaves one row per cell.
+    """
+    columns = columns or other_numeric(df, cfg)
     narrow = df.select(*[_calendar_key(k).alias(f"_k{o}") for o, k in enumerate(fv.CALENDAR_KEYS)],
                        *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(columns)])
-    parts = narrow.mapInPandas(summary, "cell long, at long, value double, n long, rows long, present long, lost long, "
-                                        "lo double, hi double")
+    parts = narrow.mapInPandas(_chunk_bounds(len(fv.CALENDAR_KEYS), len(columns), chunk_rows), "cell long, agree long, rows long, lo double, hi double")
     known = lambda c: F.when(~F.isnan(c), F.col(c))
-    merged = parts.groupBy("cell", "at", known("value").alias("value")).agg(
-        F.sum("n").alias("n"), F.sum("rows").alias("rows"), F.sum("present").alias("present"), F.sum("lost").alias("lost"),
-        F.min(known("lo")).alias("lo"), F.max(known("hi")).alias("hi"))
-    per_key = merged.groupBy("cell", "at").agg(
-        F.max("n").alias("mode_n"), F.sum("rows").alias("rows"), F.sum("present").alias("present"),
-        F.sum("lost").alias("lost"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    most = F.least("present", F.col("mode_n") + F.col("lost"))
-    return per_key.groupBy("cell").agg(
-        (F.sum("mode_n") / F.sum("rows")).alias("low"), (F.sum(most) / F.sum("rows")).alias("high"),
-        (F.sum("lost") == 0).alias("exact"), F.coalesce(F.min("lo") < F.max("hi"), F.lit(False)).alias("varies"))
+    return parts.groupBy("cell").agg((F.sum("agree") / F.sum("rows")).alias("high"),
+                                     F.coalesce(F.min(known("lo")) < F.max(known("hi")), F.lit(False)).alias("varies"))
 
 
 def _counted_agreement(df: DataFrame, columns, cells: list[int]) -> DataFrame:
@@ -257,23 +226,20 @@ def _counted_agreement(df: DataFrame, columns, cells: list[int]) -> DataFrame:
 
 
 def calendar_determined(df: DataFrame, columns=None, cfg: Settings = DEFAULT, at_least: float | None = None,
-                        counters: int = CALENDAR_COUNTERS) -> DataFrame:
+                        chunk_rows: int = CALENDAR_ROWS) -> DataFrame:
     """Per (column, calendar key): share of rows that equal the most frequent value of their key.
 
-    Bounded counters settle most pairs: those that no task had to cut are exact. The others are counted in full, one more
-    pass over these pairs only. With ``at_least``, pairs whose upper bound lies below it and columns that do not vary are
-    ruled out without counting and left out of the result. Missing values (and NaN) count as disagreement.
+    All values are counted, by grouping. With ``at_least``, pairs whose upper bound lies below it and columns that do not
+    vary are ruled out without counting and left out of the result. Missing values (and NaN) count as disagreement.
     """
     columns = columns or other_numeric(df, cfg)
     n_keys = len(fv.CALENDAR_KEYS)
     schema = "column string, order long, key string, agreement double, varies boolean"
-    found = calendar_bounds(df, columns, cfg, counters).collect()          # one row per column and key
+    found = calendar_bounds(df, columns, cfg, chunk_rows).collect()        # one row per column and key
     if at_least is not None:
         found = [r for r in found if r["varies"] and r["high"] >= at_least]
-    agreement = {r["cell"]: r["low"] for r in found if r["exact"]}
-    open_ = sorted(r["cell"] for r in found if not r["exact"])
-    if open_:
-        agreement |= {r["cell"]: r["agreement"] for r in _counted_agreement(df, columns, open_).collect()}
+    cells = sorted(r["cell"] for r in found)
+    agreement = {r["cell"]: r["agreement"] for r in _counted_agreement(df, columns, cells).collect()} if cells else {}
     rows = [(columns[r["cell"] // n_keys], r["cell"] % n_keys, fv.CALENDAR_KEYS[r["cell"] % n_keys], float(agreement[r["cell"]]),
              r["varies"]) for r in found]
     return df.sparkSession.createDataFrame(rows, schema)
