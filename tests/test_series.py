@@ -5,6 +5,7 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings as hsettings
 from hypothesis import strategies as st
@@ -294,6 +295,19 @@ def test_staff_match_equals_brute_force(spark, run_rows):
         assert got[(ts, kind, target)] == (len(found), math.ceil(best[3]) if best else None, best[0] if best else None)
 
 
+def test_runs_become_python_objects_piece_by_piece():
+    """A batch of many runs is taken apart in order; a piece is one run or holds few elements."""
+    own = [[{"production": 1.0, "staff": 1.0, "_when": i}] * (i % 7) for i in range(200)]
+    seen = [None if i % 3 else [[1.0] * 5, [2.0] * (i % 11)] for i in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(own, pa.list_(pa.struct({"production": pa.float64(),
+                                       "staff": pa.float64(), "_when": pa.int64()}))), pa.array(seen, pa.list_(pa.list_(pa.float64())))],
+                                       names=["i", "own", "seen"])
+    size = lambda i: 1 + len(own[i]) + sum(len(x) + 1 for x in seen[i] or ())
+    pieces = [p.column("i").to_pylist() for p in staffing._pieces([batch.slice(7), batch.slice(0, 0)], "own", "seen", most=30)]
+    assert [i for p in pieces for i in p] == list(range(7, 200))
+    assert all(len(p) == 1 or sum(map(size, p)) <= 30 for p in pieces) and len(pieces) > 20
+
+
 def test_scenario_keeps_requests_without_a_position(spark):
     frame = observed(spark, [10, 20, 30])
     ask = spark.createDataFrame([("A", "2021-03-01", c, 2, 1, 100.0, 3.0, 2.0) for c in (0, 1, 7)],

@@ -7,6 +7,7 @@ from itertools import chain
 from math import ceil
 from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,11 +72,32 @@ class _Records:
 
 
 RECORD = "array<struct<production: double, staff: double, _when: bigint>>"
+PIECE_VALUES = 20_000             # list elements that become Python objects at a time
+
+
+def _elements(c: pa.Array) -> np.ndarray:
+    """Number of innermost elements of each list."""
+    sizes = np.array(c.value_lengths().fill_null(0), np.int64)
+    if not pa.types.is_list(c.type.value_type):
+        return sizes
+    inner, ends = np.concatenate(([0], np.cumsum(_elements(c.flatten())))), np.cumsum(sizes)
+    return inner[ends] - inner[ends - sizes] + sizes
+
+
+def _pieces(batches, *columns: str, most: int = PIECE_VALUES):
+    """Parts of the batches in order, each of one row or of at most ``most`` elements in these list columns."""
+    for b in batches:
+        sizes = sum((_elements(b.column(c)) for c in columns), np.ones(b.num_rows, np.int64))
+        upto, at = np.cumsum(sizes), 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+            yield b.slice(at, end - at)
+            at = end
 
 
 def _frontiers(batches):
     """The records of each run that no other record of the run beats."""
-    for b in batches:
+    for b in _pieces(batches, "own"):
         found = []
         for rows in b.column("own").to_pylist():
             run = _Records()
@@ -90,7 +112,7 @@ def _frontiers(batches):
 def _answers(schema: pa.Schema):
     """Sweep the records and questions of a run in order of time, on top of what earlier runs left."""
     def run(batches):
-        for b in batches:
+        for b in _pieces(batches, "seen", "fronts", "own", "place"):
             cols = [b.column(c).to_pylist() for c in ("seen", "fronts", "own", "place", "target")]
             out = []
             for seen, fronts, own, places, targets in zip(*cols):
