@@ -121,3 +121,22 @@ def test_samples_are_bounded(spark):
     model = extra_trees.fit(rows, ["a"], trees=20, sample_rows=500)
     nodes = [len(r.feature) // 4 for r in model.trees.collect()]
     assert len(nodes) == 20 and max(nodes) < 2 * 600 / 3
+
+
+def test_leaf_means_follow_every_tree():
+    """Row by row down each tree, also for infinite inputs and a tree that is one leaf."""
+    rng = np.random.default_rng(2)
+    x = rng.random((400, 5)).astype(np.float32)
+    trees = [extra_trees.grow(x, x[:, 0] + rng.random(400), 12, 2, 0.7, np.random.default_rng(k)) for k in range(3)]
+    trees.append(extra_trees.grow(np.ones((9, 5), np.float32), np.arange(9.0), 4, 2, 0.7, rng))
+    asked = np.concatenate((rng.random((60, 5)).astype(np.float32), [[np.inf] * 5, [-np.inf] * 5])).astype(np.float32)
+    wanted = []
+    for row in asked:
+        total = 0.0
+        for feature, threshold, child, value in trees:
+            node = 0
+            while feature[node] >= 0:
+                node = child[node] + int(row[feature[node]] >= threshold[node])
+            total += float(value[node])
+        wanted.append(total / len(trees))
+    assert extra_trees.leaf_means(asked, [extra_trees.walk(t) for t in trees]).tolist() == wanted

@@ -152,9 +152,10 @@ def j10(t):
     model = models.Forest.load(t.spark, folder)
     test = rows.filter("split = 'test'")
     path = shared_folder(t.spark, "to-score")
-    test.repartition(3).write.parquet(path)
-    test.filter(F.dayofmonth("ts") % 3 == 0).coalesce(1).write.mode("append").parquet(path)
-    stream = t.spark.readStream.schema(test.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    files = max(FILES, t.spark.sparkContext.defaultParallelism)        # of each batch: a batch is written and read by many tasks
+    test.repartition(3 * files).write.parquet(path)
+    test.filter(F.dayofmonth("ts") % 3 == 0).repartition(files).write.mode("append").parquet(path)
+    stream = t.spark.readStream.schema(test.schema).option("maxFilesPerTrigger", files).parquet(path)
     alerts.stream_scoring(stream, lambda b: models.finite_only(models.score_tree_model(model, b)), out,
                           shared_folder(t.spark, "scored-state"))
     done = alerts.read_scored(t.spark, out)
