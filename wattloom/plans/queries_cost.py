@@ -11,6 +11,7 @@ from wattloom.plans import fixtures as x
 from wattloom.plans import staffing_requests
 from wattloom.plans.queries_raw import REQUESTS
 from wattloom.plans.registry import REGISTRY
+from wattloom.session import stage
 
 add = REGISTRY.add
 H = x.half_even_sql
@@ -290,7 +291,9 @@ SELECT request_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, N
   FROM open_ WHERE p IS NULL""")
 def b18_priced(t):
     """Staffing requests with their own prices, wages, rate tables and peaks; refused ones keep their reasons."""
-    days = t.forecast.select("series_id", "day_key").distinct()
+    # read by four steps: made once
+    forecast = stage(t.forecast.select("series_id", "ts", "target_time", "day_key", "prediction"), "forecast")
+    days = forecast.select("series_id", "day_key").distinct()
     w = Window.partitionBy("series_id")
     days = days.withColumn("i", F.row_number().over(w.orderBy("day_key")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
     n, meter = F.col("request_id"), F.expr(f"request_id div {x.METER_SLOTS}").cast("string")
@@ -302,4 +305,4 @@ def b18_priced(t):
     rows = rows.withColumns({"energy_rate": F.when(n % 6 == 0, F.col("energy_rate")), "base_rate": F.lit(None).cast("double"),
                              "billing_peak": F.when(n % 10 == 0, 200.0), "rate_table": F.when(own.isNotNull(), table)})
     rates, bands = t.tariff_dims
-    return staffing_requests.answer(rows, t.forecast, history(t), t.holidays, rates, bands)
+    return staffing_requests.answer(rows, forecast, history(t), t.holidays, rates, bands)
