@@ -140,3 +140,21 @@ def test_leaf_means_follow_every_tree():
             total += float(value[node])
         wanted.append(total / len(trees))
     assert extra_trees.leaf_means(asked, [extra_trees.walk(t) for t in trees]).tolist() == wanted
+
+
+def test_rows_of_a_job_are_never_broadcast(spark, tmp_path):
+    """A stored table of rows looks small to Spark; the days of the jobs meet it in the tasks, not the rows in the driver."""
+    days = 40
+    rows = spark.range(days * 96).select(
+        F.lit("A").alias("series_id"), F.timestamp_seconds(F.lit(1_614_556_800) + F.col("id") * 900).alias("ts"), F.col("id").cast("double").alias("y"),
+        F.array_repeat(F.col("id").cast("double"), 96).alias("window")).withColumn("date_key", F.date_format("ts", "yyyyMMdd").cast("int")) \
+        .withColumn("split", F.when(F.col("date_key") < 20210401, "train").otherwise("test"))
+    rows.write.parquet(str(tmp_path / "rows"))
+    stored = spark.read.parquet(str(tmp_path / "rows"))
+    jobs = split.eval_jobs(stored, split.forward_folds(stored)).filter("fold_no = 0")
+    for part, n in (("train", 31 * 96), ("eval", 9 * 96)):
+        got = split.job_rows(stored, jobs, part=part)
+        assert got.count() == n
+        plan = got.select("ts", "y", "date_key")._jdf.queryExecution().executedPlan().toString()
+        joins = [line for line in plan.splitlines() if "Join [series_id" in line and "date_key" in line.split("Join")[1].split("]")[0]]
+        assert joins and all("ShuffledHashJoin" in line and "BuildRight" in line for line in joins), plan
