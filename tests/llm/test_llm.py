@@ -360,3 +360,24 @@ def test_pipeline(spark, small_dir):
     bad = {r[0] for r in brute.contamination([(r["doc_id"], r["text"]) for r in docs.collect()], items) if r[5]}
     out = [r["doc_id"] for r in corpus_pipeline.run(spark, small_dir).collect()]
     assert len(out) == len(set(out)) and not bad & set(out) and len(out) > docs.count() * 0.5
+
+
+def test_new_stretches_go_to_the_library_together():
+    """Ids are those of each stretch alone, also with the mark's character, special tokens and characters with rules of their own."""
+    encoder = wavelet.LibraryEncoder(tokenizer_path())
+    library, calls = encoder.library, []
+
+    class Counting:
+        def __getattr__(self, name):
+            return getattr(library, name)
+
+        def encode_batch_fast(self, texts, **options):
+            calls.append(len(texts))
+            return library.encode_batch_fast(texts, **options)
+    encoder.library = Counting()
+    words = [f"w{k}é,x" for k in range(5000)] + ["a\x02b", "\x02", "<|endoftext|>", "x<|startoftext|>y", "́a", "İ", "Σς", "\x1cq", "\x00", "ﬁ!‍", "y" * 300]
+    texts = [" ".join(words), "\n".join(words[::-1]), None, "", "\x02 \x02"]
+    got = encoder.encode(texts)
+    for text, raw in zip(texts, got):
+        assert np.frombuffer(raw, encoder.dtype).tolist() == library.encode(text or "", add_special_tokens=False).ids
+    assert sum(calls) < 100

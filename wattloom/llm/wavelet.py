@@ -36,6 +36,7 @@ MAGIC = b"WVMX0001"
 IDS_PER_FILE = 4_000_000
 END_ID = 1
 SCHEMA = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
+MARK, SHORT, TOGETHER = "\x02", 64, 2000            # what stands between short stretches that the library gets as one text
 
 
 class WaveletMatrix:
@@ -157,7 +158,8 @@ def unpack(content: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]
 
 class LibraryEncoder:
     """Ids by the tokenizers library. It sees every distinct stretch between white space once: no token
-    crosses white space, so the ids of a text are those of its stretches in a row."""
+    crosses white space, so the ids of a text are those of its stretches in a row. Short stretches not seen yet go to it
+    as one text with a mark between them, as a call for each takes twice the time; the mark's id shows where one ends."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"      # the worker has one core
@@ -168,20 +170,43 @@ class LibraryEncoder:
         self.lower = "Lowercase" in str(self.library.normalizer)
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.mark = self._mark()
         # about 220 bytes an entry, two generations: some 200 MB in each Python worker
         self.known = Cache(lambda chunk: self.raw(self.library.encode(chunk, add_special_tokens=False).ids), 450_000)
 
     def raw(self, ids) -> bytes:
         return array(self.code, ids).tobytes() if sys.byteorder == "little" else np.array(ids, self.dtype).tobytes()
 
+    def _mark(self) -> int | None:
+        """Id of the mark, if it is one token that leaves its neighbours as they are."""
+        word, mark, both = (self.library.encode(t, add_special_tokens=False).ids for t in ("a", MARK, f"a {MARK} a"))
+        return mark[0] if len(mark) == 1 and both == word + mark + word and mark != word else None
+
+    def stretches(self, new: list[str]) -> list[bytes]:
+        """Ids of stretches without white space. Only a stretch with the mark's character can have the mark's id."""
+        def together(some: list[str]) -> list[bytes]:
+            e = self.library.encode_batch_fast([f" {MARK} ".join(some)], add_special_tokens=False)[0]
+            ids = np.array(e.ids, self.dtype)
+            ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
+            if len(ends) != len(some):
+                raise RuntimeError("the tokenizer does not keep stretches apart")
+            raw, width = ids.tobytes(), self.dtype.itemsize
+            return [raw[lo * width:hi * width] for lo, hi in zip([0, *(x + 1 for x in ends)], ends)]
+
+        if self.mark is None or any(MARK in c or len(c) > SHORT for c in new):
+            return [self.raw(e.ids) for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
+        return [ids for at in range(0, len(new), TOGETHER) for ids in together(new[at:at + TOGETHER])]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as bytes of ``dtype``."""
         cut = [chunks(t, self.lower) for t in texts]
         known = self.known
         new = [c for c in set().union(*cut).difference(known) if c not in known.old]
-        for c, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            if len(c) <= 64:
-                known.put(c, self.raw(e.ids))
+        short = [c for c in new if len(c) <= SHORT]
+        plain = [c for c in short if MARK not in c]
+        for some in (plain, [c for c in short if MARK in c]):
+            for c, ids in zip(some, self.stretches(some)):
+                known.put(c, ids)
         get = known.__getitem__
         return [b"".join(map(get, cs)) for cs in cut]
 
