@@ -158,3 +158,15 @@ def test_results_document_over_many_lines(spark, tmp_path):
     only = {k: v for k, v in doc.items() if k != fv.RESULTS_SEARCH}
     (tmp_path / "old.json").write_text(json.dumps(only, ensure_ascii=False), "utf-8")
     assert results.load_results(spark, str(tmp_path / "old.json"))[1].count() == 0
+
+
+def test_only_columns_with_missing_values_are_searched(spark, monkeypatch):
+    """A column without a missing value has nothing to fill; the long table of its values is not sorted for that."""
+    from wattloom.operators import impute
+    asked, full = [], impute.past_medians
+    monkeypatch.setattr(impute, "past_medians", lambda hourly, columns, cfg: (asked.extend(columns), full(hourly, columns, cfg))[1])
+    raw = hours(spark, 3)
+    raw = raw.withColumns({"temp": F.when(F.col("src_row") % 7 != 0, F.col("src_row") * 0.5), "wind": F.col("src_row") * 0.25})
+    run = preprocess.prepare(raw, drop=[], strict=False)
+    rows = run.features.collect()
+    assert asked == ["temp"] and rows and all(r.wind_lag4 is None or r.wind_lag4 > 0 for r in rows)

@@ -118,7 +118,8 @@ def prepare(raw: DataFrame, holidays: DataFrame | None = None, cfg: Settings = D
     if drop is None:
         drop = leaks.drop_list(hourly, cfg)
     context = [c for c in context if c not in drop]
-    filled = watch.on(impute.impute_past_median(hourly, context, cfg), "filled", _rows(),
+    lacking = [c for c in context if watch["hourly"][f"missing_{c}"]]      # a column with every value there has nothing to fill
+    filled = watch.on(impute.impute_past_median(hourly, lacking, cfg), "filled", _rows(),
                       *[F.count_if(F.col(c).isNull()).alias(f"left_{c}") for c in context])
     long = watch.on(reshape.to_15min(filled, context, cfg), "intervals", _rows())
     days = stage(day_table(hourly, fraction, cfg, boundary, defaults=holidays is not None), "day-table")
