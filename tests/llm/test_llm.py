@@ -381,3 +381,23 @@ def test_new_stretches_go_to_the_library_together():
     for text, raw in zip(texts, got):
         assert np.frombuffer(raw, encoder.dtype).tolist() == library.encode(text or "", add_special_tokens=False).ids
     assert sum(calls) < 100
+
+
+def test_a_worker_lets_go_of_earlier_operators_tables():
+    from wattloom.llm import common
+    bpe.round_trips(tokenizer_path())["word"]
+    wavelet.library_encoder(tokenizer_path())
+    common.drop_large_caches()
+    assert not any(f.cache_info().currsize for f in (bpe.round_trips, bpe.load, wavelet.library_encoder))
+
+
+def test_sets_of_few_texts_are_held_at_a_time(spark):
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.hash("id", F.lit(k)).cast("string") for k in range(8)]).alias("text"))
+
+    def largest(batches):
+        import pyarrow as pa
+        whole = [b.num_rows for b in batches for _ in (0,)]
+        yield pa.RecordBatch.from_arrays([pa.array(whole, pa.int64())], ["n"])
+    assert max(r.n for r in rows.coalesce(1).mapInArrow(largest, "n bigint").collect()) == 3000
+    got = rows.coalesce(1).mapInArrow(lambda batches: largest(jaccard.pieces(batches)), "n bigint").collect()
+    assert max(r.n for r in got) <= 500 and sum(r.n for r in got) == 3000

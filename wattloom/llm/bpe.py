@@ -22,7 +22,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
-from wattloom.llm.common import columns_of, map_batches, tokenizer_path
+from wattloom.llm.common import columns_of, large_cache, map_batches, tokenizer_path
 
 CACHE_ENTRIES = 250_000
 ROUND_TRIPS = 160_000             # finished stretches that a worker keeps, in each of two generations: some 120 MB
@@ -212,6 +212,7 @@ def _piece_pattern(spec: dict) -> str:
     raise ValueError("the tokenizer file has no split pattern")
 
 
+@large_cache
 @lru_cache(maxsize=2)
 def load(path: str) -> Transducer:
     return Transducer(path)
@@ -240,6 +241,7 @@ class Cache(dict):
         self[key] = value
 
 
+@large_cache
 @lru_cache(maxsize=2)
 def round_trips(path: str) -> Cache:
     """chunk -> (number of ids, the ids as text, their decoding); kept while the Python worker lives."""

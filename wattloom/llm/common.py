@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -16,6 +17,25 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD_BREAKS = bytes(32 if b < 128 and not (48 <= b <= 57 or 97 <= b <= 122) else b for b in range(256))
 
 
+_CACHES: list = []                # of this Python process: functions whose lru_cache holds an operator's large tables
+
+
+def large_cache(make):
+    """Mark a function with an lru_cache as the holder of large tables that an operator keeps in a worker."""
+    _CACHES.append(make)
+    return make
+
+
+def drop_large_caches() -> None:
+    """Let go of the tables that operators before this one have left in the worker. A worker serves one stage after another,
+    so they would lie beside what the next one needs."""
+    full = [c for c in _CACHES if c.cache_info().currsize]
+    for c in full:
+        c.cache_clear()
+    if full:
+        gc.collect()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

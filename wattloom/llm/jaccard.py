@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import arrow_schema, columns_of, free_name
+from wattloom.llm.common import arrow_schema, columns_of, drop_large_caches, free_name
 from wattloom.session import stage
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5           # similarity 4/5
@@ -57,6 +57,7 @@ _BASE = 0x9FB21C651E98DF25
 _BREAK = np.zeros(256, bool)
 _BREAK[[32, *range(9, 14)]] = True
 PIECE = 1 << 19                                   # bytes of text hashed at a time
+PIECE_ROWS = 500                                  # texts whose sets are held at a time
 LONG_WORD = 1 << 16                               # bytes from which a word is hashed on its own
 
 
@@ -161,20 +162,28 @@ def _batches(df: DataFrame, schema: str, run) -> DataFrame:
     arrow = arrow_schema(schema)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_large_caches()
         for cols in run(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow)], schema=arrow)
     return df.mapInArrow(each, schema)
 
 
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stretches of ``PIECE_ROWS`` rows: the sets of a whole Arrow batch would be held at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, PIECE_ROWS):
+            yield b.slice(at, PIECE_ROWS)
+
+
 def sets_and_counts(documents: DataFrame) -> DataFrame:
     """One pass: a row (doc_id, node, n) for each document and, per task, its counters in slices."""
     def run(batches):
         counters, any_row = np.zeros(COUNTERS, np.uint32), False
-        for b in batches:
+        for b in pieces(batches):
             sets = shingle_sets(b.column(1).to_pylist())
             if sets:
                 places = (np.concatenate(sets) & np.uint64(COUNTERS - 1)).astype(np.int64)
-                counters += np.bincount(places, minlength=COUNTERS).astype(np.uint32)
+                np.add.at(counters, places, np.uint32(1))
             any_row = any_row or b.num_rows > 0
             k = b.num_rows
             yield b.column(0), list(map(node_of, sets)), list(map(len, sets)), [None] * k, [None] * k, b.column(2)
@@ -242,25 +251,24 @@ def index_rows(representatives: DataFrame, counters) -> DataFrame:
     """For each node a row with its masks, and a row for each token of its prefix (first order)."""
     def run(batches):
         table = np.frombuffer(counters.value, "<u4").astype(np.uint64)
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                sets = [s for s in shingle_sets(b.column(0).slice(at, 500).to_pylist()) if len(s)]
-                if not sets:
-                    continue
-                nodes, sizes, tokens, seen, masks = [node_of(s) for s in sets], [len(s) for s in sets], [], [], []
-                for s in sets:
-                    counts, k = table[(s & np.uint64(COUNTERS - 1)).astype(np.intp)], prefix_size(len(s))
-                    head = prefix(s, counts, np.uint64(1), k)
-                    tokens.append(s[head].view(np.int64))
-                    seen.append(counts[head])
-                    others = (s[prefix(s, counts >> np.uint64(j), m, k)] for j, m in enumerate(_ORDERS, 1))
-                    masks.append(b"".join([mask_of(s, MASK_WORDS, True), *(mask_of(o, ORDER_WORDS, False) for o in others)]))
-                n = len(sets)
-                yield pa.nulls(n, pa.int64()), nodes, sizes, pa.nulls(n, pa.int32()), masks, list(map(wide_mask, sets))
-                lengths = [len(t) for t in tokens]
-                n = sum(lengths)
-                yield (np.concatenate(tokens), np.repeat(np.array(nodes), lengths), np.repeat(np.array(sizes, np.int32), lengths),
-                       np.minimum(np.concatenate(seen), 2**31 - 1).astype(np.int32), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()))
+        for b in pieces(batches):
+            sets = [s for s in shingle_sets(b.column(0).to_pylist()) if len(s)]
+            if not sets:
+                continue
+            nodes, sizes, tokens, seen, masks = [node_of(s) for s in sets], [len(s) for s in sets], [], [], []
+            for s in sets:
+                counts, k = table[(s & np.uint64(COUNTERS - 1)).astype(np.intp)], prefix_size(len(s))
+                head = prefix(s, counts, np.uint64(1), k)
+                tokens.append(s[head].view(np.int64))
+                seen.append(counts[head])
+                others = (s[prefix(s, counts >> np.uint64(j), m, k)] for j, m in enumerate(_ORDERS, 1))
+                masks.append(b"".join([mask_of(s, MASK_WORDS, True), *(mask_of(o, ORDER_WORDS, False) for o in others)]))
+            n = len(sets)
+            yield pa.nulls(n, pa.int64()), nodes, sizes, pa.nulls(n, pa.int32()), masks, list(map(wide_mask, sets))
+            lengths = [len(t) for t in tokens]
+            n = sum(lengths)
+            yield (np.concatenate(tokens), np.repeat(np.array(nodes), lengths), np.repeat(np.array(sizes, np.int32), lengths),
+                   np.minimum(np.concatenate(seen), 2**31 - 1).astype(np.int32), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()))
     return _batches(representatives.select("text"), "token bigint, node bigint, n int, seen int, masks binary, wide binary", run)
 
 
@@ -496,7 +504,7 @@ def _components(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         some = docs.join(ids, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
 
         def run(batches):
-            for b in batches:
+            for b in pieces(batches):
                 made = [s for s in shingle_sets(b.column(0).to_pylist()) if len(s)]
                 yield list(map(node_of, made)), [s.view(np.int64) for s in made]
         return stage(_batches(some.select("text"), "node bigint, tokens array<bigint>", run), "full-sets")

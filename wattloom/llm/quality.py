@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import columns_of, map_batches
+from wattloom.llm.common import columns_of, drop_large_caches, map_batches
 
 TRAIN_ROWS = 1_000                                      # labelled rows of each class, at most; of these every chunk is read
 TILE = 512                                              # chunks whose responses are held at a time in training
@@ -213,6 +213,7 @@ def keep_good(documents: DataFrame, net: Network) -> DataFrame:
     schema = documents.schema
 
     def run(batches):
+        drop_large_caches()
         model, pairs = _loaded(sent.value)
         for b in batches:
             texts = [(t or "").encode("utf-8", "replace") for t in b.column("text").to_pylist()]

@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wattloom.llm.bpe import Cache, chunks
-from wattloom.llm.common import TOKENIZER, arrow_schema, columns_of, map_batches, tokenizer_path
+from wattloom.llm.common import TOKENIZER, arrow_schema, columns_of, large_cache, map_batches, tokenizer_path
 from wattloom.session import shared_folder, stage
 
 MAGIC = b"WVMX0001"
@@ -211,6 +211,7 @@ class LibraryEncoder:
         return [b"".join(map(get, cs)) for cs in cut]
 
 
+@large_cache
 @lru_cache(maxsize=2)
 def library_encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
