@@ -20,6 +20,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wattloom.llm.bpe import Cache, chunks
+from wattloom.llm.bpe import chunks
 from wattloom.llm.common import TOKENIZER, arrow_schema, columns_of, large_cache, map_batches, tokenizer_path
 from wattloom.session import shared_folder, stage
 
@@ -36,7 +37,8 @@ MAGIC = b"WVMX0001"
 IDS_PER_FILE = 4_000_000
 END_ID = 1
 SCHEMA = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
-MARK, SHORT, TOGETHER = "\x02", 64, 2000            # what stands between short stretches that the library gets as one text
+KNOWN = 450_000                   # stretches that a worker keeps, in each of two generations: some 160 bytes each
+MARK, SHORT, TOGETHER = "\x02", 64, 200             # what stands between short stretches that the library gets as one text
 
 
 class WaveletMatrix:
@@ -53,7 +55,7 @@ class WaveletMatrix:
         for shift in range(bits - 1, -1, -1):
             ones = (a & ids.dtype.type(1 << shift)) != 0
             planes.append(np.packbits(ones))
-            a = np.concatenate((a[~ones], a[ones]))
+            a = np.concatenate((a.compress(~ones), a.compress(ones)))      # a mask as index takes three times as long
         return cls(len(ids), planes)
 
     def bits(self, level: int) -> np.ndarray:
@@ -64,9 +66,10 @@ class WaveletMatrix:
         a = np.zeros(self.n, dtype)
         for level in range(len(self.planes) - 1, -1, -1):
             ones = self.bits(level)
-            zeros, out = self.n - int(np.count_nonzero(ones)), np.empty_like(a)
-            out[~ones] = a[:zeros]
-            out[ones] = a[zeros:] | dtype(1 << (len(self.planes) - 1 - level))
+            places = np.flatnonzero(ones)                  # a mask as index takes three times as long
+            zeros, out = self.n - len(places), np.empty_like(a)
+            out[places] = a[zeros:] | dtype(1 << (len(self.planes) - 1 - level))
+            out[np.flatnonzero(~ones)] = a[:zeros]
             a = out
         return a
 
@@ -156,10 +159,80 @@ def unpack(content: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]
     return doc_ids, parts[2].view("<i8"), WaveletMatrix(head["ids"], parts[3:])
 
 
+class IdTable:
+    """Ids of numbered stretches in one array, with the place and the number of the ids of each."""
+
+    def __init__(self, dtype: np.dtype):
+        self.dtype, self.size = dtype, 0
+        self.starts, self.lengths, self.ids = bytearray(), bytearray(), bytearray()
+
+    def append(self, starts: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
+        """The next numbers; ``starts`` count from the first of ``ids``."""
+        self.starts += (starts + len(self.ids) // self.dtype.itemsize).astype(np.int64).tobytes()
+        self.lengths += lengths.astype(np.int64).tobytes()
+        self.ids += ids.astype(self.dtype).tobytes()
+        self.size += len(starts)
+
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each, and the ids of all in a row."""
+        starts, lengths = (np.frombuffer(b, np.int64) for b in (self.starts, self.lengths))
+        n = lengths[numbers]
+        places = np.repeat(starts[numbers] - (np.cumsum(n) - n), n)
+        places += np.arange(len(places))
+        return n, np.frombuffer(self.ids, self.dtype)[places]
+
+
+class Numbers(dict):
+    """stretch -> its number in a table of ids. New stretches get the next numbers and wait in ``new`` until ``settle``
+    has their ids. Two generations of ``limit`` short stretches are kept; the older one goes when the younger is full."""
+
+    def __init__(self, dtype: np.dtype, limit: int = KNOWN):
+        super().__init__()
+        self.limit, self.new = limit, []
+        self.table, self.old, self.old_table = IdTable(dtype), {}, IdTable(dtype)
+
+    def __missing__(self, stretch: str) -> int:
+        number = self[stretch] = self.table.size + len(self.new)
+        self.new.append(stretch)
+        return number
+
+    def settle(self, make) -> None:
+        """Ids of the new stretches: from the older generation, else by ``make`` (stretches to lengths and ids). Should that
+        fail, they are new again."""
+        new, self.new = self.new, []
+        try:
+            self._settle(new, make)
+        except BaseException:
+            for c in new:
+                del self[c]
+            raise
+        for c in new:
+            if len(c) > SHORT:
+                del self[c]
+
+    def _settle(self, new: list[str], make) -> None:
+        before = np.fromiter((self.old.get(c, -1) for c in new), np.int64, len(new))
+        unknown = np.flatnonzero(before < 0)
+        made, ids = make([new[k] for k in unknown.tolist()])
+        again = np.flatnonzero(before >= 0)
+        kept, kept_ids = self.old_table.gather(before[again])
+        starts, lengths = np.empty((2, len(new)), np.int64)
+        for which, n, at in ((unknown, made, 0), (again, kept, len(ids))):
+            lengths[which], starts[which] = n, at + np.cumsum(n) - n
+        self.table.append(starts, lengths, np.concatenate((ids, kept_ids)))
+
+    def trim(self) -> None:
+        if self.table.size >= self.limit or len(self.table.ids) >= 64 * self.limit:
+            self.old, self.old_table = dict(self), self.table
+            self.clear()
+            self.table = IdTable(self.table.dtype)
+
+
 class LibraryEncoder:
     """Ids by the tokenizers library. It sees every distinct stretch between white space once: no token
-    crosses white space, so the ids of a text are those of its stretches in a row. Short stretches not seen yet go to it
-    as one text with a mark between them, as a call for each takes twice the time; the mark's id shows where one ends."""
+    crosses white space, so the ids of a text are those of its stretches in a row. New stretches go to it many at a time
+    as one text, as a call for each takes twice the time. Where tokens that end a word differ from others, words of letters
+    stand next to each other and such tokens show where one ends; other short stretches have a mark between them."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"      # the worker has one core
@@ -170,9 +243,8 @@ class LibraryEncoder:
         self.lower = "Lowercase" in str(self.library.normalizer)
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.mark = self._mark()
-        # about 220 bytes an entry, two generations: some 200 MB in each Python worker
-        self.known = Cache(lambda chunk: self.raw(self.library.encode(chunk, add_special_tokens=False).ids), 450_000)
+        self.mark, self.ends = self._mark(), self._ends()
+        self.known = Numbers(self.dtype)
 
     def raw(self, ids) -> bytes:
         return array(self.code, ids).tobytes() if sys.byteorder == "little" else np.array(ids, self.dtype).tobytes()
@@ -182,33 +254,73 @@ class LibraryEncoder:
         word, mark, both = (self.library.encode(t, add_special_tokens=False).ids for t in ("a", MARK, f"a {MARK} a"))
         return mark[0] if len(mark) == 1 and both == word + mark + word and mark != word else None
 
-    def stretches(self, new: list[str]) -> list[bytes]:
-        """Ids of stretches without white space. Only a stretch with the mark's character can have the mark's id."""
-        def together(some: list[str]) -> list[bytes]:
-            e = self.library.encode_batch_fast([f" {MARK} ".join(some)], add_special_tokens=False)[0]
-            ids = np.array(e.ids, self.dtype)
-            ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
-            if len(ends) != len(some):
-                raise RuntimeError("the tokenizer does not keep stretches apart")
-            raw, width = ids.tobytes(), self.dtype.itemsize
-            return [raw[lo * width:hi * width] for lo, hi in zip([0, *(x + 1 for x in ends)], ends)]
-
-        if self.mark is None or any(MARK in c or len(c) > SHORT for c in new):
-            return [self.raw(e.ids) for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
-        return [ids for at in range(0, len(new), TOGETHER) for ids in together(new[at:at + TOGETHER])]
+    def _ends(self) -> np.ndarray | None:
+        """For each id whether its token ends a word, if the tokens say so."""
+        suffix = getattr(self.library.model, "end_of_word_suffix", None)
+        if not suffix:
+            return None
+        vocab = self.library.get_vocab()
+        ends = np.zeros(max(vocab.values()) + 1, bool)
+        ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        return ends
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.frombuffer(self.raw(e.ids), self.dtype) for e in found]
+
+    def _words(self, some: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Lengths and ids of words of letters, nothing if one is not a single word to the library: each has at least one
+        end, so as many ends as words are one end each."""
+        ids = self._ids([" ".join(some)])[0]
+        ends = np.flatnonzero(self.ends[ids])
+        return (np.diff(ends, prepend=-1), ids) if len(ends) == len(some) and ends[-1] == len(ids) - 1 else None
+
+    def _marked(self, some: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths and ids of stretches without the mark's character: only one with it can have the mark's id."""
+        ids = self._ids([f" {MARK} ".join(some)])[0]
+        is_mark = ids == self.mark
+        lengths = np.diff(np.flatnonzero(is_mark), prepend=-1, append=len(ids)) - 1
+        if len(lengths) != len(some):
+            raise RuntimeError("the tokenizer does not keep stretches apart")
+        return lengths, ids[~is_mark]
+
+    def _alone(self, some: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self._ids(some)
+        return np.array([len(i) for i in ids], np.int64), np.concatenate(ids)
+
+    def stretches(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths and ids of stretches without white space, in their order."""
+        words, marked, alone = [], [], []
+        for k, c in enumerate(new):
+            if len(c) > SHORT or MARK in c or self.mark is None:
+                alone.append(k)
+            else:
+                (words if self.ends is not None and c.isalpha() else marked).append(k)
+        table, order = IdTable(self.dtype), []
+        for group, way in ((words, self._words), (marked, self._marked), (alone, self._alone)):
+            for at in range(0, len(group), TOGETHER):
+                few = group[at:at + TOGETHER]
+                some = [new[k] for k in few]
+                lengths, ids = way(some) or self._marked(some)
+                table.append(np.cumsum(lengths) - lengths, lengths, ids)
+                order += few
+        place = np.empty(len(new), np.int64)
+        place[order] = np.arange(len(new))
+        return table.gather(place)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as bytes of ``dtype``."""
-        cut = [chunks(t, self.lower) for t in texts]
         known = self.known
-        new = [c for c in set().union(*cut).difference(known) if c not in known.old]
-        short = [c for c in new if len(c) <= SHORT]
-        plain = [c for c in short if MARK not in c]
-        for some in (plain, [c for c in short if MARK in c]):
-            for c, ids in zip(some, self.stretches(some)):
-                known.put(c, ids)
-        get = known.__getitem__
-        return [b"".join(map(get, cs)) for cs in cut]
+        known.trim()
+        cut = [chunks(t, self.lower) for t in texts]
+        sizes = np.array([0, *map(len, cut)])
+        numbers = np.fromiter(map(known.__getitem__, chain.from_iterable(cut)), np.int64, sizes.sum())
+        del cut
+        known.settle(self.stretches)
+        lengths, ids = known.table.gather(numbers)
+        bounds = np.concatenate(([0], np.cumsum(lengths)))[np.cumsum(sizes)] * self.dtype.itemsize
+        raw, bounds = ids.tobytes(), bounds.tolist()
+        return [raw[lo:hi] for lo, hi in zip(bounds, bounds[1:])]
 
 
 @large_cache
@@ -279,7 +391,7 @@ def read_ids(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame
         out = {"name": [], "doc_id": [], "at": [], "n_tokens": [], "ids_crc32": []}
         for name, content in zip(cols["name"], cols["content"]):
             doc_ids, lengths, matrix = unpack(content)
-            ids = matrix.all().astype("<u4", copy=False)
+            ids = matrix.all(np.uint16 if len(matrix.planes) <= 16 else np.uint32).astype("<u4")
             ends = np.cumsum(lengths)
             starts = ends - lengths
             out["name"] += [name] * len(doc_ids)
