@@ -408,6 +408,16 @@ def test_words_of_letters_go_to_the_library_without_marks():
             assert sorted(w for w in sent if w.isalpha()) == sorted(words) and sent.count(wavelet.MARK) == 2
 
 
+def test_texts_are_encoded_by_size():
+    import pyarrow as pa
+    for texts in ([], [None] * 3, ["é" * 5, "abc", "", None, "a" * 30, "b", "c" * 11]):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+        got = list(wavelet.slices(batch, 13))
+        assert [t for few in got for t in few.column(1).to_pylist()] == texts
+        assert all(few.num_rows == 1 or sum(len((t or "").encode()) for t in few.column(1).to_pylist()) <= 13 for few in got)
+        assert len(got) == {0: 0, 3: 1, 7: 3}[len(texts)]
+
+
 def test_known_stretches_are_bounded_and_a_failure_leaves_none_behind():
     encoder, r = wavelet.LibraryEncoder(tokenizer_path()), random.Random(5)
     library, known = encoder.library, wavelet.Numbers(encoder.dtype, 100)

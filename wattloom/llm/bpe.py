@@ -53,14 +53,19 @@ _STOP = re.compile(r"[.,](?<=[a-z].)(?=[ \n]|\Z)")         # starts with a class
 
 
 def chunks(text: str | None, lower: bool = True) -> list[str]:
-    """Stretches of a text without white space, brought to fewer forms where that changes no token: lower case
+    """Stretches of a text without white space, brought to fewer forms."""
+    return split_white(spaced(text, lower))
+
+
+def spaced(text: str | None, lower: bool = True) -> str:
+    """A text brought to fewer forms of its stretches where that changes no token: lower case
     (the tokenizer lower-cases normalized text anyway), and a full stop or comma after a letter on its own."""
     if not text:
-        return []
+        return ""
     if lower and "<|" not in text and (text.isascii() or (
             "Σ" not in text and "İ" not in text and unicodedata.is_normalized("NFC", text))):
         text = text.lower()
-    return split_white(_STOP.sub(r" \g<0>", text))
+    return _STOP.sub(r" \g<0>", text)
 
 
 class Transducer:

@@ -20,17 +20,25 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wattloom.llm.bpe import chunks
-from wattloom.llm.common import TOKENIZER, arrow_schema, columns_of, large_cache, map_batches, tokenizer_path
+from wattloom.llm.bpe import spaced
+from wattloom.llm.common import (
+    TOKENIZER,
+    arrow_schema,
+    columns_of,
+    drop_large_caches,
+    large_cache,
+    map_batches,
+    tokenizer_path,
+)
 from wattloom.session import shared_folder, stage
 
 MAGIC = b"WVMX0001"
@@ -38,6 +46,7 @@ IDS_PER_FILE = 4_000_000
 END_ID = 1
 SCHEMA = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 KNOWN = 450_000                   # stretches that a worker keeps, in each of two generations: some 160 bytes each
+SLICE = 2 << 20                   # bytes of text that are encoded together; long texts one by one
 MARK, SHORT, TOGETHER = "\x02", 64, 200             # what stands between short stretches that the library gets as one text
 
 
@@ -177,8 +186,10 @@ class IdTable:
         """Number of ids of each, and the ids of all in a row."""
         starts, lengths = (np.frombuffer(b, np.int64) for b in (self.starts, self.lengths))
         n = lengths[numbers]
-        places = np.repeat(starts[numbers] - (np.cumsum(n) - n), n)
-        places += np.arange(len(places))
+        ends = np.cumsum(n)
+        small = max(len(self.ids), ends[-1] if len(n) else 0) < 1 << 31            # half the memory for the places
+        places = np.repeat((starts[numbers] - (ends - n)).astype(np.int32 if small else np.int64), n)
+        places += np.arange(len(places), dtype=places.dtype)
         return n, np.frombuffer(self.ids, self.dtype)[places]
 
 
@@ -228,8 +239,12 @@ class Numbers(dict):
             self.table = IdTable(self.table.dtype)
 
 
+def _one_line(text: str) -> str:
+    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+
+
 class LibraryEncoder:
-    """Ids by the tokenizers library. It sees every distinct stretch between white space once: no token
+    """Ids by the tokenizers library. It sees every distinct stretch between blanks, tabs and line ends once: no token
     crosses white space, so the ids of a text are those of its stretches in a row. New stretches go to it many at a time
     as one text, as a call for each takes twice the time. Where tokens that end a word differ from others, words of letters
     stand next to each other and such tokens show where one ends; other short stretches have a mark between them."""
@@ -289,7 +304,7 @@ class LibraryEncoder:
         return np.array([len(i) for i in ids], np.int64), np.concatenate(ids)
 
     def stretches(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Lengths and ids of stretches without white space, in their order."""
+        """Lengths and ids of stretches, in their order."""
         words, marked, alone = [], [], []
         for k, c in enumerate(new):
             if len(c) > SHORT or MARK in c or self.mark is None:
@@ -312,13 +327,14 @@ class LibraryEncoder:
         """Ids of each text as bytes of ``dtype``."""
         known = self.known
         known.trim()
-        cut = [chunks(t, self.lower) for t in texts]
-        sizes = np.array([0, *map(len, cut)])
-        numbers = np.fromiter(map(known.__getitem__, chain.from_iterable(cut)), np.int64, sizes.sum())
-        del cut
+        cut = pc.split_pattern(pa.array([_one_line(spaced(t, self.lower)) for t in texts], pa.large_string()), " ")
+        ends = cut.offsets.to_numpy()
+        places = cut.flatten().dictionary_encode()         # fewer look-ups: a stretch once for all these texts
+        distinct = places.dictionary.to_numpy(zero_copy_only=False).tolist()
+        numbers = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))
         known.settle(self.stretches)
-        lengths, ids = known.table.gather(numbers)
-        bounds = np.concatenate(([0], np.cumsum(lengths)))[np.cumsum(sizes)] * self.dtype.itemsize
+        lengths, ids = known.table.gather(numbers[places.indices.to_numpy()])
+        bounds = np.concatenate(([0], np.cumsum(lengths)))[ends] * self.dtype.itemsize
         raw, bounds = ids.tobytes(), bounds.tolist()
         return [raw[lo:hi] for lo, hi in zip(bounds, bounds[1:])]
 
@@ -329,6 +345,16 @@ def library_encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
+def slices(batch: pa.RecordBatch, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Rows of (doc_id, text) in their order, at most ``most`` bytes of text or a single row at a time."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1).cast(pa.large_string())), 0).to_numpy(), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def write_ids(documents: DataFrame, folder: str, file: str = TOKENIZER, end_id: int = END_ID,
               ids_per_file: int = IDS_PER_FILE) -> DataFrame:
     """Write the files below ``folder`` (a URI that all executors reach) in ascending doc_id order.
@@ -365,8 +391,7 @@ def write_ids(documents: DataFrame, folder: str, file: str = TOKENIZER, end_id:
 
         store.create_dir(base, recursive=True)
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                few = b.slice(at, 500)
+            for few in slices(b):
                 for d, raw in zip(few.column(0).to_pylist(), encoder.encode(few.column(1).to_pylist())):
                     ids.append(d)
                     raws.append(raw + end)
@@ -388,6 +413,7 @@ def read_ids(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame
         .select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
 
     def rows(cols):
+        drop_large_caches()                                # the encoder has done its work
         out = {"name": [], "doc_id": [], "at": [], "n_tokens": [], "ids_crc32": []}
         for name, content in zip(cols["name"], cols["content"]):
             doc_ids, lengths, matrix = unpack(content)
