@@ -158,3 +158,73 @@ def test_rows_of_a_job_are_never_broadcast(spark, tmp_path):
         plan = got.select("ts", "y", "date_key")._jdf.queryExecution().executedPlan().toString()
         joins = [line for line in plan.splitlines() if "Join [series_id" in line and "date_key" in line.split("Join")[1].split("]")[0]]
         assert joins and all("ShuffledHashJoin" in line and "BuildRight" in line for line in joins), plan
+
+
+def leaf_rows(spark, n):
+    """Rows of which every one can have a leaf of its own."""
+    return spark.range(n).select((F.col("id") * 7 % 1000).cast("double").alias("y"), F.col("id").cast("double").alias("a"))
+
+
+def leaf_count(model):
+    """Leaves of every tree; those of a top below which a piece hangs are no leaves."""
+    out = {}
+    for r in model.trees.collect():
+        out[r.tree] = out.get(r.tree, 0) + int((np.frombuffer(r.feature, "<i4") < 0).sum()) - (r.piece != extra_trees.WHOLE)
+    return out
+
+
+def test_every_tree_learns_from_every_row(spark):
+    """More rows than the samples the trees were once grown on."""
+    n = 30_000
+    model = extra_trees.fit(leaf_rows(spark, n).repartition(3), ["a"], trees=12, depth=300, min_leaf=1)
+    assert leaf_count(model) == {t: n for t in range(12)}
+
+
+def test_trees_in_pieces_learn_from_every_row(spark, monkeypatch):
+    """Tables and forests too large for a task: tops from the blocks' reports, pieces below them, rows sent to the trees."""
+    n = 6000
+    monkeypatch.setattr(extra_trees, "BATCH_ROWS", 2 * n)
+    rows = leaf_rows(spark, n).repartition(3)
+    model = extra_trees.fit(rows, ["a"], trees=3, depth=300, min_leaf=1, task_rows=1500)
+    assert model.trees.filter(F.col("piece") != extra_trees.WHOLE).count() > 3 * n / 1500
+    assert leaf_count(model) == {t: n for t in range(3)}
+    asked = rows.unionByName(spark.createDataFrame([(21.0, 3.0), (None, None)], "y double, a double"))
+    out = model.predict(asked.withColumn("kept", F.col("y") + 1)).collect()
+    assert len(out) == n + 2 and all(r.prediction == r.y for r in out if r.a is not None)
+    assert [r.kept for r in out if r.a is not None] == [r.y + 1 for r in out if r.a is not None]
+    assert [abs(r.prediction - (model.medians[0] * 7 % 1000)) < 1e-6 for r in out if r.a is None] == [True]
+    folder = shared_folder(spark, "pieces")
+    model.save(folder)
+    again = extra_trees.Forest.load(spark, folder).predict(rows)
+    assert again.filter("prediction = y").count() == n
+    other = extra_trees.fit(rows.repartition(7), ["a"], trees=3, depth=300, min_leaf=1, task_rows=1500)
+    key = lambda m: sorted((r.tree, r.piece, bytes(r.feature), bytes(r.threshold), bytes(r.value)) for r in m.trees.collect())
+    assert key(other) == key(model)
+
+
+def test_rows_are_sent_to_a_forest_too_large_to_broadcast(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(float(a + b), float(a), float(b), None if i % 9 else 1.0) for i, (a, b) in enumerate(rng.normal(size=(800, 2)))],
+                                 "y double, a double, b double, c double")
+    model = extra_trees.fit(rows, ["a", "b", "c"], trees=25)
+    near = {(r.a, r.b): r.prediction for r in model.predict(rows).collect()}
+    monkeypatch.setattr(extra_trees, "BROADCAST_NODES", 3000)
+    monkeypatch.setattr(extra_trees, "BATCH_ROWS", 2000)
+    sent = model.predict(rows)
+    assert sent.columns == [*rows.columns, "prediction"]
+    assert {(r.a, r.b): pytest.approx(r.prediction, abs=1e-12) for r in sent.collect()} == near
+
+
+def test_large_nodes_are_counted_in_stretches():
+    """Nodes of all sizes, also beyond the rows looked at together, against plain counting."""
+    rng = np.random.default_rng(5)
+    sizes = np.array([40_000, 2, 64, 65, 17_000, 7, 16_384, 300])
+    n = sizes.sum()
+    x, y, rows = rng.normal(size=(n, 3)).astype(np.float32), rng.random(n), rng.permutation(n)
+    starts, at = np.cumsum(sizes) - sizes, rng.random((len(sizes), 3))
+    lo, hi, cut, count, total = extra_trees.node_stats(x, y, rows, starts, sizes, at)
+    for k, (a, z) in enumerate(zip(starts, sizes)):
+        mine = rows[a:a + z]
+        assert (lo[k] == x[mine].min(axis=0)).all() and (hi[k] == x[mine].max(axis=0)).all()
+        left = x[mine] < cut[k]
+        assert (count[k] == left.sum(axis=0)).all() and total[k] == pytest.approx((left * y[mine][:, None]).sum(axis=0))
