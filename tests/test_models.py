@@ -228,3 +228,41 @@ def test_large_nodes_are_counted_in_stretches():
         assert (lo[k] == x[mine].min(axis=0)).all() and (hi[k] == x[mine].max(axis=0)).all()
         left = x[mine] < cut[k]
         assert (count[k] == left.sum(axis=0)).all() and total[k] == pytest.approx((left * y[mine][:, None]).sum(axis=0))
+
+
+def test_rows_of_a_sequence_fit_are_split_once(spark, monkeypatch):
+    """Checks, scaling and inputs read stored rows: the join and the ranking behind them run once."""
+    from pyspark.sql.types import DoubleType
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf(DoubleType())
+    def read(v):
+        seen.add(1)
+        return v
+    n = 2000
+    rows = spark.range(n).select(
+        F.lit("A").alias("series_id"), F.timestamp_seconds(F.lit(1_614_556_800) + F.col("id") * 900).alias("ts"), (F.col("id") % 96).cast("double").alias("y"),
+        F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: F.array_repeat(((F.col("id") + i) % 96).cast("double"), 4)).alias("window"),
+        *[(F.col("id") % 7).cast("double").alias(c) for c in fv.SEQUENCE_CALENDAR])
+    full = split.tail_validation
+    monkeypatch.setattr(split, "tail_validation", lambda df, **kw: (lambda out: out.withColumn("y", read(F.col("y"))))(full(df, **kw)))
+    fitted, stats = models.fit_sequence_model(rows, rounds=2, depth=2, seeds=(42,))
+    assert len(fitted) == 1 and stats["y_std"] > 0
+    assert seen.value == n
+
+
+def test_jobs_are_counted_together(spark, monkeypatch):
+    """One pass over the rows to be scored and one over those learnt from say which jobs there are, not two for each job."""
+    rows = spark.range(180 * 96).select(F.lit("A").alias("series_id"), F.timestamp_seconds(F.lit(1_614_556_800) + F.col("id") * 900).alias("ts"),
+                                        F.col("id").cast("double").alias("y")) \
+        .withColumn("date_key", F.date_format("ts", "yyyyMMdd").cast("int")).withColumn("split", F.when(F.col("date_key") < 20210705, "train").otherwise("test"))
+    jobs, asked, full = split.eval_jobs(rows, split.forward_folds(rows)).cache(), [], split.job_rows
+
+    def job_rows(df, these, cfg=DEFAULT, part="eval"):
+        asked.append((part, these.select("fold_no").distinct().count()))
+        return full(df, these, cfg, part)
+    monkeypatch.setattr(split, "job_rows", job_rows)
+    learnt = []
+    out = models.evaluate_jobs(rows, jobs, lambda train: learnt.append(train.count()), lambda _, test: test.withColumn("prediction", F.lit(0.0)), least=40 * 96)
+    assert sorted(asked[:2]) == [("eval", 5), ("train", 5)] and len(asked) == 2 + 2 * len(learnt)
+    assert sorted(learnt) == [61 * 96, 92 * 96, 126 * 96] and {r.fold for r in out.select("fold").distinct().collect()} == {"test", "20210501", "20210601"}
